@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, mixing, quality
 from tessera.session import table, with_checkpoints
 
 #: The vocabulary file of the encoding query.
@@ -16,5 +17,17 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = {"op2_bpe_round_trip": op2_bpe_round_trip}
+def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_checkpoints(spark)
+    out = quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.remainder("doc_id", 5) != 0)
+    return out.select("doc_id", (quality.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_checkpoints(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_quality_discriminant, op9_source_mix)}
 ORACLES: dict[str, str] = {}
