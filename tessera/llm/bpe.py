@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct pieces of text whose encodings a Python worker keeps, in each of two generations.
-CACHE = 400_000
+CACHE = 260_000
 
 
 def byte_characters() -> list[str]:
