@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, quality, warc
+from tessera.llm import bpe, flac, mixing, quality, warc
 from tessera.session import table, with_checkpoints
 
 #: The vocabulary file of the encoding query.
@@ -23,6 +23,10 @@ def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (quality.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.revisits(table(spark, sf_dir, "pages"))
 
@@ -33,5 +37,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_quality_discriminant, op8_revisit_resolution, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_quality_discriminant, op5_flac_media, op8_revisit_resolution, op9_source_mix)}
 ORACLES: dict[str, str] = {"op8_revisit_resolution": warc.ORACLE}
