@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, flac, mixing, quality, warc
+from tessera.llm import ann, bpe, flac, mixing, quality, warc
 from tessera.session import table, with_checkpoints
 
 #: The vocabulary file of the encoding query.
@@ -17,6 +17,11 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_checkpoints(spark)
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_checkpoints(spark)
     out = quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.remainder("doc_id", 5) != 0)
@@ -37,5 +42,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_quality_discriminant, op5_flac_media, op8_revisit_resolution, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_nearest_vectors, op4_quality_discriminant, op5_flac_media, op8_revisit_resolution, op9_source_mix)}
 ORACLES: dict[str, str] = {"op8_revisit_resolution": warc.ORACLE}
