@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, flac, mixing, quality, warc
+from tessera.llm import ann, bpe, flac, mixing, ngrams, quality, warc
 from tessera.session import table, with_checkpoints
 
 #: The vocabulary file of the encoding query.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scores(table(spark, sf_dir, "documents"), quality.remainder("doc_id", 7) == 2)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -42,5 +46,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_nearest_vectors, op4_quality_discriminant, op5_flac_media, op8_revisit_resolution, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_trie_scores, op2_bpe_round_trip, op3_nearest_vectors, op4_quality_discriminant, op5_flac_media, op8_revisit_resolution, op9_source_mix)}
 ORACLES: dict[str, str] = {"op8_revisit_resolution": warc.ORACLE}
