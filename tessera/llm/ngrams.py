@@ -1,8 +1,9 @@
 """Score texts with a trigram model kept in Elias-Fano tries.
 
-The texts are dealt into blocks. Each block sends its distinct trigrams, with how
-often they occur in training texts, to the shards that own their first two words:
-once each, however often they occur. A shard sums the counts and builds a trie of
+The texts are dealt into blocks. A first exchange counts words: each block asks the
+words' shards for them, once for each distinct word. Then it sends its distinct
+trigrams, with how often they occur in training texts, to the shards that own their
+first words: once each, however often they occur. A shard sums the counts and builds a trie of
 three levels. Each level is one monotone sequence in Elias-Fano code (a node's
 symbol behind its parent's number, so a node's children are found by successor
 search within their parent's range), with the children's pointers in Elias-Fano
@@ -11,8 +12,8 @@ levels are written to a file and mapped into memory. The shard answers each
 block's trigrams in the order in which they came, one byte each, and the block
 puts the answers together: p(w|uv) = a(uvw) + g(uv) (a(vw) + g(v) p(w)).
 
-A frequent word's successors are dealt over all shards, so no shard grows with
-one word; sums over a word's successors are put together in the blocks. The
+A frequent word's pairs are spread over as many shards as its count asks for, so no
+shard grows with one word; the blocks sum what those shards say of it. The
 words' own counts are exact. First words are known by 64 bits of hash; second and
 third ones, within their context, by 32 bits.
 
@@ -236,75 +237,87 @@ def _sized(x: np.ndarray) -> bytes:
 
 
 class _Piece:
-    """The trigrams that begin at some places of a block's texts, sorted, and their owners."""
+    """The trigrams that begin at some places of a block's texts, and the distinct words in them."""
 
     def __init__(self, symbols: np.ndarray, begins: np.ndarray, learned: np.ndarray, shards: int):
         lo, hi = int(begins[0]), int(begins[-1]) + 3
         vocabulary, local = np.unique(symbols[lo:hi], return_inverse=True)
-        local = local.astype(_U)
-        at = begins - lo
-        a, b, c = local[at], local[at + 1], local[at + 2]
-        self.third, key = c.astype(np.int64), a << _U(42) | b << _U(21) | c
-        both = np.sort(key << _U(1) | learned.astype(_U))
-        plain = both >> _U(1)
-        first = np.flatnonzero(np.r_[True, plain[1:] != plain[:-1]])
-        self.key, self.count = plain[first], np.add.reduceat((both & _U(1)).astype(np.int64), first)
-        pair = self.key >> _U(21)
-        self.at_pair = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        self.pair, self.keys, self.of = pair[self.at_pair], key, b << _U(21) | c
-        self.second = b.astype(np.int64)
+        at, self.local, self.learned, self.shards = begins - lo, local, learned, shards
+        self.begins, self.third, self.second = at, local[at + 2], local[at + 1]
         # Words' own counts: of third symbols, and of texts for the mark before them.
-        heads = np.isin(symbols[begins + 1], [_BEGIN]) & learned
+        heads = (symbols[begins + 1] == _BEGIN) & learned
         own = np.bincount(self.third[learned], minlength=len(vocabulary))
         if heads.any():
             own[self.second[heads][0]] = heads.sum()
-        pads = np.searchsorted(vocabulary, _PAD)
-        if pads < len(vocabulary) and vocabulary[pads] == _PAD:
-            own[pads] = 0
+        own[vocabulary == _PAD] = 0
         self.vocabulary, self.own = vocabulary, own
-        u, v = vocabulary[(self.pair >> _U(21)).astype(np.int64)], vocabulary[(self.pair & _U((1 << 21) - 1)).astype(np.int64)]
-        owner = (words.mixed(u * _U(31) + v) % _U(shards)).astype(np.int64)
+        owner = (words.mixed(vocabulary) % _U(shards)).astype(np.int64)
+        self.word_order = np.argsort(owner, kind="stable")
+        self.word_cut = np.searchsorted(owner[self.word_order], np.arange(shards + 1))
+
+    def own_words(self, shard: int) -> np.ndarray:
+        return self.word_order[self.word_cut[shard] : self.word_cut[shard + 1]]
+
+    def question(self, shard: int) -> bytes:
+        own = self.own_words(shard)
+        return _sized(self.vocabulary[own]) + _small(self.own[own])
+
+    def deal(self, spread: np.ndarray) -> None:
+        """Sort the trigrams and deal them to shards; spread: over how many parts each word's pairs go."""
+        local, at = self.local.astype(_U), self.begins
+        a, b, c = local[at], local[at + 1], local[at + 2]
+        key = a << _U(42) | b << _U(21) | c
+        both = np.sort(key << _U(1) | self.learned.astype(_U))
+        plain = both >> _U(1)
+        first = np.flatnonzero(np.r_[True, plain[1:] != plain[:-1]])
+        self.key, self.count = plain[first], np.add.reduceat((both & _U(1)).astype(np.int64), first)
+        pair = self.key >> _U(21)
+        at_pair = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        self.pair, self.keys, self.of = pair[at_pair], key, b << _U(21) | c
+        first_word = (self.pair >> _U(21)).astype(np.int64)
+        u, v = self.vocabulary[first_word], self.vocabulary[(self.pair & _U((1 << 21) - 1)).astype(np.int64)]
+        shard_of = lambda u, part: (words.mixed(u + part.astype(_U) * _U(0x9E3779B97F4A7C15)) % _U(self.shards)).astype(np.int64)
+        owner = shard_of(u, v % spread[first_word].astype(_U))
         # In the order of shards: pairs, and their trigrams behind them.
         self.pair_order = np.argsort(owner, kind="stable")
-        sizes = np.diff(np.r_[self.at_pair, len(self.key)])
+        sizes = np.diff(np.r_[at_pair, len(self.key)])
         self.sizes = sizes[self.pair_order]
-        starts = self.at_pair[self.pair_order]
-        self.key_order = np.repeat(starts - (np.cumsum(self.sizes) - self.sizes), self.sizes) + np.arange(len(self.key))
-        self.pair_cut = np.searchsorted(owner[self.pair_order], np.arange(shards + 1))
+        self.key_order = np.repeat(at_pair[self.pair_order] - (np.cumsum(self.sizes) - self.sizes), self.sizes) + np.arange(len(self.key))
+        self.pair_cut = np.searchsorted(owner[self.pair_order], np.arange(self.shards + 1))
         self.key_cut = np.r_[0, np.cumsum(self.sizes)][self.pair_cut]
-        self.word_owner = (words.mixed(vocabulary) % _U(shards)).astype(np.int64)
-        self.word_order = np.argsort(self.word_owner, kind="stable")
-        self.word_cut = np.searchsorted(self.word_owner[self.word_order], np.arange(shards + 1))
+        # A spread word's successors are counted in all of its shards, also where no pair of this piece lies.
+        wide = np.flatnonzero(spread > 1)
+        word, part = np.repeat(wide, spread[wide]), np.concatenate([np.arange(spread[i]) for i in wide]) if len(wide) else wide
+        self.asked = np.unique(np.c_[shard_of(self.vocabulary[word], part), word], axis=0) if len(wide) else np.zeros((0, 2), np.int64)
+        self.asked_cut = np.searchsorted(self.asked[:, 0], np.arange(self.shards + 1))
 
     def first_words(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct first words of a shard's pairs (local numbers), and how many pairs each has."""
+        """The first words that a shard is asked for (local numbers), and how many pairs each has there."""
         u = (self.pair[self.pair_order[self.pair_cut[shard] : self.pair_cut[shard + 1]]] >> _U(21)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, int)
-        return u[first], np.diff(np.r_[first, len(u)])
+        more = self.asked[self.asked_cut[shard] : self.asked_cut[shard + 1], 1]
+        every = np.unique(np.r_[u, more])
+        return every, np.searchsorted(u, every, side="right") - np.searchsorted(u, every)
 
     def message(self, shard: int) -> bytes:
         pairs = self.pair_order[self.pair_cut[shard] : self.pair_cut[shard + 1]]
         keys = self.key_order[self.key_cut[shard] : self.key_cut[shard + 1]]
         low = _U((1 << 21) - 1)
         u, n = self.first_words(shard)
-        own = self.word_order[self.word_cut[shard] : self.word_cut[shard + 1]]
         top = lambda x: (self.vocabulary[x.astype(np.int64)] >> _U(32)).astype(np.uint32)
         return b"".join((
-            _sized(self.vocabulary[own]), _small(self.own[own]), _sized(self.vocabulary[u]), _small(n), _sized(top(self.pair[pairs] & low)),
+            _sized(self.vocabulary[u]), _small(n), _sized(top(self.pair[pairs] & low)),
             _small(self.sizes[self.pair_cut[shard] : self.pair_cut[shard + 1]]), _sized(top(self.key[keys] & low)), _small(self.count[keys]),
         ))
 
 
 def _read_message(raw: bytes) -> list[np.ndarray]:
-    own, at = _array(raw, 0, "<u8")
-    count, at = _unsmall(raw, at)
-    u, at = _array(raw, at, "<u8")
+    u, at = _array(raw, 0, "<u8")
     pairs, at = _unsmall(raw, at)
     v, at = _array(raw, at, "<u4")
     sizes, at = _unsmall(raw, at)
     w, at = _array(raw, at, "<u4")
     n, at = _unsmall(raw, at)
-    return [own, count, u, pairs, v, sizes, w, n]
+    return [u, pairs, v, sizes, w, n]
 
 
 class _Block:
@@ -329,79 +342,101 @@ class _Block:
         learned = ~rows.held_out.to_numpy(bool)[self.order][doc]
         self.docs, self.pieces, self.symbols = [], [], symbols
         for at in range(0, len(begins), PIECE):
-            part = slice(at, at + PIECE)
-            self.docs.append(doc[part])
-            self.pieces.append(lambda part=part: _Piece(symbols, begins[part], learned[part], shards))
+            # One trigram more, which counts in the next piece: it begins with this piece's last pair.
+            part = slice(at, at + PIECE + 1)
+            self.docs.append(doc[at : at + PIECE])
+            counts = learned[part] & (np.arange(len(begins[part])) < PIECE)
+            self.pieces.append(lambda part=part, counts=counts: _Piece(symbols, begins[part], counts, shards))
+
+
+def _answer_words(rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
+    """The words' counts over all pieces, with the shard's tokens and types."""
+    asked, counts = [], []
+    for m in rows.message:
+        raw = bytes(m)
+        x, at = _array(raw, 0, "<u8")
+        asked.append(x)
+        counts.append(_unsmall(raw, at)[0])
+    every, at = np.unique(np.concatenate(asked), return_inverse=True)
+    total = np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64) if len(every) else np.zeros(0, np.int64)
+    real = every != _BEGIN
+    head = struct.pack("<2q", int(total[real].sum()), int((total[real] > 0).sum()))
+    for block, piece, x in zip(rows.block, rows.piece, asked):
+        yield block, piece, head + _small(total[np.searchsorted(every, x)])
 
 
 def _answer(rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
+    """Build the shard's trie of all pieces' trigrams, and look up each piece's."""
     messages = [_read_message(bytes(m)) for m in rows.message]
-    words_, at = np.unique(np.concatenate([m[0] for m in messages]), return_inverse=True)
-    total = np.bincount(at, np.concatenate([m[1] for m in messages]), len(words_)).astype(np.int64) if len(words_) else np.zeros(0, np.int64)
-    real = words_ != _BEGIN
-    n_tokens, n_types = int(total[real].sum()), int((total[real] > 0).sum())
-    u = np.concatenate([np.repeat(np.repeat(m[2], m[3]), m[5]) for m in messages])
-    vw = np.concatenate([np.repeat(m[4], m[5]).astype(_U) << _U(32) | m[6].astype(_U) for m in messages])
-    count = np.concatenate([m[7] for m in messages])
+    u = np.concatenate([np.repeat(np.repeat(m[0], m[1]), m[3]) for m in messages])
+    vw = np.concatenate([np.repeat(m[2], m[3]).astype(_U) << _U(32) | m[4].astype(_U) for m in messages])
+    count = np.concatenate([m[5] for m in messages])
     seen = count > 0
     with tempfile.TemporaryDirectory() as folder:
         Trie.build(u[seen], vw[seen], count[seen]).save(os.path.join(folder, "trie"))
         del u, vw, count, seen
         trie = Trie.load(os.path.join(folder, "trie"))
         children = trie.children()
-        at = 0
+        value = lambda n, x: np.where(n >= 0, x[np.maximum(n, 0)] if len(x) else 0, 0)
         for block, piece, m in zip(rows.block, rows.piece, messages):
-            of_v, of_w = np.repeat(np.arange(len(m[2])), m[3]), np.repeat(np.arange(len(m[4])), m[5])
-            n1, n2, n3 = trie.find(m[2], m[4].astype(_U), of_v, m[6].astype(_U), of_w)
-            own = total[np.searchsorted(words_, m[0])]
-            value = lambda n, x: np.where(n >= 0, x[np.maximum(n, 0)] if len(x) else 0, 0)
+            of_v, of_w = np.repeat(np.arange(len(m[0])), m[1]), np.repeat(np.arange(len(m[2])), m[3])
+            n1, n2, n3 = trie.find(m[0], m[2].astype(_U), of_v, m[4].astype(_U), of_w)
             yield block, piece, b"".join((
-                struct.pack("<2q", n_tokens, n_types), trie.books.tobytes(), _small(own), _small(value(n1, children)),
+                trie.books.tobytes(), _small(value(n1, children)),
                 value(n2, trie.share).astype(np.uint8).tobytes(), value(n2, trie.backoff).astype(np.uint8).tobytes(), value(n3, trie.prob).astype(np.uint8).tobytes(),
             ))
         del trie
 
 
-def _scores(block: _Block, answers: dict[tuple[int, int], bytes], shards: int) -> pd.DataFrame:
+class _Counts:
+    """What the shards say of words: totals, and the counts of a piece's words."""
+
+    def __init__(self, answers: dict[tuple[int, int], bytes], shards: int):
+        self.answers, self.shards = answers, shards
+        heads = np.array([struct.unpack_from("<2q", answers[0, s]) for s in range(shards)])
+        self.tokens, self.types = (int(x) for x in heads.sum(0))
+
+    def of(self, number: int, p: _Piece) -> np.ndarray:
+        own = np.zeros(len(p.vocabulary), np.int64)
+        for s in range(self.shards):
+            own[p.own_words(s)] = _unsmall(self.answers[number, s], 16)[0]
+        return own
+
+    def spread(self, own: np.ndarray) -> np.ndarray:
+        """Parts of each word's pairs: the tokens of a part are a quarter of a shard's share at most."""
+        return 1 + own * 4 * self.shards // max(1, self.tokens)
+
+
+def _scores(block: _Block, counts: _Counts, answers: dict[tuple[int, int], bytes], shards: int) -> pd.DataFrame:
     n_docs = len(block.n)
     base, score, known = np.zeros(n_docs), np.zeros(n_docs), np.zeros(n_docs, np.int64)
-    tokens = types = 0
-    for s in range(shards):
-        a, b = struct.unpack_from("<2q", answers[0, s])
-        tokens, types = tokens + a, types + b
+    tokens, types = counts.tokens, counts.types
     for number, (make, doc) in enumerate(zip(block.pieces, block.docs)):
         p = make()
-        own, successors = np.zeros(len(p.vocabulary), np.int64), np.zeros(len(p.vocabulary), np.int64)
+        own, successors = counts.of(number, p), np.zeros(len(p.vocabulary), np.int64)
+        p.deal(counts.spread(own))
         share, backoff, prob = np.zeros(len(p.pair), np.float32), np.zeros(len(p.pair), np.float32), np.zeros(len(p.key), np.float32)
         for s in range(shards):
             raw = answers[number, s]
-            books = np.frombuffer(raw, np.float64, 768, 16).reshape(3, 256).astype(np.float32)
-            x, at = _unsmall(raw, 16 + 768 * 8)
-            own[p.word_order[p.word_cut[s] : p.word_cut[s + 1]]] = x
-            x, at = _unsmall(raw, at)
-            u, _ = p.first_words(s)
-            successors[u] += x
+            books = np.frombuffer(raw, np.float64, 768).reshape(3, 256).astype(np.float32)
+            x, at = _unsmall(raw, 768 * 8)
+            successors[p.first_words(s)[0]] += x
             a, b = p.pair_cut[s], p.pair_cut[s + 1]
             share[p.pair_order[a:b]] = books[0][np.frombuffer(raw, np.uint8, b - a, at)]
             backoff[p.pair_order[a:b]] = books[2][np.frombuffer(raw, np.uint8, b - a, at + b - a)]
             c, d = p.key_cut[s], p.key_cut[s + 1]
             prob[p.key_order[c:d]] = books[1][np.frombuffer(raw, np.uint8, d - c, at + 2 * (b - a))]
-        predicted = p.vocabulary[p.third] != _PAD
+        predicted = np.flatnonzero(p.vocabulary[p.third[: len(doc)]] != _PAD)
         i3 = np.searchsorted(p.key, p.keys[predicted])
         context = np.searchsorted(p.pair, p.keys[predicted] >> _U(21))
-        # A trigram's last two words begin a trigram of the same text, maybe in the next piece.
-        i2 = np.searchsorted(p.pair, p.of[predicted])
-        inside = i2 < len(p.pair)
-        inside[inside] = p.pair[i2[inside]] == p.of[predicted][inside]
+        i2 = np.searchsorted(p.pair, p.of[predicted])  # a trigram's last two words begin the text's next one
         third, second, of = p.third[predicted], p.second[predicted], doc[predicted]
         c = own[third].astype(float)
         base += np.bincount(of, np.log10((c + 1) / (tokens + types + 1)), n_docs)
         known += np.bincount(of[c > 0], minlength=n_docs)
         p1 = (np.maximum(c - DISCOUNTS[0], 0) + DISCOUNTS[0] * types / (types + 1)) / tokens if tokens else np.ones(len(c))
         before = own[second].astype(float)
-        mass = np.where(inside, share[np.minimum(i2, len(p.pair) - 1)], 0)
-        lower = DISCOUNTS[1] * successors[second]
-        p2 = np.where(before > 0, np.minimum(1, (mass + lower * p1) / np.maximum(before, 1)), p1)
+        p2 = np.where(before > 0, np.minimum(1, (share[i2] + DISCOUNTS[1] * successors[second] * p1) / np.maximum(before, 1)), p1)
         g = backoff[context]
         p3 = np.where(g > 0, prob[i3] + g * p2, p2)
         score += np.bincount(of, np.log10(np.minimum(1, p3)), n_docs)
@@ -412,35 +447,50 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     The model learns from the rows where ``held_out`` is not true. Texts are shuffled
-    once, into blocks; both uses of a block read that shuffle.
+    once, into blocks; all uses of a block read that shuffle.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(size // BLOCK) + 1
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
 
-    def send(own: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(own, shards)
-        out = []
-        for number, make in enumerate(block.pieces):
-            piece = make()
-            out += [(number, s, piece.message(s)) for s in range(shards)]
+    def ask(own: pd.DataFrame) -> pd.DataFrame:
+        pieces = [make() for make in _Block(own, shards).pieces]
+        out = [(number, s, p.question(s)) for number, p in enumerate(pieces) for s in range(shards)]
         return pd.DataFrame(out, columns=["piece", "shard", "message"]).assign(block=own.block.iloc[0])
 
+    def answer_words(own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(_answer_words(own)), columns=["block", "piece", "answer"]).assign(shard=own["shard"].iloc[0])
+
+    def whole(got: pd.DataFrame, pieces: int) -> dict[tuple[int, int], bytes]:
+        answers = {(p, s): bytes(a) for p, s, a in zip(got.piece, got["shard"], got.answer)}
+        if len(answers) != pieces * shards:
+            raise ValueError(f"{len(answers)} answers for {pieces} pieces and {shards} shards")
+        return answers
+
+    def send(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        block, out = _Block(own, shards), []
+        counts = _Counts(whole(got, len(block.pieces)), shards)
+        for number, make in enumerate(block.pieces):
+            p = make()
+            p.deal(counts.spread(counts.of(number, p)))
+            out += [(number, s, p.message(s), counts.answers[number, s]) for s in range(shards)]
+        return pd.DataFrame(out, columns=["piece", "shard", "message", "words"]).assign(block=own.block.iloc[0])
+
     def answer(own: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_answer(own)), columns=["block", "piece", "answer"]).assign(shard=own.shard.iloc[0])
+        out = pd.DataFrame(list(_answer(own)), columns=["block", "piece", "answer"])
+        return out.assign(shard=own["shard"].iloc[0], words=own.words.to_numpy())
 
     def finish(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return pd.DataFrame(columns=[f.split()[0] for f in schema.split(", ")])
         block = _Block(own, shards)
-        answers = {(p, s): bytes(a) for p, s, a in zip(got.piece, got["shard"], got.answer)}
-        if len(answers) != len(block.pieces) * shards:
-            raise ValueError(f"{len(answers)} answers for {len(block.pieces)} pieces and {shards} shards")
-        out = _scores(block, answers, shards)
+        answers, heard = whole(got, len(block.pieces)), whole(got.assign(answer=got.words), len(block.pieces))
+        out = _scores(block, _Counts(heard, shards), answers, shards)
         return pd.concat([own.iloc[block.order][["doc_id", "held_out"]].reset_index(drop=True), out], axis=1)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    sent = rows.groupBy("block").applyInPandas(send, "piece long, shard long, message binary, block long")
-    answered = sent.groupBy("shard").applyInPandas(answer, "block long, piece long, answer binary, shard long")
-    return rows.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(finish, schema)
+    texts = rows.groupBy("block")
+    asked = texts.applyInPandas(ask, "piece long, shard long, message binary, block long")
+    heard = asked.groupBy("shard").applyInPandas(answer_words, "block long, piece long, answer binary, shard long")
+    sent = texts.cogroup(heard.groupBy("block")).applyInPandas(send, "piece long, shard long, message binary, words binary, block long")
+    answered = sent.groupBy("shard").applyInPandas(answer, "block long, piece long, answer binary, shard long, words binary")
+    return texts.cogroup(answered.groupBy("block")).applyInPandas(finish, schema)
