@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, flac, mixing, ngrams, quality, warc
+from tessera.llm import ann, bpe, flac, mixing, near, ngrams, quality, warc
 from tessera.session import table, with_checkpoints
 
 #: The vocabulary file of the encoding query.
@@ -36,6 +36,11 @@ def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_checkpoints(spark)
+    return near.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.revisits(table(spark, sf_dir, "pages"))
 
@@ -46,5 +51,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_trie_scores, op2_bpe_round_trip, op3_nearest_vectors, op4_quality_discriminant, op5_flac_media, op8_revisit_resolution, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_trie_scores, op2_bpe_round_trip, op3_nearest_vectors, op4_quality_discriminant, op5_flac_media, op7_jaccard_classes, op8_revisit_resolution, op9_source_mix)}
 ORACLES: dict[str, str] = {"op8_revisit_resolution": warc.ORACLE}
