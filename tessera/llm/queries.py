@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, flac, mixing, near, ngrams, quality, warc
+from tessera.llm import ann, bpe, flac, mixing, near, ngrams, passages, quality, warc
 from tessera.session import table, with_checkpoints
 
 #: The vocabulary file of the encoding query.
@@ -51,5 +51,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_trie_scores, op2_bpe_round_trip, op3_nearest_vectors, op4_quality_discriminant, op5_flac_media, op7_jaccard_classes, op8_revisit_resolution, op9_source_mix)}
+def op10_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_checkpoints(spark)
+    return passages.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_trie_scores, op2_bpe_round_trip, op3_nearest_vectors, op4_quality_discriminant, op5_flac_media, op7_jaccard_classes, op8_revisit_resolution, op9_source_mix, op10_shared_passages)}
 ORACLES: dict[str, str] = {"op8_revisit_resolution": warc.ORACLE}
