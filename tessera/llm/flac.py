@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Samples in a frame, and bytes of payload that are coded at a time.
-BLOCK, BATCH = 1024, 4 << 20
+BLOCK, BATCH = 1024, 1 << 20
 FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
 _U = np.uint64
 
