@@ -134,7 +134,8 @@ def chains(pos: np.ndarray, ref: np.ndarray) -> list[list[tuple[int, int, int]]]
     """Chains of segments (first seed, last seed, its place in the other text) of matched seeds."""
     order = np.lexsort((pos, pos - ref))
     pos, ref = pos[order], ref[order]
-    new = np.r_[True, (np.diff(pos - ref) != 0) | (np.diff(pos) > GAP)]
+    # Seeds of one exact match lie at most WINDOW apart; beyond that something may differ.
+    new = np.r_[True, (np.diff(pos - ref) != 0) | (np.diff(pos) > WINDOW + 2)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(pos)] - 1
     if len(first) == 1:
