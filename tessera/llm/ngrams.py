@@ -33,13 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words
 
 #: Bytes of text in a block (and about as much in a shard), and trigrams that are sorted at a time.
-BLOCK, PIECE = 12 << 20, 2_000_000
+BLOCK, PIECE = 5 << 20, 2_000_000
+#: Bits of a first word's hash within its shard.
+HASH = 44
 #: What is taken from the count of a word, a pair, a trigram.
 DISCOUNTS = (0.75, 0.8, 0.85)
 _U = np.uint64
@@ -202,8 +205,11 @@ class Trie:
 
         def below(node: np.ndarray, symbol: np.ndarray, pointers: EliasFano, level: EliasFano) -> np.ndarray:
             out, ok = np.full(len(symbol), -1), np.flatnonzero(node >= 0)
-            lo = pointers.get(node[ok]).astype(np.int64)
-            hi = pointers.get(node[ok] + 1).astype(np.int64)
+            if len(ok) * 8 > pointers.n:
+                edge = pointers.all().astype(np.int64)
+                lo, hi = edge[node[ok]], edge[node[ok] + 1]
+            else:
+                lo, hi = pointers.get(node[ok]).astype(np.int64), pointers.get(node[ok] + 1).astype(np.int64)
             out[ok] = level.find(node[ok].astype(_U) << _U(32) | symbol[ok], lo, hi)
             return out
 
@@ -211,6 +217,14 @@ class Trie:
         return n1, n2, below(n2[of_w], w, self.ptr2, self.level3)
 
 
+def _packed(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _unpacked(raw) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(bytes(raw))
+
+
 def _small(x: np.ndarray) -> bytes:
     """Mostly small counts: a byte each, large ones behind."""
     x = x.astype(_U)
@@ -226,14 +240,25 @@ def _unsmall(raw: bytes, at: int) -> tuple[np.ndarray, int]:
     return x, at + 8 * m
 
 
-def _array(raw: bytes, at: int, kind: str) -> tuple[np.ndarray, int]:
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte: all first bytes, all second ones, ..."""
+    return struct.pack("<q", len(x)) + x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _unplanes(raw: bytes, at: int, kind: str) -> tuple[np.ndarray, int]:
     (n,) = struct.unpack_from("<q", raw, at)
-    out = np.frombuffer(raw, np.dtype(kind), n, at + 8)
-    return out, at + 8 + out.nbytes
+    size = n * np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at + 8).reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, kind), at + 8 + size
+
 
+def _rising(x: np.ndarray) -> bytes:
+    """A sorted sequence by its differences."""
+    return _planes(np.diff(x, prepend=_U(0)))
 
-def _sized(x: np.ndarray) -> bytes:
-    return struct.pack("<q", len(x)) + x.tobytes()
+
+def _unrising(raw: bytes, at: int) -> tuple[np.ndarray, int]:
+    x, at = _unplanes(raw, at, "<u8")
+    return np.cumsum(x, dtype=_U), at
 
 
 class _Piece:
@@ -260,7 +285,7 @@ class _Piece:
 
     def question(self, shard: int) -> bytes:
         own = self.own_words(shard)
-        return _sized(self.vocabulary[own]) + _small(self.own[own])
+        return _packed(_rising(self.vocabulary[own]), _small(self.own[own]))
 
     def deal(self, spread: np.ndarray) -> None:
         """Sort the trigrams and deal them to shards; spread: over how many parts each word's pairs go."""
@@ -304,30 +329,50 @@ class _Piece:
         low = _U((1 << 21) - 1)
         u, n = self.first_words(shard)
         top = lambda x: (self.vocabulary[x.astype(np.int64)] >> _U(32)).astype(np.uint32)
-        return b"".join((
-            _sized(self.vocabulary[u]), _small(n), _sized(top(self.pair[pairs] & low)),
-            _small(self.sizes[self.pair_cut[shard] : self.pair_cut[shard + 1]]), _sized(top(self.key[keys] & low)), _small(self.count[keys]),
-        ))
+        return _packed(
+            _rising(self.vocabulary[u] >> _U(64 - HASH)), _small(n), _planes(top(self.pair[pairs] & low)),
+            _small(self.sizes[self.pair_cut[shard] : self.pair_cut[shard + 1]]), _planes(top(self.key[keys] & low)), _small(self.count[keys]),
+        )
 
 
 def _read_message(raw: bytes) -> list[np.ndarray]:
-    u, at = _array(raw, 0, "<u8")
+    u, at = _unrising(raw, 0)
     pairs, at = _unsmall(raw, at)
-    v, at = _array(raw, at, "<u4")
+    v, at = _unplanes(raw, at, "<u4")
     sizes, at = _unsmall(raw, at)
-    w, at = _array(raw, at, "<u4")
+    w, at = _unplanes(raw, at, "<u4")
     n, at = _unsmall(raw, at)
     return [u, pairs, v, sizes, w, n]
 
 
+def _pack(rows: pd.DataFrame) -> bytes:
+    """Ids, marks and texts of some documents, in one blob."""
+    texts = words.encoded(rows.text)
+    known = rows.doc_id.notna().to_numpy(bool)
+    ids = rows.doc_id.fillna(0).to_numpy(np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return _packed(struct.pack("<q", len(texts)), known.tobytes(), ids.tobytes(), rows.held_out.to_numpy(bool).tobytes(), sizes.tobytes(), *texts)
+
+
+def _unpack(blob) -> Iterator[tuple[bool, int, bytes, bool]]:
+    raw = _unpacked(blob)
+    (n,) = struct.unpack_from("<q", raw)
+    known, ids, held, sizes = (np.frombuffer(raw, kind, n, 8 + at * n) for kind, at in ((bool, 0), (np.int64, 1), (bool, 9), (np.int64, 10)))
+    end = 8 + 18 * n + np.cumsum(sizes)
+    for i in range(n):
+        yield bool(known[i]), int(ids[i]), raw[end[i] - sizes[i] : end[i]], bool(held[i])
+
+
 class _Block:
     """The texts of a block in a fixed order, cut into pieces."""
 
-    def __init__(self, rows: pd.DataFrame, shards: int):
-        texts = words.encoded(rows.text)
-        ids = [(-1, 0) if pd.isna(i) else (0, int(i)) for i in rows.doc_id]
-        self.order = sorted(range(len(rows)), key=lambda i: (ids[i], texts[i]))
-        h, n = words.hashes([texts[i] for i in self.order])
+    def __init__(self, packs, shards: int):
+        rows = sorted(row for pack in packs for row in _unpack(pack))
+        self.ids = [i if known else None for known, i, _, _ in rows]
+        self.held_out = np.array([held for *_, held in rows], bool)
+        texts = [t for _, _, t, _ in rows]
+        del rows
+        h, n = words.hashes(texts)
         self.n = n + 1
         start = np.cumsum(n + 4) - (n + 4)
         symbols = np.empty(int((n + 4).sum()), _U)
@@ -339,7 +384,7 @@ class _Block:
         begins[np.concatenate((start + n + 2, start + n + 3))] = False
         begins = np.flatnonzero(begins)
         doc = np.repeat(np.arange(len(n)), n + 2)
-        learned = ~rows.held_out.to_numpy(bool)[self.order][doc]
+        learned = ~self.held_out[doc]
         self.docs, self.pieces, self.symbols = [], [], symbols
         for at in range(0, len(begins), PIECE):
             # One trigram more, which counts in the next piece: it begins with this piece's last pair.
@@ -353,8 +398,8 @@ def _answer_words(rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
     """The words' counts over all pieces, with the shard's tokens and types."""
     asked, counts = [], []
     for m in rows.message:
-        raw = bytes(m)
-        x, at = _array(raw, 0, "<u8")
+        raw = _unpacked(m)
+        x, at = _unrising(raw, 0)
         asked.append(x)
         counts.append(_unsmall(raw, at)[0])
     every, at = np.unique(np.concatenate(asked), return_inverse=True)
@@ -362,30 +407,31 @@ def _answer_words(rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
     real = every != _BEGIN
     head = struct.pack("<2q", int(total[real].sum()), int((total[real] > 0).sum()))
     for block, piece, x in zip(rows.block, rows.piece, asked):
-        yield block, piece, head + _small(total[np.searchsorted(every, x)])
+        yield block, piece, _packed(head, _small(total[np.searchsorted(every, x)]))
 
 
 def _answer(rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
     """Build the shard's trie of all pieces' trigrams, and look up each piece's."""
-    messages = [_read_message(bytes(m)) for m in rows.message]
-    u = np.concatenate([np.repeat(np.repeat(m[0], m[1]), m[3]) for m in messages])
-    vw = np.concatenate([np.repeat(m[2], m[3]).astype(_U) << _U(32) | m[4].astype(_U) for m in messages])
-    count = np.concatenate([m[5] for m in messages])
+    messages = [_read_message(_unpacked(m)) for m in rows.message]
+    n_u, n_v, n_w = ([len(m[i]) for m in messages] for i in (0, 2, 4))
+    u, pairs, v, sizes, w, count = (np.concatenate([m[i] for m in messages]) for i in range(6))
+    del messages
+    of_v, of_w = np.repeat(np.arange(len(u)), pairs), np.repeat(np.arange(len(v)), sizes)
     seen = count > 0
     with tempfile.TemporaryDirectory() as folder:
-        Trie.build(u[seen], vw[seen], count[seen]).save(os.path.join(folder, "trie"))
-        del u, vw, count, seen
+        of = of_w[seen]
+        Trie.build(u[of_v[of]], v[of].astype(_U) << _U(32) | w[seen].astype(_U), count[seen]).save(os.path.join(folder, "trie"))
+        del seen, of, count
         trie = Trie.load(os.path.join(folder, "trie"))
-        children = trie.children()
+        n1, n2, n3 = trie.find(u, v.astype(_U), of_v, w.astype(_U), of_w)
         value = lambda n, x: np.where(n >= 0, x[np.maximum(n, 0)] if len(x) else 0, 0)
-        for block, piece, m in zip(rows.block, rows.piece, messages):
-            of_v, of_w = np.repeat(np.arange(len(m[0])), m[1]), np.repeat(np.arange(len(m[2])), m[3])
-            n1, n2, n3 = trie.find(m[0], m[2].astype(_U), of_v, m[4].astype(_U), of_w)
-            yield block, piece, b"".join((
-                trie.books.tobytes(), _small(value(n1, children)),
-                value(n2, trie.share).astype(np.uint8).tobytes(), value(n2, trie.backoff).astype(np.uint8).tobytes(), value(n3, trie.prob).astype(np.uint8).tobytes(),
-            ))
+        children, share, backoff, prob = value(n1, trie.children()), value(n2, trie.share).astype(np.uint8), value(n2, trie.backoff).astype(np.uint8), value(n3, trie.prob).astype(np.uint8)
+        books = trie.books.tobytes()
         del trie
+    a = b = c = 0
+    for block, piece, x, y, z in zip(rows.block, rows.piece, n_u, n_v, n_w):
+        yield block, piece, _packed(books, _small(children[a : a + x]), share[b : b + y].tobytes(), backoff[b : b + y].tobytes(), prob[c : c + z].tobytes())
+        a, b, c = a + x, b + y, c + z
 
 
 class _Counts:
@@ -393,13 +439,13 @@ class _Counts:
 
     def __init__(self, answers: dict[tuple[int, int], bytes], shards: int):
         self.answers, self.shards = answers, shards
-        heads = np.array([struct.unpack_from("<2q", answers[0, s]) for s in range(shards)])
+        heads = np.array([struct.unpack_from("<2q", _unpacked(answers[0, s])) for s in range(shards)])
         self.tokens, self.types = (int(x) for x in heads.sum(0))
 
     def of(self, number: int, p: _Piece) -> np.ndarray:
         own = np.zeros(len(p.vocabulary), np.int64)
         for s in range(self.shards):
-            own[p.own_words(s)] = _unsmall(self.answers[number, s], 16)[0]
+            own[p.own_words(s)] = _unsmall(_unpacked(self.answers[number, s]), 16)[0]
         return own
 
     def spread(self, own: np.ndarray) -> np.ndarray:
@@ -417,7 +463,7 @@ def _scores(block: _Block, counts: _Counts, answers: dict[tuple[int, int], bytes
         p.deal(counts.spread(own))
         share, backoff, prob = np.zeros(len(p.pair), np.float32), np.zeros(len(p.pair), np.float32), np.zeros(len(p.key), np.float32)
         for s in range(shards):
-            raw = answers[number, s]
+            raw = _unpacked(answers[number, s])
             books = np.frombuffer(raw, np.float64, 768).reshape(3, 256).astype(np.float32)
             x, at = _unsmall(raw, 768 * 8)
             successors[p.first_words(s)[0]] += x
@@ -454,22 +500,26 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(block, _pack(own)) for block, own in batch.groupby("block")]
+            yield pd.DataFrame(out, columns=["block", "pack"])
+
     def ask(own: pd.DataFrame) -> pd.DataFrame:
-        pieces = [make() for make in _Block(own, shards).pieces]
-        out = [(number, s, p.question(s)) for number, p in enumerate(pieces) for s in range(shards)]
+        out = [(number, s, p.question(s)) for number, p in enumerate(make() for make in _Block(own["pack"], shards).pieces) for s in range(shards)]
         return pd.DataFrame(out, columns=["piece", "shard", "message"]).assign(block=own.block.iloc[0])
 
     def answer_words(own: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_answer_words(own)), columns=["block", "piece", "answer"]).assign(shard=own["shard"].iloc[0])
 
     def whole(got: pd.DataFrame, pieces: int) -> dict[tuple[int, int], bytes]:
-        answers = {(p, s): bytes(a) for p, s, a in zip(got.piece, got["shard"], got.answer)}
+        answers = {(p, s): a for p, s, a in zip(got.piece, got["shard"], got.answer)}
         if len(answers) != pieces * shards:
             raise ValueError(f"{len(answers)} answers for {pieces} pieces and {shards} shards")
         return answers
 
     def send(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        block, out = _Block(own, shards), []
+        block, out = _Block(own["pack"], shards), []
         counts = _Counts(whole(got, len(block.pieces)), shards)
         for number, make in enumerate(block.pieces):
             p = make()
@@ -482,13 +532,14 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
         return out.assign(shard=own["shard"].iloc[0], words=own.words.to_numpy())
 
     def finish(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(own, shards)
+        block = _Block(own["pack"], shards)
         answers, heard = whole(got, len(block.pieces)), whole(got.assign(answer=got.words), len(block.pieces))
         out = _scores(block, _Counts(heard, shards), answers, shards)
-        return pd.concat([own.iloc[block.order][["doc_id", "held_out"]].reset_index(drop=True), out], axis=1)
+        out.insert(0, "doc_id", pd.array(block.ids, "Int64"))
+        return out.assign(held_out=block.held_out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    texts = rows.groupBy("block")
+    texts = rows.mapInPandas(pack, "block long, pack binary").groupBy("block")
     asked = texts.applyInPandas(ask, "piece long, shard long, message binary, block long")
     heard = asked.groupBy("shard").applyInPandas(answer_words, "block long, piece long, answer binary, shard long")
     sent = texts.cogroup(heard.groupBy("block")).applyInPandas(send, "piece long, shard long, message binary, words binary, block long")
