@@ -168,6 +168,16 @@ def fit(x: DataFrame, shrink: float = 0.15, ridge: float = 1e-3) -> Discriminant
     return Discriminant(mean, factor, float(np.log(n[1] / n[0])))
 
 
+def model_of(x: DataFrame, labels: DataFrame, learn: Column | None, label: str) -> tuple[Discriminant | None, float]:
+    """The model of statistics x, or None with the score that then holds for all."""
+    known = labels.where(F.col(label).isin(0, 1))
+    known = (known if learn is None else known.where(learn)).select("doc_id", F.col(label).cast("int").alias("label"))
+    training = x.join(known, "doc_id")
+    model = fit(training)
+    share = None if model else training.agg(F.avg("label")).first()[0]
+    return model, 0.5 if share is None else float(share)
+
+
 def scores(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "quality") -> DataFrame:
     """doc_id and score for every document; ``learn`` says which rows of labels count.
 
@@ -175,13 +185,9 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column | None = None, labe
     folder, so that the texts are read once; texts are never shuffled.
     """
     x = features(docs).checkpoint()
-    known = labels.where(F.col(label).isin(0, 1))
-    known = (known if learn is None else known.where(learn)).select("doc_id", F.col(label).cast("int").alias("label"))
-    training = x.join(known, "doc_id")
-    model = fit(training)
+    model, share = model_of(x, labels, learn, label)
     if model is None:
-        share = training.agg(F.avg("label")).first()[0]
-        return x.select("doc_id", F.lit(0.5 if share is None else float(share)).alias("score"))
+        return x.select("doc_id", F.lit(share).alias("score"))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -190,5 +196,20 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column | None = None, labe
     return x.select("doc_id", F.pandas_udf(run, "double")("x").alias("score"))
 
 
+def kept(docs: DataFrame, labels: DataFrame, least: float = 0.3, learn: Column | None = None, label: str = "quality") -> DataFrame:
+    """The rows of docs that score ``least`` or more, with all their columns.
+
+    The model is fitted first; each text is then scored where it lies, so no text is shuffled.
+    """
+    model, share = model_of(features(docs), labels, learn, label)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(model.score(statistics(batch)) if len(batch) else np.zeros(0))
+
+    score = F.lit(share) if model is None else F.pandas_udf(run, "double")("text")
+    return docs.withColumn("__score", score).where(F.col("__score") >= least).select(*docs.columns)
+
+
 def remainder(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
