@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, flac, mixing, near, ngrams, passages, quality, warc
+from tessera.llm import ann, bpe, flac, licenses, mixing, near, ngrams, passages, quality, warc
 from tessera.session import table, with_checkpoints
 
 #: The vocabulary file of the encoding query.
@@ -36,6 +36,10 @@ def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_checkpoints(spark)
     return near.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -56,5 +60,5 @@ def op10_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_trie_scores, op2_bpe_round_trip, op3_nearest_vectors, op4_quality_discriminant, op5_flac_media, op7_jaccard_classes, op8_revisit_resolution, op9_source_mix, op10_shared_passages)}
+QUERIES = {f.__name__: f for f in (op1_trie_scores, op2_bpe_round_trip, op3_nearest_vectors, op4_quality_discriminant, op5_flac_media, op6_license_notices, op7_jaccard_classes, op8_revisit_resolution, op9_source_mix, op10_shared_passages)}
 ORACLES: dict[str, str] = {"op8_revisit_resolution": warc.ORACLE}
