@@ -339,7 +339,7 @@ def _frames(buf: np.ndarray, start: np.ndarray, span: np.ndarray, number: np.nda
     return x[np.argsort(order)]
 
 
-def _batches(items: Sequence[bytes]) -> Iterator[slice]:
+def _batches(items: Sequence) -> Iterator[slice]:
     at = 0
     while at < len(items):
         end, held = at, 0
@@ -385,15 +385,24 @@ def features(pcm: bytes) -> str:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Store every text as FLAC, read the stored bytes back, and describe both."""
-    both = read_media(write_media(docs.select("doc_id", "text")).drop("text"))
+    """Store every text as FLAC, read the stored bytes back, and describe both.
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"tail": [zlib.crc32(p[-64:]) for p in batch], "feature": [features(p) for p in batch]})
+    One Python node, a few MB at a time: neither payloads nor streams travel between processes.
+    """
 
-    made = both.withColumn("__f", F.pandas_udf(run, "tail long, feature string")("pcm"))
-    return made.select(
-        "doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.col("__f.tail").alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "__f.feature",
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, texts = batch.doc_id, list(batch.text)
+            sizes = [range(len(t or "")) for t in texts]
+            for part in _batches(sizes):
+                payloads = [padded(t) for t in texts[part]]
+                streams = encode(payloads)
+                pcm = decode(streams)
+                yield pd.DataFrame({
+                    "doc_id": ids.iloc[part].to_numpy(), "n_bytes": [0 if t is None else len(t.encode("utf-8", "surrogatepass")) for t in texts[part]],
+                    "payload_bytes": [len(p) for p in pcm], "payload_sha256": [hashlib.sha256(p).hexdigest() for p in pcm], "tail_crc32": [zlib.crc32(p[-64:]) for p in pcm],
+                    "media_bytes": [len(m) for m in streams], "media_sha256": [hashlib.sha256(m).hexdigest() for m in streams], "feature": [features(p) for p in pcm],
+                })
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)

@@ -66,4 +66,6 @@ def test_digests(spark, sf_dir):
         payload = flac.padded(texts[r.doc_id])
         assert len(payload) % 64 == 0 and r.payload_bytes == len(payload) > 0 and r.n_bytes == len((texts[r.doc_id] or "").encode())
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
+    back = {r.doc_id: (bytes(r.pcm), r.n_bytes) for r in flac.read_media(flac.write_media(docs)).collect()}
+    assert all(back[r.doc_id] == (flac.padded(texts[r.doc_id]), r.n_bytes) for r in rows)
     assert flac.digests(docs.limit(0)).count() == 0
