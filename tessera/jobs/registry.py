@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.jobs import retrieval
+
+QUERIES: dict = dict(retrieval.QUERIES)
+ORACLES: dict[str, str] = dict(retrieval.ORACLES)
