@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.jobs import retrieval
+from tessera.jobs import relational, retrieval
 
-QUERIES: dict = dict(retrieval.QUERIES)
-ORACLES: dict[str, str] = dict(retrieval.ORACLES)
+QUERIES: dict = retrieval.QUERIES | relational.QUERIES
+ORACLES: dict[str, str] = retrieval.ORACLES | relational.ORACLES

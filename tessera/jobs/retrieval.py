@@ -144,7 +144,7 @@ _HYBRID = (
 x as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from (select item_id, doc_id, round(sum(qe.v::decimal(9,6) * e.v::decimal(9,6)), 4)::double as score from qe join e using (idx) group by all)),
 y as (select item_id, doc_id, 1 - (rank - 1) / count(*) over (partition by item_id) as lex from b),
 z as (select item_id, doc_id, round(coalesce(x.score, 0), 4) as vector, round(coalesce(lex, 0), 4) as lexical from x full join y using (item_id, doc_id)),
-f as (select *, round(0.55 * vector + 0.30 * lexical, 4) as score from z)
+f as (select *, round(vector::decimal(10,4) * 0.55::decimal(3,2) + lexical::decimal(10,4) * 0.30::decimal(3,2), 4)::double as score from z)
 select item_id, doc_id, vector, lexical, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from f qualify rank <= 8"""
 )
 

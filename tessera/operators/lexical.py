@@ -75,6 +75,8 @@ def hybrid(vector: DataFrame, lexical: DataFrame, query_key: str, key: str, k: i
     both = vector.select(query_key, key, F.col("score").alias("vector")).join(top, [query_key, key], "full")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     both = both.select(query_key, key, F.round(zero(F.col("vector")), 4).alias("vector"), F.round(zero(F.col("lexical")), 4).alias("lexical"))
-    both = both.withColumn("score", F.round(0.55 * F.col("vector") + 0.30 * F.col("lexical"), 4))
+    # Decimals: a tie at the fourth digit rounds alike everywhere.
+    part = lambda c, weight: F.col(c).cast("decimal(10,4)") * F.lit(weight).cast("decimal(3,2)")
+    both = both.withColumn("score", F.round(part("vector", "0.55") + part("lexical", "0.30"), 4).cast("double"))
     best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
