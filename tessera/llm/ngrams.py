@@ -14,8 +14,9 @@ puts the answers together: p(w|uv) = a(uvw) + g(uv) (a(vw) + g(v) p(w)).
 
 A frequent word's pairs are spread over as many shards as its count asks for, so no
 shard grows with one word; the blocks sum what those shards say of it. The
-words' own counts are exact. First words are known by 64 bits of hash; second and
-third ones, within their context, by 32 bits.
+words' own counts are exact. First words are known by 64 bits of hash; within a
+shard first words by 44 bits, and within their context second ones by 32 and third
+ones by 24.
 
 Nulls: a null text counts as an empty one, which is one end token; a null doc_id
 is a row like others (and learned from, unless ``held_out`` says otherwise).
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from tessera.llm import words
 
 #: Bytes of text in a block (and about as much in a shard), and trigrams that are sorted at a time.
-BLOCK, PIECE = 5 << 20, 2_000_000
+BLOCK, PIECE = 13 << 19, 2_000_000
 #: Bits of a first word's hash within its shard.
 HASH = 44
 #: What is taken from the count of a word, a pair, a trigram.
@@ -218,7 +219,7 @@ class Trie:
 
 
 def _packed(*parts: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unpacked(raw) -> bytes:
@@ -331,7 +332,7 @@ class _Piece:
         top = lambda x: (self.vocabulary[x.astype(np.int64)] >> _U(32)).astype(np.uint32)
         return _packed(
             _rising(self.vocabulary[u] >> _U(64 - HASH)), _small(n), _planes(top(self.pair[pairs] & low)),
-            _small(self.sizes[self.pair_cut[shard] : self.pair_cut[shard + 1]]), _planes(top(self.key[keys] & low)), _small(self.count[keys]),
+            _small(self.sizes[self.pair_cut[shard] : self.pair_cut[shard + 1]]), _planes(top(self.key[keys] & low) >> np.uint32(8)), _small(self.count[keys]),
         )
 
 
@@ -426,11 +427,11 @@ def _answer(rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
         n1, n2, n3 = trie.find(u, v.astype(_U), of_v, w.astype(_U), of_w)
         value = lambda n, x: np.where(n >= 0, x[np.maximum(n, 0)] if len(x) else 0, 0)
         children, share, backoff, prob = value(n1, trie.children()), value(n2, trie.share).astype(np.uint8), value(n2, trie.backoff).astype(np.uint8), value(n3, trie.prob).astype(np.uint8)
-        books = trie.books.tobytes()
+        books = trie.books
         del trie
     a = b = c = 0
     for block, piece, x, y, z in zip(rows.block, rows.piece, n_u, n_v, n_w):
-        yield block, piece, _packed(books, _small(children[a : a + x]), share[b : b + y].tobytes(), backoff[b : b + y].tobytes(), prob[c : c + z].tobytes())
+        yield block, piece, _packed(books.astype(np.float32).tobytes(), _small(children[a : a + x]), share[b : b + y].tobytes(), backoff[b : b + y].tobytes(), prob[c : c + z].tobytes())
         a, b, c = a + x, b + y, c + z
 
 
@@ -464,8 +465,8 @@ def _scores(block: _Block, counts: _Counts, answers: dict[tuple[int, int], bytes
         share, backoff, prob = np.zeros(len(p.pair), np.float32), np.zeros(len(p.pair), np.float32), np.zeros(len(p.key), np.float32)
         for s in range(shards):
             raw = _unpacked(answers[number, s])
-            books = np.frombuffer(raw, np.float64, 768).reshape(3, 256).astype(np.float32)
-            x, at = _unsmall(raw, 768 * 8)
+            books = np.frombuffer(raw, np.float32, 768).reshape(3, 256)
+            x, at = _unsmall(raw, 768 * 4)
             successors[p.first_words(s)[0]] += x
             a, b = p.pair_cut[s], p.pair_cut[s + 1]
             share[p.pair_order[a:b]] = books[0][np.frombuffer(raw, np.uint8, b - a, at)]
