@@ -103,7 +103,10 @@ def looks_binary(content: Column) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, content and binary of all files below a folder, read in parallel."""
+    """path, size, content and binary of all files below a folder, read in parallel.
+
+    Spark lists no file or folder whose name begins with "." or "_".
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.escape(root.rstrip("/"))
     path = F.regexp_replace("path", f"^(?:[a-z]+:/*)?(?=/){base}/|^.*?{base}/", "")
