@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.jobs import relational, retrieval
+from tessera.jobs import relational, retrieval, symbols
 
-QUERIES: dict = retrieval.QUERIES | relational.QUERIES
-ORACLES: dict[str, str] = retrieval.ORACLES | relational.ORACLES
+QUERIES: dict = retrieval.QUERIES | relational.QUERIES | {"symbol_score_features": symbols.symbol_score_features}
+ORACLES: dict[str, str] = retrieval.ORACLES | relational.ORACLES | {"symbol_score_features": symbols.ORACLE}
