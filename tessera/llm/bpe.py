@@ -18,14 +18,16 @@ import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct pieces of text whose encodings a Python worker keeps, in each of two generations.
-CACHE = 260_000
+CACHE = 160_000
+#: Rows whose results a task holds, and the columns that encode() adds.
+SLICE, NEW = 128, ("ids", "n_tokens", "decoded")
 
 
 def byte_characters() -> list[str]:
@@ -158,28 +160,46 @@ def _codec(text: str) -> Codec:
     return _codecs[key]
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """Add ``ids`` (binary, 32-bit little-endian), ``n_tokens`` and ``decoded`` to every row.
+def encode(df: DataFrame, vocabulary: str, text: str = "text", decoded: bool = True) -> DataFrame:
+    """Add ``ids`` (binary, 32-bit little-endian), ``n_tokens`` and, if asked for, ``decoded`` to every row.
 
     vocabulary: path of the file on the driver; its content (a few MB, whatever the
-    corpus) is broadcast, so executors need no copy.
+    corpus) is broadcast, so executors need no copy. A few rows are held at a time.
     """
-    with open(vocabulary, encoding="utf-8") as f:
-        content = df.sparkSession.sparkContext.broadcast(f.read())
+    content = _broadcast(df, vocabulary)
+    rows = df.drop("ids", "decoded", "n_tokens")
 
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(content.value)
         for batch in batches:
-            rows = [codec.encode(t) for t in batch]
-            yield pd.DataFrame({"ids": [r[0] for r in rows], "decoded": [r[1] for r in rows]})
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [codec.encode(t.as_py()) for t in part.column(text)]
+                made = [pa.array([x[0] for x in found], pa.binary()), pa.array([len(x[0]) // 4 for x in found], pa.int64())]
+                made += [pa.array([x[1] for x in found], pa.string())] * decoded
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *NEW[: len(made)]])
 
-    made = F.pandas_udf(both, T.StructType().add("ids", "binary").add("decoded", "string"))
-    kept = [c for c in df.columns if c not in ("ids", "decoded", "n_tokens")]
-    out = df.withColumn("__bpe", made(F.col(text)))
-    return out.select(*kept, "__bpe.ids", (F.octet_length("__bpe.ids") / 4).cast("long").alias("n_tokens"), "__bpe.decoded")
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, k) for n, k in zip(NEW, (T.BinaryType(), T.LongType(), T.StringType()))][: 2 + decoded]])
+    return rows.mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, vocabulary: str) -> DataFrame:
-    """encode(), with the ids and the decoded text of each document as SHA-256."""
-    out = encode(df.select("doc_id", "text"), vocabulary)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    """Encode and decode every document, and give both results as SHA-256."""
+    content = _broadcast(df, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(content.value)
+        for batch in batches:
+            out = []
+            for text in batch.column("text"):
+                ids, decoded = codec.encode(text.as_py())
+                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+            n, ids, decoded = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _broadcast(df: DataFrame, vocabulary: str):
+    with open(vocabulary, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())

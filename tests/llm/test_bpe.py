@@ -26,6 +26,8 @@ def test_matches_the_library(spark, library, sf_dir):
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     rows = bpe.digests(docs, PATH).collect()
     assert len(rows) == len(texts)
+    whole = bpe.encode(docs.where("doc_id < 0"), PATH).collect()
+    assert {(r.doc_id, hashlib.sha256(r.ids).hexdigest(), r.n_tokens, hashlib.sha256(r.decoded.encode()).hexdigest()) for r in whole} == {(r.doc_id, r.ids_sha256, r.n_tokens, r.decoded_sha256) for r in rows if r.doc_id < 0}
     for r in rows:
         ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids)
