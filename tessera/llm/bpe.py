@@ -60,6 +60,7 @@ class Codec:
         self.alone = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.white = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
         self.odd = regex.compile(r"[\x1c-\x1f]")  # white space to str.split() alone
+        self.most = CACHE
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
 
@@ -107,7 +108,7 @@ class Codec:
         return x
 
     def keep(self, key: str, x: tuple[bytes, str]) -> tuple[bytes, str]:
-        if len(self.young) >= CACHE:
+        if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         self.young[key] = x
         return x
@@ -160,17 +161,19 @@ def _codec(text: str) -> Codec:
     return _codecs[key]
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", decoded: bool = True) -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, text: str = "text", decoded: bool = True, pieces: int = CACHE) -> DataFrame:
     """Add ``ids`` (binary, 32-bit little-endian), ``n_tokens`` and, if asked for, ``decoded`` to every row.
 
     vocabulary: path of the file on the driver; its content (a few MB, whatever the
-    corpus) is broadcast, so executors need no copy. A few rows are held at a time.
+    corpus) is broadcast, so executors need no copy. A few rows are held at a time, and
+    the encodings of ``pieces`` distinct pieces twice; fewer take more time, not less care.
     """
     content = _broadcast(df, vocabulary)
     rows = df.drop("ids", "decoded", "n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(content.value)
+        codec.most = pieces
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
