@@ -71,14 +71,16 @@ def clamp01(x: Column) -> Column:
 
 
 def fnv1a(s: Column) -> Column:
-    """FNV-1a of 32 bits over UTF-16 units, as a long."""
+    """FNV-1a of 32 bits over UTF-16 units, as a long; one pass over the characters."""
 
-    def step(units: Column) -> Callable[[Column, Column], Column]:
-        unit = lambda i: F.conv(F.substring(units, i, F.lit(4)), 16, 10).cast("long")
-        return lambda h, i: (h.bitwiseXOR(unit(i)) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long"))
+    def units(c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        over = code - 65536
+        return F.when(code > 65535, F.array(F.shiftright(over, 10) + 55296, over.bitwiseAND(F.lit(1023).cast("long")) + 56320)).otherwise(F.array(code))
 
-    places = lambda units: F.filter(F.sequence(F.lit(1), F.length(units) + 1, F.lit(4)), lambda i: i < F.length(units))
-    return let(F.hex(F.encode(s, "UTF-16BE")), lambda units: F.aggregate(places(units), F.lit(2166136261).cast("long"), step(units)))
+    step = lambda h, u: (h.bitwiseXOR(u) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long"))
+    every = F.flatten(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), units))
+    return F.aggregate(every, F.lit(2166136261).cast("long"), step)
 
 
 def token_weight(token: Column) -> Column:
