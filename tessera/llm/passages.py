@@ -2,10 +2,11 @@
 
 Seeds are runs of SEED words, thinned out by winnowing: of any WINDOW runs in a row
 the one of least hash is kept, so an exact match of SEED + WINDOW - 1 words shares
-one. Every seed is tied to its first place: the one of the least document id, first
-within a task's batch, then among the batches' first places. So rows grow with the
-text, not with the square of a group of copies, and no seed's group holds more rows
-than there are batches.
+one. Every place of a seed is tied to the seed's first place: the one of the least
+document id, first within a task's batch, then among the batches' first places. So a
+passage is found as often as a document holds it, rows grow with the text, not with
+the square of a group of copies, and no seed's group holds more rows than there are
+batches: other places in a batch's first document travel in that document's row.
 
 A document's seeds with the same earlier document are chained by a Fenwick tree of
 best scores: ordered matches on both sides, a cost for each word between them.
@@ -16,7 +17,7 @@ passage, also if they are tied to different documents; it has at least MIN_WORDS
 
 Null ids take no part; null texts count as empty ones. A document is not compared
 with itself, so rows that repeat do not make passages of each other, and neither do
-repeats within a text. Documents may have any length. An empty table gives an empty
+repeats within a text (of an earlier document's passage, each copy is found). Documents may have any length. An empty table gives an empty
 result.
 """
 
@@ -53,7 +54,7 @@ def _slide(x: np.ndarray, n: int, of) -> np.ndarray:
 
 
 def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, number of the text and place (word) of the winnowed seeds; each hash once in a text."""
+    """Hash, number of the text and place (word) of the winnowed seeds."""
     h, n = words.hashes(texts)
     run, k = words.shingles(h, n, SEED)
     owner = np.repeat(np.arange(len(texts)), k)
@@ -65,15 +66,11 @@ def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # A run stays if it is the least of a window that lies over it.
     reach = _slide(np.r_[np.zeros(WINDOW - 1, _U), np.where(least == _MOST, _U(0), least)], WINDOW, np.maximum)
     kept = np.flatnonzero(reach[at] == x[at])
-    run, owner, place = run[kept], owner[kept], place[kept]
-    order = np.lexsort((place, run, owner))
-    run, owner, place = run[order], owner[order], place[order]
-    new = np.r_[True, (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])] if len(run) else np.zeros(0, bool)
-    return run[new], owner[new], place[new]
+    return run[kept], owner[kept], place[kept]
 
 
 def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First places of seeds in each batch (no ref), and what later places are tied to."""
+    """First places of seeds in each batch (no ref; more: the same document's other places), and what later places are tied to."""
     for batch in batches:
         if not len(batch):
             continue
@@ -90,21 +87,27 @@ def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, doc, place = run[order], doc[order], place[order]
         first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, int)
         of = np.repeat(first, np.diff(np.r_[first, len(run)]))
-        later = doc != doc[of]
-        yield pd.DataFrame({"seed": run[first].view(np.int64), "doc": doc[first], "pos": place[first].astype(np.int32)}).assign(ref=pd.array([None] * len(first), "Int64"), ref_pos=pd.array([None] * len(first), "Int32"))
-        yield pd.DataFrame({"seed": 0, "doc": doc[later], "pos": place[later].astype(np.int32), "ref": doc[of][later], "ref_pos": place[of][later].astype(np.int32)})
+        later, place = doc != doc[of], place.astype(np.int32)
+        more = np.full(len(first), None, object)
+        own = np.add.reduceat(~later, first) if len(first) else first
+        for i in np.flatnonzero(own > 1):
+            more[i] = place[first[i] + 1 : first[i] + own[i]]
+        yield pd.DataFrame({"seed": run[first].view(np.int64), "doc": doc[first], "pos": place[first], "more": more}).assign(ref=pd.array([None] * len(first), "Int64"), ref_pos=pd.array([None] * len(first), "Int32"))
+        yield pd.DataFrame({"seed": 0, "doc": doc[later], "pos": place[later], "more": None, "ref": doc[of][later], "ref_pos": place[of][later]})
 
 
 def ties(docs: DataFrame) -> DataFrame:
     """(doc, pos, ref, ref_pos): places of seeds, and an earlier document's place of the same seed."""
-    schema = "seed long, doc long, pos int, ref long, ref_pos int"
+    schema = "seed long, doc long, pos int, more array<int>, ref long, ref_pos int"
     found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInPandas(_local, schema)
     # One pass: rows that are tied already get keys of their own, so they do not meet.
     key = F.when(F.col("ref").isNull(), F.col("seed")).otherwise(F.xxhash64("doc", "pos"))
     over = Window.partitionBy(key, F.col("ref").isNull())
     first = F.min(F.when(F.col("ref").isNull(), F.struct("doc", "pos"))).over(over)
     found = found.withColumn("first", first)
-    return found.select("doc", "pos", F.coalesce("ref", "first.doc").alias("ref"), F.coalesce("ref_pos", "first.pos").alias("ref_pos")).where("doc <> ref")
+    tied = found.select("doc", "pos", "more", F.coalesce("ref", "first.doc").alias("ref"), F.coalesce("ref_pos", "first.pos").alias("ref_pos")).where("doc <> ref")
+    places = F.when(F.col("more").isNull(), F.array("pos")).otherwise(F.concat(F.array("pos"), "more"))
+    return tied.select("doc", F.explode(places).alias("pos"), "ref", "ref_pos")
 
 
 class Fenwick:

@@ -87,3 +87,25 @@ def test_best_chain(points):
             if all(x[1] < y[0] and x[2] + x[1] - x[0] < y[2] and y[0] - x[1] <= 46 and y[2] - x[2] - x[1] + x[0] <= 46 for x, y in zip(c, c[1:])):
                 best = max(best, score(c))
     assert max(map(score, passages.chains(pos, ref))) >= best - 1e-9 or len(every) > 1 and max(pos) - min(pos) > 46
+
+
+def test_each_copy_within_a_document(spark):
+    with_checkpoints(spark)
+    rng = random.Random(5)
+    run = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage, line = run(60), run(12)
+    held = [*passage[:24], *line, *passage[24:]]
+    docs = [(1, " ".join([*run(20), *passage, *run(30), *held])), (2, " ".join([*run(30), *passage, *run(50), *passage, *run(20)])), (3, " ".join([*line, *run(40), *held, *run(9)]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for batch in (10_000, 1):  # a tie within a batch, and one between batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            rows = passages.find(df.coalesce(1)).collect()
+            left = {r.doc_id: r.text.split() for r in passages.without(df.coalesce(1)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        two = sorted((r.start_word, r.end_word) for r in rows if r.doc_id == 2)
+        assert two == [(30, 90), (140, 200)]
+        assert len(left[2]) == 100 and len(left[1]) == 182
+    run_, owner, place = passages.seeds([" ".join([*line, *line, *line]).encode()])
+    assert len(run_) > len(set(run_.tolist())) and (np.diff(place) > 0).all() and not owner.any()
