@@ -8,8 +8,9 @@ passage is found as often as a document holds it, rows grow with the text, not w
 the square of a group of copies, and no seed's group holds more rows than there are
 batches: other places in a batch's first document travel in that document's row.
 
-A document's seeds with the same earlier document are chained by a Fenwick tree of
-best scores: ordered matches on both sides, a cost for each word between them.
+A document's seeds with the same earlier document are chained by a tree of best
+scores: ordered matches on both sides at most GAP words apart, a cost for each word
+between them.
 Chains are aligned word by word (matches along diagonals, short gaps by dynamic
 programming) and extended at both ends. Alignments
 with a share of IDENTITY matches that follow each other within JOIN words make a
@@ -110,26 +111,33 @@ def ties(docs: DataFrame) -> DataFrame:
     return tied.select("doc", F.explode(places).alias("pos"), "ref", "ref_pos")
 
 
-class Fenwick:
-    """Greatest (value, item) over prefixes."""
+_NONE = (-1e18, -1)
+
+
+class Highest:
+    """Greatest (value, item) over ranges of places, whose items come and go."""
 
     def __init__(self, n: int):
-        self.best: list = [(-1e18, -1)] * (n + 1)
-
-    def put(self, i: int, value: float, item: int) -> None:
-        i += 1
-        while i < len(self.best):
-            if value > self.best[i][0]:
-                self.best[i] = (value, item)
-            i += i & -i
-
-    def top(self, i: int) -> tuple[float, int]:
-        """Among places 0 to i."""
-        i, out = i + 1, (-1e18, -1)
-        while i > 0:
-            if self.best[i][0] > out[0]:
-                out = self.best[i]
-            i -= i & -i
+        self.n, self.best = n, [_NONE] * (2 * n)
+
+    def put(self, i: int, entry: tuple[float, int]) -> None:
+        i += self.n
+        self.best[i] = entry
+        while i > 1:
+            i >>= 1
+            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
+
+    def top(self, lo: int, hi: int) -> tuple[float, int]:
+        """Among places lo to hi - 1."""
+        lo, hi, out = lo + self.n, hi + self.n, _NONE
+        while lo < hi:
+            if lo & 1:
+                out = max(out, self.best[lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                out = max(out, self.best[hi])
+            lo, hi = lo >> 1, hi >> 1
         return out
 
 
@@ -149,20 +157,24 @@ def chains(pos: np.ndarray, ref: np.ndarray) -> list[list[tuple[int, int, int]]]
     by_end = list(np.lexsort((r_end, end)))
     value, back = np.zeros(len(first)), np.full(len(first), -1)
     own = (end - start + SEED).astype(float)
-    places = np.unique(r_end)
-    slot, limit = np.searchsorted(places, r_end), np.searchsorted(places, r_start) - 1
-    tree, done = Fenwick(len(places)), 0
+    # A predecessor ended at most GAP words ago on both sides: what is older is taken out of the tree.
+    far, places = GAP + SEED, np.sort(r_end)
+    slot = np.argsort(np.argsort(r_end, kind="stable"))
+    least, limit = np.searchsorted(places, r_start - far), np.searchsorted(places, r_start)
+    tree, done, gone = Highest(len(first)), 0, 0
     for i in by_start:
         while done < len(by_end) and end[by_end[done]] < start[i]:
             j = by_end[done]
-            tree.put(int(slot[j]), value[j] + COST * float(end[j] + r_end[j]), int(j))
+            tree.put(int(slot[j]), (value[j] + COST * float(end[j] + r_end[j]), int(j)))
             done += 1
+        while gone < done and end[by_end[gone]] < start[i] - far:
+            tree.put(int(slot[by_end[gone]]), _NONE)
+            gone += 1
         value[i] = own[i]
-        if limit[i] >= 0:
-            best, j = tree.top(int(limit[i]))
-            gain = best - COST * float(start[i] + r_start[i])
-            if j >= 0 and gain > 0 and start[i] - end[j] <= GAP + SEED and r_start[i] - r_end[j] <= GAP + SEED:
-                value[i], back[i] = own[i] + gain, j
+        best, j = tree.top(int(least[i]), int(limit[i]))
+        gain = best - COST * float(start[i] + r_start[i])
+        if j >= 0 and gain > 0:
+            value[i], back[i] = own[i] + gain, j
     used, out = np.zeros(len(first), bool), []
     for i in np.argsort(-value, kind="stable"):
         chain = []

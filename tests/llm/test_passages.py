@@ -109,3 +109,28 @@ def test_each_copy_within_a_document(spark):
         assert len(left[2]) == 100 and len(left[1]) == 182
     run_, owner, place = passages.seeds([" ".join([*line, *line, *line]).encode()])
     assert len(run_) > len(set(run_.tolist())) and (np.diff(place) > 0).all() and not owner.any()
+
+
+def _score(chain):
+    return sum(e - s + passages.SEED for s, e, _ in chain) - sum(passages.COST * ((y[0] - x[1]) + (y[2] - x[2] - x[1] + x[0])) for x, y in zip(chain, chain[1:]))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 150), st.integers(0, 150)), min_size=1, max_size=7, unique=True))
+def test_best_chain_within_the_gap(points):
+    pos, ref = (np.array(x) for x in zip(*points))
+    far, found = passages.GAP + passages.SEED, passages.chains(pos, ref)
+    near = lambda x, y: x[1] < y[0] <= x[1] + far and x[2] + x[1] - x[0] < y[2] <= x[2] + x[1] - x[0] + far
+    every = sorted(s for c in found for s in c)
+    assert all(near(x, y) for c in found for x, y in zip(c, c[1:]))
+    linked = [c for n in range(1, len(every) + 1) for c in combinations(every, n) if all(near(x, y) for x, y in zip(c, c[1:]))]
+    assert abs(max(map(_score, found)) - max(map(_score, linked))) < 1e-9
+
+
+def test_pieces_behind_a_long_match_are_chained():
+    pieces, at, ref_at = [(k, k) for k in range(300)], 365, 365
+    for _ in range(8):  # pieces of 10 words, a word more on one side between them
+        pieces += [(at + k, ref_at + k) for k in range(5)]
+        at, ref_at = at + 11, ref_at + 10
+    found = passages.chains(*np.array(pieces).T)
+    assert sorted(len(c) for c in found) == [1, 8]
