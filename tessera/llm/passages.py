@@ -1,12 +1,12 @@
 """Passages that documents share, also with some words changed: seeds, chains, alignment.
 
-Seeds are runs of SEED words, thinned out by winnowing: of any WINDOW runs in a row
-the one of least hash is kept, so an exact match of SEED + WINDOW - 1 words shares
-one. Every place of a seed is tied to the seed's first place: the one of the least
-document id, first within a task's batch, then among the batches' first places. So a
-passage is found as often as a document holds it, rows grow with the text, not with
-the square of a group of copies, and no seed's group holds more rows than there are
-batches: other places in a batch's first document travel in that document's row.
+Seeds are all runs of SEED words: a passage of MIN_WORDS words with a share of IDENTITY
+matches has FEWEST at least, wherever the changed words are. Every place of a seed is
+tied to the seed's first place: the one of the least document id, first within a UNIT of
+a task's texts, then among the units' first places. So a passage is found as often as a
+document holds it, and rows grow with the text, not with the square of a group of copies.
+Seeds travel packed by bucket of their hash; 52 bits of it tell them apart, as alignment
+compares the words. Places with fewer than FEWEST tied ones near them are left out.
 
 A document's seeds with the same earlier document are chained by a tree of best
 scores: ordered matches on both sides at most GAP words apart, a cost for each word
@@ -33,82 +33,108 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words
 
-SEED, WINDOW = 6, 8
+SEED = 4
 #: Words between chained matches at most, and what each of them costs.
-GAP, COST = 40, 0.15
+GAP, COST = 42, 0.15
 MIN_WORDS, IDENTITY = 45, 0.8
 #: Words of an alignment at least, and between alignments of one passage at most.
 PART, JOIN = 12, 16
 #: Words that a chain may be extended by at each end, and words in a block that is sent to be aligned.
-REACH, BLOCK = 32, 128
+REACH, BLOCK = 32, 64
+#: Tied places within MIN_WORDS words, by the q-gram lemma 36 - 10 * 3 = 6; one less for words that are missing.
+FEWEST = 5
+#: Words between seeds of one segment at most.
+SAME = 10
+#: Bytes of text whose seeds are tied at a time, and buckets of hashes (raise them with the corpus).
+UNIT, BUCKETS = 1 << 22, 1 << 12
 _U = np.uint64
-_MOST = _U(2**64 - 1)
-
-
-def _slide(x: np.ndarray, n: int, of) -> np.ndarray:
-    """of() over every n (a power of 2) neighbours."""
-    step = 1
-    while step < n:
-        x = of(x[:-step], x[step:])
-        step *= 2
-    return x
 
 
 def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, number of the text and place (word) of the winnowed seeds."""
+    """Hash (52 bits), number of the text and place (word) of all seeds."""
     h, n = words.hashes(texts)
     run, k = words.shingles(h, n, SEED)
-    owner = np.repeat(np.arange(len(texts)), k)
-    place = np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
-    at = np.arange(len(run)) + owner * WINDOW + WINDOW
-    x = np.full(len(run) + (len(texts) + 2) * WINDOW, _MOST)
-    x[at] = np.minimum(run, _MOST - _U(1))
-    least = _slide(x, WINDOW, np.minimum)
-    # A run stays if it is the least of a window that lies over it.
-    reach = _slide(np.r_[np.zeros(WINDOW - 1, _U), np.where(least == _MOST, _U(0), least)], WINDOW, np.maximum)
-    kept = np.flatnonzero(reach[at] == x[at])
-    return run[kept], owner[kept], place[kept]
+    return run >> _U(12), np.repeat(np.arange(len(texts)), k), np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of int64, a row of lowest bytes, of next bytes and so on, without the highest ones that are zero everywhere."""
+    planes = [np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T for c in columns]
+    used = [max(1, 1 + int(np.flatnonzero(p.any(1)).max(initial=0))) for p in planes]
+    return bytes(used) + b"".join(p[:k].tobytes() for p, k in zip(planes, used))
+
+
+def _unpacked(raw: bytes, n: int) -> list[np.ndarray]:
+    used, at, out = raw[:n], 0, []
+    planes = np.frombuffer(raw, np.uint8, offset=n).reshape(sum(used), -1)
+    for k in used:
+        whole = np.zeros((planes.shape[1], 8), np.uint8)
+        whole[:, :k] = planes[at : at + k].T
+        out.append(whole.view("<i8").ravel())
+        at += k
+    return out
+
+
+def _first(run: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows sorted by seed, document and place, and the row of the first place of each row's seed."""
+    order = np.lexsort((place, doc, run))
+    run, doc, place = run[order], doc[order], place[order]
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, int)
+    return run, doc, place, np.repeat(first, np.diff(np.r_[first, len(run)]))
+
+
+def _runs(doc: np.ndarray, pos: np.ndarray, ref: np.ndarray, ref_pos: np.ndarray) -> list[np.ndarray]:
+    """Ties that follow each other on both sides as one: doc, pos, ref, ref_pos, n."""
+    order = np.lexsort((pos, pos - ref_pos, ref, doc))
+    doc, pos, ref, ref_pos = doc[order], pos[order], ref[order], ref_pos[order]
+    new = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(ref) != 0) | (np.diff(pos) != 1) | (np.diff(ref_pos) != 1)]) if len(doc) else np.zeros(0, int)
+    return [doc[new], pos[new], ref[new], ref_pos[new], np.diff(np.r_[new, len(doc)])]
 
 
 def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First places of seeds in each batch (no ref; more: the same document's other places), and what later places are tied to."""
+    """Packed rows of units of texts: first places of seeds by bucket, and what later places are tied to."""
     for batch in batches:
-        if not len(batch):
-            continue
-        ids, found, at, held = batch.doc_id.to_numpy(), [], 0, 0
-        texts = words.encoded(batch.text)
+        ids, texts, at, held = batch.doc_id.to_numpy(np.int64), words.encoded(batch.text), 0, 0
         for i, t in enumerate(texts):
             held += len(t)
-            if held > 2 * words.STRIDE or i == len(texts) - 1:
-                run, owner, place = seeds(texts[at : i + 1])
-                found.append((run, ids[at + owner], place))
-                at, held = i + 1, 0
-        run, doc, place = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((place, doc, run))
-        run, doc, place = run[order], doc[order], place[order]
-        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, int)
-        of = np.repeat(first, np.diff(np.r_[first, len(run)]))
-        later, place = doc != doc[of], place.astype(np.int32)
-        more = np.full(len(first), None, object)
-        own = np.add.reduceat(~later, first) if len(first) else first
-        for i in np.flatnonzero(own > 1):
-            more[i] = place[first[i] + 1 : first[i] + own[i]]
-        yield pd.DataFrame({"seed": run[first].view(np.int64), "doc": doc[first], "pos": place[first], "more": more}).assign(ref=pd.array([None] * len(first), "Int64"), ref_pos=pd.array([None] * len(first), "Int32"))
-        yield pd.DataFrame({"seed": 0, "doc": doc[later], "pos": place[later], "more": None, "ref": doc[of][later], "ref_pos": place[of][later]})
+            if held < UNIT and i < len(texts) - 1:
+                continue
+            run, owner, place = seeds(texts[at : i + 1])
+            run, doc, place, of = _first(run.view(np.int64), ids[at + owner], place)
+            at, held = i + 1, 0
+            if not len(run):
+                continue
+            later, base = doc != doc[of], int(doc.min())
+            tied = _packed(*(x - y for x, y in zip(_runs(doc[later], place[later], doc[of][later], place[of][later]), (base, 0, base, 0, 0))))
+            run, doc, place = run[~later], doc[~later] - base, place[~later]
+            edge = np.searchsorted(run, np.arange(BUCKETS + 1) * (2**52 // BUCKETS))
+            full = np.flatnonzero(np.diff(edge))
+            rows = [(int(b), base, _packed(run[lo:hi] - int(b) * (2**52 // BUCKETS), doc[lo:hi], place[lo:hi])) for b, lo, hi in zip(full, edge[full], edge[full + 1])]
+            if later.any():
+                rows.append((BUCKETS + (base + i) % BUCKETS, base, tied))
+            yield pd.DataFrame(rows, columns=["bucket", "base", "held"])
+
+
+def _tied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ties of whole buckets."""
+    columns = ["doc", "pos", "ref", "ref_pos", "n"]
+    for rows in _whole(batches, ["bucket"], 1):
+        for bucket, own in rows.groupby("bucket"):
+            if bucket >= BUCKETS:
+                for base, held in zip(own.base, own.held):
+                    doc, pos, ref, ref_pos, n = _unpacked(held, 5)
+                    yield pd.DataFrame(dict(zip(columns, (doc + base, pos, ref + base, ref_pos, n))))
+                continue
+            parts = [(run, doc + base, pos) for base, (run, doc, pos) in zip(own.base, (_unpacked(held, 3) for held in own.held))]
+            _, doc, pos, of = _first(*(np.concatenate(x) for x in zip(*parts)))
+            later = doc != doc[of]
+            yield pd.DataFrame(dict(zip(columns, (doc[later], pos[later], doc[of][later], pos[of][later], np.ones(later.sum(), int)))))
 
 
 def ties(docs: DataFrame) -> DataFrame:
-    """(doc, pos, ref, ref_pos): places of seeds, and an earlier document's place of the same seed."""
-    schema = "seed long, doc long, pos int, more array<int>, ref long, ref_pos int"
-    found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInPandas(_local, schema)
-    # One pass: rows that are tied already get keys of their own, so they do not meet.
-    key = F.when(F.col("ref").isNull(), F.col("seed")).otherwise(F.xxhash64("doc", "pos"))
-    over = Window.partitionBy(key, F.col("ref").isNull())
-    first = F.min(F.when(F.col("ref").isNull(), F.struct("doc", "pos"))).over(over)
-    found = found.withColumn("first", first)
-    tied = found.select("doc", "pos", "more", F.coalesce("ref", "first.doc").alias("ref"), F.coalesce("ref_pos", "first.pos").alias("ref_pos")).where("doc <> ref")
-    places = F.when(F.col("more").isNull(), F.array("pos")).otherwise(F.concat(F.array("pos"), "more"))
-    return tied.select("doc", F.explode(places).alias("pos"), "ref", "ref_pos")
+    """(doc, pos, ref, ref_pos, n): n places of seeds from pos on, and an earlier document's places of the same seeds."""
+    found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInPandas(_local, "bucket int, base long, held binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_tied, "doc long, pos int, ref long, ref_pos int, n int")
 
 
 _NONE = (-1e18, -1)
@@ -145,8 +171,8 @@ def chains(pos: np.ndarray, ref: np.ndarray) -> list[list[tuple[int, int, int]]]
     """Chains of segments (first seed, last seed, its place in the other text) of matched seeds."""
     order = np.lexsort((pos, pos - ref))
     pos, ref = pos[order], ref[order]
-    # Seeds of one exact match lie at most WINDOW apart; beyond that something may differ.
-    new = np.r_[True, (np.diff(pos - ref) != 0) | (np.diff(pos) > WINDOW + 2)]
+    # Words that differ within a segment are counted when it is aligned.
+    new = np.r_[True, (np.diff(pos - ref) != 0) | (np.diff(pos) > SAME)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(pos)] - 1
     if len(first) == 1:
@@ -209,27 +235,28 @@ def _edges(key: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
 
 
-def _islands(start: np.ndarray, end: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """For intervals sorted by start: from where to where the run of intervals goes that each is part of."""
-    reach = np.maximum.accumulate(end)
-    first = np.flatnonzero(np.r_[True, start[1:] > reach[:-1] + gap])
-    n = np.diff(np.r_[first, len(start)])
-    return np.repeat(start[first], n), np.repeat(reach[np.r_[first[1:], len(start)] - 1], n)
+def _dense(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which places have FEWEST tied ones (with themselves) within MIN_WORDS words."""
+    u, of = np.unique((np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) << 32) + pos, return_inverse=True)
+    k, kept = FEWEST - 1, np.zeros(len(u), bool)
+    near = np.flatnonzero(u[k:] - u[: max(0, len(u) - k)] <= MIN_WORDS - SEED)
+    for j in range(FEWEST):
+        kept[near + j] = True
+    return kept[of]
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Chains of each document that may be parts of passages: a document's seeds are a group."""
     for rows in _whole(batches, ["doc"], 50_000):
-        doc, ref, pos, ref_pos = (rows[c].to_numpy(np.int64) for c in ("doc", "ref", "pos", "ref_pos"))
-        out, cut = [], _edges(doc[:, None])
-        for lo, hi in zip(cut[:-1], cut[1:]):
-            own, parts = [], lo + _edges(ref[lo:hi, None])
-            for a, b in zip(parts[:-1], parts[1:]):
-                for chain in chains(pos[a:b], ref_pos[a:b]):
-                    own.append((doc[a], ref[a], chain[0][0], chain[-1][1] + SEED, chain[0][2], chain[-1][2] + chain[-1][1] - chain[-1][0] + SEED, np.array(chain, np.int32).tobytes()))
-            own.sort(key=lambda x: x[2])
-            start, end = _islands(np.array([x[2] for x in own]), np.array([x[3] for x in own]), JOIN + 2 * WINDOW)
-            out += [x for x, n in zip(own, end - start + 4 * WINDOW) if n >= MIN_WORDS]
+        doc, ref, pos, ref_pos, n = (rows[c].to_numpy(np.int64) for c in ("doc", "ref", "pos", "ref_pos", "n"))
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        doc, ref, pos, ref_pos = np.repeat(doc, n), np.repeat(ref, n), np.repeat(pos, n) + step, np.repeat(ref_pos, n) + step
+        kept = _dense(doc, pos)
+        doc, ref, pos, ref_pos = doc[kept], ref[kept], pos[kept], ref_pos[kept]
+        out, cut = [], _edges(np.c_[doc, ref]) if len(doc) else []
+        for a, b in zip(cut[:-1], cut[1:]):
+            for chain in chains(pos[a:b], ref_pos[a:b]):
+                out.append((doc[a], ref[a], chain[0][0], chain[-1][1] + SEED, chain[0][2], chain[-1][2] + chain[-1][1] - chain[-1][0] + SEED, np.array(chain, np.int32).tobytes()))
         yield pd.DataFrame(out, columns=["doc", "ref", "a", "b", "c", "d", "segments"])
 
 

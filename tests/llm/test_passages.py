@@ -134,3 +134,25 @@ def test_pieces_behind_a_long_match_are_chained():
         at, ref_at = at + 11, ref_at + 10
     found = passages.chains(*np.array(pieces).T)
     assert sorted(len(c) for c in found) == [1, 8]
+
+
+def test_edited_down_to_identity(spark):
+    with_checkpoints(spark)
+    rng = random.Random(11)
+    run = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    docs, want = [], {}
+    for n in (60, 100, 200):
+        for rate in (0.15, 0.2):
+            for _ in range(8):
+                own = run(n)
+                docs.append((len(docs), " ".join([*run(30), *own, *run(30)])))
+                k = round(n * rate)
+                for i in range(k):  # evenly spaced: at 20 % no run of five words is left
+                    own[int((i + 0.5) * n / k)] = run(1)[0]
+                want[len(docs)] = n
+                docs.append((len(docs), " ".join([*run(30), *own, *run(30)])))
+    found = {}
+    for r in passages.find(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert found.keys() == want.keys()
+    assert all(len(found[i] & set(range(30, 30 + n))) >= 0.85 * n for i, n in want.items())
