@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fnv1a, token_weight, tokenize
+from tessera.operators.pairs import with_every
 
 
 def hashed(rows: DataFrame, key: str, text: Column, dims: int = 384) -> DataFrame:
@@ -46,12 +47,10 @@ def dot(a: str, b: str) -> Column:
 def nearest_dense(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, most: int = 2000) -> DataFrame:
     """The k rows of greatest dot product with each of a stated set of queries.
 
-    The queries are broadcast up to ``most`` of them; a larger set is refused.
+    The queries are broadcast up to ``most`` of them; a larger set is searched in blocks.
     """
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries: search them in parts")
-    q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q")))
-    scored = rows.join(q, F.col(key) != F.col("query_id")).select("query_id", key, F.round(dot(vector, "__q"), 4).alias("score"))
+    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q"))
+    scored = with_every(rows.select(key, vector), q, most).where(F.col(key) != F.col("query_id")).select("query_id", key, F.round(dot(vector, "__q"), 4).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import index_terms, tokenize
+from tessera.operators.pairs import with_every
 
 K1, B = 1.2, 0.75
 
@@ -58,12 +59,10 @@ def bm25(rows: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
 
 def substring_scores(rows: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, most: int = 2000) -> DataFrame:
     """The share of a query's distinct tokens that a text contains, for a stated set of queries."""
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries: score them in parts")
-    q = F.broadcast(queries.select(query_key, F.array_distinct(tokenize(F.col(query_text))).alias("__t")).where("size(__t) > 0"))
+    q = queries.select(query_key, F.array_distinct(tokenize(F.col(query_text))).alias("__t")).where("size(__t) > 0")
     low = rows.select(key, F.lower(text).alias("__low"))
-    # A broadcast of the stated queries: each text is read once, against all of them.
-    pairs = low.join(q, F.lit(True)).select(query_key, key, (F.size(F.filter("__t", lambda t: F.contains(F.col("__low"), t))) / F.size("__t")).alias("share"))
+    # Up to ``most`` queries are broadcast and each text is read once, against all of them; more are dealt into blocks.
+    pairs = with_every(low, q, most).select(query_key, key, (F.size(F.filter("__t", lambda t: F.contains(F.col("__low"), t))) / F.size("__t")).alias("share"))
     return pairs.select(query_key, key, F.round("share", 4).alias("share"))
 
 
