@@ -14,6 +14,7 @@ def local_session(cores: int = 8, checkpoint_dir: str | None = None) -> SparkSes
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
     )
@@ -38,3 +39,9 @@ def with_checkpoints(spark: SparkSession) -> None:
                 raise ValueError("spark.checkpoint.dir names no shared folder")
             named = "file:///tmp/tessera-checkpoints"
         context.setCheckpointDir(named)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
