@@ -11,11 +11,13 @@ are. Columns of the input with the names of outputs are replaced.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import struct
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -150,19 +152,21 @@ class Codec:
         return " ".join(self.names[i] for i in ids)
 
 
-_codecs: dict[str, Codec] = {}
+@contextmanager
+def _codec(text: str, pieces: int) -> Iterator[Codec]:
+    """A task's codec. Workers live on after their tasks, so what it keeps is given back at the end."""
+    codec = Codec(text)
+    codec.most = pieces
+    try:
+        yield codec
+    finally:
+        codec.young, codec.old = {}, {}
+        del codec
+        gc.collect()
 
 
-def _codec(text: str) -> Codec:
-    key = hashlib.md5(text.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(text)
-    return _codecs[key]
-
-
-def encode(df: DataFrame, vocabulary: str, text: str = "text", decoded: bool = True, pieces: int = CACHE) -> DataFrame:
-    """Add ``ids`` (binary, 32-bit little-endian), ``n_tokens`` and, if asked for, ``decoded`` to every row.
+def encode(df: DataFrame, vocabulary: str, text: str = "text", decoded: bool = True, pieces: int = CACHE, digest: bool = False) -> DataFrame:
+    """Add ``ids`` (binary, 32-bit little-endian), ``n_tokens`` and, if asked for, ``decoded`` (or its SHA-256) to every row.
 
     vocabulary: path of the file on the driver; its content (a few MB, whatever the
     corpus) is broadcast, so executors need no copy. A few rows are held at a time, and
@@ -172,15 +176,14 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", decoded: bool = T
     rows = df.drop("ids", "decoded", "n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(content.value)
-        codec.most = pieces
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                found = [codec.encode(t.as_py()) for t in part.column(text)]
-                made = [pa.array([x[0] for x in found], pa.binary()), pa.array([len(x[0]) // 4 for x in found], pa.int64())]
-                made += [pa.array([x[1] for x in found], pa.string())] * decoded
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *NEW[: len(made)]])
+        with _codec(content.value, pieces) as codec:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    found = [codec.encode(t.as_py()) for t in part.column(text)]
+                    made = [pa.array([x[0] for x in found], pa.binary()), pa.array([len(x[0]) // 4 for x in found], pa.int64())]
+                    made += [pa.array([hashlib.sha256(x[1].encode()).hexdigest() if digest else x[1] for x in found], pa.string())] * decoded
+                    yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *NEW[: len(made)]])
 
     schema = T.StructType([*rows.schema.fields, *[T.StructField(n, k) for n, k in zip(NEW, (T.BinaryType(), T.LongType(), T.StringType()))][: 2 + decoded]])
     return rows.mapInArrow(run, schema)
@@ -191,14 +194,14 @@ def digests(df: DataFrame, vocabulary: str) -> DataFrame:
     content = _broadcast(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(content.value)
-        for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                ids, decoded = codec.encode(text.as_py())
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            n, ids, decoded = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _codec(content.value, CACHE) as codec:
+            for batch in batches:
+                out = []
+                for text in batch.column("text"):
+                    ids, decoded = codec.encode(text.as_py())
+                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                n, ids, decoded = zip(*out) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 REPEATS = 3
 #: Documents for each block of a source, and the most blocks that a source has (a task sorts them).
 BLOCK_DOCS, MOST_BLOCKS = 256, 1 << 16
+#: Columns that mix() adds.
+MADE = ("size", "source_size", "target", "taken", "copies", "place")
 
 
 def n_words(text: str = "text") -> Column:
@@ -148,8 +150,7 @@ def mix(docs: DataFrame, depth: int = 4, seed: int = 11) -> DataFrame:
     """
     plan, n_blocks = decisions(docs, depth, seed)
     plan = plan.withColumnRenamed("source", "__s").withColumnRenamed("block", "__b").withColumnRenamed("cut", "__cut").withColumnRenamed("shards", "__shards").withColumnRenamed("rounds", "__rounds")
-    made = ("size", "source_size", "target", "taken", "copies", "place")
-    kept = [c for c in docs.columns if c not in made]
+    kept = [c for c in docs.columns if c.lower() not in MADE]
     keyed = _keyed(docs.select(*kept), seed).withColumn("__block", F.pmod("__h", F.lit(n_blocks)))
     out = keyed.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
     whole = F.col("__cut").isNull() | (F.col("__h") <= F.col("__cut"))
@@ -160,6 +161,8 @@ def mix(docs: DataFrame, depth: int = 4, seed: int = 11) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, depth: int = 4, seed: int = 11) -> DataFrame:
     """The mix itself: a row of docs for each time that it is taken, shuffled within shards."""
-    out = mix(docs, depth, seed).withColumn("__shard", F.explode("copies"))
+    own = {c: f"__own_{c}" if c.lower() in MADE else c for c in docs.columns}  # the input's columns stay, whatever their names
+    out = mix(docs.withColumnsRenamed(own), depth, seed).withColumn("__shard", F.explode("copies"))
     place = F.xxhash64("place", "__shard")
-    return out.repartition("__shard", F.pmod(place, F.lit(64))).sortWithinPartitions("__shard", place).select(*docs.columns)
+    out = out.repartition("__shard", F.pmod(place, F.lit(64))).sortWithinPartitions("__shard", place)
+    return out.select(*[F.col(new).alias(c) for c, new in own.items()])

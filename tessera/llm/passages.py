@@ -362,7 +362,7 @@ def find(docs: DataFrame) -> DataFrame:
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for text, spans in zip(batch.text, batch.spans):
+        for text, spans in zip(batch.text, batch["__spans"]):
             raw = words.encoded([text])[0]
             _, starts, ends, _ = words.spans([raw])
             keep, at = [], 0
@@ -371,15 +371,15 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 keep.append(raw[at : max(at, lo)])
                 at = max(at, hi)
             out.append(b"".join([*keep, raw[at:]]).decode("utf-8", "surrogatepass"))
-        yield batch.assign(text=out).drop(columns="spans")
+        yield batch.assign(text=out).drop(columns="__spans")
 
 
 def without(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) without the passages that earlier documents have; texts without words left go."""
-    spans = find(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")).checkpoint()
+    spans = find(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans")).checkpoint()
     known = docs.where("doc_id is not null")
     hit = known.join(spans, "doc_id")
-    left = hit.select(*docs.columns, "spans").mapInPandas(_cut, docs.schema).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    left = hit.select(*docs.columns, "__spans").mapInPandas(_cut, docs.schema).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     rest = known.join(spans, "doc_id", "left_anti").select(*docs.columns)
     out = left.unionByName(rest).unionByName(docs.where("doc_id is null"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -27,6 +27,8 @@ NAMES = (
     "log_words", "distinct_share", "repeat_next", "top_share", "word_length", "symbol_share", "table_share", "digit_share",
     "upper_share", "stop_share", "line_repeat", "line_words", "odd_words", "beyond_ascii", "control_share", "pair_share",
 )
+#: Labels that kept() learns from at most (their ids are broadcast).
+MOST_LABELS = 200_000
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[33:127] = 1  # symbols
 _CLASS[[ord(c) for c in "|<>{}[]\\/_="]] = 2
@@ -40,17 +42,17 @@ _CLASS[[*range(9), *range(14, 32), 127]] = 8
 
 def statistics(texts) -> np.ndarray:
     """One row of transformed statistics (NAMES) for each text."""
-    raw = words.encoded(texts)
-    out = np.zeros((len(raw), len(NAMES)))
-    at = 0
-    while at < len(raw):  # a few MB at a time, whatever the texts' lengths
-        end, held = at, 0
-        while end < len(raw) and (end == at or held + len(raw[end]) < words.STRIDE):
-            held += len(raw[end])
-            end += 1
-        out[at:end] = _statistics(raw[at:end])
-        at = end
-    return out
+    out, part, held = [np.zeros((0, len(NAMES)))], [], 0
+    for text in texts:  # a little at a time, whatever the texts' lengths
+        raw = words.encoded([text])[0]
+        if part and held + len(raw) > words.STRIDE:
+            out.append(_statistics(part))
+            part, held = [], 0
+        part.append(raw)
+        held += len(raw)
+    if part:
+        out.append(_statistics(part))
+    return np.concatenate(out)
 
 
 def _statistics(raw: list[bytes]) -> np.ndarray:
@@ -110,6 +112,14 @@ def _statistics(raw: list[bytes]) -> np.ndarray:
     return np.stack(cols, 1)
 
 
+def forward(factor: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The solution z of factor z = y, by forward substitution in the lower triangle."""
+    z = np.empty_like(y)
+    for i in range(len(factor)):
+        z[i] = (y[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class Discriminant:
     """Means, Cholesky factors of the shrunk covariances, and the prior's log odds."""
@@ -119,18 +129,18 @@ class Discriminant:
     log_odds: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        density = [-0.5 * (np.linalg.solve(f, (x - m).T) ** 2).sum(0) - np.log(np.diag(f)).sum() for m, f in zip(self.mean, self.factor)]
+        density = [-0.5 * (forward(f, (x - m).T) ** 2).sum(0) - np.log(np.diag(f)).sum() for m, f in zip(self.mean, self.factor)]
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.log_odds, -700, 700)))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and its statistics (array of doubles)."""
+def statistics_of(text: str) -> Column:
+    """A text column's statistics (array of doubles)."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(list(statistics(batch)))
 
-    return docs.select("doc_id", F.pandas_udf(run, "array<double>")("text").alias("x"))
+    return F.pandas_udf(run, "array<double>")(text)
 
 
 def fit(x: DataFrame, shrink: float = 0.15, ridge: float = 1e-3) -> Discriminant | None:
@@ -168,11 +178,14 @@ def fit(x: DataFrame, shrink: float = 0.15, ridge: float = 1e-3) -> Discriminant
     return Discriminant(mean, factor, float(np.log(n[1] / n[0])))
 
 
-def model_of(x: DataFrame, labels: DataFrame, learn: Column | None, label: str) -> tuple[Discriminant | None, float]:
-    """The model of statistics x, or None with the score that then holds for all."""
+def known_labels(labels: DataFrame, learn: Column | None, label: str) -> DataFrame:
+    """(doc_id, label) of the labels that count."""
     known = labels.where(F.col(label).isin(0, 1))
-    known = (known if learn is None else known.where(learn)).select("doc_id", F.col(label).cast("int").alias("label"))
-    training = x.join(known, "doc_id")
+    return (known if learn is None else known.where(learn)).select("doc_id", F.col(label).cast("int").alias("label"))
+
+
+def model_of(training: DataFrame) -> tuple[Discriminant | None, float]:
+    """The model of rows (x, label), or None with the score that then holds for all."""
     model = fit(training)
     share = None if model else training.agg(F.avg("label")).first()[0]
     return model, 0.5 if share is None else float(share)
@@ -184,8 +197,8 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column | None = None, labe
     The statistics (128 bytes a document) are written to the shared checkpoint
     folder, so that the texts are read once; texts are never shuffled.
     """
-    x = features(docs).checkpoint()
-    model, share = model_of(x, labels, learn, label)
+    x = docs.select("doc_id", statistics_of("text").alias("x")).checkpoint()
+    model, share = model_of(x.join(known_labels(labels, learn, label), "doc_id"))
     if model is None:
         return x.select("doc_id", F.lit(share).alias("score"))
 
@@ -196,12 +209,19 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column | None = None, labe
     return x.select("doc_id", F.pandas_udf(run, "double")("x").alias("score"))
 
 
-def kept(docs: DataFrame, labels: DataFrame, least: float = 0.3, learn: Column | None = None, label: str = "quality") -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, least: float = 0.3, learn: Column | None = None, label: str = "quality", most: int = MOST_LABELS) -> DataFrame:
     """The rows of docs that score ``least`` or more, with all their columns.
 
-    The model is fitted first; each text is then scored where it lies, so no text is shuffled.
+    The model is fitted first, on about ``most`` labels at most, chosen by hash and
+    broadcast: so only labelled texts are measured for it. Each text is then scored
+    where it lies, and no text is shuffled.
     """
-    model, share = model_of(features(docs), labels, learn, label)
+    known = known_labels(labels, learn, label)
+    n = known.count()
+    if n > most:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / n)))
+    training = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(statistics_of("text").alias("x"), "label")
+    model, share = model_of(training)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -18,7 +18,7 @@ _ODD, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 2**64)
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 #: Bytes that are hashed at a time.
-STRIDE = 1 << 21
+STRIDE = 1 << 18
 
 
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -46,3 +46,24 @@ def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and {"doc_id", "text", "n_tokens", "ids"} <= set(out.columns)
     assert len(corpus_pipeline.STAGES) == 5 and near and re and F
+
+
+def _odd(spark):
+    rows = [(1, "a b c d e f g " * 9, "x", 7, "s", "i"), (1, "another text of the same id", "x", None, "s", "i"), (2, None, None, 1, None, None), (None, "no id " * 20, "y", 2, "s", "i"), (3, "", "y", 3, "s", "i"), (4, "long " * 60_000, "z", 4, "s", "i"), (1, "a b c d e f g " * 9, "x", 7, "s", "i")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, size int, spans string, ids string")
+
+
+def test_odd_rows_and_clashing_names(spark, sf_dir):
+    """Every stage takes nulls, empty and long texts, ids of two texts, repeats, and columns named like its own."""
+    with_checkpoints(spark)
+    docs = _odd(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir).checkpoint()
+        rows = out.collect()
+        if name == "encode":
+            assert [c for c in docs.columns if c != "ids"] == out.columns[:5] and len(rows) == docs.count()
+            assert all(r.decoded_sha256 and r.ids_sha256 for r in rows)
+        else:
+            assert out.columns == docs.columns
+            assert {(r.doc_id, r["size"], r.spans, r.ids) for r in rows} <= {(r.doc_id, r["size"], r.spans, r.ids) for r in docs.collect()}
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
