@@ -5,9 +5,11 @@ bring texts together; a pair's values are then compared a few at a time, and it
 dropped when the posterior probability of reaching the similarity falls below
 TOLERANCE (Bayesian pruning; the prior is uniform). What survives only says which
 texts belong together in a bunch: within each bunch all pairs are compared again,
-pruned alike, and verified exactly on the shingles. No pair is written as a row:
-tasks count links and write trees. Bunches and buckets above PART texts are split
-into pairs of parts, each a task's group.
+pruned alike, and verified exactly on the shingles, which are hashed once for a
+text. No pair is written as a row: tasks count links and write trees. Bunches and
+buckets of n texts, more than WHOLE, are split into parts of some 4 sqrt(n); each
+pair of parts is a task's group, and groups are dealt to tasks in turn. So a text
+is sent sqrt(n) / 4 times, and no task's share grows faster than that.
 
 A pair of similarity 0.8 meets in one of 24 bands of 5 values with a probability
 of 0.99993, one of 0.85 with 0.999998.
@@ -16,8 +18,9 @@ Words are runs of characters other than 0x20 and 0x09-0x0D, A-Z in lower case. A
 text of fewer than five words has one shingle: all its words; texts without words
 are linked to none, but share a class if equal. A null text counts as an empty
 one. Null ids take no part and get no row. A row that repeats is a copy of itself
-and gets one row; an id with several texts is linked if any of them is. An empty
-table gives an empty result.
+and gets one row. An id with several texts ties their classes together; its links
+are those of its texts added up, its text_id and copies the least and the largest.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words
@@ -36,8 +39,8 @@ from tessera.llm.graphs import components, small_components
 #: Bands, values in a band, values compared at a time.
 BANDS, ROWS, STEP = 24, 5, 24
 SIMILARITY, TOLERANCE = 0.8, 1e-4
-#: Texts of a group that a task compares, and pairs that it holds at a time.
-PART, PAIRS = 256, 2_000_000
+#: Texts of a bunch that is compared whole, of a part of a larger one at least, and pairs that a task holds at a time.
+WHOLE, LEAST, PAIRS = 256, 64, 1_000_000
 SHINGLE = 5
 _U = np.uint64
 _FACTORS = np.random.default_rng(77).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
@@ -105,23 +108,24 @@ def pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield a[ok], b[ok]
 
 
-def _runs(batches: Iterator[pd.DataFrame], most: int = 20_000) -> Iterator[pd.DataFrame]:
-    """Whole groups, many at a time, from batches sorted by bunch, i, j."""
+def _runs(batches: Iterator[pd.DataFrame], most: int = 1 << 24) -> Iterator[pd.DataFrame]:
+    """Whole groups, many at a time (some ``most`` bytes), from batches sorted by bunch, i, j."""
     held: list[pd.DataFrame] = []
+    size = 0
     for batch in batches:
-        if not len(batch):
-            continue
-        held.append(batch)
-        if sum(map(len, held)) < most:
-            continue
-        rows = pd.concat(held, ignore_index=True)
-        key = rows[["bunch", "i", "j"]].to_numpy()
-        last = np.flatnonzero((key != key[-1]).any(1))
-        if len(last):
-            yield rows.iloc[: last[-1] + 1]
-            held = [rows.iloc[last[-1] + 1 :]]
-        else:
-            held = [rows]
+        for at in range(0, len(batch), 1000):
+            part = batch.iloc[at : at + 1000]
+            held.append(part)
+            size += int(part[part.columns[-1]].str.len().sum()) + 400 * len(part)
+            if size < most:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            key = rows[["bunch", "i", "j"]].to_numpy()
+            last = np.flatnonzero((key != key[-1]).any(1))
+            if len(last):
+                yield rows.iloc[: last[-1] + 1]
+                rows = rows.iloc[last[-1] + 1 :]
+            held, size = [rows], int(rows[rows.columns[-1]].str.len().sum()) + 400 * len(rows)
     if held:
         yield pd.concat(held, ignore_index=True)
 
@@ -132,12 +136,17 @@ def _group_numbers(rows: pd.DataFrame) -> np.ndarray:
 
 
 def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rows (bunch, id, ...) with i, j, side: each pair of a bunch's parts is a group."""
-    rows = rows.join(sizes.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).select("bunch", "parts"), "bunch")
+    """rows (bunch, id, ...) with i, j, side: each pair of a bunch's parts is a group, dealt to tasks in turn."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.greatest(F.lit(float(LEAST)), 4 * F.sqrt("n"))
+    parts = F.when(F.col("n") <= WHOLE, 1).otherwise(F.ceil(F.col("n") / part)).cast("int")
+    columns = [c for c in rows.columns if c not in ("bunch", "id")]
+    rows = rows.join(sizes.select("bunch", parts.alias("parts")), "bunch")
     rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("if(parts = 1, array(0), sequence(0, parts - 1))"))).drop("parts")
-    rows = rows.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")
-    return rows.repartition("bunch", "i", "j").sortWithinPartitions("bunch", "i", "j", "id")
+    rows = rows.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    turn = F.pmod(F.xxhash64("bunch") % 1_000_003 + F.col("j") * (F.col("j") + 1) / 2 + F.col("i"), F.lit(tasks)).cast("int")
+    return rows.select("bunch", "i", "j", "side", "id", *columns).repartitionById(tasks, turn).sortWithinPartitions("bunch", "i", "j", "id")
 
 
 def _bunch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,13 +182,21 @@ def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total[at_a, at_b].astype(np.int64)
 
 
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with their texts' shingles, a little at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), 128):
+            part = batch.iloc[at : at + 128]
+            yield part.drop(columns="text").assign(shingles=[s.tobytes() for s in shingle_sets(part.text)])
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in _runs(batches, 2_000):
+    for rows in _runs(batches):
         number, side, ids = _group_numbers(rows), rows.side.to_numpy(), rows.id.to_numpy()
         start = np.r_[np.flatnonzero(np.r_[True, number[1:] != number[:-1]]), len(rows)]
         for lo, hi in zip(start[:-1], start[1:]):
             own = rows.iloc[lo:hi]
-            sets = shingle_sets(own.text)
+            sets = [np.frombuffer(s, _U) for s in own.shingles]
             size = np.array([len(s) for s in sets])
             sig = np.stack([np.frombuffer(s, np.uint16) for s in own.sig])
             links, left, right = np.zeros(hi - lo, np.int64), [], []
@@ -212,18 +229,22 @@ def describe(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["sig", "n"])
 
     made = F.pandas_udf(run, "sig binary, n int")
-    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("key"), made("text").alias("m")).select("doc_id", "key", "m.sig", "m.n")
+    return _texts(docs).select("doc_id", _digest().alias("key"), made("text").alias("m")).select("doc_id", "key", "m.sig", "m.n")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, text_id, copies, n_links of every document.
+def _digest() -> Column:
+    return F.md5(F.encode("text", "UTF-8"))
 
-    text_id: the least id with the same text; copies: rows with that text; n_links:
-    other texts of similarity 0.8 or more; class_id: the least id that links lead to.
-    """
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """The rows of join(), with the least digest of each id's texts as ``key``."""
     rows = describe(docs).checkpoint()
-    texts = rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n")).checkpoint()
+    texts = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    texts = texts.withColumn("id", F.monotonically_increasing_id()).checkpoint()  # numbers that hold once they are written
     nodes = texts.where("n > 0").select("id", "sig")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 2 * ROWS + 1, F.lit(2 * ROWS)))))
     bands = nodes.select("id", band.alias("bunch"))
@@ -232,21 +253,34 @@ def join(docs: DataFrame) -> DataFrame:
     edges = _dealt(members, sizes).mapInPandas(_bunch, "a long, b long").distinct()
     bunches = components(edges)
     sizes = bunches.groupBy(F.col("root").alias("bunch")).agg(F.count(F.lit(1)).alias("n"))
-    inside = bunches.select("id", F.col("root").alias("bunch")).join(nodes, "id")
-    whole = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(inside, "id")
-    whole = whole.dropDuplicates(["id"])
-    found = _dealt(whole, sizes).mapInPandas(_verify, "a long, b long, links long").checkpoint()
-    roots = components(found.select("a", "b"))
+    inside = bunches.select("id", F.col("root").alias("bunch")).join(texts.select("id", "sig", F.col("least").alias("doc_id"), "key"), "id")
+    whole = _texts(docs).withColumn("key", _digest()).join(inside, ["doc_id", "key"]).dropDuplicates(["id"])
+    hashed = whole.select("bunch", "id", "sig", "text").mapInPandas(_hashed, "bunch long, id long, sig binary, shingles binary")
+    found = _dealt(hashed, sizes).mapInPandas(_verify, "a long, b long, links long").checkpoint()
+    # The texts of one id belong together.
+    owned = rows.select("doc_id", "key").distinct().join(texts.select("key", "id"), "key").select("doc_id", "key", "id").checkpoint()
+    several = owned.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top")
+    tied = owned.join(several, "doc_id").select(F.col("id").alias("a"), "b")
+    roots = components(found.select("a", "b").unionByName(tied))
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))
-    linked = links.join(roots, "id", "left").select("id", "n_links", F.coalesce("root", "id").alias("root"))
-    out = texts.select("key", "id", "copies").join(linked, "id", "left")
-    out = out.select("key", F.col("id").alias("text_id"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("class_id"))
-    return rows.select("doc_id", "key").distinct().join(out, "key").groupBy("doc_id").agg(
-        F.min("class_id").alias("class_id"), F.min("text_id").alias("text_id"), F.max("copies").alias("copies"), F.max("n_links").alias("n_links")
-    )
+    known = texts.select("id", "least", "copies").join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).checkpoint()
+    least = known.groupBy("root").agg(F.min("least").alias("class_id"))
+    out = owned.join(known.join(least, "root"), "id").groupBy("doc_id")
+    return out.agg(F.min("key").alias("key"), F.min("class_id").alias("class_id"), F.min("least").alias("text_id"), F.max("copies").alias("copies"), F.coalesce(F.sum("n_links"), F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, text_id, copies, n_links of every document.
+
+    text_id: the least id with the same text; copies: rows with that text; n_links:
+    other texts of similarity 0.8 or more; class_id: the least id that links lead to.
+    """
+    return classes(docs).drop("key")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each class: the one of the least id. Rows without an id stay."""
-    kept = join(docs).where("doc_id = class_id").select("doc_id")
-    return docs.where("doc_id is not null").join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One document of each class: the one of the least id (of its texts, that of the least digest). Rows without an id stay."""
+    kept = classes(docs).where("doc_id = class_id").select("doc_id", F.col("key").alias("__key"))
+    known = docs.where("doc_id is not null").withColumn("__key", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    one = known.join(kept, ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"])
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -77,6 +77,19 @@ def test_join(spark, sf_dir, data, monkeypatch):
     assert len(kept) == len({c for c, *_ in want.values()}) + 1
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_ids_of_several_texts(spark, turned):
+    """An id with two texts, each near another document's, ties all three together, in whatever order rows come."""
+    with_checkpoints(spark)
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (2, a + " more"), (3, b + " more"), (9, "alone " * 9), (5, a)]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.class_id, r.text_id, r.copies, r.n_links) for r in near.join(df).collect()}
+    assert got == {5: (2, 5, 2, 2), 2: (2, 2, 1, 1), 3: (2, 3, 1, 1), 9: (9, 9, 1, 0)}
+    kept = near.representatives(df.withColumn("key", near.F.lit(1))).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 9] and kept[0].key == 1
+
+
 def test_empty(spark):
     with_checkpoints(spark)
     assert near.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
