@@ -4,19 +4,23 @@ The texts are dealt into blocks. A first exchange counts words: each block asks
 words' shards for them, once for each distinct word. Then it sends its distinct
 trigrams, with how often they occur in training texts, to the shards that own their
 first words: once each, however often they occur. A shard sums the counts and builds a trie of
-three levels. Each level is one monotone sequence in Elias-Fano code (a node's
+three levels. Each level is one monotone sequence in Elias-Fano code: a node's
 symbol behind its parent's number, so a node's children are found by successor
-search within their parent's range), with the children's pointers in Elias-Fano
-code too, and 8-bit probabilities, discounted and with their back-off weights. The
-levels are written to a file and mapped into memory. The shard answers each
+search within their parent's range. The children's pointers are monotone and in
+Elias-Fano code too; probabilities, discounted and with their back-off weights,
+take 8 bits: codes of one table for all shards, exact for the counts that most
+entries have. The levels are written to a file in the task's
+own temporary folder, which a repeated task makes anew, and mapped into memory;
+look-ups select in the packed levels and never unpack them. The shard answers each
 block's trigrams in the order in which they came, one byte each, and the block
 puts the answers together: p(w|uv) = a(uvw) + g(uv) (a(vw) + g(v) p(w)).
 
-A frequent word's pairs are spread over as many shards as its count asks for, so no
-shard grows with one word; the blocks sum what those shards say of it. The
-words' own counts are exact. First words are known by 64 bits of hash; within a
-shard first words by 44 bits, and within their context second ones by 32 and third
-ones by 24.
+A block asks only the shards that own something of it, so there are no more messages
+than distinct trigrams in the blocks: they grow with the text. A frequent word's
+pairs are spread over as many shards as its count asks for, so no shard grows with
+one word; the blocks sum what those shards say of it. The words' own counts are
+exact. First words are known by 64 bits of hash; within a shard first words by 44
+bits, and within their context second and third ones by 32.
 
 Nulls: a null text counts as an empty one, which is one end token; a null doc_id
 is a row like others (and learned from, unless ``held_out`` says otherwise).
@@ -42,6 +46,8 @@ from tessera.llm import words
 
 #: Bytes of text in a block (and about as much in a shard), and trigrams that are sorted at a time.
 BLOCK, PIECE = 13 << 19, 2_000_000
+#: Training tokens behind a word for each shard that its pairs are spread over.
+SPREAD = 1 << 18
 #: Bits of a first word's hash within its shard.
 HASH = 44
 #: What is taken from the count of a word, a pair, a trigram.
@@ -58,6 +64,7 @@ class EliasFano:
         self.n, self.width, self.low, self.high = n, width, low, high
         ones = np.bitwise_count(high).astype(np.int64)
         self.before = np.cumsum(ones) - ones
+        self.zeros = np.arange(len(high)) * 64 - self.before
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -83,61 +90,81 @@ class EliasFano:
         word, by = (bit >> _U(6)).astype(np.int64), bit & _U(63)
         return ((self.low[word] >> by) | ((self.low[word + 1] << _U(1)) << (_U(63) - by))) & _U((1 << self.width) - 1)
 
+    @staticmethod
+    def _select(bits: np.ndarray, before: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """The place of the i-th one of bits; before: ones before each word."""
+        word = np.searchsorted(before, i, side="right") - 1
+        left, at, bits = (i - before[word]).astype(np.uint8), word * 64, bits[word]
+        for half in (32, 16, 8):
+            low = bits & _U((1 << half) - 1)
+            n = np.bitwise_count(low)
+            right = left >= n
+            left = np.where(right, left - n, left)
+            bits = np.where(right, bits >> _U(half), low)
+            at += right * half
+        return at + _SELECT[bits.astype(np.intp), left]
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at places i, by selecting the i-th one of the high bits."""
         i = np.asarray(i, np.int64)
-        word = np.searchsorted(self.before, i, side="right") - 1
-        left, bits, at = i - self.before[word], self.high[word].copy(), word * 64
-        found = np.zeros(len(i), np.int64)
-        done = np.zeros(len(i), bool)
-        for j in range(8):
-            byte = (bits >> _U(8 * j)) & _U(255)
-            ones = np.bitwise_count(byte).astype(np.int64)
-            here = ~done & (left < ones)
-            found[here] = at[here] + 8 * j + _SELECT[byte[here].astype(int), left[here]]
-            done |= here
-            left = np.where(done, left, left - ones)
-        return ((found - i).astype(_U) << _U(self.width)) | self._low(i)
-
-    def all(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))
-        return ((at - np.arange(self.n)).astype(_U) << _U(self.width)) | self._low(np.arange(self.n))
+        return ((self._select(self.high, self.before, i) - i).astype(_U) << _U(self.width)) | self._low(i)
 
     def find(self, targets: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The place of each target within [lo, hi), by successor search; -1 where it isn't."""
-        if not self.n:
-            return np.full(len(targets), -1)
-        if len(targets) * 8 > self.n:  # many: one pass decodes the level, and each searches that
-            values = self.all()
-            at = np.searchsorted(values, targets)
-            ok = at < self.n
-            ok[ok] = values[at[ok]] == targets[ok]
-        else:
-            at, end = lo.astype(np.int64), hi.astype(np.int64)
-            while (open_ := np.flatnonzero(at < end)).size:
-                mid = (at[open_] + end[open_]) >> 1
-                less = self.get(mid) < targets[open_]
-                at[open_[less]], end[open_[~less]] = mid[less] + 1, mid[~less]
-            ok = at < self.n
-            ok[ok] = self.get(at[ok]) == targets[ok]
-        return np.where(ok & (at >= lo) & (at < hi), at, -1)
+        """The place of each target within [lo, hi), by successor search; -1 where it isn't.
+
+        Values that share a target's high bits lie between two zeros of the high bits;
+        what is left of the range is halved by the low bits.
+        """
+        out = np.full(len(targets), -1)
+        high = (targets >> _U(self.width)).astype(np.int64)
+        last = len(self.high) * 64 - self.n if self.n else 0  # zeros that there are
+        ask = np.flatnonzero((lo < hi) & (high < last))
+        if not len(ask):
+            return out
+        h, flipped = high[ask], ~self.high
+        end = self._select(flipped, self.zeros, h) - h
+        at = np.where(h > 0, self._select(flipped, self.zeros, np.maximum(h - 1, 0)) - (h - 1), 0)
+        at, end = np.maximum(at, lo[ask]), np.minimum(end, hi[ask])
+        stop, low = end.copy(), targets[ask] & _U((1 << self.width) - 1)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            mid = (at[open_] + end[open_]) >> 1
+            less = self._low(mid) < low[open_]
+            at[open_[less]], end[open_[~less]] = mid[less] + 1, mid[~less]
+            open_ = open_[at[open_] < end[open_]]
+        ok = np.flatnonzero(at < stop)
+        ok = ok[self._low(at[ok]) == low[ok]]
+        out[ask[ok]] = at[ok]
+        return out
 
     def parts(self) -> list[np.ndarray]:
         return [np.array([self.n, self.width], _U), self.low, self.high]
 
 
-def quantised(p: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit codes, and the value of each code: 0, then the means of 255 bins of equal weight.
+def _table(exact: np.ndarray, grid) -> np.ndarray:
+    """256 rising values: 0, the exact ones, and as many of a grid as are left."""
+    exact = np.unique(np.round(exact, 12))
+    n = 255 - len(exact)
+    while len(out := np.unique(np.r_[0.0, exact, np.round(grid(n), 12)])) < 256:
+        n += 1
+    return out[:256]
+
+
+def _tables(few: int = 14, most: int = 64) -> np.ndarray:
+    """What the codes of shares, probabilities and back-off weights stand for."""
+    c, pair = np.array([(c, p) for p in range(1, few + 1) for c in range(1, p + 1)], float).T
+    odds = lambda n: 1 / (1 + np.exp(-np.linspace(-23, 23, n)))
+    counts = np.arange(1, most) - DISCOUNTS[1]
+    return np.stack([_table(counts, lambda n: np.geomspace(most, 2.0**44, n)), _table((c - DISCOUNTS[2]) / pair, odds), _table(DISCOUNTS[2] * c / pair, odds)])
 
-    weight: how often an entry occurs, so values that many tokens meet are the most exact.
-    """
-    value, code = np.unique(p, return_inverse=True)
-    n = np.bincount(code, weight, len(value)) if len(p) else np.zeros(0)
-    middle = np.cumsum(n) - n / 2
-    of = 1 + np.minimum(254, middle * 255 / max(1.0, float(n.sum()))).astype(np.int64)
-    total = np.bincount(of, n, 256)
-    book = np.bincount(of, n * value, 256) / np.where(total > 0, total, 1)
-    return of.astype(np.uint8)[code], book
+
+_TABLES = _tables()
+
+
+def quantised(kind: int, p: np.ndarray) -> np.ndarray:
+    """The code of the nearest value of a table: 0 for shares, 1 for probabilities, 2 for back-off weights."""
+    table = _TABLES[kind]
+    return np.searchsorted((table[1:] + table[:-1]) / 2, p).astype(np.uint8)
 
 
 class Trie:
@@ -147,10 +174,9 @@ class Trie:
     over shards; prob: of a trigram, given its pair; backoff: of a pair.
     """
 
-    def __init__(self, roots: EliasFano, level2: EliasFano, level3: EliasFano, ptr1: EliasFano, ptr2: EliasFano, codes: list[np.ndarray], books: np.ndarray):
+    def __init__(self, roots: EliasFano, level2: EliasFano, level3: EliasFano, ptr1: EliasFano, ptr2: EliasFano, codes: list[np.ndarray]):
         self.roots, self.level2, self.level3, self.ptr1, self.ptr2 = roots, level2, level3, ptr1, ptr2
         self.share, self.prob, self.backoff = codes
-        self.books = books.reshape(3, 256)
 
     @classmethod
     def build(cls, u: np.ndarray, vw: np.ndarray, count: np.ndarray) -> Trie:
@@ -170,15 +196,15 @@ class Trie:
         node1 = (np.cumsum(new_u) - 1)[at_v]
         sizes2, sizes1 = np.diff(np.r_[at_v, len(u)]), np.bincount(node1, minlength=len(at_u))
         prob = np.maximum(count - DISCOUNTS[2], 0) / pair[node2]
-        made = [quantised(np.maximum(pair - DISCOUNTS[1], 0), pair), quantised(prob, count), quantised(DISCOUNTS[2] * sizes2 / np.maximum(pair, 1), pair)]
+        made = [quantised(0, np.maximum(pair - DISCOUNTS[1], 0)), quantised(1, prob), quantised(2, DISCOUNTS[2] * sizes2 / np.maximum(pair, 1))]
         return cls(
             EliasFano.of(u[at_u]), EliasFano.of(node1.astype(_U) << _U(32) | v[at_v]), EliasFano.of(node2.astype(_U) << _U(32) | w),
             EliasFano.of(np.r_[0, np.cumsum(sizes1)]), EliasFano.of(np.r_[0, np.cumsum(sizes2)]),
-            [c for c, _ in made], np.stack([b for _, b in made]),
+            made,
         )
 
     def save(self, path: str) -> None:
-        parts = [p for e in (self.roots, self.level2, self.level3, self.ptr1, self.ptr2) for p in e.parts()] + [self.share, self.prob, self.backoff, self.books]
+        parts = [p for e in (self.roots, self.level2, self.level3, self.ptr1, self.ptr2) for p in e.parts()] + [self.share, self.prob, self.backoff]
         with open(path, "wb") as f:
             f.write(struct.pack(f"<{len(parts)}q", *(p.nbytes for p in parts)))
             for p in parts:
@@ -188,34 +214,27 @@ class Trie:
     def load(cls, path: str) -> Trie:
         """The levels, mapped from the file."""
         with open(path, "rb") as f:
-            sizes = struct.unpack("<19q", f.read(19 * 8))
-        whole, at, parts = np.memmap(path, np.uint8, "r"), 19 * 8, []
+            sizes = struct.unpack("<18q", f.read(18 * 8))
+        whole, at, parts = np.memmap(path, np.uint8, "r"), 18 * 8, []
         for i, n in enumerate(sizes):
-            parts.append(whole[at : at + n].view(_U if i < 15 else np.float64 if i == 18 else np.uint8))
+            parts.append(whole[at : at + n].view(_U if i < 15 else np.uint8))
             at += n + -n % 8
         own = [EliasFano(int(parts[i][0]), int(parts[i][1]), parts[i + 1], parts[i + 2]) for i in range(0, 15, 3)]
-        return cls(*own, list(parts[15:18]), parts[18])
-
-    def children(self) -> np.ndarray:
-        return np.diff(self.ptr1.all().astype(np.int64))
-
-    def find(self, u: np.ndarray, v: np.ndarray, of_v: np.ndarray, w: np.ndarray, of_w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes of first words, of second ones (of_v: whose they are) and third ones (of_w), or -1."""
-        everything = np.zeros(len(u), np.int64)
-        n1 = self.roots.find(u, everything, everything + self.roots.n)
-
-        def below(node: np.ndarray, symbol: np.ndarray, pointers: EliasFano, level: EliasFano) -> np.ndarray:
-            out, ok = np.full(len(symbol), -1), np.flatnonzero(node >= 0)
-            if len(ok) * 8 > pointers.n:
-                edge = pointers.all().astype(np.int64)
-                lo, hi = edge[node[ok]], edge[node[ok] + 1]
-            else:
-                lo, hi = pointers.get(node[ok]).astype(np.int64), pointers.get(node[ok] + 1).astype(np.int64)
-            out[ok] = level.find(node[ok].astype(_U) << _U(32) | symbol[ok], lo, hi)
-            return out
+        return cls(*own, parts[15:18])
+
+    def find(self, u: np.ndarray, v: np.ndarray, of_v: np.ndarray, w: np.ndarray, of_w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes of first words, of second ones (of_v: whose they are) and third ones (of_w), or -1; and how many children the first have."""
+        n1 = self.roots.find(u, np.zeros(len(u), np.int64), np.full(len(u), self.roots.n))
 
-        n2 = below(n1[of_v], v, self.ptr1, self.level2)
-        return n1, n2, below(n2[of_w], w, self.ptr2, self.level3)
+        def below(node: np.ndarray, symbol: np.ndarray, of: np.ndarray, pointers: EliasFano, level: EliasFano) -> tuple[np.ndarray, np.ndarray]:
+            lo, hi, ok = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.flatnonzero(node >= 0)
+            lo[ok], hi[ok] = pointers.get(node[ok]).astype(np.int64), pointers.get(node[ok] + 1).astype(np.int64)
+            # The parents that aren't there have empty ranges.
+            return level.find(np.maximum(node, 0).astype(_U)[of] << _U(32) | symbol, lo[of], hi[of]), hi - lo
+
+        n2, children = below(n1, v, of_v, self.ptr1, self.level2)
+        n3, _ = below(n2, w, of_w, self.ptr2, self.level3)
+        return n1, n2, n3, children
 
 
 def _packed(*parts: bytes) -> bytes:
@@ -284,22 +303,36 @@ class _Piece:
     def own_words(self, shard: int) -> np.ndarray:
         return self.word_order[self.word_cut[shard] : self.word_cut[shard + 1]]
 
+    def asks(self) -> np.ndarray:
+        """The shards that own a word of this piece."""
+        return np.flatnonzero(np.diff(self.word_cut))
+
     def question(self, shard: int) -> bytes:
         own = self.own_words(shard)
         return _packed(_rising(self.vocabulary[own]), _small(self.own[own]))
 
-    def deal(self, spread: np.ndarray) -> None:
-        """Sort the trigrams and deal them to shards; spread: over how many parts each word's pairs go."""
+    def deal(self, spread: np.ndarray, places: bool = False) -> None:
+        """Sort the trigrams and deal them to shards; spread: over how many parts each word's pairs go.
+
+        places: also number the distinct trigram (at) and the distinct pair (context) that begin at each place.
+        """
         local, at = self.local.astype(_U), self.begins
         a, b, c = local[at], local[at + 1], local[at + 2]
-        key = a << _U(42) | b << _U(21) | c
-        both = np.sort(key << _U(1) | self.learned.astype(_U))
+        both = (a << _U(42) | b << _U(21) | c) << _U(1) | self.learned.astype(_U)
+        del a, b, c
+        order = np.argsort(both) if places else None
+        both = both[order] if places else np.sort(both)
         plain = both >> _U(1)
-        first = np.flatnonzero(np.r_[True, plain[1:] != plain[:-1]])
+        new = np.r_[True, plain[1:] != plain[:-1]]
+        first = np.flatnonzero(new)
         self.key, self.count = plain[first], np.add.reduceat((both & _U(1)).astype(np.int64), first)
         pair = self.key >> _U(21)
         at_pair = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        self.pair, self.keys, self.of = pair[at_pair], key, b << _U(21) | c
+        self.pair = pair[at_pair]
+        if places:
+            self.at = np.empty(len(order), np.int64)
+            self.at[order] = np.cumsum(new) - 1
+            self.context = np.repeat(np.arange(len(at_pair)), np.diff(np.r_[at_pair, len(self.key)]))[self.at]
         first_word = (self.pair >> _U(21)).astype(np.int64)
         u, v = self.vocabulary[first_word], self.vocabulary[(self.pair & _U((1 << 21) - 1)).astype(np.int64)]
         shard_of = lambda u, part: (words.mixed(u + part.astype(_U) * _U(0x9E3779B97F4A7C15)) % _U(self.shards)).astype(np.int64)
@@ -317,6 +350,10 @@ class _Piece:
         self.asked = np.unique(np.c_[shard_of(self.vocabulary[word], part), word], axis=0) if len(wide) else np.zeros((0, 2), np.int64)
         self.asked_cut = np.searchsorted(self.asked[:, 0], np.arange(self.shards + 1))
 
+    def sends(self) -> np.ndarray:
+        """The shards that own a trigram of this piece, or successors of a word in it."""
+        return np.flatnonzero(np.diff(self.pair_cut) + np.diff(self.asked_cut))
+
     def first_words(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
         """The first words that a shard is asked for (local numbers), and how many pairs each has there."""
         u = (self.pair[self.pair_order[self.pair_cut[shard] : self.pair_cut[shard + 1]]] >> _U(21)).astype(np.int64)
@@ -332,7 +369,7 @@ class _Piece:
         top = lambda x: (self.vocabulary[x.astype(np.int64)] >> _U(32)).astype(np.uint32)
         return _packed(
             _rising(self.vocabulary[u] >> _U(64 - HASH)), _small(n), _planes(top(self.pair[pairs] & low)),
-            _small(self.sizes[self.pair_cut[shard] : self.pair_cut[shard + 1]]), _planes(top(self.key[keys] & low) >> np.uint32(8)), _small(self.count[keys]),
+            _small(self.sizes[self.pair_cut[shard] : self.pair_cut[shard + 1]]), _planes(top(self.key[keys] & low)), _small(self.count[keys]),
         )
 
 
@@ -395,8 +432,8 @@ class _Block:
             self.pieces.append(lambda part=part, counts=counts: _Piece(symbols, begins[part], counts, shards))
 
 
-def _answer_words(rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
-    """The words' counts over all pieces, with the shard's tokens and types."""
+def _answer_words(rows: pd.DataFrame) -> Iterator[tuple[int | None, int | None, bytes | None, int | None, int | None]]:
+    """The words' counts over all pieces; and a row with the shard's tokens and types."""
     asked, counts = [], []
     for m in rows.message:
         raw = _unpacked(m)
@@ -406,9 +443,9 @@ def _answer_words(rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
     every, at = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64) if len(every) else np.zeros(0, np.int64)
     real = every != _BEGIN
-    head = struct.pack("<2q", int(total[real].sum()), int((total[real] > 0).sum()))
+    yield None, None, None, int(total[real].sum()), int((total[real] > 0).sum())
     for block, piece, x in zip(rows.block, rows.piece, asked):
-        yield block, piece, _packed(head, _small(total[np.searchsorted(every, x)]))
+        yield block, piece, _packed(_small(total[np.searchsorted(every, x)])), None, None
 
 
 def _answer(rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
@@ -424,59 +461,44 @@ def _answer(rows: pd.DataFrame) -> Iterator[tuple[int, int, bytes]]:
         Trie.build(u[of_v[of]], v[of].astype(_U) << _U(32) | w[seen].astype(_U), count[seen]).save(os.path.join(folder, "trie"))
         del seen, of, count
         trie = Trie.load(os.path.join(folder, "trie"))
-        n1, n2, n3 = trie.find(u, v.astype(_U), of_v, w.astype(_U), of_w)
+        n1, n2, n3, children = trie.find(u, v.astype(_U), of_v, w.astype(_U), of_w)
         value = lambda n, x: np.where(n >= 0, x[np.maximum(n, 0)] if len(x) else 0, 0)
-        children, share, backoff, prob = value(n1, trie.children()), value(n2, trie.share).astype(np.uint8), value(n2, trie.backoff).astype(np.uint8), value(n3, trie.prob).astype(np.uint8)
-        books = trie.books
+        share, backoff, prob = value(n2, trie.share).astype(np.uint8), value(n2, trie.backoff).astype(np.uint8), value(n3, trie.prob).astype(np.uint8)
         del trie
     a = b = c = 0
     for block, piece, x, y, z in zip(rows.block, rows.piece, n_u, n_v, n_w):
-        yield block, piece, _packed(books.astype(np.float32).tobytes(), _small(children[a : a + x]), share[b : b + y].tobytes(), backoff[b : b + y].tobytes(), prob[c : c + z].tobytes())
+        yield block, piece, _packed(_small(children[a : a + x]), share[b : b + y].tobytes(), backoff[b : b + y].tobytes(), prob[c : c + z].tobytes())
         a, b, c = a + x, b + y, c + z
 
 
-class _Counts:
-    """What the shards say of words: totals, and the counts of a piece's words."""
+def _counts(p: _Piece, heard: dict[tuple[int, int], bytes], number: int) -> np.ndarray:
+    """How often each word of a piece occurs in all training texts, as the shards say."""
+    own = np.zeros(len(p.vocabulary), np.int64)
+    for s in p.asks():
+        own[p.own_words(s)] = _unsmall(_unpacked(heard[number, s]), 0)[0]
+    return own
 
-    def __init__(self, answers: dict[tuple[int, int], bytes], shards: int):
-        self.answers, self.shards = answers, shards
-        heads = np.array([struct.unpack_from("<2q", _unpacked(answers[0, s])) for s in range(shards)])
-        self.tokens, self.types = (int(x) for x in heads.sum(0))
 
-    def of(self, number: int, p: _Piece) -> np.ndarray:
-        own = np.zeros(len(p.vocabulary), np.int64)
-        for s in range(self.shards):
-            own[p.own_words(s)] = _unsmall(_unpacked(self.answers[number, s]), 16)[0]
-        return own
-
-    def spread(self, own: np.ndarray) -> np.ndarray:
-        """Parts of each word's pairs: the tokens of a part are a quarter of a shard's share at most."""
-        return 1 + own * 4 * self.shards // max(1, self.tokens)
-
-
-def _scores(block: _Block, counts: _Counts, answers: dict[tuple[int, int], bytes], shards: int) -> pd.DataFrame:
+def _scores(block: _Block, heard: dict[tuple[int, int], bytes], answers: dict[tuple[int, int], bytes], tokens: int, types: int) -> pd.DataFrame:
     n_docs = len(block.n)
     base, score, known = np.zeros(n_docs), np.zeros(n_docs), np.zeros(n_docs, np.int64)
-    tokens, types = counts.tokens, counts.types
     for number, (make, doc) in enumerate(zip(block.pieces, block.docs)):
         p = make()
-        own, successors = counts.of(number, p), np.zeros(len(p.vocabulary), np.int64)
-        p.deal(counts.spread(own))
+        own, successors = _counts(p, heard, number), np.zeros(len(p.vocabulary), np.int64)
+        p.deal(1 + own // SPREAD, places=True)
         share, backoff, prob = np.zeros(len(p.pair), np.float32), np.zeros(len(p.pair), np.float32), np.zeros(len(p.key), np.float32)
-        for s in range(shards):
+        for s in p.sends():
             raw = _unpacked(answers[number, s])
-            books = np.frombuffer(raw, np.float32, 768).reshape(3, 256)
-            x, at = _unsmall(raw, 768 * 4)
+            x, at = _unsmall(raw, 0)
             successors[p.first_words(s)[0]] += x
             a, b = p.pair_cut[s], p.pair_cut[s + 1]
-            share[p.pair_order[a:b]] = books[0][np.frombuffer(raw, np.uint8, b - a, at)]
-            backoff[p.pair_order[a:b]] = books[2][np.frombuffer(raw, np.uint8, b - a, at + b - a)]
+            share[p.pair_order[a:b]] = _TABLES[0][np.frombuffer(raw, np.uint8, b - a, at)]
+            backoff[p.pair_order[a:b]] = _TABLES[2][np.frombuffer(raw, np.uint8, b - a, at + b - a)]
             c, d = p.key_cut[s], p.key_cut[s + 1]
-            prob[p.key_order[c:d]] = books[1][np.frombuffer(raw, np.uint8, d - c, at + 2 * (b - a))]
+            prob[p.key_order[c:d]] = _TABLES[1][np.frombuffer(raw, np.uint8, d - c, at + 2 * (b - a))]
         predicted = np.flatnonzero(p.vocabulary[p.third[: len(doc)]] != _PAD)
-        i3 = np.searchsorted(p.key, p.keys[predicted])
-        context = np.searchsorted(p.pair, p.keys[predicted] >> _U(21))
-        i2 = np.searchsorted(p.pair, p.of[predicted])  # a trigram's last two words begin the text's next one
+        # A trigram's last two words begin the text's next one.
+        i3, context, i2 = p.at[predicted], p.context[predicted], p.context[predicted + 1]
         third, second, of = p.third[predicted], p.second[predicted], doc[predicted]
         c = own[third].astype(float)
         base += np.bincount(of, np.log10((c + 1) / (tokens + types + 1)), n_docs)
@@ -507,42 +529,41 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
             yield pd.DataFrame(out, columns=["block", "pack"])
 
     def ask(own: pd.DataFrame) -> pd.DataFrame:
-        out = [(number, s, p.question(s)) for number, p in enumerate(make() for make in _Block(own["pack"], shards).pieces) for s in range(shards)]
+        out = [(number, s, p.question(s)) for number, p in enumerate(make() for make in _Block(own["pack"], shards).pieces) for s in p.asks()]
         return pd.DataFrame(out, columns=["piece", "shard", "message"]).assign(block=own.block.iloc[0])
 
     def answer_words(own: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_answer_words(own)), columns=["block", "piece", "answer"]).assign(shard=own["shard"].iloc[0])
+        out = pd.DataFrame(list(_answer_words(own)), columns=["block", "piece", "answer", "tokens", "types"])
+        return out.astype(dict.fromkeys(("block", "piece", "tokens", "types"), "Int64")).assign(shard=own["shard"].iloc[0])
 
-    def whole(got: pd.DataFrame, pieces: int) -> dict[tuple[int, int], bytes]:
-        answers = {(p, s): a for p, s, a in zip(got.piece, got["shard"], got.answer)}
-        if len(answers) != pieces * shards:
-            raise ValueError(f"{len(answers)} answers for {pieces} pieces and {shards} shards")
-        return answers
+    def named(got: pd.DataFrame) -> dict[tuple[int, int], bytes]:
+        return {(p, s): a for p, s, a in zip(got.piece, got["shard"], got.answer)}
 
     def send(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        block, out = _Block(own["pack"], shards), []
-        counts = _Counts(whole(got, len(block.pieces)), shards)
-        for number, make in enumerate(block.pieces):
+        heard, out = named(got), []
+        for number, make in enumerate(_Block(own["pack"], shards).pieces):
             p = make()
-            p.deal(counts.spread(counts.of(number, p)))
-            out += [(number, s, p.message(s), counts.answers[number, s]) for s in range(shards)]
-        return pd.DataFrame(out, columns=["piece", "shard", "message", "words"]).assign(block=own.block.iloc[0])
+            p.deal(1 + _counts(p, heard, number) // SPREAD)
+            out += [(number, s, p.message(s)) for s in p.sends()]
+        return pd.DataFrame(out, columns=["piece", "shard", "message"]).assign(block=own.block.iloc[0])
 
     def answer(own: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(list(_answer(own)), columns=["block", "piece", "answer"])
-        return out.assign(shard=own["shard"].iloc[0], words=own.words.to_numpy())
+        return pd.DataFrame(list(_answer(own)), columns=["block", "piece", "answer"]).assign(shard=own["shard"].iloc[0])
 
     def finish(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(own["pack"], shards)
-        answers, heard = whole(got, len(block.pieces)), whole(got.assign(answer=got.words), len(block.pieces))
-        out = _scores(block, _Counts(heard, shards), answers, shards)
+        block, of_words = _Block(own["pack"], shards), got.tokens.isna().to_numpy()
+        known = got[~of_words]
+        out = _scores(block, named(got[of_words]), named(known), int(known.tokens.iloc[0]), int(known.types.iloc[0]))
         out.insert(0, "doc_id", pd.array(block.ids, "Int64"))
         return out.assign(held_out=block.held_out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     texts = rows.mapInPandas(pack, "block long, pack binary").groupBy("block")
     asked = texts.applyInPandas(ask, "piece long, shard long, message binary, block long")
-    heard = asked.groupBy("shard").applyInPandas(answer_words, "block long, piece long, answer binary, shard long")
-    sent = texts.cogroup(heard.groupBy("block")).applyInPandas(send, "piece long, shard long, message binary, words binary, block long")
-    answered = sent.groupBy("shard").applyInPandas(answer, "block long, piece long, answer binary, shard long, words binary")
+    heard = asked.groupBy("shard").applyInPandas(answer_words, "block long, piece long, answer binary, tokens long, types long, shard long")
+    totals = heard.where("block is null").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
+    heard = heard.where("block is not null")
+    sent = texts.cogroup(heard.groupBy("block")).applyInPandas(send, "piece long, shard long, message binary, block long")
+    answered = sent.groupBy("shard").applyInPandas(answer, "block long, piece long, answer binary, shard long").crossJoin(F.broadcast(totals))  # one row
+    answered = answered.unionByName(heard.withColumns({"tokens": F.lit(None).cast("long"), "types": F.lit(None).cast("long")}))
     return texts.cogroup(answered.groupBy("block")).applyInPandas(finish, schema)
