@@ -1,15 +1,19 @@
 """FLAC streams in a binary column: 8-bit mono PCM in, PCM blocks out.
 
-The writer picks, frame by frame, a fixed or a given linear predictor and a Rice
-parameter, and adds a seek table with the sample and byte offset of every frame.
-The reader decodes Rice residuals and predictors of many frames side by side (a
-step of numpy decodes one sample of each), and verifies both checksums of every
-frame and the digest of all samples. With sample offsets it reads the frames of a
+The writer picks, frame by frame, the predictor that takes the fewest bits: one of
+the five fixed ones or a linear one, fitted to the frame by its autocorrelations and
+quantised to 8 bits; and a Rice parameter. It adds a seek table with the sample and
+byte offset of every frame. The reader decodes Rice residuals and predictors of many
+frames side by side (a step of numpy decodes one sample of each), and verifies both
+checksums of every frame and the digest of all samples. It writes blocks of PCM with
+the offset of their first sample; with a range of samples it reads the frames of the
 range alone.
 
-Nulls: a null text or payload counts as an empty one. Payloads of any length are
-coded in frames of BLOCK samples; equal payloads give equal streams. Damaged
-streams raise ValueError. Empty tables give empty results.
+Nulls: a null text or payload counts as an empty one, and a null stream as one of no
+samples. Payloads of any length are coded in frames of BLOCK samples; equal payloads
+give equal streams. A stream without samples gives one empty block. Damaged streams
+raise ValueError. Columns of the input with the names of outputs are replaced. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,11 +24,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Samples in a frame, and bytes of payload that are coded at a time.
-BLOCK, BATCH = 1024, 1 << 20
+#: Samples in a frame, frames in a block of PCM, and bytes of payload that are coded at a time.
+BLOCK, FRAMES, BATCH = 1024, 64, 1 << 20
+#: Coefficients of a linear predictor.
+ORDER = 4
 FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
 _U = np.uint64
 
@@ -60,18 +69,30 @@ def _crc(buf: np.ndarray, start: np.ndarray, size: np.ndarray, table: np.ndarray
     return out
 
 
-def _residuals(x: np.ndarray, coefs: Sequence[int], shift: int) -> np.ndarray:
+def _residuals(x: np.ndarray, coefs: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """What predictors of each row (coefficients, right shift) leave of x."""
     guess = np.zeros_like(x)
-    for j, c in enumerate(coefs, 1):
-        guess[:, j:] += c * x[:, :-j]
-    return x - (guess >> shift)
-
-
-def encode(payloads: Sequence[bytes], linear: Sequence[tuple[Sequence[int], int]] = ()) -> list[bytes]:
-    """A FLAC stream for each payload, whose bytes are samples (less 128).
-
-    linear: further predictors to try, as (coefficients, right shift).
-    """
+    for j in range(coefs.shape[1]):
+        guess[:, j + 1 :] += coefs[:, j, None] * x[:, : -j - 1]
+    return x - (guess >> shift[:, None])
+
+
+def _fitted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linear predictors of the rows of x, by Levinson's recursion: coefficients of 8 bits and their shifts."""
+    y = x.astype(np.float32)
+    r = np.stack([(y[:, : y.shape[1] - j] * y[:, j:]).sum(1, dtype=np.float64) for j in range(ORDER + 1)], 1)
+    error, a = r[:, 0] * (1 + 1e-6) + 1e-3, np.zeros((len(x), ORDER))
+    for i in range(ORDER):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(1)) / error
+        a[:, :i], a[:, i] = a[:, :i] - k[:, None] * a[:, :i][:, ::-1], k
+        error = error * np.maximum(1 - k * k, 1e-6)
+    most = np.maximum(np.abs(a).max(1), 1e-6)
+    shift = np.clip(np.floor(np.log2(127 / most)), 0, 15).astype(np.int32)
+    return np.clip(np.round(a * np.exp2(shift)[:, None]), -127, 127).astype(np.int32), shift
+
+
+def encode(payloads: Sequence[bytes]) -> list[bytes]:
+    """A FLAC stream for each payload, whose bytes are samples (less 128)."""
     sizes = np.array([len(p) for p in payloads], np.int64)
     frames = np.maximum(-(-sizes // BLOCK), 0)
     owner = np.repeat(np.arange(len(payloads)), frames)
@@ -81,27 +102,33 @@ def encode(payloads: Sequence[bytes], linear: Sequence[tuple[Sequence[int], int]
     raw = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128
     inside = np.arange(BLOCK) < n[:, None]
     x[inside] = raw
-    # The predictor with the least sum of residuals, among those shorter than the frame.
-    tries = [(c, 0, 8 + i) for i, c in enumerate(FIXED[:3])] + [(list(c), s, 32 + len(c) - 1) for c, s in linear]
-    best, cost = np.zeros(len(owner), int), np.full(len(owner), np.inf)
-    folded = np.zeros(x.shape, np.uint16)
-    for t, (coefs, shift, _) in enumerate(tries):
-        r = _residuals(x, coefs, shift)
+    # The predictor with the fewest bits, among those shorter than the frame.
+    coefs, shift = _fitted(x)
+    best, least, cost = np.zeros(len(owner), int), np.full(len(owner), np.inf), np.zeros(len(owner))
+    folded, fixed = np.zeros(x.shape, np.uint16), x
+    for t in range(len(FIXED) + 1):
+        own = t if t < len(FIXED) else ORDER
+        r = fixed if t < len(FIXED) else _residuals(x, coefs, shift)
+        if t < len(FIXED) - 1:
+            fixed = np.diff(fixed, axis=1, prepend=0)
         u = np.where(r < 0, -2 * r - 1, 2 * r)
         u[~inside] = 0
-        u[:, : len(coefs)] = 0
-        sum_ = np.where(n > len(coefs), u.sum(1), np.inf)
-        better = sum_ < cost
-        cost[better], best[better] = sum_[better], t
+        u[:, :own] = 0
+        sum_, left = u.sum(1), np.maximum(n - own, 1)
+        k = np.clip(np.floor(np.log2(np.maximum(sum_ / left * 0.7, 1))), 1, 12)
+        bits = np.where(n > own, sum_ / np.exp2(k) + (k + 1) * left + 8 * own + (9 + 8 * ORDER if t == len(FIXED) else 0), np.inf)
+        better = bits < least
+        least[better], best[better], cost[better] = bits[better], t, sum_[better]
         folded[better] = u[better]
-    order = np.array([len(c) for c, _, _ in tries])[best]
+    linear = best == len(FIXED)
+    order = np.where(linear, ORDER, best)
     coded = inside & (np.arange(BLOCK) >= order[:, None])
     count = np.maximum(n - order, 1)
     k = np.clip(np.floor(np.log2(np.maximum(cost / count * 0.7, 1))).astype(int), 1, 12)
     bits = lambda k: ((folded >> k[:, None].astype(np.uint16)) * coded).sum(1) + (k + 1) * (n - order)
     k = np.where(bits(k + 1) < bits(k), k + 1, k)
     quotient = np.where(coded, folded >> k[:, None].astype(np.uint16), 0).astype(np.int64)
-    linear_bits = np.array([9 + 8 * len(c) if kind >= 32 else 0 for c, _, kind in tries])[best]  # 4 + 5 + coefficients of 8 bits
+    linear_bits = np.where(linear, 9 + 8 * ORDER, 0)  # 4 + 5 + coefficients of 8 bits
     body_bits = 8 + 8 * order + linear_bits + 10 + (quotient.sum(1) + (k + 1) * (n - order))
     short = n != BLOCK
     wide = 1 + (number >= 128) + (number >= 2048) + (number >= 65536)
@@ -126,7 +153,7 @@ def encode(payloads: Sequence[bytes], linear: Sequence[tuple[Sequence[int], int]
     buf[at], buf[at + 1] = (n[short] - 1) >> 8, (n[short] - 1) & 0xFF
     buf[begin + head - 1] = _crc(buf, begin, head - 1, _CRC8, 8)
     at = begin + head
-    buf[at] = np.array([kind << 1 for _, _, kind in tries])[best]
+    buf[at] = np.where(linear, 32 + ORDER - 1, 8 + best) << 1
     for j in range(int(order.max(initial=0))):
         m = order > j
         buf[at[m] + 1 + j] = x[m, j].astype(np.uint8)
@@ -141,12 +168,10 @@ def encode(payloads: Sequence[bytes], linear: Sequence[tuple[Sequence[int], int]
             part = np.bincount(byte - lo + j, (v >> (16 - 8 * j) & 0xFF), minlength=1)
             buf[lo : lo + len(part)] += part.astype(np.uint8)
 
-    if linear:
-        for t, (coefs, shift, kind) in enumerate(tries):
-            m = np.flatnonzero((best == t) & (kind >= 32))
-            for field, size in ((7, 4), (shift, 5), *((c & 0xFF, 8) for c in coefs)):
-                put(bit[m], np.full(len(m), field), np.full(len(m), size))
-                bit[m] += size
+    m = np.flatnonzero(linear)
+    for field, size in ((np.full(len(m), 7), 4), (shift[m], 5), *((coefs[m, j] & 0xFF, 8) for j in range(ORDER))):
+        put(bit[m], field, np.full(len(m), size))
+        bit[m] += size
     put(bit, k, np.full(len(k), 10))  # method 0, one partition, its parameter
     bit += 10
     step = np.where(coded, quotient + (k + 1)[:, None], 0)
@@ -350,6 +375,9 @@ def _batches(items: Sequence) -> Iterator[slice]:
         at = end
 
 
+_SILENCE = encode([b""])[0]
+
+
 def padded(text: str | None) -> bytes:
     raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
     return raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
@@ -360,49 +388,89 @@ def write_media(df: DataFrame, text: str = "text", to: str = "media") -> DataFra
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            payloads = [padded(t) for t in batch]
-            yield pd.Series([m for s in _batches(payloads) for m in encode(payloads[s])], dtype=object)
+            texts = list(batch)
+            yield pd.Series([m for s in _batches([range(len(t or "")) for t in texts]) for m in encode([padded(t) for t in texts[s]])], dtype=object)
 
     return df.withColumns({to: F.pandas_udf(run, "binary")(text), "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
 
 
-def read_media(df: DataFrame, media: str = "media", to: str = "pcm") -> DataFrame:
-    """Add the samples of each stream, as unsigned bytes; every checksum is verified."""
+def pcm_blocks(df: DataFrame, media: str = "media", first: int = 0, count: int | None = None) -> DataFrame:
+    """Each stream of df as rows of its other columns, first_sample, samples and pcm (unsigned bytes).
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    A block holds up to FRAMES frames; blocks of a stream follow each other. With ``first``
+    and ``count`` only that range of samples is read, by the seek table. Every checksum of what is read is verified.
+    """
+    made = [T.StructField("first_sample", T.LongType()), T.StructField("samples", T.LongType()), T.StructField("pcm", T.BinaryType())]
+    rest = [f for f in df.schema.fields if f.name != media and f.name.lower() not in ("first_sample", "samples", "pcm")]
+    whole = BLOCK * FRAMES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            streams = list(batch)
-            yield pd.Series([p for s in _batches(streams) for p in decode(streams[s])], dtype=object)
+            held = batch.column(media)
+            for part in _batches([range(n or 0) for n in pc.binary_length(held).to_pylist()]):
+                streams = [m or _SILENCE for m in held[part].to_pylist()]
+                rows = [(i, first + at, p[at : at + whole]) for i, p in enumerate(decode(streams, first, count)) for at in range(0, max(1, len(p)), whole)]
+                row, begin, pcm = zip(*rows)
+                others = batch.slice(part.start, part.stop - part.start).select([f.name for f in rest]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*others.columns, pa.array(begin, pa.int64()), pa.array([len(p) for p in pcm], pa.int64()), pa.array(pcm, pa.binary())], [*others.schema.names, *(f.name for f in made)])
+
+    return df.select(*[f.name for f in rest], media).mapInArrow(run, T.StructType([*rest, *made]))
+
+
+class Digest:
+    """What the query says of a stream's samples, from its blocks one after another."""
 
-    return df.withColumn(to, F.pandas_udf(run, "binary")(media))
+    def __init__(self):
+        self.sha, self.tail, self.n, self.sum, self.energy, self.peak, self.crossings, self.last = hashlib.sha256(), b"", 0, 0, 0, 0, 0, None
 
+    def add(self, pcm: bytes) -> None:
+        self.sha.update(pcm)
+        self.tail = (self.tail + pcm[-64:])[-64:]
+        x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
+        if not len(x):
+            return
+        low = x < 0
+        self.crossings += int(np.count_nonzero(low[1:] != low[:-1])) + int(self.last is not None and self.last != low[0])
+        self.last, self.n, self.sum, self.energy, self.peak = bool(low[-1]), self.n + len(x), self.sum + int(x.sum()), self.energy + int((x * x).sum()), max(self.peak, int(np.abs(x).max()))
 
-def features(pcm: bytes) -> str:
-    """Frames, mean, mean square, peak and zero crossings of the samples."""
-    x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
-    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"frames={-(-len(x) // BLOCK)};sum={int(x.sum())};energy={int((x * x).sum())};peak={int(np.abs(x).max(initial=0))};crossings={crossings}"
+    def feature(self) -> str:
+        """Frames, sum, energy, peak and zero crossings of the samples."""
+        return f"frames={-(-self.n // BLOCK)};sum={self.sum};energy={self.energy};peak={self.peak};crossings={self.crossings}"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Store every text as FLAC, read the stored bytes back, and describe both.
+    """Store every text as FLAC in the shared checkpoint folder, read the stored bytes back as blocks of PCM, and describe both.
 
-    One Python node, a few MB at a time: neither payloads nor streams travel between processes.
+    The table is written as streams, not samples; blocks pass from task to task unwritten, in their streams' order.
     """
+    stored = write_media(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "n_bytes", "media").checkpoint()
+    described = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    names = ("doc_id", "n_bytes", "media_bytes", "media_sha256")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of, out = Digest(), None, []
+
+        def close() -> None:
+            if of is not None:
+                out.append((*of, held.n, held.sha.hexdigest(), zlib.crc32(held.tail), held.feature()))
+
+        def rows() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out) if out else [()] * len(kinds), kinds)], columns)
+            out.clear()
+            return made
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, texts = batch.doc_id, list(batch.text)
-            sizes = [range(len(t or "")) for t in texts]
-            for part in _batches(sizes):
-                payloads = [padded(t) for t in texts[part]]
-                streams = encode(payloads)
-                pcm = decode(streams)
-                yield pd.DataFrame({
-                    "doc_id": ids.iloc[part].to_numpy(), "n_bytes": [0 if t is None else len(t.encode("utf-8", "surrogatepass")) for t in texts[part]],
-                    "payload_bytes": [len(p) for p in pcm], "payload_sha256": [hashlib.sha256(p).hexdigest() for p in pcm], "tail_crc32": [zlib.crc32(p[-64:]) for p in pcm],
-                    "media_bytes": [len(m) for m in streams], "media_sha256": [hashlib.sha256(m).hexdigest() for m in streams], "feature": [features(p) for p in pcm],
-                })
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+            for *own, first, pcm in zip(*(batch.column(c).to_pylist() for c in (*names, "first_sample", "pcm"))):
+                if first == 0:
+                    close()
+                    held, of = Digest(), own
+                held.add(pcm)
+            yield rows()
+        close()
+        yield rows()
+
+    columns = [*names, "payload_bytes", "payload_sha256", "tail_crc32", "feature"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    schema = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+    out = pcm_blocks(described).mapInArrow(fold, schema)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -9,19 +9,45 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import flac
+from tessera.session import with_checkpoints
 
 RNG = np.random.default_rng(0)
 PAYLOADS = [b"", b"a", bytes(64), bytes(range(256)) * 9, RNG.integers(0, 256, 5000).astype(np.uint8).tobytes(), b"\x00\xff" * 3000, b"x" * 150_000, bytes((128 + 50 * np.sin(np.arange(9000) / 9)).astype(np.uint8))]
 
 
-@pytest.mark.parametrize("linear", [(), [([7, -3], 2)], [([120, -60, 2], 6)]])
-def test_round_trip_and_ranges(linear):
-    streams = flac.encode(PAYLOADS, linear)
+def test_round_trip_and_ranges():
+    streams = flac.encode(PAYLOADS)
     assert flac.decode(streams) == PAYLOADS
     for first, count in ((0, 10), (1000, 100), (4000, 5000)):
         assert flac.decode(streams, first, count) == [p[first : first + count] for p in PAYLOADS]
 
 
+def kinds(stream):
+    """The kinds of subframes of a stream, by its seek table."""
+    _, _, points, at = flac._parse(stream)
+    out = []
+    for number, offset, n in zip(range(len(points)), points["offset"].tolist(), points["n"].tolist()):
+        wide = 1 + (number >= 128) + (number >= 2048) + (number >= 65536)
+        out.append(stream[at + offset + 4 + wide + 2 * (n != flac.BLOCK) + 1] >> 1)
+    return out
+
+
+def test_every_predictor_is_written():
+    """Fixed orders 0 to 4 and a fitted one, each where it is the best; all are read back."""
+    t = np.arange(1024)
+    parts = [RNG.integers(-9, 10, 1024), np.cumsum(RNG.integers(-2, 3, 1024)), 100 * np.sin(t / 60), 110 * np.sin(t / 9), 120 * np.sin(t / 25) + 3 * np.sin(t / 3)]
+    for k in (3, 4):
+        x = RNG.integers(-1, 2, 1024).astype(float)
+        for _ in range(k):
+            x = np.cumsum(x) * 0.999
+        parts.append(np.clip(x / np.abs(x).max() * 127, -127, 127))
+    payloads = [bytes((np.round(np.clip(p, -128, 127)) + 128).astype(np.uint8)) for p in parts]
+    streams = flac.encode(payloads)
+    assert flac.decode(streams) == payloads
+    found = {k for s in streams for k in kinds(s)}
+    assert 32 + flac.ORDER - 1 in found and len(found & set(range(8, 13))) >= 3
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.binary(max_size=3000), max_size=5))
 def test_any_payload(payloads):
@@ -56,6 +82,7 @@ def test_damage_is_found(at):
 
 
 def test_digests(spark, sf_dir):
+    with_checkpoints(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "é" * 32), (-4, "a" * 64), (-4, "a" * 64), (-5, "b" * 100_000)], docs.schema)
     docs = docs.unionByName(odd)
@@ -66,6 +93,20 @@ def test_digests(spark, sf_dir):
         payload = flac.padded(texts[r.doc_id])
         assert len(payload) % 64 == 0 and r.payload_bytes == len(payload) > 0 and r.n_bytes == len((texts[r.doc_id] or "").encode())
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
-    back = {r.doc_id: (bytes(r.pcm), r.n_bytes) for r in flac.read_media(flac.write_media(docs)).collect()}
-    assert all(back[r.doc_id] == (flac.padded(texts[r.doc_id]), r.n_bytes) for r in rows)
+        x = np.frombuffer(payload, np.uint8).astype(int) - 128
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert r.feature == f"frames={-(-len(x) // 1024)};sum={x.sum()};energy={(x * x).sum()};peak={abs(x).max()};crossings={crossings}"
+    media = flac.write_media(docs.withColumn("pcm", flac.F.lit(1))).checkpoint()
+    stored = {r.doc_id: bytes(r.media) for r in media.collect()}
+    assert all(r.media_bytes == len(stored[r.doc_id]) and r.media_sha256 == hashlib.sha256(stored[r.doc_id]).hexdigest() for r in rows)
+    assert any(k >= 32 for m in stored.values() for k in kinds(m))  # fitted predictors in the query's own streams
+    back = {}
+    for r in sorted(flac.pcm_blocks(media.where("doc_id <> -4")).collect(), key=lambda r: (r.doc_id, r.first_sample)):
+        assert r.first_sample == len(back.get(r.doc_id, b"")) and r.samples == len(r.pcm) <= flac.BLOCK * flac.FRAMES
+        back[r.doc_id] = back.get(r.doc_id, b"") + bytes(r.pcm)
+    assert back == {i: flac.padded(t) for i, t in texts.items() if i != -4}
+    some = flac.pcm_blocks(media.where("doc_id = -5"), first=70_000, count=5_000).collect()
+    assert [(r.first_sample, r.samples, bytes(r.pcm)) for r in some] == [(70_000, 5_000, b"b" * 5_000)]
+    nothing = spark.createDataFrame([(1, None)], "doc_id long, media binary")
+    assert [(r.doc_id, r.first_sample, r.samples) for r in flac.pcm_blocks(nothing).collect()] == [(1, 0, 0)]
     assert flac.digests(docs.limit(0)).count() == 0
