@@ -1,33 +1,40 @@
 """Passages that documents share, also with some words changed: seeds, chains, alignment.
 
 Seeds are all runs of SEED words: a passage of MIN_WORDS words with a share of IDENTITY
-matches has FEWEST at least, wherever the changed words are. Every place of a seed is
-tied to the seed's first place: the one of the least document id, first within a UNIT of
-a task's texts, then among the units' first places. So a passage is found as often as a
-document holds it, and rows grow with the text, not with the square of a group of copies.
-Seeds travel packed by bucket of their hash; 52 bits of it tell them apart, as alignment
-compares the words. Places with fewer than FEWEST tied ones near them are left out.
+matches has FEWEST at least, wherever the changed words are. Documents are dealt into
+units by their ids. A unit asks the buckets of its seeds once for each distinct seed,
+with the seed's first place in the unit; the bucket answers with the first place of all
+(the one of the least document id). So every place of a seed is tied to one other place,
+whatever the batches and units are, a passage is found as often as a document holds it,
+and rows grow with the text: a seed that a third of all documents hold is one entry of
+each unit. Places with fewer than FEWEST tied ones near them are left out.
 
 A document's seeds with the same earlier document are chained by a tree of best
 scores: ordered matches on both sides at most GAP words apart, a cost for each word
-between them.
-Chains are aligned word by word (matches along diagonals, short gaps by dynamic
-programming) and extended at both ends. Alignments
+between them. Chains are aligned word by word (matches along diagonals, short gaps by
+dynamic programming) and extended at both ends, in the unit of the later document,
+which asks the other units for blocks of words, once for each block. Alignments
 with a share of IDENTITY matches that follow each other within JOIN words make a
 passage, also if they are tied to different documents; it has at least MIN_WORDS words.
 
 Null ids take no part; null texts count as empty ones. A document is not compared
 with itself, so rows that repeat do not make passages of each other, and neither do
-repeats within a text (of an earlier document's passage, each copy is found). Documents may have any length. An empty table gives an empty
-result.
+repeats within a text (of an earlier document's passage, each copy is found). An id
+with several texts is one document, whose texts are not compared with each other;
+``digest`` says which of them a place is in. Documents may have any length. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,32 +46,33 @@ GAP, COST = 42, 0.15
 MIN_WORDS, IDENTITY = 45, 0.8
 #: Words of an alignment at least, and between alignments of one passage at most.
 PART, JOIN = 12, 16
-#: Words that a chain may be extended by at each end, and words in a block that is sent to be aligned.
-REACH, BLOCK = 32, 64
+#: Words that a chain may be extended by at each end, words in a block that is sent to be aligned, and words between texts of one id.
+REACH, BLOCK, PAD = 32, 64, 64
 #: Tied places within MIN_WORDS words, by the q-gram lemma 36 - 10 * 3 = 6; one less for words that are missing.
 FEWEST = 5
 #: Words between seeds of one segment at most.
 SAME = 10
-#: Bytes of text whose seeds are tied at a time, and buckets of hashes (raise them with the corpus).
-UNIT, BUCKETS = 1 << 22, 1 << 12
+#: Bytes of text in a unit, and of text whose seeds are a bucket's: both grow in number with the corpus.
+UNIT, BUCKET = 1 << 22, 1 << 18
 _U = np.uint64
 
 
 def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash (52 bits), number of the text and place (word) of all seeds."""
+    """Hash, number of the text and place (word) of all seeds."""
     h, n = words.hashes(texts)
     run, k = words.shingles(h, n, SEED)
-    return run >> _U(12), np.repeat(np.arange(len(texts)), k), np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
+    return run, np.repeat(np.arange(len(texts)), k), np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
 
 
 def _packed(*columns: np.ndarray) -> bytes:
     """Columns of int64, a row of lowest bytes, of next bytes and so on, without the highest ones that are zero everywhere."""
     planes = [np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T for c in columns]
     used = [max(1, 1 + int(np.flatnonzero(p.any(1)).max(initial=0))) for p in planes]
-    return bytes(used) + b"".join(p[:k].tobytes() for p, k in zip(planes, used))
+    return zstandard.ZstdCompressor(level=1).compress(bytes(used) + b"".join(p[:k].tobytes() for p, k in zip(planes, used)))
 
 
 def _unpacked(raw: bytes, n: int) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
     used, at, out = raw[:n], 0, []
     planes = np.frombuffer(raw, np.uint8, offset=n).reshape(sum(used), -1)
     for k in used:
@@ -75,66 +83,101 @@ def _unpacked(raw: bytes, n: int) -> list[np.ndarray]:
     return out
 
 
-def _first(run: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows sorted by seed, document and place, and the row of the first place of each row's seed."""
-    order = np.lexsort((place, doc, run))
-    run, doc, place = run[order], doc[order], place[order]
-    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, int)
-    return run, doc, place, np.repeat(first, np.diff(np.r_[first, len(run)]))
-
-
-def _runs(doc: np.ndarray, pos: np.ndarray, ref: np.ndarray, ref_pos: np.ndarray) -> list[np.ndarray]:
-    """Ties that follow each other on both sides as one: doc, pos, ref, ref_pos, n."""
-    order = np.lexsort((pos, pos - ref_pos, ref, doc))
-    doc, pos, ref, ref_pos = doc[order], pos[order], ref[order], ref_pos[order]
-    new = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(ref) != 0) | (np.diff(pos) != 1) | (np.diff(ref_pos) != 1)]) if len(doc) else np.zeros(0, int)
-    return [doc[new], pos[new], ref[new], ref_pos[new], np.diff(np.r_[new, len(doc)])]
-
-
-def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Packed rows of units of texts: first places of seeds by bucket, and what later places are tied to."""
-    for batch in batches:
-        ids, texts, at, held = batch.doc_id.to_numpy(np.int64), words.encoded(batch.text), 0, 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held < UNIT and i < len(texts) - 1:
-                continue
-            run, owner, place = seeds(texts[at : i + 1])
-            run, doc, place, of = _first(run.view(np.int64), ids[at + owner], place)
-            at, held = i + 1, 0
-            if not len(run):
-                continue
-            later, base = doc != doc[of], int(doc.min())
-            tied = _packed(*(x - y for x, y in zip(_runs(doc[later], place[later], doc[of][later], place[of][later]), (base, 0, base, 0, 0))))
-            run, doc, place = run[~later], doc[~later] - base, place[~later]
-            edge = np.searchsorted(run, np.arange(BUCKETS + 1) * (2**52 // BUCKETS))
-            full = np.flatnonzero(np.diff(edge))
-            rows = [(int(b), base, _packed(run[lo:hi] - int(b) * (2**52 // BUCKETS), doc[lo:hi], place[lo:hi])) for b, lo, hi in zip(full, edge[full], edge[full + 1])]
-            if later.any():
-                rows.append((BUCKETS + (base + i) % BUCKETS, base, tied))
-            yield pd.DataFrame(rows, columns=["bucket", "base", "held"])
-
-
-def _tied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ties of whole buckets."""
-    columns = ["doc", "pos", "ref", "ref_pos", "n"]
-    for rows in _whole(batches, ["bucket"], 1):
-        for bucket, own in rows.groupby("bucket"):
-            if bucket >= BUCKETS:
-                for base, held in zip(own.base, own.held):
-                    doc, pos, ref, ref_pos, n = _unpacked(held, 5)
-                    yield pd.DataFrame(dict(zip(columns, (doc + base, pos, ref + base, ref_pos, n))))
-                continue
-            parts = [(run, doc + base, pos) for base, (run, doc, pos) in zip(own.base, (_unpacked(held, 3) for held in own.held))]
-            _, doc, pos, of = _first(*(np.concatenate(x) for x in zip(*parts)))
-            later = doc != doc[of]
-            yield pd.DataFrame(dict(zip(columns, (doc[later], pos[later], doc[of][later], pos[of][later], np.ones(later.sum(), int)))))
-
-
-def ties(docs: DataFrame) -> DataFrame:
-    """(doc, pos, ref, ref_pos, n): n places of seeds from pos on, and an earlier document's places of the same seeds."""
-    found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInPandas(_local, "bucket int, base long, held binary")
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_tied, "doc long, pos int, ref long, ref_pos int, n int")
+def _pack(rows: pd.DataFrame) -> bytes:
+    """Ids and texts of some documents, in one blob."""
+    texts = words.encoded(rows.text)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([struct.pack("<q", len(texts)), rows.doc_id.to_numpy(np.int64).tobytes(), sizes.tobytes(), *texts]))
+
+
+def _unpack(blob: bytes) -> Iterator[tuple[int, bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    (n,) = struct.unpack_from("<q", raw)
+    ids, sizes = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, n, 8 + 8 * n)
+    end = 8 + 16 * n + np.cumsum(sizes)
+    for i in range(n):
+        yield int(ids[i]), raw[end[i] - sizes[i] : end[i]]
+
+
+def bucket_bits(size: int) -> int:
+    """Buckets are a power of two; a seed is known by that many bits and 32 more."""
+    return max(4, (size // BUCKET).bit_length())
+
+
+class _Unit:
+    """The texts of a unit by id: distinct ones, and the places of their words."""
+
+    def __init__(self, packs):
+        rows = sorted({row for pack in packs for row in _unpack(bytes(pack))})
+        self.texts = [t for _, t in rows]
+        self.ids = np.array([i for i, _ in rows], np.int64)
+        h, self.n = words.hashes(self.texts)
+        # An id's texts follow each other with PAD words between them; chains don't reach across.
+        self.offset = np.zeros(len(rows), np.int64)
+        for i in np.flatnonzero(self.ids[1:] == self.ids[:-1]) + 1:
+            self.offset[i] = self.offset[i - 1] + self.n[i - 1] + PAD
+        self.begin = np.cumsum(self.n) - self.n
+        self.words = (h >> _U(48)).astype(np.uint16)
+        self.run, k = words.shingles(h, self.n, SEED)
+        del h
+        self.owner = np.repeat(np.arange(len(rows)), k)
+        self.place = np.arange(len(self.run)) - np.repeat(np.cumsum(k) - k, k) + self.offset[self.owner]
+
+    def sort(self, bits: int) -> None:
+        """Places by seed, document and place; the distinct seeds and their first places."""
+        self.order = np.argsort(self.run, kind="stable")
+        key = self.run[self.order] >> _U(32 - bits)
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        self.of, self.key = np.cumsum(new) - 1, key[first]
+        self.first = self.order[first]
+        self.edge = np.searchsorted(self.key, np.arange((1 << bits) + 1, dtype=_U) << _U(32))
+
+    def questions(self) -> Iterator[tuple[int, int, bytes]]:
+        """(bucket, base, packed seeds with their first documents and places) of each bucket."""
+        base = int(self.ids[0]) if len(self.ids) else 0
+        doc, place, low = self.ids[self.owner[self.first]] - base, self.place[self.first], (self.key & _U(0xFFFFFFFF)).astype(np.int64)
+        for b in np.flatnonzero(np.diff(self.edge)):
+            part = slice(self.edge[b], self.edge[b + 1])
+            yield int(b), base, _packed(np.diff(low[part], prepend=0), doc[part], place[part])
+
+    def ties(self, bits: int, buckets, bases, answers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place, other document and place there of all places that are tied, by document, other one and place."""
+        self.sort(bits)
+        ref, ref_place = self.ids[self.owner[self.first]], self.place[self.first].copy()
+        for b, base, raw in zip(buckets, bases, answers):
+            at, n = int(self.edge[b]), int(self.edge[b + 1] - self.edge[b])
+            size = -(-n // 8)
+            tied = at + np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, size), count=n))
+            doc, place = _unpacked(raw[size:], 2)
+            ref[tied], ref_place[tied] = doc + base, place
+        text, place, ref, ref_place = self.owner[self.order], self.place[self.order], ref[self.of], ref_place[self.of]
+        tied = np.flatnonzero(self.ids[text] != ref)
+        text, place, ref, ref_place = text[tied], place[tied], ref[tied], ref_place[tied]
+        order = np.lexsort((place, ref, self.ids[text]))
+        text, place, ref, ref_place = text[order], place[order], ref[order], ref_place[order]
+        kept = _dense(self.ids[text], place)
+        return text[kept], place[kept], ref[kept], ref_place[kept]
+
+
+def _answer(rows: pd.DataFrame) -> Iterator[tuple[int, int, int, bytes]]:
+    """For each unit's seeds of a bucket: which are tied, and the first documents and places of those."""
+    parts = [_unpacked(bytes(held), 3) for held in rows.held]
+    sizes = [len(p[0]) for p in parts]
+    key, doc, place = (np.concatenate([f(p, int(base)) for p, base in zip(parts, rows["at"])]) for f in (lambda p, _: np.cumsum(p[0]), lambda p, base: p[1] + base, lambda p, _: p[2]))
+    order = np.lexsort((place, doc, key))
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    first = np.empty(len(key), np.int64)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    tied = doc != doc[first]
+    at = 0
+    for unit, n in zip(rows.unit, sizes):
+        own = tied[at : at + n]
+        if own.any():
+            ref = first[at : at + n][own]
+            base = int(doc[ref].min())
+            yield unit, base, np.packbits(own).tobytes() + _packed(doc[ref] - base, place[ref])
+        at += n
 
 
 _NONE = (-1e18, -1)
@@ -213,28 +256,6 @@ def chains(pos: np.ndarray, ref: np.ndarray) -> list[list[tuple[int, int, int]]]
     return out
 
 
-def _whole(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iterator[pd.DataFrame]:
-    """Rows in whole groups, many groups at a time, from batches sorted by keys."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if len(batch):
-            held.append(batch)
-        if sum(map(len, held)) >= most:
-            rows = pd.concat(held, ignore_index=True)
-            key = rows[keys].to_numpy()
-            last = np.flatnonzero((key != key[-1]).any(1))
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield rows.iloc[:cut]
-            held = [rows.iloc[cut:]]
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _edges(key: np.ndarray) -> np.ndarray:
-    return np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
-
-
 def _dense(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Which places have FEWEST tied ones (with themselves) within MIN_WORDS words."""
     u, of = np.unique((np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) << 32) + pos, return_inverse=True)
@@ -245,21 +266,6 @@ def _dense(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return kept[of]
 
 
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chains of each document that may be parts of passages: a document's seeds are a group."""
-    for rows in _whole(batches, ["doc"], 50_000):
-        doc, ref, pos, ref_pos, n = (rows[c].to_numpy(np.int64) for c in ("doc", "ref", "pos", "ref_pos", "n"))
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        doc, ref, pos, ref_pos = np.repeat(doc, n), np.repeat(ref, n), np.repeat(pos, n) + step, np.repeat(ref_pos, n) + step
-        kept = _dense(doc, pos)
-        doc, ref, pos, ref_pos = doc[kept], ref[kept], pos[kept], ref_pos[kept]
-        out, cut = [], _edges(np.c_[doc, ref]) if len(doc) else []
-        for a, b in zip(cut[:-1], cut[1:]):
-            for chain in chains(pos[a:b], ref_pos[a:b]):
-                out.append((doc[a], ref[a], chain[0][0], chain[-1][1] + SEED, chain[0][2], chain[-1][2] + chain[-1][1] - chain[-1][0] + SEED, np.array(chain, np.int32).tobytes()))
-        yield pd.DataFrame(out, columns=["doc", "ref", "a", "b", "c", "d", "segments"])
-
-
 def _matches(x: np.ndarray, y: np.ndarray) -> int:
     """Words of a longest common subsequence of two short gaps."""
     if not len(x) or not len(y):
@@ -302,84 +308,133 @@ def align(segments: np.ndarray, x: np.ndarray, x_at: int, y: np.ndarray, y_at: i
     return a - left, b + right, c - left, d + right, (hits + grown) / (size + left + right)
 
 
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in _whole(batches, ["doc", "ref", "a", "c"], 5_000):
-        out, cut = [], _edges(rows[["doc", "ref", "a", "c"]].to_numpy())
-        side, block, raw, segments, doc, ref = (rows[c].to_numpy() for c in ("side", "block", "words", "segments", "doc", "ref"))
-        for a, b in zip(cut[:-1], cut[1:]):
-            parts = []
-            for of in (0, 1):
-                own = a + np.flatnonzero(side[a:b] == of)
-                parts += [np.concatenate([np.frombuffer(raw[i], np.uint16) for i in own]), int(block[own[0]]) * BLOCK]
-            chain = np.frombuffer(next(s for s in segments[a:b] if s is not None), np.int32).reshape(-1, 3)
-            start, end, r_start, r_end, share = align(chain, *parts)
-            if end - start >= PART and share >= IDENTITY:
-                out.append((doc[a], start, end, ref[a], r_start, r_end, share))
-        yield pd.DataFrame(out, columns=["doc_id", "start_word", "end_word", "ref_id", "ref_start", "ref_end", "identity"])
-
-
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Wanted blocks of a text's words, 16 bits of hash each."""
-    for batch in batches:
-        out = []
-        for doc, text, wanted in zip(batch.doc, batch.text, batch.wanted):
-            h, _ = words.hashes(words.encoded([text]))
-            short = (h >> _U(48)).astype(np.uint16)
-            out += [(doc, n, short[n * BLOCK : (n + 1) * BLOCK].tobytes()) for n in sorted(wanted)]
-        yield pd.DataFrame(out, columns=["of", "n", "words"])
+def _blocks_of(ref: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and numbers of the distinct blocks that hold words lo to hi - 1, and REACH more on both sides."""
+    a, b = np.maximum(0, lo - REACH) // BLOCK, (hi + REACH - 1) // BLOCK
+    n = b - a + 1
+    block = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    both = np.unique(np.stack([np.repeat(ref, n), block], 1), axis=0) if len(n) else np.zeros((0, 2), np.int64)
+    return both[:, 0], both[:, 1]
+
+
+def _sent(unit: _Unit, docs: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Words of wanted blocks, 16 bits of hash each."""
+    for doc, group in pd.Series(blocks).groupby(docs):
+        own = np.arange(*np.searchsorted(unit.ids, (doc, doc + 1)))
+        whole = np.zeros(int(unit.offset[own[-1]] + unit.n[own[-1]]), np.uint16)
+        for t in own:
+            whole[unit.offset[t] : unit.offset[t] + unit.n[t]] = unit.words[unit.begin[t] : unit.begin[t] + unit.n[t]]
+        for n in group:
+            if len(part := whole[n * BLOCK : (n + 1) * BLOCK]):
+                yield int(doc), int(n), part.tobytes()
+
+
+def _aligned(unit: _Unit, text: np.ndarray, place: np.ndarray, ref: np.ndarray, ref_place: np.ndarray, held: dict[tuple[int, int], bytes]) -> Iterator[tuple]:
+    """Chains of each document of a unit with each earlier one, aligned."""
+    doc = unit.ids[text]
+    cut = np.r_[0, np.flatnonzero((doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1])) + 1, len(doc)] if len(doc) else [0]
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        other = int(ref[lo])
+        for chain in chains(place[lo:hi], ref_place[lo:hi]):
+            t = text[lo + np.searchsorted(place[lo:hi], chain[0][0])]
+            start, end = int(unit.offset[t]), int(unit.offset[t] + unit.n[t])
+            x_at = max(start, chain[0][0] - REACH)
+            x = unit.words[unit.begin[t] + x_at - start : unit.begin[t] + min(end, chain[-1][1] + SEED + REACH) - start]
+            last = chain[-1][2] + chain[-1][1] - chain[-1][0] + SEED
+            first = max(0, chain[0][2] - REACH) // BLOCK
+            y = b"".join(held.get((other, n), b"") for n in range(first, (last + REACH - 1) // BLOCK + 1))
+            a, b, c, d, share = align(np.array(chain, np.int32), x, x_at, np.frombuffer(y, np.uint16), first * BLOCK)
+            if b - a >= PART and share >= IDENTITY:
+                yield int(unit.ids[t]), int(t), a, b, other, c, d, share
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, start_word, end_word, ref_id, ref_start, ref_end, identity, passage of each alignment.
+    """doc_id, start_word, end_word, ref_id, ref_start, ref_end, identity, passage, digest of each alignment.
 
     passage numbers the document's passages; ref_id is an earlier document (of lesser id) that has the passage; a document that
-    shares a passage with no earlier one appears as a ref_id alone.
+    shares a passage with no earlier one appears as a ref_id alone. digest: MD5 of the text that the words are in.
     """
-    tied = ties(docs).repartition("doc").sortWithinPartitions("doc", "ref", "pos")
-    chained = tied.mapInPandas(_chain, "doc long, ref long, a int, b int, c int, d int, segments binary").checkpoint()
-    # Both sides of a chain as blocks of words; a text sends each of its blocks once, however many chains ask.
-    span = lambda lo, hi: F.sequence(F.greatest(F.lit(0), F.floor((F.col(lo) - REACH) / BLOCK)).cast("int"), F.floor((F.col(hi) + REACH - 1) / BLOCK).cast("int"))
-    key = ("doc", "ref", "a", "c")
-    one = chained.select(*key, "segments", F.lit(0).alias("side"), F.col("doc").alias("of"), F.posexplode(span("a", "b")).alias("k", "block"))
-    two = chained.select(*key, F.lit(None).cast("binary").alias("segments"), F.lit(1).alias("side"), F.col("ref").alias("of"), F.posexplode(span("c", "d")).alias("k", "block"))
-    asked = one.withColumn("segments", F.when(F.col("k") == 0, F.col("segments"))).unionByName(two).drop("k")
-    wanted = asked.select("of", "block").distinct().groupBy("of").agg(F.collect_list("block").alias("wanted"))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(wanted, texts.doc == wanted.of).dropDuplicates(["doc"]).select("doc", "text", "wanted")
-    blocks = found.mapInPandas(_blocks, "of long, n int, words binary").where("length(words) > 0")
-    asked = asked.join(blocks.withColumnRenamed("n", "block"), ["of", "block"])
-    lined = asked.repartition(*key).sortWithinPartitions(*key, "side", "block")
-    parts = lined.select(*key, "side", "block", "segments", "words").mapInPandas(_align, "doc_id long, start_word int, end_word int, ref_id long, ref_start int, ref_end int, identity double")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    units, bits = int(size // UNIT) + 1, bucket_bits(int(size))
+    unit_of = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(units))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", unit_of("doc_id").alias("unit"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(unit, _pack(own)) for unit, own in batch.groupby("unit")], columns=["unit", "pack"])
+
+    def ask(own: pd.DataFrame) -> pd.DataFrame:
+        unit = _Unit(own["pack"])
+        unit.sort(bits)
+        return pd.DataFrame(list(unit.questions()), columns=["bucket", "at", "held"]).assign(unit=own.unit.iloc[0])
+
+    def answer(own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(_answer(own)), columns=["unit", "at", "held"]).assign(bucket=own.bucket.iloc[0])
+
+    def want(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        _, _, ref, place = _Unit(own["pack"]).ties(bits, got.bucket, got["at"], got.held)
+        doc, block = _blocks_of(ref, place, place + SEED)
+        return pd.DataFrame({"doc": doc, "block": block, "back": own.unit.iloc[0]})
+
+    def send(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        if not len(got):
+            return pd.DataFrame({"at": [], "block": [], "held": [], "unit": []})
+        asked = got[["doc", "block"]].drop_duplicates()
+        sent = list(_sent(_Unit(own["pack"]), asked.doc.to_numpy(), asked.block.to_numpy()))
+        sent = pd.DataFrame({"doc": np.array([x[0] for x in sent], np.int64), "block": np.array([x[1] for x in sent], np.int64), "held": [x[2] for x in sent]})
+        return got.merge(sent, on=["doc", "block"])[["doc", "block", "held", "back"]].rename(columns={"doc": "at", "back": "unit"})
+
+    def finish(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(got):
+            unit, answers, blocks = _Unit(own["pack"]), got[got.bucket >= 0], got[got.bucket < 0]
+            held = dict(zip(zip(blocks["at"], blocks.block), blocks.held))
+            for _, t, a, b, other, c, d, share in _aligned(unit, *unit.ties(bits, answers.bucket, answers["at"], answers.held), held):
+                out.append((int(unit.ids[t]), a, b, other, c, d, share, int(unit.offset[t]), hashlib.md5(unit.texts[t]).hexdigest()))
+        return pd.DataFrame(out, columns=["doc_id", "start_word", "end_word", "ref_id", "ref_start", "ref_end", "identity", "offset", "digest"])
+
+    texts = rows.mapInPandas(pack, "unit long, pack binary").groupBy("unit")
+    asked = texts.applyInPandas(ask, "bucket long, at long, held binary, unit long")
+    answered = asked.groupBy("bucket").applyInPandas(answer, "unit long, at long, held binary, bucket long")
+    wanted = texts.cogroup(answered.groupBy("unit")).applyInPandas(want, "doc long, block long, back long").withColumn("unit", unit_of("doc"))
+    blocks = texts.cogroup(wanted.groupBy("unit")).applyInPandas(send, "at long, block long, held binary, unit long")
+    both = answered.withColumn("block", F.lit(0).cast("long")).unionByName(blocks.withColumn("bucket", F.lit(-1).cast("long")))
+    parts = texts.cogroup(both.groupBy("unit")).applyInPandas(finish, "doc_id long, start_word int, end_word int, ref_id long, ref_start int, ref_end int, identity double, offset int, digest string")
     in_order = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "ref_id", "ref_start")
     before = F.max("end_word").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("new", F.coalesce((F.col("start_word") > before + JOIN).cast("int"), F.lit(0)))
     parts = parts.withColumn("passage", F.sum("new").over(in_order).cast("int"))
     own = Window.partitionBy("doc_id", "passage")
-    whole = parts.withColumn("n", F.max("end_word").over(own) - F.min("start_word").over(own))
-    return whole.where(F.col("n") >= MIN_WORDS).drop("new", "n")
+    whole = parts.withColumn("n", F.max("end_word").over(own) - F.min("start_word").over(own)).where(F.col("n") >= MIN_WORDS)
+    places = [(F.col(c) - F.col("offset")).cast("int").alias(c) for c in ("start_word", "end_word")]
+    return whole.select("doc_id", *places, "ref_id", "ref_start", "ref_end", "identity", "passage", "digest")
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts have lost their __spans."""
     for batch in batches:
-        out = []
-        for text, spans in zip(batch.text, batch["__spans"]):
-            raw = words.encoded([text])[0]
-            _, starts, ends, _ = words.spans([raw])
-            keep, at = [], 0
-            for s in sorted(spans, key=lambda s: s["start_word"]):
-                lo, hi = int(starts[s["start_word"]]) - 1, int(ends[min(s["end_word"], len(ends)) - 1]) - 1
-                keep.append(raw[at : max(at, lo)])
-                at = max(at, hi)
-            out.append(b"".join([*keep, raw[at:]]).decode("utf-8", "surrogatepass"))
-        yield batch.assign(text=out).drop(columns="__spans")
+        for at in range(0, batch.num_rows, 128):
+            part, out = batch.slice(at, 128), []
+            for text, spans in zip(part.column("text").to_pylist(), part.column("__spans").to_pylist()):
+                raw = words.encoded([text])[0]
+                _, starts, ends, _ = words.spans([raw])
+                keep, end = [], 0
+                for s in sorted(spans, key=lambda s: s["start_word"]):
+                    lo, hi = int(starts[s["start_word"]]) - 1, int(ends[min(s["end_word"], len(ends)) - 1]) - 1
+                    keep.append(raw[end : max(end, lo)])
+                    end = max(end, hi)
+                out.append(b"".join([*keep, raw[end:]]).decode("utf-8", "surrogatepass"))
+            names = [n for n in part.schema.names if n != "__spans"]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else part.column(n) for n in names], names)
 
 
 def without(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) without the passages that earlier documents have; texts without words left go."""
-    spans = find(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans")).checkpoint()
-    known = docs.where("doc_id is not null")
-    hit = known.join(spans, "doc_id")
-    left = hit.select(*docs.columns, "__spans").mapInPandas(_cut, docs.schema).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    rest = known.join(spans, "doc_id", "left_anti").select(*docs.columns)
+    spans = find(docs).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__of")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans")).checkpoint()
+    known = docs.where("doc_id is not null").withColumn("__digest", F.md5(F.coalesce("text", F.lit(""))))
+    on = (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__of"))
+    hit = known.join(spans, on)
+    left = hit.select(*docs.columns, "__spans").mapInArrow(_cut, docs.schema).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    rest = known.join(spans, on, "left_anti").select(*docs.columns)
     out = left.unionByName(rest).unionByName(docs.where("doc_id is null"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

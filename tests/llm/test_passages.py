@@ -1,9 +1,11 @@
 """Planted passages are found in place, clean texts are left alone, chains are the best ones."""
 
+import hashlib
 import random
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,16 +59,80 @@ def test_planted(spark):
             assert left[i].text == t
 
 
-def test_small_batches_give_the_same(spark):
+def _key(r):
+    return tuple(r[c] for c in ("doc_id", "start_word", "end_word", "ref_id", "ref_start", "ref_end", "passage", "digest"))
+
+
+def brute(rows):
+    """The same passages from dictionaries over all documents at once: no units, buckets, blocks or joins."""
+    texts = {i: [t for _, t in g] for i, g in groupby(sorted({(i, t or "") for i, t in rows if i is not None}), key=lambda x: x[0])}
+    first, ties, stream = {}, {}, {}
+    for i, own in texts.items():
+        at, ties[i], stream[i] = 0, [], {}
+        for t in own:
+            w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in t.split()]
+            stream[i] |= {at + k: x for k, x in enumerate(w)}
+            for k in range(len(w) - passages.SEED + 1):
+                ref = first.setdefault(tuple(w[k : k + passages.SEED]), (i, at + k))
+                if ref[0] != i:
+                    ties[i].append((at + k, *ref))
+            at += len(w) + passages.PAD
+    out = []
+    for i, own in ties.items():
+        place = [p for p, *_ in own]
+        kept = [t for t in own if any(sum(s <= p <= s + passages.MIN_WORDS - passages.SEED for p in place) >= passages.FEWEST for s in place if s <= t[0] <= s + passages.MIN_WORDS - passages.SEED)]
+        number = {}
+        ids = lambda x: np.array([number.setdefault(w, len(number)) for w in x])
+        parts = []
+        for ref in sorted({r for _, r, _ in kept}):
+            pos, at = np.array([(p, q) for p, r, q in kept if r == ref]).T
+            for chain in passages.chains(pos, at):
+                lo, hi = chain[0][0], chain[-1][1] + passages.SEED
+                while lo - 1 in stream[i] and lo > chain[0][0] - passages.REACH:
+                    lo -= 1
+                while hi in stream[i] and hi < chain[-1][1] + passages.SEED + passages.REACH:
+                    hi += 1
+                x, last = ids([stream[i][k] for k in range(lo, hi)]), max(stream[ref]) + 1
+                y = ids([stream[ref].get(k, ("gap", k)) for k in range(last)])
+                a, b, c, d, share = passages.align(np.array(chain, np.int32), x, lo, y, 0)
+                if b - a >= passages.PART and share >= passages.IDENTITY:
+                    parts.append((a, b, ref, c, d))
+        groups = []
+        for p in sorted(parts):
+            if groups and p[0] <= max(q[1] for q in groups[-1]) + passages.JOIN:
+                groups[-1].append(p)
+            else:
+                groups.append([p])
+        for n, g in enumerate(groups):
+            if max(q[1] for q in g) - min(q[0] for q in g) >= passages.MIN_WORDS:
+                at = 0
+                starts = []
+                for t in texts[i]:
+                    starts.append((at, t))
+                    at += len(t.split()) + passages.PAD
+                for a, b, ref, c, d in g:
+                    begin, t = max(s for s in starts if s[0] <= a)
+                    out.append((i, a - begin, b - begin, ref, c, d, n, hashlib.md5(t.encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("batch", "unit", "bucket"), [(7, 1 << 22, 1 << 18), (50, 9_000, 1_000), (10_000, 60_000, 100_000)])
+def test_same_rows_as_brute_force(spark, monkeypatch, batch, unit, bucket):
+    """Whatever the batches, units and buckets; ids of several texts included, in whatever order."""
     with_checkpoints(spark)
-    docs, want = planted(9)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    docs, _ = planted(9)
+    docs += [(docs[8][0], docs[3][1]), (docs[8][0], "short"), (7000, docs[5][1] + " and more"), (7000, docs[40][1]), (-5, docs[12][1].upper())]
+    df = spark.createDataFrame(docs[::-1] if batch == 50 else docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(passages, "UNIT", unit)
+    monkeypatch.setattr(passages, "BUCKET", bucket)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        found = {r.doc_id for r in passages.find(df).collect()}
+        found = sorted(map(_key, passages.find(df).collect()))
+        left = passages.without(df.withColumn("spans", df.text)).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert found == {i for i, (*_, k) in want.items() if k}
+    assert found == brute(docs)
+    assert {r.spans for r in left if r.doc_id == 7000} <= {docs[5][1] + " and more", docs[40][1]}
 
 
 def test_empty(spark):
