@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,6 +43,14 @@ def with_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(named)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a table in the shared checkpoint folder and read again."""
+    with_checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever Spark keeps it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
