@@ -1,21 +1,22 @@
 """Passages that documents share, also with some words changed: seeds, chains, alignment.
 
 Seeds are all runs of SEED words: a passage of MIN_WORDS words with a share of IDENTITY
-matches has FEWEST at least, wherever the changed words are. Documents are dealt into
-units by their ids. A unit asks the buckets of its seeds once for each distinct seed,
-with the seed's first place in the unit; the bucket answers with the first place of all
-(the one of the least document id). So every place of a seed is tied to one other place,
-whatever the batches and units are, a passage is found as often as a document holds it,
-and rows grow with the text: a seed that a third of all documents hold is one entry of
-each unit. Places with fewer than FEWEST tied ones near them are left out.
-
-A document's seeds with the same earlier document are chained by a tree of best
+matches has FEWEST at least, wherever the changed words are. Documents are ordered by
+a hash of their ids and dealt into units, ranges of that order. A unit asks the buckets
+of its seeds once for each distinct seed, with its first place in the unit; the bucket
+answers with the first place of all. So every place of a seed is tied to one other
+place, whatever the batches and units are, a passage is found as often as a document
+holds it, and rows grow with the text: a seed that a third of all documents hold is one
+entry of each unit. Places with fewer than FEWEST tied ones near them are left out.
+
+A text's seeds near each other in an earlier document are chained by a tree of best
 scores: ordered matches on both sides at most GAP words apart, a cost for each word
-between them. Chains are aligned word by word (matches along diagonals, short gaps by
-dynamic programming) and extended at both ends, in the unit of the later document,
-which asks the other units for blocks of words, once for each block. Alignments
+between them. The unit then asks the others for blocks of words, once for each block,
+and aligns its chains word by word (matches along diagonals, short gaps by dynamic
+programming, extended at both ends; chains of one diagonal many at a time). Alignments
 with a share of IDENTITY matches that follow each other within JOIN words make a
 passage, also if they are tied to different documents; it has at least MIN_WORDS words.
+What units and buckets send each other is one message for a pair that has something to say.
 
 Null ids take no part; null texts count as empty ones. A document is not compared
 with itself, so rows that repeat do not make passages of each other, and neither do
@@ -28,6 +29,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import struct
 from collections.abc import Iterator
 
@@ -46,14 +48,16 @@ GAP, COST = 42, 0.15
 MIN_WORDS, IDENTITY = 45, 0.8
 #: Words of an alignment at least, and between alignments of one passage at most.
 PART, JOIN = 12, 16
-#: Words that a chain may be extended by at each end, words in a block that is sent to be aligned, and words between texts of one id.
+#: Words that a chain may be extended by at each end, words in a block that is sent to be aligned, and places between texts of a unit.
 REACH, BLOCK, PAD = 32, 64, 64
 #: Tied places within MIN_WORDS words, by the q-gram lemma 36 - 10 * 3 = 6; one less for words that are missing.
 FEWEST = 5
 #: Words between seeds of one segment at most.
 SAME = 10
 #: Bytes of text in a unit, and of text whose seeds are a bucket's: both grow in number with the corpus.
-UNIT, BUCKET = 1 << 22, 1 << 18
+UNIT, BUCKET = 13 << 19, 13 << 19
+#: Words that are compared at a time.
+CELLS = 1 << 21
 _U = np.uint64
 
 
@@ -84,100 +88,106 @@ def _unpacked(raw: bytes, n: int) -> list[np.ndarray]:
 
 
 def _pack(rows: pd.DataFrame) -> bytes:
-    """Ids and texts of some documents, in one blob."""
+    """Order, ids and texts of some documents, in one blob."""
     texts = words.encoded(rows.text)
     sizes = np.array([len(t) for t in texts], np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([struct.pack("<q", len(texts)), rows.doc_id.to_numpy(np.int64).tobytes(), sizes.tobytes(), *texts]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([struct.pack("<q", len(texts)), rows.h.to_numpy(np.int64).tobytes(), rows.doc_id.to_numpy(np.int64).tobytes(), sizes.tobytes(), *texts]))
 
 
-def _unpack(blob: bytes) -> Iterator[tuple[int, bytes]]:
+def _unpack(blob: bytes) -> Iterator[tuple[int, int, bytes]]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     (n,) = struct.unpack_from("<q", raw)
-    ids, sizes = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, n, 8 + 8 * n)
-    end = 8 + 16 * n + np.cumsum(sizes)
+    h, ids, sizes = (np.frombuffer(raw, np.int64, n, 8 + 8 * n * i) for i in range(3))
+    end = 8 + 24 * n + np.cumsum(sizes)
     for i in range(n):
-        yield int(ids[i]), raw[end[i] - sizes[i] : end[i]]
+        yield int(h[i]), int(ids[i]), raw[end[i] - sizes[i] : end[i]]
+
+
+def _message(*parts) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
+
+
+def _read(raw) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(bytes(raw)))
 
 
 def bucket_bits(size: int) -> int:
     """Buckets are a power of two; a seed is known by that many bits and 32 more."""
-    return max(4, (size // BUCKET).bit_length())
+    return max(2, (size // BUCKET).bit_length())
 
 
 class _Unit:
-    """The texts of a unit by id: distinct ones, and the places of their words."""
+    """The distinct texts of a unit in order, and places for their words, PAD apart from text to text."""
 
     def __init__(self, packs):
         rows = sorted({row for pack in packs for row in _unpack(bytes(pack))})
-        self.texts = [t for _, t in rows]
-        self.ids = np.array([i for i, _ in rows], np.int64)
+        self.texts, self.ids = [t for *_, t in rows], np.array([i for _, i, _ in rows], np.int64)
         h, self.n = words.hashes(self.texts)
-        # An id's texts follow each other with PAD words between them; chains don't reach across.
-        self.offset = np.zeros(len(rows), np.int64)
-        for i in np.flatnonzero(self.ids[1:] == self.ids[:-1]) + 1:
-            self.offset[i] = self.offset[i - 1] + self.n[i - 1] + PAD
-        self.begin = np.cumsum(self.n) - self.n
-        self.words = (h >> _U(48)).astype(np.uint16)
-        self.run, k = words.shingles(h, self.n, SEED)
-        del h
-        self.owner = np.repeat(np.arange(len(rows)), k)
-        self.place = np.arange(len(self.run)) - np.repeat(np.cumsum(k) - k, k) + self.offset[self.owner]
+        self.begin = np.cumsum(self.n + PAD) - (self.n + PAD)
+        self.owner = np.repeat(np.arange(len(rows)), self.n)
+        self.words = np.zeros(int((self.n + PAD).sum()), np.uint16)
+        self.words[np.arange(len(h)) + self.owner * PAD] = (h >> _U(48)).astype(np.uint16)
+        self.hashes = h
+
+    def text_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, place, side="right") - 1
 
     def sort(self, bits: int) -> None:
-        """Places by seed, document and place; the distinct seeds and their first places."""
-        self.order = np.argsort(self.run, kind="stable")
-        key = self.run[self.order] >> _U(32 - bits)
+        """Seeds by hash and place; the distinct ones and their first places."""
+        run, k = words.shingles(self.hashes, self.n, SEED)
+        place = np.arange(len(run)) + np.repeat(self.begin - (np.cumsum(k) - k), k)
+        order = np.argsort(run, kind="stable")
+        key = run[order] >> _U(32 - bits)
+        self.place = place[order]
         new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        self.of, self.key = np.cumsum(new) - 1, key[first]
-        self.first = self.order[first]
+        self.of, self.key = np.cumsum(new) - 1, key[new]
+        self.first = self.place[new]
         self.edge = np.searchsorted(self.key, np.arange((1 << bits) + 1, dtype=_U) << _U(32))
 
-    def questions(self) -> Iterator[tuple[int, int, bytes]]:
-        """(bucket, base, packed seeds with their first documents and places) of each bucket."""
-        base = int(self.ids[0]) if len(self.ids) else 0
-        doc, place, low = self.ids[self.owner[self.first]] - base, self.place[self.first], (self.key & _U(0xFFFFFFFF)).astype(np.int64)
+    def questions(self) -> Iterator[tuple[int, bytes]]:
+        """(bucket, packed seeds with their first places) of each bucket."""
+        low = (self.key & _U(0xFFFFFFFF)).astype(np.int64)
         for b in np.flatnonzero(np.diff(self.edge)):
             part = slice(self.edge[b], self.edge[b + 1])
-            yield int(b), base, _packed(np.diff(low[part], prepend=0), doc[part], place[part])
+            yield int(b), _packed(np.diff(low[part], prepend=0), self.first[part])
 
-    def ties(self, bits: int, buckets, bases, answers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, place, other document and place there of all places that are tied, by document, other one and place."""
+    def ties(self, number: int, bits: int, buckets, answers) -> tuple[np.ndarray, np.ndarray]:
+        """Places that are tied, and the places that they are tied to (a unit's number in the high bits)."""
         self.sort(bits)
-        ref, ref_place = self.ids[self.owner[self.first]], self.place[self.first].copy()
-        for b, base, raw in zip(buckets, bases, answers):
+        ref = self.first + (number << 32)
+        for b, raw in zip(buckets, answers):
             at, n = int(self.edge[b]), int(self.edge[b + 1] - self.edge[b])
             size = -(-n // 8)
             tied = at + np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, size), count=n))
-            doc, place = _unpacked(raw[size:], 2)
-            ref[tied], ref_place[tied] = doc + base, place
-        text, place, ref, ref_place = self.owner[self.order], self.place[self.order], ref[self.of], ref_place[self.of]
-        tied = np.flatnonzero(self.ids[text] != ref)
-        text, place, ref, ref_place = text[tied], place[tied], ref[tied], ref_place[tied]
-        order = np.lexsort((place, ref, self.ids[text]))
-        text, place, ref, ref_place = text[order], place[order], ref[order], ref_place[order]
-        kept = _dense(self.ids[text], place)
-        return text[kept], place[kept], ref[kept], ref_place[kept]
-
-
-def _answer(rows: pd.DataFrame) -> Iterator[tuple[int, int, int, bytes]]:
-    """For each unit's seeds of a bucket: which are tied, and the first documents and places of those."""
-    parts = [_unpacked(bytes(held), 3) for held in rows.held]
-    sizes = [len(p[0]) for p in parts]
-    key, doc, place = (np.concatenate([f(p, int(base)) for p, base in zip(parts, rows["at"])]) for f in (lambda p, _: np.cumsum(p[0]), lambda p, base: p[1] + base, lambda p, _: p[2]))
-    order = np.lexsort((place, doc, key))
+            unit, place = _unpacked(raw[size:], 2)
+            ref[tied] = unit << 32 | place
+        place, ref = self.place, ref[self.of]
+        there = np.flatnonzero(ref >> 32 == number)
+        same = there[self.ids[self.text_of(place[there])] == self.ids[self.text_of(ref[there] & 0xFFFFFFFF)]]
+        tied = np.ones(len(place), bool)
+        tied[same] = False
+        place, ref = place[tied], ref[tied]
+        order = np.argsort(place, kind="stable")
+        place, ref = place[order], ref[order]
+        kept = _dense(place)
+        return place[kept], ref[kept]
+
+
+def _answer(rows: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
+    """For each unit's seeds of a bucket: which are tied, and the first units and places of those."""
+    parts = [_unpacked(bytes(held), 2) for held in rows.held]
+    key, place = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
+    at = np.repeat(rows.unit.to_numpy(np.int64), [len(p[0]) for p in parts]) << 32 | place
+    order = np.lexsort((at, key))
     new = np.r_[True, key[order][1:] != key[order][:-1]]
     first = np.empty(len(key), np.int64)
-    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    tied = doc != doc[first]
-    at = 0
-    for unit, n in zip(rows.unit, sizes):
-        own = tied[at : at + n]
-        if own.any():
-            ref = first[at : at + n][own]
-            base = int(doc[ref].min())
-            yield unit, base, np.packbits(own).tobytes() + _packed(doc[ref] - base, place[ref])
-        at += n
+    first[order] = at[order][new][np.cumsum(new) - 1]
+    lo = 0
+    for unit, n in zip(rows.unit, (len(p[0]) for p in parts)):
+        ref, tied = first[lo : lo + n], first[lo : lo + n] != at[lo : lo + n]
+        if tied.any():
+            yield unit, np.packbits(tied).tobytes() + _packed(ref[tied] >> 32, ref[tied] & 0xFFFFFFFF)
+        lo += n
 
 
 _NONE = (-1e18, -1)
@@ -210,27 +220,37 @@ class Highest:
         return out
 
 
-def chains(pos: np.ndarray, ref: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """Chains of segments (first seed, last seed, its place in the other text) of matched seeds."""
-    order = np.lexsort((pos, pos - ref))
-    pos, ref = pos[order], ref[order]
+def _segments(pos: np.ndarray, ref: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """First seed, last seed, its place in the other text (and group) of runs of seeds on one diagonal."""
+    group = np.zeros(len(pos), np.int64) if group is None else group
+    order = np.lexsort((pos, pos - ref, group))
+    pos, ref, group = pos[order], ref[order], group[order]
     # Words that differ within a segment are counted when it is aligned.
-    new = np.r_[True, (np.diff(pos - ref) != 0) | (np.diff(pos) > SAME)]
+    new = np.r_[True, (np.diff(pos - ref) != 0) | (np.diff(pos) > SAME) | (np.diff(group) != 0)] if len(pos) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(pos)] - 1
-    if len(first) == 1:
-        return [[(int(pos[0]), int(pos[-1]), int(ref[0]))]]
-    start, end, r_start = pos[first], pos[last], ref[first]
+    last = np.r_[first[1:], len(pos)][: len(first)] - 1
+    return pos[first], pos[last], ref[first], group[first]
+
+
+def chains(pos: np.ndarray, ref: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """Chains of segments (first seed, last seed, its place in the other text) of matched seeds."""
+    return _chained(*_segments(pos, ref)[:3])
+
+
+def _chained(start: np.ndarray, end: np.ndarray, r_start: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """Chains of segments, the best one first; each segment is in one."""
+    if len(start) == 1:
+        return [[(int(start[0]), int(end[0]), int(r_start[0]))]]
     r_end = r_start + end - start
     by_start = np.lexsort((r_start, start))
     by_end = list(np.lexsort((r_end, end)))
-    value, back = np.zeros(len(first)), np.full(len(first), -1)
+    value, back = np.zeros(len(start)), np.full(len(start), -1)
     own = (end - start + SEED).astype(float)
     # A predecessor ended at most GAP words ago on both sides: what is older is taken out of the tree.
     far, places = GAP + SEED, np.sort(r_end)
     slot = np.argsort(np.argsort(r_end, kind="stable"))
     least, limit = np.searchsorted(places, r_start - far), np.searchsorted(places, r_start)
-    tree, done, gone = Highest(len(first)), 0, 0
+    tree, done, gone = Highest(len(start)), 0, 0
     for i in by_start:
         while done < len(by_end) and end[by_end[done]] < start[i]:
             j = by_end[done]
@@ -244,7 +264,7 @@ def chains(pos: np.ndarray, ref: np.ndarray) -> list[list[tuple[int, int, int]]]
         gain = best - COST * float(start[i] + r_start[i])
         if j >= 0 and gain > 0:
             value[i], back[i] = own[i] + gain, j
-    used, out = np.zeros(len(first), bool), []
+    used, out = np.zeros(len(start), bool), []
     for i in np.argsort(-value, kind="stable"):
         chain = []
         while i >= 0 and not used[i]:
@@ -256,14 +276,32 @@ def chains(pos: np.ndarray, ref: np.ndarray) -> list[list[tuple[int, int, int]]]
     return out
 
 
-def _dense(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Which places have FEWEST tied ones (with themselves) within MIN_WORDS words."""
-    u, of = np.unique((np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) << 32) + pos, return_inverse=True)
-    k, kept = FEWEST - 1, np.zeros(len(u), bool)
-    near = np.flatnonzero(u[k:] - u[: max(0, len(u) - k)] <= MIN_WORDS - SEED)
+def _dense(place: np.ndarray) -> np.ndarray:
+    """Which of the sorted places have FEWEST ones (with themselves) within MIN_WORDS words."""
+    k, kept = FEWEST - 1, np.zeros(len(place), bool)
+    near = np.flatnonzero(place[k:] - place[: max(0, len(place) - k)] <= MIN_WORDS - SEED)
     for j in range(FEWEST):
         kept[near + j] = True
-    return kept[of]
+    return kept
+
+
+def _plan(unit: _Unit, place: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Chains of a unit's ties as rows of segments: chain, first seed, last seed, place that it is tied to."""
+    text = unit.text_of(place)
+    order = np.lexsort((ref, text))
+    place, ref, text = place[order], ref[order], text[order]
+    # Segments that are farther apart on the other side are never in one chain.
+    group = np.cumsum(np.r_[True, (np.diff(text) != 0) | (np.diff(ref) > GAP + SEED)]) - 1 if len(text) else text
+    start, end, to, group = _segments(place, ref, group)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else group
+    size = np.diff(np.r_[first, len(group)])
+    alone = first[size == 1]
+    rows, n = [np.stack([np.arange(len(alone)), start[alone], end[alone], to[alone]], 1)], len(alone)
+    for lo, k in zip(first[size > 1], size[size > 1]):
+        for chain in _chained(start[lo : lo + k], end[lo : lo + k], to[lo : lo + k]):
+            rows.append(np.c_[np.full(len(chain), n), np.array(chain, np.int64)])
+            n += 1
+    return np.concatenate(rows)
 
 
 def _matches(x: np.ndarray, y: np.ndarray) -> int:
@@ -308,56 +346,118 @@ def align(segments: np.ndarray, x: np.ndarray, x_at: int, y: np.ndarray, y_at: i
     return a - left, b + right, c - left, d + right, (hits + grown) / (size + left + right)
 
 
-def _blocks_of(ref: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and numbers of the distinct blocks that hold words lo to hi - 1, and REACH more on both sides."""
-    a, b = np.maximum(0, lo - REACH) // BLOCK, (hi + REACH - 1) // BLOCK
+def _wanted(plan: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each unit the numbers of the blocks that hold the chains' other sides, and REACH words more at both ends."""
+    if not len(plan):
+        return
+    edge = np.flatnonzero(np.r_[True, plan[1:, 0] != plan[:-1, 0]])
+    last = np.r_[edge[1:], len(plan)] - 1
+    lo = plan[edge, 3]
+    hi = plan[last, 3] + plan[last, 2] - plan[last, 1] + SEED
+    a, b = np.maximum(lo & 0xFFFFFFFF, REACH) - REACH, (hi & 0xFFFFFFFF) + REACH - 1
+    a, b = a // BLOCK, b // BLOCK
     n = b - a + 1
     block = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    both = np.unique(np.stack([np.repeat(ref, n), block], 1), axis=0) if len(n) else np.zeros((0, 2), np.int64)
-    return both[:, 0], both[:, 1]
-
-
-def _sent(unit: _Unit, docs: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Words of wanted blocks, 16 bits of hash each."""
-    for doc, group in pd.Series(blocks).groupby(docs):
-        own = np.arange(*np.searchsorted(unit.ids, (doc, doc + 1)))
-        whole = np.zeros(int(unit.offset[own[-1]] + unit.n[own[-1]]), np.uint16)
-        for t in own:
-            whole[unit.offset[t] : unit.offset[t] + unit.n[t]] = unit.words[unit.begin[t] : unit.begin[t] + unit.n[t]]
-        for n in group:
-            if len(part := whole[n * BLOCK : (n + 1) * BLOCK]):
-                yield int(doc), int(n), part.tobytes()
-
-
-def _aligned(unit: _Unit, text: np.ndarray, place: np.ndarray, ref: np.ndarray, ref_place: np.ndarray, held: dict[tuple[int, int], bytes]) -> Iterator[tuple]:
-    """Chains of each document of a unit with each earlier one, aligned."""
-    doc = unit.ids[text]
-    cut = np.r_[0, np.flatnonzero((doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1])) + 1, len(doc)] if len(doc) else [0]
-    for lo, hi in zip(cut[:-1], cut[1:]):
-        other = int(ref[lo])
-        for chain in chains(place[lo:hi], ref_place[lo:hi]):
-            t = text[lo + np.searchsorted(place[lo:hi], chain[0][0])]
-            start, end = int(unit.offset[t]), int(unit.offset[t] + unit.n[t])
-            x_at = max(start, chain[0][0] - REACH)
-            x = unit.words[unit.begin[t] + x_at - start : unit.begin[t] + min(end, chain[-1][1] + SEED + REACH) - start]
-            last = chain[-1][2] + chain[-1][1] - chain[-1][0] + SEED
-            first = max(0, chain[0][2] - REACH) // BLOCK
-            y = b"".join(held.get((other, n), b"") for n in range(first, (last + REACH - 1) // BLOCK + 1))
-            a, b, c, d, share = align(np.array(chain, np.int32), x, x_at, np.frombuffer(y, np.uint16), first * BLOCK)
-            if b - a >= PART and share >= IDENTITY:
-                yield int(unit.ids[t]), int(t), a, b, other, c, d, share
+    every = np.unique(np.repeat(lo >> 32, n) << 32 | block)
+    cut = np.flatnonzero(np.r_[True, np.diff(every >> 32) != 0])
+    for x, y in zip(cut, np.r_[cut[1:], len(every)]):
+        yield int(every[x] >> 32), every[x:y] & 0xFFFFFFFF
+
+
+class _Held:
+    """Words of another unit's blocks, and the texts that they lie in."""
+
+    def __init__(self, blocks: np.ndarray, raw: np.ndarray, begin: np.ndarray, n: np.ndarray, ids: np.ndarray):
+        self.blocks, self.words, self.begin, self.n, self.ids = blocks, raw, begin, n, ids
+
+    @staticmethod
+    def sent(unit: _Unit, blocks: np.ndarray) -> tuple:
+        at = np.minimum(blocks[:, None] * BLOCK + np.arange(BLOCK), len(unit.words) - 1)
+        texts = np.unique(np.clip(np.r_[unit.text_of(blocks * BLOCK), unit.text_of(blocks * BLOCK + BLOCK - 1)], 0, None))
+        both = np.unique(np.r_[texts, np.minimum(texts + 1, len(unit.ids) - 1)])  # a short text may lie within a block
+        return blocks, unit.words[at].ravel(), unit.begin[both], unit.n[both], unit.ids[both]
+
+    def text_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, place, side="right") - 1
+
+    def get(self, place: np.ndarray) -> np.ndarray:
+        block = np.minimum(np.searchsorted(self.blocks, place // BLOCK), len(self.blocks) - 1)
+        return self.words[block * BLOCK + place % BLOCK]
+
+
+def _straight(unit: _Unit, held: _Held, start: np.ndarray, end: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Alignments of chains of one segment, many at a time: places on both sides and shares of matches."""
+    size = end + SEED - start
+    own, other = unit.text_of(start), held.text_of(to)
+    left = np.minimum(REACH, np.minimum(start - unit.begin[own], to - held.begin[other]))
+    right = np.minimum(REACH, np.minimum(unit.begin[own] + unit.n[own] - start, held.begin[other] + held.n[other] - to) - size)
+    hits, before, after = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    step = np.arange(REACH)
+
+    def grown(rows: np.ndarray, at: np.ndarray, sign: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far to extend, and the matches there."""
+        use = step < most[:, None]
+        x, y = (np.where(use, base[:, None] + sign * step, base[:, None] * 0) for base in (start[rows] + at, to[rows] + at))
+        same = (unit.words[x] == held.get(y)) & use
+        score = np.cumsum(np.where(use, np.where(same, 1, -2), -(1 << 20)), 1)
+        n = np.where(score.max(1) > 0, score.argmax(1) + 1, 0)
+        return n, (same & (step < n[:, None])).sum(1)
+
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        hi = at + 1
+        while hi < len(order) and (hi + 1 - at) * max(int(size[order[hi]]), REACH) <= CELLS and hi - at < 20_000:
+            hi += 1
+        rows, width = order[at:hi], int(size[order[hi - 1]])
+        use = np.arange(width) < size[rows][:, None]
+        x, y = (np.where(use, base[rows][:, None] + np.arange(width), base[rows][:, None]) for base in (start, to))
+        inside = ((unit.words[x] == held.get(y)) & use).sum(1)
+        before[rows], more = grown(rows, np.full(len(rows), -1), -1, left[rows])
+        after[rows], most = grown(rows, size[rows], 1, right[rows])
+        hits[rows] = inside + more + most
+        at = hi
+    return start - before, end + SEED + after, to - before, to + size + after, hits / np.maximum(1, size + before + after)
+
+
+def _aligned(unit: _Unit, plan: np.ndarray, held: dict[int, _Held]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Alignments that are long and alike enough, as arrays: places a to b, the other side's text id and words c to d, share."""
+    if not len(plan):
+        return
+    edge = np.flatnonzero(np.r_[True, plan[1:, 0] != plan[:-1, 0]])
+    size = np.diff(np.r_[edge, len(plan)])
+    for number in np.unique(plan[:, 3] >> 32):
+        there = held[int(number)]
+        one = edge[(size == 1) & (plan[edge, 3] >> 32 == number)]
+        found = [_straight(unit, there, plan[one, 1], plan[one, 2], plan[one, 3] & 0xFFFFFFFF)] if len(one) else []
+        rows = []
+        for lo, k in zip(edge[(size > 1) & (plan[edge, 3] >> 32 == number)], size[(size > 1) & (plan[edge, 3] >> 32 == number)]):
+            chain = plan[lo : lo + k, 1:] & 0xFFFFFFFF
+            t, r = int(unit.text_of(chain[:1, 0])[0]), int(there.text_of(chain[:1, 2])[0])
+            x_at, y_at = max(int(unit.begin[t]), int(chain[0, 0]) - REACH), max(int(there.begin[r]), int(chain[0, 2]) - REACH)
+            x_end = min(int(unit.begin[t] + unit.n[t]), int(chain[-1, 1]) + SEED + REACH)
+            y_end = min(int(there.begin[r] + there.n[r]), int(chain[-1, 2] + chain[-1, 1] - chain[-1, 0]) + SEED + REACH)
+            rows.append(align(chain, unit.words[x_at:x_end], x_at, there.get(np.arange(y_at, y_end)), y_at))
+        if rows:
+            found.append(tuple(np.array(c) for c in zip(*rows)))
+        for a, b, c, d, share in found:
+            ok = (b - a >= PART) & (share >= IDENTITY)
+            r = there.text_of(c[ok])
+            if len(r):
+                yield a[ok], b[ok], there.ids[r], c[ok] - there.begin[r], d[ok] - there.begin[r], share[ok]
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word, ref_id, ref_start, ref_end, identity, passage, digest of each alignment.
 
-    passage numbers the document's passages; ref_id is an earlier document (of lesser id) that has the passage; a document that
-    shares a passage with no earlier one appears as a ref_id alone. digest: MD5 of the text that the words are in.
+    passage numbers the text's passages; ref_id is an earlier document (in the order of the ids' hashes) that has the passage; a document
+    that shares a passage with no earlier one appears as a ref_id alone. digest: MD5 of the text that the words are in.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units, bits = int(size // UNIT) + 1, bucket_bits(int(size))
-    unit_of = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(units))
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", unit_of("doc_id").alias("unit"))
+    h = F.xxhash64(F.col("doc_id").cast("long"))
+    unit = F.shiftright((F.shiftright(h, 32) + F.lit(1 << 31)) * units, 32)  # ranges of the hash
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text", h.alias("h"), unit.alias("unit"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -366,48 +466,57 @@ def find(docs: DataFrame) -> DataFrame:
     def ask(own: pd.DataFrame) -> pd.DataFrame:
         unit = _Unit(own["pack"])
         unit.sort(bits)
-        return pd.DataFrame(list(unit.questions()), columns=["bucket", "at", "held"]).assign(unit=own.unit.iloc[0])
+        return pd.DataFrame(list(unit.questions()), columns=["bucket", "held"]).assign(unit=own.unit.iloc[0])
 
     def answer(own: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_answer(own)), columns=["unit", "at", "held"]).assign(bucket=own.bucket.iloc[0])
+        return pd.DataFrame(list(_answer(own)), columns=["unit", "held"]).assign(bucket=own.bucket.iloc[0])
 
-    def want(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        _, _, ref, place = _Unit(own["pack"]).ties(bits, got.bucket, got["at"], got.held)
-        doc, block = _blocks_of(ref, place, place + SEED)
-        return pd.DataFrame({"doc": doc, "block": block, "back": own.unit.iloc[0]})
+    def plan(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        """What the unit wants of others, and its chains, for itself (back: -1)."""
+        unit, number = _Unit(own["pack"]), int(own.unit.iloc[0])
+        made = _plan(unit, *unit.ties(number, bits, got.bucket, got.held))
+        out = [(to, number, _message(np.diff(blocks, prepend=0).astype(np.uint32))) for to, blocks in _wanted(made)]
+        out += [(number, -1, _packed(np.diff(made[:, 0], prepend=0), made[:, 1], made[:, 2] - made[:, 1], made[:, 3] >> 32, made[:, 3] & 0xFFFFFFFF))] * bool(len(made))
+        return pd.DataFrame(out, columns=["unit", "back", "held"])
 
     def send(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        if not len(got):
-            return pd.DataFrame({"at": [], "block": [], "held": [], "unit": []})
-        asked = got[["doc", "block"]].drop_duplicates()
-        sent = list(_sent(_Unit(own["pack"]), asked.doc.to_numpy(), asked.block.to_numpy()))
-        sent = pd.DataFrame({"doc": np.array([x[0] for x in sent], np.int64), "block": np.array([x[1] for x in sent], np.int64), "held": [x[2] for x in sent]})
-        return got.merge(sent, on=["doc", "block"])[["doc", "block", "held", "back"]].rename(columns={"doc": "at", "back": "unit"})
+        """Blocks of words to the units that want them; the unit's own chains pass on."""
+        out, number = [], -1
+        if len(got):
+            number, unit = int(got.unit.iloc[0]), _Unit(own["pack"])
+            for back, raw in zip(got.back, got.held):
+                out.append((number, -1, raw) if back < 0 else (back, number, _message(*_Held.sent(unit, np.cumsum(_read(raw)[0], dtype=np.int64)))))
+        return pd.DataFrame(out, columns=["unit", "of", "held"])
 
     def finish(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(got):
-            unit, answers, blocks = _Unit(own["pack"]), got[got.bucket >= 0], got[got.bucket < 0]
-            held = dict(zip(zip(blocks["at"], blocks.block), blocks.held))
-            for _, t, a, b, other, c, d, share in _aligned(unit, *unit.ties(bits, answers.bucket, answers["at"], answers.held), held):
-                out.append((int(unit.ids[t]), a, b, other, c, d, share, int(unit.offset[t]), hashlib.md5(unit.texts[t]).hexdigest()))
-        return pd.DataFrame(out, columns=["doc_id", "start_word", "end_word", "ref_id", "ref_start", "ref_end", "identity", "offset", "digest"])
+        out, chained = [], got.held[got.of < 0]
+        if len(chained):
+            unit = _Unit(own["pack"])
+            chain, start, size, number, place = _unpacked(bytes(chained.iloc[0]), 5)
+            made = np.stack([np.cumsum(chain), start, start + size, number << 32 | place], 1)
+            held = {int(of): _Held(*_read(raw)) for of, raw in zip(got.of, got.held) if of >= 0}
+            out = list(_aligned(unit, made, held))
+        if not out:
+            return pd.DataFrame([], columns=["doc_id", "start_word", "end_word", "ref_id", "ref_start", "ref_end", "identity", "digest"])
+        a, b, ref, c, d, share = (np.concatenate(x) for x in zip(*out))
+        t = unit.text_of(a)
+        digest = {i: hashlib.md5(unit.texts[i]).hexdigest() for i in np.unique(t)}
+        return pd.DataFrame({"doc_id": unit.ids[t], "start_word": a - unit.begin[t], "end_word": b - unit.begin[t], "ref_id": ref, "ref_start": c, "ref_end": d, "identity": share, "digest": [digest[i] for i in t]})
 
     texts = rows.mapInPandas(pack, "unit long, pack binary").groupBy("unit")
-    asked = texts.applyInPandas(ask, "bucket long, at long, held binary, unit long")
-    answered = asked.groupBy("bucket").applyInPandas(answer, "unit long, at long, held binary, bucket long")
-    wanted = texts.cogroup(answered.groupBy("unit")).applyInPandas(want, "doc long, block long, back long").withColumn("unit", unit_of("doc"))
-    blocks = texts.cogroup(wanted.groupBy("unit")).applyInPandas(send, "at long, block long, held binary, unit long")
-    both = answered.withColumn("block", F.lit(0).cast("long")).unionByName(blocks.withColumn("bucket", F.lit(-1).cast("long")))
-    parts = texts.cogroup(both.groupBy("unit")).applyInPandas(finish, "doc_id long, start_word int, end_word int, ref_id long, ref_start int, ref_end int, identity double, offset int, digest string")
-    in_order = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "ref_id", "ref_start")
+    asked = texts.applyInPandas(ask, "bucket long, held binary, unit long")
+    answered = asked.groupBy("bucket").applyInPandas(answer, "unit long, held binary, bucket long")
+    planned = texts.cogroup(answered.groupBy("unit")).applyInPandas(plan, "unit long, back long, held binary")
+    sent = texts.cogroup(planned.groupBy("unit")).applyInPandas(send, "unit long, of long, held binary")
+    parts = texts.cogroup(sent.groupBy("unit")).applyInPandas(finish, "doc_id long, start_word int, end_word int, ref_id long, ref_start int, ref_end int, identity double, digest string")
+    text = ("doc_id", "digest")
+    in_order = Window.partitionBy(*text).orderBy("start_word", "end_word", "ref_id", "ref_start")
     before = F.max("end_word").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("new", F.coalesce((F.col("start_word") > before + JOIN).cast("int"), F.lit(0)))
     parts = parts.withColumn("passage", F.sum("new").over(in_order).cast("int"))
-    own = Window.partitionBy("doc_id", "passage")
+    own = Window.partitionBy(*text, "passage")
     whole = parts.withColumn("n", F.max("end_word").over(own) - F.min("start_word").over(own)).where(F.col("n") >= MIN_WORDS)
-    places = [(F.col(c) - F.col("offset")).cast("int").alias(c) for c in ("start_word", "end_word")]
-    return whole.select("doc_id", *places, "ref_id", "ref_start", "ref_end", "identity", "passage", "digest")
+    return whole.select("doc_id", "start_word", "end_word", "ref_id", "ref_start", "ref_end", "identity", "passage", "digest")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,16 +39,20 @@ def test_planted(spark):
     docs, want = planted()
     df = spark.createDataFrame([(i, t, "x", None if t is None else len(t)) for i, t in docs], "doc_id long, text string, ref long_x, n_chars long".replace("ref long_x", "ref_id string")).repartition(4)
     rows = passages.find(df).collect()
+    rank = {r.doc_id: r.h for r in df.where("doc_id is not null").selectExpr("doc_id", "xxhash64(doc_id) as h").collect()}
+    least = {}
+    for i, (p, *_) in want.items():
+        least[p] = min(least.get(p, i), i, key=rank.get)
     found = {}
     for r in rows:
         p, lo, hi, _ = want[r.doc_id]
-        assert want[r.ref_id][0] == p and r.ref_id < r.doc_id
+        assert want[r.ref_id][0] == p and rank[r.ref_id] < rank[r.doc_id]
         a, b = found.get(r.doc_id, (r.start_word, r.end_word))
         found[r.doc_id] = min(a, r.start_word), max(b, r.end_word)
     for i, (a, b) in found.items():
         _, lo, hi, _ = want[i]
         assert abs(a - lo) <= 20 and abs(b - hi) <= 20, (i, a, b, lo, hi)  # a word may be missing near an end
-    assert found.keys() == {i for i, (*_, k) in want.items() if k}
+    assert found.keys() == {i for i, (p, *_) in want.items() if least[p] != i}
     left = {r.doc_id: r for r in passages.without(df).collect() if r.doc_id is not None}
     for i, t in docs:
         if i in found:
@@ -63,60 +67,44 @@ def _key(r):
     return tuple(r[c] for c in ("doc_id", "start_word", "end_word", "ref_id", "ref_start", "ref_end", "passage", "digest"))
 
 
-def brute(rows):
-    """The same passages from dictionaries over all documents at once: no units, buckets, blocks or joins."""
-    texts = {i: [t for _, t in g] for i, g in groupby(sorted({(i, t or "") for i, t in rows if i is not None}), key=lambda x: x[0])}
-    first, ties, stream = {}, {}, {}
-    for i, own in texts.items():
-        at, ties[i], stream[i] = 0, [], {}
-        for t in own:
-            w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in t.split()]
-            stream[i] |= {at + k: x for k, x in enumerate(w)}
-            for k in range(len(w) - passages.SEED + 1):
-                ref = first.setdefault(tuple(w[k : k + passages.SEED]), (i, at + k))
-                if ref[0] != i:
-                    ties[i].append((at + k, *ref))
-            at += len(w) + passages.PAD
-    out = []
-    for i, own in ties.items():
+def brute(rows, rank):
+    """The same passages from dictionaries over all documents at once: no units, buckets, blocks or joins. rank: of each id."""
+    texts = sorted({(rank[i], i, t or "") for i, t in rows if i is not None})
+    first, out = {}, []
+    for n, (_, i, t) in enumerate(texts):
+        w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in t.split()]
+        texts[n] = (i, t, w)
+        for k in range(len(w) - passages.SEED + 1):
+            first.setdefault(tuple(w[k : k + passages.SEED]), (n, k))
+    for n, (i, t, w) in enumerate(texts):
+        own = [(k, *first[tuple(w[k : k + passages.SEED])]) for k in range(len(w) - passages.SEED + 1)]
+        own = [x for x in own if texts[x[1]][0] != i]
         place = [p for p, *_ in own]
-        kept = [t for t in own if any(sum(s <= p <= s + passages.MIN_WORDS - passages.SEED for p in place) >= passages.FEWEST for s in place if s <= t[0] <= s + passages.MIN_WORDS - passages.SEED)]
-        number = {}
-        ids = lambda x: np.array([number.setdefault(w, len(number)) for w in x])
+        span = passages.MIN_WORDS - passages.SEED
+        kept = [x for x in own if any(sum(s <= p <= s + span for p in place) >= passages.FEWEST for s in place if s <= x[0] <= s + span)]
         parts = []
         for ref in sorted({r for _, r, _ in kept}):
-            pos, at = np.array([(p, q) for p, r, q in kept if r == ref]).T
-            for chain in passages.chains(pos, at):
-                lo, hi = chain[0][0], chain[-1][1] + passages.SEED
-                while lo - 1 in stream[i] and lo > chain[0][0] - passages.REACH:
-                    lo -= 1
-                while hi in stream[i] and hi < chain[-1][1] + passages.SEED + passages.REACH:
-                    hi += 1
-                x, last = ids([stream[i][k] for k in range(lo, hi)]), max(stream[ref]) + 1
-                y = ids([stream[ref].get(k, ("gap", k)) for k in range(last)])
-                a, b, c, d, share = passages.align(np.array(chain, np.int32), x, lo, y, 0)
+            other = texts[ref][2]
+            number = {}
+            ids = lambda x: np.array([number.setdefault(v, len(number)) for v in x])  # noqa: B023, E731
+            for chain in passages.chains(*np.array([(p, q) for p, r, q in kept if r == ref]).T):
+                lo, hi = max(0, chain[0][0] - passages.REACH), min(len(w), chain[-1][1] + passages.SEED + passages.REACH)
+                a, b, c, d, share = passages.align(np.array(chain), ids(w[lo:hi]), lo, ids(other), 0)
                 if b - a >= passages.PART and share >= passages.IDENTITY:
-                    parts.append((a, b, ref, c, d))
+                    parts.append((a, b, texts[ref][0], c, d))
         groups = []
         for p in sorted(parts):
             if groups and p[0] <= max(q[1] for q in groups[-1]) + passages.JOIN:
                 groups[-1].append(p)
             else:
                 groups.append([p])
-        for n, g in enumerate(groups):
+        for k, g in enumerate(groups):
             if max(q[1] for q in g) - min(q[0] for q in g) >= passages.MIN_WORDS:
-                at = 0
-                starts = []
-                for t in texts[i]:
-                    starts.append((at, t))
-                    at += len(t.split()) + passages.PAD
-                for a, b, ref, c, d in g:
-                    begin, t = max(s for s in starts if s[0] <= a)
-                    out.append((i, a - begin, b - begin, ref, c, d, n, hashlib.md5(t.encode()).hexdigest()))
+                out += [(i, *p, k, hashlib.md5(t.encode()).hexdigest()) for p in g]
     return sorted(out)
 
 
-@pytest.mark.parametrize(("batch", "unit", "bucket"), [(7, 1 << 22, 1 << 18), (50, 9_000, 1_000), (10_000, 60_000, 100_000)])
+@pytest.mark.parametrize(("batch", "unit", "bucket"), [(7, 1 << 22, 1 << 22), (50, 9_000, 1_000), (10_000, 60_000, 100_000)])
 def test_same_rows_as_brute_force(spark, monkeypatch, batch, unit, bucket):
     """Whatever the batches, units and buckets; ids of several texts included, in whatever order."""
     with_checkpoints(spark)
@@ -131,7 +119,9 @@ def test_same_rows_as_brute_force(spark, monkeypatch, batch, unit, bucket):
         left = passages.without(df.withColumn("spans", df.text)).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert found == brute(docs)
+    rank = {r.i: r.h for r in spark.createDataFrame([(i,) for i, _ in docs if i is not None], "i long").selectExpr("i", "xxhash64(i) as h").collect()}
+    want = brute(docs, rank)
+    assert len(want) > 50 and found == want
     assert {r.spans for r in left if r.doc_id == 7000} <= {docs[5][1] + " and more", docs[40][1]}
 
 
@@ -220,5 +210,6 @@ def test_edited_down_to_identity(spark):
     found = {}
     for r in passages.find(spark.createDataFrame(docs, "doc_id long, text string")).collect():
         found.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    found = {i | 1: places for i, places in found.items()}  # either of the two may be the later one
     assert found.keys() == want.keys()
     assert all(len(found[i] & set(range(30, 30 + n))) >= 0.85 * n for i, n in want.items())
