@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import stored
+
 #: Samples in a frame, frames in a block of PCM, and bytes of payload that are coded at a time.
-BLOCK, FRAMES, BATCH = 1024, 64, 1 << 20
+BLOCK, FRAMES, BATCH = 2048, 32, 1 << 20
 #: Coefficients of a linear predictor.
 ORDER = 4
 FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
@@ -138,7 +140,7 @@ def encode(payloads: Sequence[bytes]) -> list[bytes]:
     begin = np.cumsum(length) - length
     buf = np.zeros(int(length.sum()) + 8, np.uint8)
     buf[begin], buf[begin + 1] = 0xFF, 0xF8
-    buf[begin + 2] = np.where(short, 7, 10) << 4 | 4
+    buf[begin + 2] = np.where(short, 7, BLOCK.bit_length() - 1) << 4 | 4  # BLOCK is a power of two from 256 on
     buf[begin + 3] = 1 << 1
     for w in range(1, 5):
         m = wide == w
@@ -439,12 +441,12 @@ class Digest:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Store every text as FLAC in the shared checkpoint folder, read the stored bytes back as blocks of PCM, and describe both.
+    """Store every text as FLAC in a table in the shared checkpoint folder, read the stored bytes back as blocks of PCM, and describe both.
 
-    The table is written as streams, not samples; blocks pass from task to task unwritten, in their streams' order.
+    The table holds streams, not samples; blocks of a stream go through the task that read it, in order.
     """
-    stored = write_media(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "n_bytes", "media").checkpoint()
-    described = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    media = stored(write_media(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "n_bytes", "media"), "media")
+    described = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     names = ("doc_id", "n_bytes", "media_bytes", "media_sha256")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,10 +34,10 @@ def kinds(stream):
 
 def test_every_predictor_is_written():
     """Fixed orders 0 to 4 and a fitted one, each where it is the best; all are read back."""
-    t = np.arange(1024)
-    parts = [RNG.integers(-9, 10, 1024), np.cumsum(RNG.integers(-2, 3, 1024)), 100 * np.sin(t / 60), 110 * np.sin(t / 9), 120 * np.sin(t / 25) + 3 * np.sin(t / 3)]
+    t = np.arange(2048)
+    parts = [RNG.integers(-9, 10, 2048), np.cumsum(RNG.integers(-2, 3, 2048)), 100 * np.sin(t / 60), 110 * np.sin(t / 9), 120 * np.sin(t / 25) + 3 * np.sin(t / 3)]
     for k in (3, 4):
-        x = RNG.integers(-1, 2, 1024).astype(float)
+        x = RNG.integers(-1, 2, 2048).astype(float)
         for _ in range(k):
             x = np.cumsum(x) * 0.999
         parts.append(np.clip(x / np.abs(x).max() * 127, -127, 127))
@@ -95,7 +95,7 @@ def test_digests(spark, sf_dir):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
         x = np.frombuffer(payload, np.uint8).astype(int) - 128
         crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
-        assert r.feature == f"frames={-(-len(x) // 1024)};sum={x.sum()};energy={(x * x).sum()};peak={abs(x).max()};crossings={crossings}"
+        assert r.feature == f"frames={-(-len(x) // flac.BLOCK)};sum={x.sum()};energy={(x * x).sum()};peak={abs(x).max()};crossings={crossings}"
     media = flac.write_media(docs.withColumn("pcm", flac.F.lit(1))).checkpoint()
     stored = {r.doc_id: bytes(r.media) for r in media.collect()}
     assert all(r.media_bytes == len(stored[r.doc_id]) and r.media_sha256 == hashlib.sha256(stored[r.doc_id]).hexdigest() for r in rows)
