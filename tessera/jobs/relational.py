@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import bundle, chunking, graph, incremental, relations
+from tessera.operators import bundle, chunking, graph, incremental, pairs, relations
 from tessera.session import table
 from tessera.sources import scan
 from tessera.streaming import watch
@@ -36,7 +36,7 @@ def _files(spark, sf_dir):
 
 @query(f'with {_REFS} select path, line, "column", count(*) as n, min(name) as first_name from refs group by all')
 def reference_rows(spark, sf_dir):
-    return chunking.token_references(_files(spark, sf_dir)).distinct().groupBy("path", "line", "column").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name"))
+    return chunking.token_references(_files(spark, sf_dir)).groupBy("path", "line", "column").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name"))
 
 
 @query(rf"""with l as (select {_PATH} as path, string_split_regex(text, '\r?\n') as lines from documents),
@@ -46,16 +46,15 @@ c as (select path, w * 8 + 1 as start_line, least(len(lines), w * 8 + 10) as end
   from refs left join (select * from c where text <> '') c on c.path = refs.path and line between start_line and end_line)
 select path, start_line::int as start_line, end_line::int as end_line, count(*) as n from j where k = 1 group by all""")
 def reference_containing_chunk(spark, sf_dir):
-    files = _files(spark, sf_dir)
-    found = relations.containing(chunking.token_references(files).distinct(), chunking.line_windows(files, 10, 2))
-    return found.groupBy("path", "start_line", "end_line").agg(F.count(F.lit(1)).alias("n"))
+    found = chunking.token_references(_files(spark, sf_dir)).select("path", chunking.window_of(F.col("line"), F.col("n_lines"), 10, 2).alias("w"))
+    return found.groupBy("path", F.col("w.start_line").alias("start_line"), F.col("w.end_line").alias("end_line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with {_REFS}, w as (select distinct lower(s_name) as n from supplier union select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) from benchmark)
 select path, name, line, "column" from refs where name in (select n from w)""")
 def reference_search(spark, sf_dir):
     wanted = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("name")).unionByName(table(spark, sf_dir, "supplier").select(F.lower("s_name").alias("name")))
-    return relations.by_any_name(wanted, chunking.token_references(_files(spark, sf_dir)).distinct(), F.array("name"))
+    return relations.by_any_name(wanted, chunking.token_references(_files(spark, sf_dir)).drop("n_lines"), F.array("name"))
 
 
 @query("""select distinct p_partkey, p_name from part join (select distinct l_returnflag || ':' || p_type as kind, p_name as n from lineitem join part on l_partkey = p_partkey where l_discount = 0.1 and l_linenumber = 1) w
@@ -139,8 +138,9 @@ r as (select *, 12000 - coalesce(sum(h + s + 2) over w, 0) - h - 24 as room from
 o as (select *, coalesce(min(case when room > 0 and s <= room then 1 else 0 end) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 1) as open from r)
 select source, doc_id, not (s <= room) as cut, (h + case when s <= room then s else greatest(0, room - 15) + 15 end)::bigint as used from o where open = 1 and room > 0""")
 def bundle_pack(spark, sf_dir):
-    items = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("# "), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("header"), F.col("text").alias("body"))
-    return bundle.pack(items, "source", ["doc_id"], "header", "body", 12_000).select("source", "doc_id", "cut", "used")
+    header = F.concat(F.lit("# "), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    items = table(spark, sf_dir, "documents").select("source", "doc_id", F.length(header).alias("head"), F.length("text").alias("size"))
+    return bundle.pack(items, "source", ["doc_id"], F.col("head"), F.col("size"), 12_000).select("source", "doc_id", "cut", "used")
 
 
 @query("""with e as (select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)),
@@ -148,14 +148,22 @@ r as (select item_id, doc_id, row_number() over (partition by item_id order by h
 p as (select item_id, sum(case when rank <= 300 then 1 else 0 end) / count(*) as recall, 1 / min(rank) as rr from e join r using (item_id, doc_id) group by item_id)
 select count(*) as n, round(avg(round(recall, 4)), 4) as recall, round(avg(round(rr, 4)), 4) as mrr from p""")
 def eval_recall_mrr(spark, sf_dir):
-    """A made ranking against the documents that hold a benchmark text: the stated queries are broadcast."""
+    """A made ranking against the documents that hold a benchmark text.
+
+    Ranks are counted for expected pairs alone: rows of smaller hashes from a table of their counts, equal ones by their order.
+    """
     from pyspark.sql import Window
 
-    b = F.broadcast(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage"))
+    b = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage")
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    expected = d.join(b, F.contains("text", "passage")).select("item_id", "doc_id")
-    pairs = d.select("doc_id").join(b.select("item_id"), F.lit(True)).withColumn("h", (F.col("doc_id") * 7919 + F.col("item_id") * 104729) % 1009)
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("h", "doc_id")))
+    expected = pairs.with_every(d, b, 2000).where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
+    hashed = d.select("doc_id", (F.col("doc_id") * 7919 % 1009).alias("h"))
+    order = hashed.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("doc_id")))
+    counts = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))  # 1009 rows at most
+    shift = F.col("item_id") * 104729
+    wanted = expected.join(order, "doc_id").withColumn("own", (F.col("h") + shift) % 1009)
+    less = wanted.join(F.broadcast(counts.withColumnRenamed("h", "other")), (F.col("other") + shift) % 1009 < F.col("own"), "left")
+    ranked = less.groupBy("item_id", "doc_id", "place").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before")).select("item_id", "doc_id", (F.col("before") + F.col("place")).alias("rank"))
     return bundle.means(bundle.evaluate(ranked, expected, "item_id", "doc_id", 300))
 
 
@@ -217,9 +225,11 @@ def language_for_path(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.language_of(F.concat(F.regexp_replace("url", "[?#/].*$", ""), end)).alias("language"))
 
 
-@query("select doc_id, strlen(text) > 20000 as large, false as binary from documents")
+@query("select doc_id, strlen(text) > 20000 as large, (doc_id % 9 = 0 and strlen(text) < 8000) as binary from documents")
 def binary_size_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", (F.octet_length("text") > 20_000).alias("large"), scan.looks_binary(F.encode("text", "UTF-8")).alias("binary"))
+    d = table(spark, sf_dir, "documents")
+    content = F.concat(F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 9 == 0, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))))
+    return d.select("doc_id", (F.octet_length("text") > 20_000).alias("large"), scan.looks_binary(content).alias("binary"))
 
 
 @query("select 'documents' as name, count(*) as n from documents union all select 'pages', count(*) from pages union all select 'lineitem', count(*) from lineitem union all select 'events', count(*) from events")

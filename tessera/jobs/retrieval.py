@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunking, embedding, lexical
+from tessera.jobs import symbols
+from tessera.operators import chunking, embedding, lexical, search
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -88,9 +89,7 @@ def hash_embedding_sparse(spark, sf_dir):
 select item_id, doc_id, score, rank from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank
   from (select item_id, doc_id, round(sum(q.v::decimal(9,6) * e.v::decimal(9,6)), 4)::double as score from q join e using (idx) group by all)) where rank <= 5""")
 def hash_embedding_topk(spark, sf_dir):
-    e = embedding.hashed(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    q = embedding.hashed(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
-    return embedding.nearest_sparse(q, e, "item_id", "doc_id", 5)
+    return search.nearest_hashed(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 5)
 
 
 @query("""select query_id, vec_id, score, rank from (select q.vec_id as query_id, e.vec_id, round(list_dot_product(q.embedding::double[], e.embedding::double[]), 4) as score,
@@ -101,31 +100,34 @@ def vector_topk(spark, sf_dir):
     return embedding.nearest_dense(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5)
 
 
-@query("select vec_id from embeddings where embedding is null or len(embedding) <> 64 or len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) > 0")
+@query("""with v as (select vec_id, case when vec_id % 7 = 0 then embedding[1:63] when vec_id % 11 = 0 then list_transform(embedding, lambda x: case when x < -0.1 then 'nan'::float else x end) else embedding end as e from embeddings)
+select vec_id from v where e is null or len(e) <> 64 or len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) > 0""")
 def provider_validation(spark, sf_dir):
-    return embedding.validate(table(spark, sf_dir, "embeddings"), "embedding", 64).select("vec_id")
+    """Vectors of which some were shortened or given components that are no numbers."""
+    broken = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 11 == 0, F.transform("embedding", lambda x: F.when(x < -0.1, float("nan")).otherwise(x).cast("float"))).otherwise(F.col("embedding"))
+    return embedding.validate(table(spark, sf_dir, "embeddings").select("vec_id", broken.alias("embedding")), "embedding", 64).select("vec_id")
 
 
-def _bm25_sql(k: int, prefix: bool) -> str:
+def _bm25_sql(k: int, prefix: bool, rows: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     match = "starts_with(t.term, w.q)" if prefix else "t.term = w.q"
-    return f"""p as (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TERMS.format("text")}) as term from documents) group by all),
+    return f"""p as (select {key}, term, count(*) as tf from (select {key}, unnest({_TERMS.format(text)}) as term from {rows}) group by all),
 w as (select distinct item_id, unnest({_DOC_TOKENS}) as q from benchmark), t as (select distinct term from p), u as (select distinct q from w),
-m as (select w.q, t.term from u w join t on {match}), h as (select q, doc_id, sum(tf) as tf from p join m using (term) group by all),
-len_ as (select doc_id, len({_TERMS.format("text")}) as dl from documents), g as (select count(*) as n, avg(dl) as avgdl from len_),
+m as (select w.q, t.term from u w join t on {match}), h as (select q, {key}, sum(tf) as tf from p join m using (term) group by all),
+len_ as (select {key}, len({_TERMS.format(text)}) as dl from {rows}), g as (select count(*) as n, avg(dl) as avgdl from len_),
 d as (select q, count(*) as df from h group by q),
-s as (select q, doc_id, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as s from h join d using (q) join len_ using (doc_id), g),
-r as (select item_id, doc_id, round(sum(s), 6) as score from w join s using (q) group by all),
-b as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r qualify rank <= {k})"""
+s as (select q, {key}, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as s from h join d using (q) join len_ using ({key}), g),
+r as (select item_id, {key}, round(sum(s), 6) as score from w join s using (q) group by all),
+b as (select *, row_number() over (partition by item_id order by score desc, {key}) as rank from r qualify rank <= {k})"""
 
 
 @query("with " + _bm25_sql(10, False) + " select item_id, doc_id, score, rank from b")
 def bm25_topk(spark, sf_dir):
-    return lexical.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 10, prefix=False)
+    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 10, prefix=False)
 
 
 @query("with " + _bm25_sql(10, True) + " select item_id, doc_id, score, rank from b")
 def bm25_prefix(spark, sf_dir):
-    return lexical.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 10)
+    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 10)
 
 
 @query(f"select term, count(distinct doc_id) as df, count(*) as cf from (select doc_id, unnest({_TERMS.format('text')}) as term from documents) group by term")
@@ -136,26 +138,72 @@ def doc_frequency_stats(spark, sf_dir):
 @query(f"""with q as (select item_id, list_distinct({_DOC_TOKENS}) as t from benchmark)
 select item_id, doc_id, share from (select item_id, doc_id, round(len(list_filter(t, lambda x: contains(lower(text), x))) / len(t), 4) as share from documents, q where len(t) > 0) where share > 0.3""")
 def lexical_substring_score(spark, sf_dir):
-    return lexical.substring_scores(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").where("share > 0.3")
+    return search.substring_scores(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 0.3)
+
+
+_SYMBOL = """case when doc_id % 3 <> 0 then (case doc_id % 4 when 0 then 'class:' when 1 then 'function:' when 2 then 'method:' else 'export:' end) || coalesce({0}, 'x') || '_' || coalesce({1}, 'y')
+  || case when doc_id % 5 = 0 then '.' || coalesce({2}, 'z') || '.' || coalesce({3}, 'w') else '' end end"""
+_CHUNK_SQL = _LINES.format(n=80, step=72) + f""",
+ch as (select path || ':' || lpad(start_line::varchar, 9, '0') as cid, path, start_line, end_line, {_SYMBOL.format(*(f"{_DOC_TOKENS}[{i}]" for i in (1, 2, 3, 4)))} as symbol, text from c where text <> ''),
+et as (select cid, path || chr(10) || coalesce(symbol, '') || chr(10) || text as text from ch), hay as (select cid, path || ' ' || coalesce(symbol, '') || ' ' || text as text from ch)"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line windows of documents, most with a symbol made of their first tokens."""
+    c = chunking.line_windows(_files(spark, sf_dir)).withColumn("__t", T.tokenize(F.col("text")))
+    return c.withColumn("symbol", F.expr(_SYMBOL.format(*(f"get(__t, {i})" for i in range(4))))).select("path", "start_line", "end_line", "symbol", "text")
+
+
+def _relation_sql() -> str:
+    asked = ("len(list_intersect(qs, ['import', 'imports', 'export', 'exports'])) > 0", "len(list_intersect(qs, ['reference', 'references', 'caller', 'callers'])) > 0", "len(list_intersect(qs, ['test', 'tests', 'spec'])) > 0", "(len(list_intersect(qs, ['nearby', 'neighbor'])) > 0 or (list_contains(qs, 'same') and list_contains(qs, 'file')))")
+    return " + ".join(f"case when {a} and regexp_matches(' ' || low || ' ', '[^A-Za-z0-9_](?:{names})[^A-Za-z0-9_]') then {worth} else 0 end" for a, (_, names, worth) in zip(asked, search.HINTS))
+
+
+def _search_sql(modes: tuple[str, ...], limit: int) -> str:
+    """All queries with all chunks: every component in full, then the ranks of each mode."""
+    score = {
+        "hybrid": "round(vector * 0.55::decimal(3,2) + lexical * 0.30::decimal(3,2) + symbol_score * 0.13::decimal(3,2) + relation * 0.02::decimal(3,2), 4)",
+        "vector": "vector", "lexical": "greatest(lexical, round(symbol_score * 0.9::decimal(2,1) + relation * 0.1::decimal(2,1), 4))",
+    }
+    each = " union all ".join(f"select *, '{m}' as mode, {score[m]}::double as score from z" for m in modes)
+    return (
+        "with " + _CHUNK_SQL + "," + _hashed_sql("e", "et", "cid", 384) + "," + _hashed_sql("qe", "benchmark", "item_id", 384) + "," + _bm25_sql(80, True, "hay", "cid") + ","
+        + symbols.symbol_ctes("select cid as k, symbol, text from ch where symbol is not null", "select item_id as qk, text as query from benchmark") + f""",
+v as (select item_id, cid, round(sum(qe.v::decimal(9,6) * e.v::decimal(9,6)), 4) as vector from qe join e using (idx) group by all),
+x as (select item_id, cid, round(1 - (rank - 1) / count(*) over (partition by item_id), 4) as lex from b),
+asked as (select item_id, list_distinct({_DOC_TOKENS}) as qs from benchmark), said as (select cid, lower(hay.text) as hay, lower(coalesce(symbol, '') || ' ' || ch.text) as low from hay join ch using (cid)),
+y as (select asked.item_id, ch.cid, path, start_line, end_line, symbol, coalesce(vector, 0)::decimal(10,4) as vector,
+  coalesce(lex, case when len(qs) > 0 then round(len(list_filter(qs, lambda t: contains(hay, t))) / len(qs), 4) else 0 end)::decimal(10,4) as lexical,
+  coalesce(symbol_score, 0)::decimal(10,4) as symbol_score, round(least(1.0, {_relation_sql()}), 4)::decimal(10,4) as relation
+  from asked cross join ch join said on said.cid = ch.cid left join v on v.item_id = asked.item_id and v.cid = ch.cid left join x on x.item_id = asked.item_id and x.cid = ch.cid left join sy on sy.qk = asked.item_id and sy.k = ch.cid),
+z as (select * from y), f as ({each}),
+top as (select *, row_number() over (partition by item_id, mode order by score desc, path, start_line, end_line) as rank from f qualify rank <= {limit})
+select item_id, mode, rank, path, start_line, end_line, symbol, score, vector::double as vector, lexical::double as lexical, symbol_score::double as symbol_score, relation::double as relation,
+  {_LABEL.replace(' s ', ' symbol_score ').replace(' l ', ' lexical ').replace(' r ', ' relation ').replace(' v ', ' vector ')} as why from top"""
+    )
 
 
-_HYBRID = (
-    "with " + _hashed_sql("e", "documents", "doc_id", 384) + "," + _hashed_sql("qe", "benchmark", "item_id", 384) + "," + _bm25_sql(80, True) + """,
-x as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from (select item_id, doc_id, round(sum(qe.v::decimal(9,6) * e.v::decimal(9,6)), 4)::double as score from qe join e using (idx) group by all)),
-y as (select item_id, doc_id, 1 - (rank - 1) / count(*) over (partition by item_id) as lex from b),
-z as (select item_id, doc_id, round(coalesce(x.score, 0), 4) as vector, round(coalesce(lex, 0), 4) as lexical from x full join y using (item_id, doc_id)),
-f as (select *, round(vector::decimal(10,4) * 0.55::decimal(3,2) + lexical::decimal(10,4) * 0.30::decimal(3,2), 4)::double as score from z)
-select item_id, doc_id, vector, lexical, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from f qualify rank <= 8"""
-)
+_LABEL = """case when s > 0.8 then 'exact symbol match' when s > 0.55 and l > 0.33 then 'symbol and lexical match' when s > 0.55 then 'symbol match'
+  when r > 0.5 and l > 0.33 then 'relationship and lexical match' when l > 0.66 and v > 0.2 then 'lexical and vector match' when l > 0.66 then 'lexical match'
+  when v > 0.2 then 'vector similarity' else 'weak combined match' end"""
 
 
-@query(_HYBRID)
+@query(_search_sql(("hybrid",), 8))
 def flagship_hybrid_search(spark, sf_dir):
-    """All benchmark texts as queries: hashed vectors and BM25 ranks, fused."""
-    d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    vector = embedding.nearest_sparse(embedding.hashed(q, "item_id", F.col("text")), embedding.hashed(d, "doc_id", F.col("text")), "item_id", "doc_id", 2**31 - 1)
-    ranked = lexical.bm25(d, "doc_id", "text", q, "item_id", "text", 80)
-    return lexical.hybrid(vector, ranked, "item_id", "doc_id", 8, 80)
+    """All benchmark texts as queries over all chunks: vector, lexical, symbol and relation scores, fused."""
+    return search.search(_chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query(_search_sql(("lexical", "vector", "hybrid"), 5))
+def search_modes(spark, sf_dir):
+    return search.search(_chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "text", 5, ("lexical", "vector", "hybrid"))
+
+
+@query(f"""with {_CHUNK_SQL}, q as (select item_id, {_DOC_TOKENS}[1:8] as t from benchmark)
+select item_id, path, start_line, end_line, rank from (select item_id, path, start_line, end_line, row_number() over (partition by item_id order by path, start_line, end_line) as rank from q, ch
+  where len(list_filter(t, lambda x: ch.text ilike '%' || x || '%' or path ilike '%' || x || '%' or coalesce(symbol, '') ilike '%' || x || '%')) > 0) where rank <= 20""")
+def lexical_like_fallback(spark, sf_dir):
+    return search.contain_any(_chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "text", 20)
 
 
 _INTENT = " + ".join(
@@ -169,11 +217,6 @@ def relation_intent(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(T.relation_intent(F.col("text")), 4).alias("intent"))
 
 
-_LABEL = """case when s > 0.8 then 'exact symbol match' when s > 0.55 and l > 0.33 then 'symbol and lexical match' when s > 0.55 then 'symbol match'
-  when r > 0.5 and l > 0.33 then 'relationship and lexical match' when l > 0.66 and v > 0.2 then 'lexical and vector match' when l > 0.66 then 'lexical match'
-  when v > 0.2 then 'vector similarity' else 'weak combined match' end"""
-
-
 @query(f"select l_returnflag, label, count(*) as n from (select l_returnflag, {_LABEL} as label from (select l_returnflag, l_quantity / 50 as s, l_discount * 10 as l, l_tax * 12 as r, l_linenumber / 7.0 as v from lineitem)) group by all")
 def explain_labels(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")

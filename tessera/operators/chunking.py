@@ -27,6 +27,16 @@ def line_windows(files: DataFrame, max_lines: int = 80, overlap: int = 8) -> Dat
     return out.where(F.col("text") != "")
 
 
+def window_of(line, n_lines, max_lines: int = 80, overlap: int = 8):
+    """(start_line, end_line) of the smallest of a file's windows around a line, the first among equals: by arithmetic, without a join."""
+    step = max(max_lines - overlap, 1)
+    last = F.greatest(F.lit(0), F.ceil((n_lines - max_lines) / step)).cast("int")
+    first = F.greatest(F.lit(0), F.ceil((line - max_lines) / step)).cast("int")
+    # Only the last window may be smaller than the others.
+    k = F.when((last * step < line) & (n_lines - last * step < max_lines), last).otherwise(first)
+    return F.struct((k * step + 1).cast("int").alias("start_line"), F.least(n_lines, k * step + max_lines).cast("int").alias("end_line"))
+
+
 def with_ids(chunks: DataFrame) -> DataFrame:
     """chunks with their id: path, lines and the text's hash."""
     hashed = F.lower(F.hex(fnv1a(F.col("text"))))
@@ -34,7 +44,8 @@ def with_ids(chunks: DataFrame) -> DataFrame:
 
 
 def token_references(files: DataFrame) -> DataFrame:
-    """path, name, line, column: each token of a line once, where the lower-case line first holds it (from 0)."""
-    lines = files.select("path", F.posexplode(F.split("text", "\r?\n", -1)).alias("at", "line_text"))
-    tokens = lines.select("path", (F.col("at") + 1).alias("line"), F.lower("line_text").alias("low"), F.explode(F.array_distinct(tokenize(F.col("line_text")))).alias("name"))
-    return tokens.select("path", "name", "line", F.greatest(F.lit(0), F.instr(F.col("low"), F.col("name")) - 1).alias("column"))
+    """path, name, line, column, n_lines: each token of a line once, where the lower-case line first holds it (from 0)."""
+    lines = files.select("path", F.split("text", "\r?\n", -1).alias("lines"))
+    lines = lines.select("path", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("at", "line_text"))
+    tokens = lines.select("path", "n_lines", (F.col("at") + 1).alias("line"), F.lower("line_text").alias("low"), F.explode(F.array_distinct(tokenize(F.col("line_text")))).alias("name"))
+    return tokens.select("path", "name", "line", "n_lines", F.greatest(F.lit(0), F.instr(F.col("low"), F.col("name")) - 1).alias("column"))

@@ -2,57 +2,79 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import fnv1a, token_weight, tokenize
-from tessera.operators.pairs import with_every
+from tessera.operators.search import Best, Hashing, rounded, tokens
 
 
 def hashed(rows: DataFrame, key: str, text: Column, dims: int = 384) -> DataFrame:
     """(key, idx, v): signed sums of token weights by bucket, of unit length, 6 decimals.
 
-    Each distinct token is hashed once, whatever its count; texts meet their tokens'
-    buckets in a join of (token, count) rows that are summed before the shuffle.
+    A narrow transformation; a task hashes each distinct token once.
     """
-    counts = rows.select(key, F.explode(tokenize(text)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = counts.select("token").distinct()
-    bucket = (fnv1a(F.col("token")) % dims).cast("int")
-    sign = F.when(fnv1a(F.concat(F.lit("sign:"), "token")) % 2 == 0, 1.0).otherwise(-1.0)
-    buckets = vocabulary.select("token", bucket.alias("idx"), (sign * token_weight(F.col("token"))).alias("w"))
-    sums = counts.join(buckets, "token").groupBy(key, "idx").agg(F.sum(F.col("n") * F.col("w")).alias("s"))
-    norm = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy(key)))
-    out = sums.withColumn("norm", norm).where("norm > 0")
-    return out.select(key, "idx", F.round(F.col("s") / F.col("norm"), 6).alias("v")).where("v <> 0")
-
 
-def nearest_sparse(queries: DataFrame, rows: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
-    """The k rows of greatest dot product with each query, both as (key, idx, v).
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashing = Hashing(dims)
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.iloc[at : at + 1000]
+                made = hashing.vectors([tokens(t) for t in batch["text"]])
+                row, idx = np.nonzero(made)
+                yield pd.DataFrame({key: batch[key].to_numpy()[row], "idx": idx, "v": made[row, idx] / 1e6})
 
-    Values have 6 decimals, so their products are summed exactly, in whatever order.
-    """
-    exact = F.sum(F.col("q").cast("decimal(9,6)") * F.col("v").cast("decimal(9,6)"))
-    dots = queries.withColumnRenamed("v", "q").join(rows, "idx").groupBy(query_key, key).agg(F.round(exact, 4).cast("double").alias("score"))
-    best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return dots.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return rows.select(key, text.alias("text")).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, idx int, v double")
 
 
-def dot(a: str, b: str) -> Column:
-    """The plain dot product over the shorter length."""
-    n = F.least(F.size(a), F.size(b))
-    pairs = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+def _matrix(vectors: list, width: int) -> np.ndarray:
+    """Rows of the same width: products with zeros are those over the shorter length."""
+    out = np.zeros((len(vectors), width))
+    for row, v in zip(out, vectors):
+        row[: min(len(v), width)] = v[:width]
+    return out
 
 
 def nearest_dense(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, most: int = 2000) -> DataFrame:
-    """The k rows of greatest dot product with each of a stated set of queries.
+    """(query_id, key, score, rank): the k rows of greatest dot product with each of a stated set of queries, but not a query itself.
 
-    The queries are broadcast up to ``most`` of them; a larger set is searched in blocks.
+    Queries are broadcast in blocks of ``most``; a task multiplies matrices and keeps k rows of
+    each query, so what is exchanged doesn't grow with the rows of a task. Null vectors take no part.
     """
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q"))
-    scored = with_every(rows.select(key, vector), q, most).where(F.col(key) != F.col("query_id")).select("query_id", key, F.round(dot(vector, "__q"), 4).alias("score"))
+    found, n = None, queries.count()
+    asked = queries.where(F.col(vector).isNotNull()).select(key, vector)
+    asked = asked.withColumn("__n", F.row_number().over(Window.orderBy(key)) - 1) if n > most else asked.withColumn("__n", F.lit(0))
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"query_id {kind}, {key} {kind}, score double"
+    for i in range(-(-n // most)):
+        own = asked.where((F.col("__n") >= i * most) & (F.col("__n") < (i + 1) * most)).select(key, vector).collect()
+        width = max((len(r[1]) for r in own), default=1)
+        sent = rows.sparkSession.sparkContext.broadcast(([r[0] for r in own], _matrix([r[1] for r in own], width)))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent, width=width) -> Iterator[pd.DataFrame]:
+            ids, q = sent.value
+            best, place = Best(len(ids), k), {x: j for j, x in enumerate(ids)}
+            for whole in batches:
+                for at in range(0, len(whole), 1000):
+                    batch = whole.iloc[at : at + 1000]
+                    keys = batch[key].tolist()
+                    score = rounded(_matrix(batch[vector].tolist(), width) @ q.T) / 1e4
+                    for row, x in enumerate(keys):
+                        if x in place:
+                            score[row, place[x]] = -np.inf
+                    best.add(score, [(x,) for x in keys], lambda i, j: None)
+            out = [(x, at[0], -score) for x, held in zip(ids, best.held) for score, at, _ in held if score < math.inf]
+            yield pd.DataFrame(out, columns=["query_id", key, "score"])
+
+        part = rows.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, schema)
+        found = part if found is None else found.unionByName(part)
+    found = rows.sparkSession.createDataFrame([], schema) if found is None else found
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def validate(rows: DataFrame, vector: str, dims: int) -> DataFrame:

@@ -1,14 +1,11 @@
-"""BM25 over postings, substring scores and hybrid search for a set of queries."""
+"""Postings of an index, and in how many texts its terms occur."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import index_terms, tokenize
-from tessera.operators.pairs import with_every
-
-K1, B = 1.2, 0.75
+from tessera.functions.text import index_terms
 
 
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -16,66 +13,5 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.explode(index_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """One row: the rows' number and their mean length in terms."""
-    return rows.select(F.size(index_terms(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def document_frequency(rows: DataFrame, key: str, text: str) -> DataFrame:
     return postings(rows, key, text).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-
-
-def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
-    return queries.select(key, F.explode(F.array_distinct(tokenize(F.col(text)))).alias("q"))
-
-
-def bm25(rows: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int | None, prefix: bool = True) -> DataFrame:
-    """(query_key, key, score, rank): BM25 of every query's tokens, each as a prefix.
-
-    Prefixes meet terms by equality: the vocabulary is cut into its prefixes, once for
-    each distinct term, and joined with the distinct tokens of all queries.
-    """
-    wanted = query_terms(queries, query_key, query_text)
-    found = postings(rows, key, text)
-    tokens = wanted.select("q").distinct()
-    if prefix:
-        cuts = found.select("term").distinct().select("term", F.explode(F.expr("transform(sequence(1, length(term)), i -> substring(term, 1, i))")).alias("q"))
-        found = found.join(cuts.join(tokens, "q"), "term")
-    else:
-        found = found.join(tokens, found.term == tokens.q)
-    hits = found.groupBy("q", key).agg(F.sum("tf").alias("tf"))
-    lengths = rows.select(key, F.size(index_terms(F.col(text))).alias("dl"))
-    n = F.broadcast(corpus(rows, key, text))  # one row
-    df = hits.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, "q").join(lengths, key).crossJoin(n)
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = scored.select("q", key, (idf * gain).alias("s"))
-    total = wanted.join(scored, "q").groupBy(query_key, key).agg(F.round(F.sum("s"), 6).alias("score"))
-    best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    ranked = total.withColumn("rank", F.row_number().over(best))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
-
-
-def substring_scores(rows: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, most: int = 2000) -> DataFrame:
-    """The share of a query's distinct tokens that a text contains, for a stated set of queries."""
-    q = queries.select(query_key, F.array_distinct(tokenize(F.col(query_text))).alias("__t")).where("size(__t) > 0")
-    low = rows.select(key, F.lower(text).alias("__low"))
-    # Up to ``most`` queries are broadcast and each text is read once, against all of them; more are dealt into blocks.
-    pairs = with_every(low, q, most).select(query_key, key, (F.size(F.filter("__t", lambda t: F.contains(F.col("__low"), t))) / F.size("__t")).alias("share"))
-    return pairs.select(query_key, key, F.round("share", 4).alias("share"))
-
-
-def hybrid(vector: DataFrame, lexical: DataFrame, query_key: str, key: str, k: int, over_fetch: int) -> DataFrame:
-    """Fused scores of (query_key, key, score, rank) tables: 0.55 vector + 0.30 lexical rank score."""
-    top = lexical.where(F.col("rank") <= over_fetch)
-    n = Window.partitionBy(query_key)
-    top = top.select(query_key, key, (1 - (F.col("rank") - 1) / F.count(F.lit(1)).over(n)).alias("lexical"))
-    both = vector.select(query_key, key, F.col("score").alias("vector")).join(top, [query_key, key], "full")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    both = both.select(query_key, key, F.round(zero(F.col("vector")), 4).alias("vector"), F.round(zero(F.col("lexical")), 4).alias("lexical"))
-    # Decimals: a tie at the fourth digit rounds alike everywhere.
-    part = lambda c, weight: F.col(c).cast("decimal(10,4)") * F.lit(weight).cast("decimal(3,2)")
-    both = both.withColumn("score", F.round(part("vector", "0.55") + part("lexical", "0.30"), 4).cast("double"))
-    best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -64,7 +64,7 @@ def test_packing_equals_a_loop(spark, items, budget):
         want.append((i, s > body, used))
         room -= used + 2
     df = spark.createDataFrame([("g", i, "h" * h, "s" * s) for i, (h, s) in enumerate(items)], "g string, i int, header string, body string")
-    got = [(r.i, r.cut, r.used) for r in bundle.pack(df, "g", ["i"], "header", "body", budget).orderBy("i").collect()]
+    got = [(r.i, r.cut, r.used) for r in bundle.pack(df, "g", ["i"], F.length("header"), F.length("body"), budget).orderBy("i").collect()]
     assert got == want
 
 
