@@ -144,8 +144,7 @@ def lexical_substring_score(spark, sf_dir):
 _SYMBOL = """case when doc_id % 3 <> 0 then (case doc_id % 4 when 0 then 'class:' when 1 then 'function:' when 2 then 'method:' else 'export:' end) || coalesce({0}, 'x') || '_' || coalesce({1}, 'y')
   || case when doc_id % 5 = 0 then '.' || coalesce({2}, 'z') || '.' || coalesce({3}, 'w') else '' end end"""
 _CHUNK_SQL = _LINES.format(n=80, step=72) + f""",
-ch as (select path || ':' || lpad(start_line::varchar, 9, '0') as cid, path, start_line, end_line, {_SYMBOL.format(*(f"{_DOC_TOKENS}[{i}]" for i in (1, 2, 3, 4)))} as symbol, text from c where text <> ''),
-et as (select cid, path || chr(10) || coalesce(symbol, '') || chr(10) || text as text from ch), hay as (select cid, path || ' ' || coalesce(symbol, '') || ' ' || text as text from ch)"""
+ch as (select path || ':' || lpad(start_line::varchar, 9, '0') as cid, path, start_line, end_line, {_SYMBOL.format(*(f"{_DOC_TOKENS}[{i}]" for i in (1, 2, 3, 4)))} as symbol, text from c where text <> '')"""
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,38 +153,43 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("symbol", F.expr(_SYMBOL.format(*(f"get(__t, {i})" for i in range(4))))).select("path", "start_line", "end_line", "symbol", "text")
 
 
+_LABEL = """case when s > 0.8 then 'exact symbol match' when s > 0.55 and l > 0.33 then 'symbol and lexical match' when s > 0.55 then 'symbol match'
+  when r > 0.5 and l > 0.33 then 'relationship and lexical match' when l > 0.66 and v > 0.2 then 'lexical and vector match' when l > 0.66 then 'lexical match'
+  when v > 0.2 then 'vector similarity' else 'weak combined match' end"""
+
+
 def _relation_sql() -> str:
     asked = ("len(list_intersect(qs, ['import', 'imports', 'export', 'exports'])) > 0", "len(list_intersect(qs, ['reference', 'references', 'caller', 'callers'])) > 0", "len(list_intersect(qs, ['test', 'tests', 'spec'])) > 0", "(len(list_intersect(qs, ['nearby', 'neighbor'])) > 0 or (list_contains(qs, 'same') and list_contains(qs, 'file')))")
     return " + ".join(f"case when {a} and regexp_matches(' ' || low || ' ', '[^A-Za-z0-9_](?:{names})[^A-Za-z0-9_]') then {worth} else 0 end" for a, (_, names, worth) in zip(asked, search.HINTS))
 
 
-def _search_sql(modes: tuple[str, ...], limit: int) -> str:
-    """All queries with all chunks: every component in full, then the ranks of each mode."""
+def _search_ctes(modes: tuple[str, ...], limit: int, chunks: str) -> str:
+    """All queries with all chunks (CTE ch): every component in full, then the ranks of each mode, up to top_named."""
     score = {
         "hybrid": "round(vector * 0.55::decimal(3,2) + lexical * 0.30::decimal(3,2) + symbol_score * 0.13::decimal(3,2) + relation * 0.02::decimal(3,2), 4)",
         "vector": "vector", "lexical": "greatest(lexical, round(symbol_score * 0.9::decimal(2,1) + relation * 0.1::decimal(2,1), 4))",
     }
     each = " union all ".join(f"select *, '{m}' as mode, {score[m]}::double as score from z" for m in modes)
     return (
-        "with " + _CHUNK_SQL + "," + _hashed_sql("e", "et", "cid", 384) + "," + _hashed_sql("qe", "benchmark", "item_id", 384) + "," + _bm25_sql(80, True, "hay", "cid") + ","
+        chunks + ",et as (select cid, path || chr(10) || coalesce(symbol, '') || chr(10) || text as text from ch), hay as (select cid, path || ' ' || coalesce(symbol, '') || ' ' || text as text from ch),"
+        + _hashed_sql("e", "et", "cid", 384) + "," + _hashed_sql("qe", "benchmark", "item_id", 384) + "," + _bm25_sql(80, True, "hay", "cid") + ","
         + symbols.symbol_ctes("select cid as k, symbol, text from ch where symbol is not null", "select item_id as qk, text as query from benchmark") + f""",
 v as (select item_id, cid, round(sum(qe.v::decimal(9,6) * e.v::decimal(9,6)), 4) as vector from qe join e using (idx) group by all),
 x as (select item_id, cid, round(1 - (rank - 1) / count(*) over (partition by item_id), 4) as lex from b),
 asked as (select item_id, list_distinct({_DOC_TOKENS}) as qs from benchmark), said as (select cid, lower(hay.text) as hay, lower(coalesce(symbol, '') || ' ' || ch.text) as low from hay join ch using (cid)),
-y as (select asked.item_id, ch.cid, path, start_line, end_line, symbol, coalesce(vector, 0)::decimal(10,4) as vector,
+z as (select asked.item_id, ch.cid, path, start_line, end_line, symbol, coalesce(vector, 0)::decimal(10,4) as vector,
   coalesce(lex, case when len(qs) > 0 then round(len(list_filter(qs, lambda t: contains(hay, t))) / len(qs), 4) else 0 end)::decimal(10,4) as lexical,
   coalesce(symbol_score, 0)::decimal(10,4) as symbol_score, round(least(1.0, {_relation_sql()}), 4)::decimal(10,4) as relation
   from asked cross join ch join said on said.cid = ch.cid left join v on v.item_id = asked.item_id and v.cid = ch.cid left join x on x.item_id = asked.item_id and x.cid = ch.cid left join sy on sy.qk = asked.item_id and sy.k = ch.cid),
-z as (select * from y), f as ({each}),
-top as (select *, row_number() over (partition by item_id, mode order by score desc, path, start_line, end_line) as rank from f qualify rank <= {limit})
-select item_id, mode, rank, path, start_line, end_line, symbol, score, vector::double as vector, lexical::double as lexical, symbol_score::double as symbol_score, relation::double as relation,
-  {_LABEL.replace(' s ', ' symbol_score ').replace(' l ', ' lexical ').replace(' r ', ' relation ').replace(' v ', ' vector ')} as why from top"""
+f as ({each}),
+top as (select *, row_number() over (partition by item_id, mode order by score desc, path, start_line, end_line) as rank from f qualify rank <= {limit}),
+top_named as (select item_id, mode, rank, path, start_line, end_line, symbol, score, vector::double as vector, lexical::double as lexical, symbol_score::double as symbol_score, relation::double as relation,
+  {_LABEL.replace(' s ', ' symbol_score ').replace(' l ', ' lexical ').replace(' r ', ' relation ').replace(' v ', ' vector ')} as why from top)"""
     )
 
 
-_LABEL = """case when s > 0.8 then 'exact symbol match' when s > 0.55 and l > 0.33 then 'symbol and lexical match' when s > 0.55 then 'symbol match'
-  when r > 0.5 and l > 0.33 then 'relationship and lexical match' when l > 0.66 and v > 0.2 then 'lexical and vector match' when l > 0.66 then 'lexical match'
-  when v > 0.2 then 'vector similarity' else 'weak combined match' end"""
+def _search_sql(modes: tuple[str, ...], limit: int) -> str:
+    return f"with {_search_ctes(modes, limit, _CHUNK_SQL)} select * from top_named"
 
 
 @query(_search_sql(("hybrid",), 8))
