@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.jobs import context, relational, retrieval, symbols
+from tessera.jobs import code, context, relational, retrieval, symbols
 
-QUERIES: dict = retrieval.QUERIES | relational.QUERIES | context.QUERIES | {"symbol_score_features": symbols.symbol_score_features}
-ORACLES: dict[str, str] = retrieval.ORACLES | relational.ORACLES | context.ORACLES | {"symbol_score_features": symbols.ORACLE}
+QUERIES: dict = retrieval.QUERIES | relational.QUERIES | context.QUERIES | code.QUERIES | {"symbol_score_features": symbols.symbol_score_features}
+ORACLES: dict[str, str] = retrieval.ORACLES | relational.ORACLES | context.ORACLES | code.ORACLES | {"symbol_score_features": symbols.ORACLE}

@@ -1,95 +1,120 @@
-"""Definitions, imports and exports of source files, found by joins and windows over their lines.
-
-Lines are rows; a file bounds every join and window. Strings and comments of a line
-are blanked before braces are counted; block comments and template literals over
-several lines are not followed, and neither are Python's triple quotes.
-"""
+"""Chunks and symbols of source files: one pass over each file where it lies, then joins and aggregates by file."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Declarations that a JavaScript or TypeScript line may begin: kind and pattern, the first that fits.
-JS_PATTERNS = (
-    ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
-    ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"),
-    ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)"),
-    ("type", r"^\s*(?:export\s+)?(?:interface|type)\s+([A-Za-z_$][\w$]*)"),
-    ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+([A-Za-z_$][\w$]*)"),
-    ("export", r"^\s*export\s+(?:const|let|var)\s+([A-Za-z_$][\w$]*)"),
-)
-
-
-def lines_of(files: DataFrame) -> DataFrame:
-    """path, n (from 1), line, indent (a tab is four) of files (path, text)."""
-    rows = files.select("path", F.posexplode(F.split("text", "\r?\n", -1)).alias("at", "line"))
-    indent = F.length(F.replace(F.regexp_extract("line", "^([ \t]*)", 1), F.lit("\t"), F.lit("    ")))
-    return rows.select("path", (F.col("at") + 1).alias("n"), "line", indent.alias("indent"))
-
-
-def python_blocks(files: DataFrame) -> DataFrame:
-    """path, kind, name, start_line, end_line of Python's functions and classes; names carry their nearest container's."""
-    lines = lines_of(files)
-    code = F.col("line").rlike("^\\s*[^\\s#]")
-    pattern = "^\\s*(?:async\\s+)?(def|class)\\s+([A-Za-z_]\\w*)"
-    heads = lines.where(F.col("line").rlike(pattern)).select("path", "n", "indent", F.when(F.regexp_extract("line", pattern, 1) == "class", "class").otherwise("function").alias("kind"), F.regexp_extract("line", pattern, 2).alias("raw"))
-    body = lines.where(code).select(F.col("path").alias("p"), F.col("n").alias("m"), F.col("indent").alias("in"))
-    after = heads.join(body, (F.col("path") == F.col("p")) & (F.col("m") > F.col("n")), "left")
-    stop = after.groupBy("path", "n", "indent", "kind", "raw").agg(F.min(F.when(F.col("in") <= F.col("indent"), F.col("m"))).alias("stop"))
-    inside = stop.join(body, (F.col("path") == F.col("p")) & (F.col("m") > F.col("n")) & (F.col("m") < F.coalesce("stop", F.lit(2**31 - 1))), "left")
-    blocks = inside.groupBy("path", "n", "indent", "kind", "raw").agg(F.coalesce(F.max("m"), F.col("n")).alias("end_line"))
-    # Decorators right above belong to the block: it starts behind the last line that is none.
-    other = lines.where(~F.col("line").rlike("^\\s*@")).select(F.col("path").alias("p"), F.col("n").alias("m"), F.lit(None).cast("int").alias("in"))
-    other = other.unionByName(lines.where(F.col("line").rlike("^\\s*@")).select(F.col("path").alias("p"), F.col("n").alias("m"), F.col("indent").alias("in")))
-    above = blocks.join(other, (F.col("path") == F.col("p")) & (F.col("m") < F.col("n")) & ~F.col("in").eqNullSafe(F.col("indent")), "left")
-    blocks = above.groupBy("path", "n", "kind", "raw", "end_line").agg((F.coalesce(F.max("m"), F.lit(0)) + 1).alias("start_line"))
-    outer = blocks.select(F.col("path").alias("p"), F.col("n").alias("o"), F.col("end_line").alias("e"), F.col("raw").alias("container"))
-    within = blocks.join(outer, (F.col("path") == F.col("p")) & (F.col("o") < F.col("n")) & (F.col("e") >= F.col("end_line")), "left")
-    nearest = within.groupBy("path", "kind", "raw", "start_line", "end_line").agg(F.max_by("container", "o").alias("container"))
-    return nearest.select("path", "kind", F.concat_ws(".", "container", "raw").alias("name"), "start_line", "end_line")
-
-
-def js_blocks(files: DataFrame) -> DataFrame:
-    """path, kind, name, start_line, end_line, exported of declarations; a block ends where its braces close."""
-    lines = lines_of(files)
-    plain = F.regexp_replace("line", r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|`(?:\\.|[^`\\])*`|//.*$|/\*.*?\*/", "")
-    count = lambda c: F.length("plain") - F.length(F.replace("plain", F.lit(c), F.lit("")))
-    lines = lines.withColumn("plain", plain).select("path", "n", "line", "plain", count("{").alias("opened"), count("}").alias("closed"))
-    order = Window.partitionBy("path").orderBy("n")
-    lines = lines.withColumn("depth", F.sum(F.col("opened") - F.col("closed")).over(order)).withColumn("before", F.col("depth") - F.col("opened") + F.col("closed"))
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k, p in reversed(JS_PATTERNS):
-        kind, name = F.when(F.col("line").rlike(p), k).otherwise(kind), F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1)).otherwise(name)
-    heads = lines.select("path", "n", "before", kind.alias("kind"), name.alias("name"), F.col("line").rlike("^\\s*export\\b").alias("exported")).where("kind is not null")
-    ends = lines.select(F.col("path").alias("p"), F.col("n").alias("m"), "depth", "opened", F.rtrim("plain").endswith(";").alias("stops"))
-    later = heads.join(ends, (F.col("path") == F.col("p")) & (F.col("m") >= F.col("n")))
-    first_open = F.min(F.when(F.col("opened") > 0, F.col("m")))
-    found = later.groupBy("path", "n", "before", "kind", "name", "exported").agg(first_open.alias("open"), F.min(F.when(F.col("stops"), F.col("m"))).alias("stop"), F.sort_array(F.collect_list(F.when(F.col("depth") <= F.col("before"), F.col("m")))).alias("closes"))
-    braces = F.col("open").isNotNull() & (F.col("stop").isNull() | (F.col("open") <= F.col("stop")))
-    close = F.element_at(F.filter("closes", lambda m: m >= F.col("open")), 1)
-    end = F.when(braces, F.coalesce(close, "open")).otherwise(F.coalesce("stop", "n"))
-    return found.select("path", "kind", "name", F.col("n").alias("start_line"), end.alias("end_line"), "exported")
-
-
-def js_imports(files: DataFrame) -> DataFrame:
-    """path, source, imported_name, local_name, line of static imports on one line; bare ones as '*'."""
-    lines = lines_of(files)
-    pattern = r"^\s*import\s+(?:type\s+)?(?:([^'\"]*?)\s*\bfrom\s*)?['\"]([^'\"]+)['\"]"
-    rows = lines.where(F.col("line").rlike(pattern)).select("path", F.col("n").alias("line"), F.regexp_extract("line", pattern, 2).alias("source"), F.regexp_extract("line", pattern, 1).alias("what"))
-    named = F.transform(F.filter(F.split(F.regexp_extract("what", r"\{([^}]*)\}", 1), ","), lambda s: F.trim(s) != ""), lambda s: F.struct(F.regexp_extract(s, r"^\s*(\S+)", 1).alias("imported_name"), F.regexp_extract(s, r"(\S+)\s*$", 1).alias("local_name")))
-    star = F.regexp_extract("what", r"\*\s+as\s+([\w$]+)", 1)
-    default = F.regexp_extract("what", r"^\s*([A-Za-z_$][\w$]*)", 1)
-    one = lambda imported, local, when: F.when(when, F.array(F.struct(F.lit(imported).alias("imported_name"), local.alias("local_name")))).otherwise(F.array().cast("array<struct<imported_name:string,local_name:string>>"))
-    every = F.concat(one("default", default, default != ""), one("*", star, star != ""), named, one("*", F.lit("*"), F.col("what") == ""))
-    return rows.select("path", "source", F.inline(every), "line")
-
-
-def js_exports(files: DataFrame) -> DataFrame:
-    """path, name, local_name, line: declared names, default, and specifiers."""
-    declared = js_blocks(files).where("exported").select("path", "name", F.col("name").alias("local_name"), F.col("start_line").alias("line"))
-    lines = lines_of(files)
-    default = lines.where(F.col("line").rlike(r"^\s*export\s+default\b")).select("path", F.lit("default").alias("name"), F.coalesce(F.nullif(F.regexp_extract("line", r"default\s+(?:async\s+)?(?:function\s*\*?|class)?\s*([A-Za-z_$][\w$]*)", 1), F.lit("")), F.lit("default")).alias("local_name"), F.col("n").alias("line"))
-    inner = lines.where(F.col("line").rlike(r"^\s*export\s*\{")).select("path", F.col("n").alias("line"), F.explode(F.split(F.regexp_extract("line", r"\{([^}]*)\}", 1), ",")).alias("s"))
-    named = inner.where("trim(s) <> ''").select("path", F.regexp_extract("s", r"(\S+)\s*$", 1).alias("name"), F.regexp_extract("s", r"^\s*(\S+)", 1).alias("local_name"), "line")
-    return declared.unionByName(default).unionByName(named).distinct()
+from tessera.functions.text import language_of, simple_name
+from tessera.operators.chunking import token_references, with_ids
+from tessera.sources import code
+
+#: What a line of a language may declare, for readers without blocks; the first that fits.
+LINE_PATTERNS = {
+    "python": (("class", r"^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)"), ("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)")),
+    "markdown": (("heading", r"^#{1,6}\s+(.+)$"),),
+    "javascript": tuple((kind, "^" + pattern) for kind, pattern in code.LINES),
+    "typescript": tuple((kind, "^" + pattern) for kind, pattern in code.LINES),
+}
+_PARSED = ("javascript", "typescript")
+
+
+def _by_file(files: DataFrame, schema: str, made) -> DataFrame:
+    """made(path, text, language) of each file (path, text), as rows; files are read a few at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.iloc[at : at + 64]
+                rows = [(path, *row) for path, text, language in zip(part.path, part.text, part.language) for row in made(text or "", language)]
+                yield pd.DataFrame(rows, columns=["path", *columns])
+
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return files.select("path", "text", language_of(F.col("path")).alias("language")).mapInPandas(run, f"path string, {schema}")
+
+
+def symbol_chunks(files: DataFrame, most: int = 80, overlap: int = 8) -> DataFrame:
+    """path, language, start_line, end_line, symbol, is_gap, text and id of each chunk.
+
+    Files of known languages are cut at their functions, classes and the like: gaps, blocks and the blocks
+    within them, each windowed. A gap carries the symbol that begins last before it. Other files are windowed.
+    Chunks with the same id (blocks with the same lines) are kept once.
+    """
+    schema = "start_line int, end_line int, symbol string, is_gap boolean, text string"
+    out = _by_file(files, schema, lambda text, language: code.chunked(text, language, most, overlap))
+    return with_ids(out.withColumn("language", language_of(F.col("path")))).dropDuplicates(["path", "id"])
+
+
+def entries(files: DataFrame) -> DataFrame:
+    """path, what (definition, import, export, reference), kind, name, line, end_line, exported, other, source, column of parsed languages."""
+    schema = "what string, kind string, name string, line int, end_line int, exported boolean, other string, source string, column int"
+    known = files.where(language_of(F.col("path")).isin(*_PARSED))
+    made = _by_file(known, schema, lambda text, _: code.javascript("\n".join(text.split("\r\n"))))
+    return made.where("what <> 'block'")
+
+
+def blocks(files: DataFrame) -> DataFrame:
+    """path, kind, name, start_line, end_line of the blocks that chunks are cut at."""
+    return _by_file(files, "kind string, name string, start_line int, end_line int", lambda text, language: ((e.kind, e.name, e.start, e.end) for e in code.blocks_of(text, language)))
+
+
+def imports(rows: DataFrame) -> DataFrame:
+    """path, source, imported_name, local_name, line, each once; from entries."""
+    found = rows.where("what = 'import'").groupBy("path", "source", F.col("name").alias("imported_name"), F.col("other").alias("local_name"))
+    return found.agg(F.min("line").alias("line"))
+
+
+def exports(rows: DataFrame) -> DataFrame:
+    """path, name, local_name, line, each once; from entries."""
+    return rows.where("what = 'export'").groupBy("path", "name", F.col("other").alias("local_name")).agg(F.min("line").alias("line"))
+
+
+def chunk_definitions(chunks: DataFrame) -> DataFrame:
+    """Definitions that chunks' symbols say, with the first line of code as signature."""
+    kind, name = F.substring_index("symbol", ":", 1), F.regexp_replace("symbol", "^[^:]*:", "")
+    first = F.substring(F.regexp_replace(F.substring_index("text", "\n", 1), "^\\s+|\\s+$", ""), 1, 240)
+    return chunks.where("symbol is not null").select("path", kind.alias("kind"), name.alias("name"), F.col("start_line").alias("line"), "end_line", first.alias("signature"), F.lit(False).alias("exported"))
+
+
+def definitions(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """path, kind, name, line, end_line, signature, exported: what entries declare and chunks say; the latter hold where both do.
+
+    Exported is what says so itself or whose name, or simple name, the file exports.
+    """
+    own = rows.where("what = 'definition'").select("path", "kind", "name", "line", "end_line", F.col("other").alias("signature"), "exported", F.lit(0).alias("order"))
+    both = own.unionByName(chunk_definitions(chunks).withColumn("order", F.lit(1)))
+    # Of equals the last one holds: chunks behind entries, the longest of each.
+    merged = both.groupBy("path", "kind", "name", "line").agg(F.max_by(F.struct("end_line", "signature", "exported"), F.struct("order", "end_line")).alias("d"))
+    merged = merged.select("path", "kind", "name", "line", "d.end_line", "d.signature", "d.exported")
+    named = rows.where("what = 'export'").select("path", F.col("name").alias("key")).distinct().withColumn("hit", F.lit(True))
+    for i, key in enumerate((F.col("name"), simple_name(F.col("name")))):
+        merged = merged.withColumn("key", key).join(named.withColumnRenamed("hit", f"hit{i}"), ["path", "key"], "left").drop("key")
+    return merged.withColumn("exported", F.col("exported") | F.coalesce("hit0", F.lit(False)) | F.coalesce("hit1", F.lit(False))).drop("hit0", "hit1")
+
+
+def references(files: DataFrame, rows: DataFrame, defined: DataFrame) -> DataFrame:
+    """path, name, line, column, kind, target_symbol: identifiers of parsed files, tokens of all others.
+
+    A name is linked to the file's own last definition of that simple name, by an aggregate and an equi-join.
+    """
+    parsed = rows.where("what = 'reference'").select("path", "name", "line", "column", F.lit("identifier").alias("kind"))
+    others = token_references(files.where(~language_of(F.col("path")).isin(*_PARSED))).select("path", "name", "line", "column", F.lit("token").alias("kind"))
+    symbol = F.concat("kind", F.lit(":"), "name")
+    own = defined.groupBy("path", simple_name(F.col("name")).alias("name")).agg(F.max_by(symbol, F.struct("line", "name")).alias("target_symbol"))
+    return parsed.unionByName(others).distinct().join(own, ["path", "name"], "left")
+
+
+def line_symbols(files: DataFrame) -> DataFrame:
+    """path, kind, name, line of the declarations and headings that lines begin, by patterns alone."""
+    lines = files.select("path", language_of(F.col("path")).alias("language"), F.posexplode(F.split("text", "\r?\n", -1)).alias("at", "text"))
+    none = F.lit(None).cast("struct<kind:string,name:string>")
+    found = none
+    for language, patterns in LINE_PATTERNS.items():
+        own = none
+        for kind, pattern in reversed(patterns):
+            own = F.when(F.col("text").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("text", pattern, 1).alias("name"))).otherwise(own)
+        found = F.when(F.col("language") == language, own).otherwise(found)
+    return lines.select("path", found.alias("s"), (F.col("at") + 1).alias("line")).where("s is not null").select("path", "s.kind", "s.name", "line")

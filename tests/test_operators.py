@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import bundle, incremental, relations
-from tessera.sources import providers, scan, symbols
+from tessera.sources import providers, scan
 from tessera.streaming import watch
 
 
@@ -28,20 +28,6 @@ def test_text_functions(spark):
     assert got.t == ["get", "user", "name", "httpserver", "x_1", "9"] and got.n == "b" and got.m == ["method:A.b", "A.b", "b"] and got.l == "typescript"
 
 
-def test_python_blocks(spark):
-    text = "import x\n\n@a\n@b\nclass A:\n    def f(self):\n        # c\n        return 1\n\n    async def g(self):\n        pass\n\n\ndef h(): pass\nx = 1\n"
-    rows = symbols.python_blocks(spark.createDataFrame([("p.py", text)], "path string, text string")).collect()
-    assert sorted((r.name, r.kind, r.start_line, r.end_line) for r in rows) == [("A", "class", 3, 11), ("A.f", "function", 6, 8), ("A.g", "function", 10, 11), ("h", "function", 14, 14)]
-
-
-def test_js_blocks_imports_exports(spark):
-    text = 'import d, { a as b, c } from "./m.js";\nimport * as all from \'q\';\nimport "side";\nexport class K {\n  go() { return "}"; } // {\n}\nexport const f = (x) => {\n  return x;\n};\nfunction g() { return 1; }\nexport { g as h };\nexport const limit = 3;\ninterface I {\n  a: string;\n}\nexport default K;\n'
-    files = spark.createDataFrame([("m.ts", text)], "path string, text string")
-    assert sorted((r.kind, r.name, r.start_line, r.end_line, r.exported) for r in symbols.js_blocks(files).collect()) == [("class", "K", 4, 6, True), ("export", "limit", 12, 12, True), ("function", "f", 7, 9, True), ("function", "g", 10, 10, False), ("type", "I", 13, 15, False)]
-    assert sorted((r.source, r.imported_name, r.local_name) for r in symbols.js_imports(files).collect()) == [("./m.js", "a", "b"), ("./m.js", "c", "c"), ("./m.js", "default", "d"), ("q", "*", "all"), ("side", "*", "*")]
-    assert sorted((r.name, r.local_name) for r in symbols.js_exports(files).collect()) == [("K", "K"), ("default", "K"), ("f", "f"), ("h", "g"), ("limit", "limit")]
-
-
 def test_scan(spark, tmp_path):
     for name, content in {"a.js": b"x", "dist/b.js": b"x", "lib/c.log": b"x", "lib/keep.log": b"x", "n.bin": b"a\0b", "big.txt": b"x" * (scan.MOST_BYTES + 1), "out/deep/k.log": b"x"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
