@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import bundle, chunking, graph, incremental, pairs, relations
-from tessera.session import table
+from tessera.session import table, with_checkpoints
 from tessera.sources import scan
 from tessera.streaming import watch
 
@@ -79,14 +79,17 @@ def neighbor_chunks(spark, sf_dir):
     return relations.neighbours(c, "conv_id", "turn", "end_turn").select("conv_id", "turn", "near_start", "rank")
 
 
-@query(r"""with f as (select distinct regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', '') || '.js' as path from pages),
-i as (select distinct 'en/index.js' as importer, './' || regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/[a-z]+/', ''), '[?#].*$', '') as source from pages)
-select importer, source, case when 'en/' || trim(substr(source, 3), '/') || '.js' in (select path from f) then 'en/' || trim(substr(source, 3), '/') || '.js' end as target from i""")
+_SUFFIX = "case page_id % 5 when 0 then '.js' when 1 then '.ts' when 2 then '/index.js' when 3 then '' else '.cjs' end"
+
+
+@query(rf"""with p as (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', '') as tail from pages), f as (select distinct tail || {_SUFFIX} as path from p),
+i as (select distinct 'en/index.js' as importer, './' || regexp_replace(tail, '^[a-z]+/', '') as source from p),
+t as (select importer, source, 'en/' || trim(substr(source, 3), '/') as base from i), c as (select *, unnest(['', '.js', '.jsx', '.ts', '.tsx', '.mjs', '.cjs', '/index.js', '/index.ts']) as suffix, unnest(range(9)) as pos from t)
+select t.importer, t.source, (select arg_min(base || suffix, pos) from c where c.importer = t.importer and c.source = t.source and base || suffix in (select path from f)) as target from t""")
 def import_candidate_resolution(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    tail = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "[?#].*$", "")
-    files = pages.select(F.concat(tail, F.lit(".js")).alias("path")).distinct()
-    imports = pages.select(F.lit("en/index.js").alias("importer"), F.concat(F.lit("./"), F.regexp_replace(tail, "^[a-z]+/", "")).alias("source")).distinct()
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "[?#].*$", "").alias("tail"))
+    files = pages.select(F.concat("tail", F.expr(_SUFFIX)).alias("path")).distinct()
+    imports = pages.select(F.lit("en/index.js").alias("importer"), F.concat(F.lit("./"), F.regexp_replace("tail", "^[a-z]+/", "")).alias("source")).distinct()
     return relations.resolve_imports(imports, files)
 
 
@@ -193,14 +196,32 @@ def upsert_snapshot(spark, sf_dir):
 _URLPATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[#?].*$', '')"
 
 
-@query(f"""with f as (select page_id, {_URLPATH} as path, length(html) as size, contains(html, 'ad 3') as bin from pages), g as (select *, regexp_extract(path, '([^/]*)$', 1) as name from f)
-select page_id, case when regexp_matches(path, '(^|/)(fr|es)(/|$)') and not regexp_matches(path, '(^|/)[^/]*7(/|$)') then 'gitignore' when regexp_matches(path, '(^|/)[^/]*1(/|$)') then 'cli-exclude'
-  when size > 1048576 then 'too-large' when bin then 'binary' when regexp_matches(path, '(^|/)[^/]*7(/|$)') then 'included-by-gitignore-negation' else 'included' end as reason from g""")
+_PAGES = f"f as (select page_id, {_URLPATH} as path, length(html) as size, contains(html, 'ad 3') as bin from pages)"
+
+
+def _pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[#?].*$", "").alias("path"), F.length("html").alias("size"), F.contains("html", F.lit("ad 3")).alias("binary"))
+
+
+@query(f"""with {_PAGES} select page_id, case when regexp_matches(path, '(^|/)(fr|es)(/|$)') and not regexp_matches(path, '(^|/)[^/]*7(/|$)') then 'gitignore' when regexp_matches(path, '(^|/)(fr|es)/.') then 'gitignore' when regexp_matches(path, '(^|/)[^/]*1(/|$)') then 'cli-exclude'
+  when size > 1048576 then 'too-large' when bin then 'binary' when regexp_matches(path, '(^|/)[^/]*7(/|$)') then 'included-by-gitignore-negation' else 'included' end as reason from f""")
 def gitignore_last_match(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[#?].*$", "").alias("path"), F.length("html").alias("size"), F.contains("html", F.lit("ad 3")).alias("binary"))
-    last = scan.last_match(F.col("path"), [scan.Rule.parse(x) for x in ("fr", "es", "!*7")])
-    reason = F.when(last, "gitignore").when(scan.Rule.parse("*1").matches(F.col("path")), "cli-exclude").when(F.col("size") > scan.MOST_BYTES, "too-large").when(F.col("binary"), "binary").when(last == False, "included-by-gitignore-negation").otherwise("included")  # noqa: E712
-    return p.select("page_id", reason.alias("reason"))
+    """A negation doesn't bring back what lies in an ignored folder."""
+    rules = [scan.Rule.parse(x) for x in ("fr", "es", "!*7")]
+    return scan.decide(_pages(spark, sf_dir), rules, exclude=("*1",)).select("page_id", "reason")
+
+
+@query(f"""with {_PAGES}, g as (select *, split_part(path, '/', 1) as host from f),
+r as (select *, host like '%2%' and regexp_matches(path, '/fr(/|$)') as pruned, case when regexp_matches(path, '(^|/)[^/]*9$') then false when host like '%2%' and regexp_matches(path, '/[^/]*5$') then true when host not like '%2%' and regexp_matches(path, '(^|/)[^/]*3(/|$)') then true end as ignored from g)
+select included, reason, count(*) as n, sum(size)::bigint as bytes from (select size, starts_with(reason, 'included') as included, reason from (select size, case when pruned or coalesce(ignored, false) then 'gitignore' when size > 1048576 then 'too-large' when bin then 'binary'
+  when ignored = false then 'included-by-gitignore-negation' else 'included' end as reason from r)) group by all""")
+def scan_diagnostics(spark, sf_dir):
+    """Ignore files at the top and in some hosts' folders; the deeper and later rule speaks."""
+    pages = _pages(spark, sf_dir).drop("page_id")
+    hosts = pages.select(F.substring_index("path", "/", 1).alias("base")).distinct()
+    own = hosts.where("base like '%2%'").withColumn("text", F.lit("# own rules\n!*3\n*5\n!*9\nfr/\n"))
+    top = hosts.agg(F.lit("").alias("base"), F.lit("*3\n!*9\n\n").alias("text"))
+    return scan.diagnostics(scan.decide_nested(pages, scan.load_rules(top.unionByName(own))))
 
 
 @query(f"""with f as (select {_URLPATH} as path, length(html) as size, contains(html, 'ad 3') as bin from pages), g as (select *, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir from f)
@@ -212,10 +233,10 @@ def scan_decisions(spark, sf_dir):
     return decided.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"select page_id, regexp_matches(url, '^https://[^/]*[.]example[.]com/.*$') as deep, regexp_matches(url, '^[^/]*:[/][/].*/[^/]$') as one from pages")
+@query(r"select page_id, regexp_matches(url, '^https://[^/]*[.]example[.]com/.*$') as deep, regexp_matches(url, '^[^/]*:[/][/].*/[^/][^/][^/]*$') as one from pages")
 def glob_filter(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.col("url").rlike(f"^{scan.glob_regex('https://*.example.com/**')}$").alias("deep"), F.col("url").rlike(f"^{scan.glob_regex('*://**/?')}$").alias("one"))
+    return p.select("page_id", F.col("url").rlike(f"^{scan.glob_regex('https://*.example.com/**')}$").alias("deep"), F.col("url").rlike(f"^{scan.glob_regex('*://**/??*')}$").alias("one"))
 
 
 @query("""select page_id, case lower(regexp_extract(url, '[.][^.]+$')) when '.js' then 'javascript' when '.py' then 'python' when '.md' then 'markdown' when '.html' then 'html' when '.json' then 'json' else 'text' end as language
@@ -232,6 +253,24 @@ def binary_size_filter(spark, sf_dir):
     return d.select("doc_id", (F.octet_length("text") > 20_000).alias("large"), scan.looks_binary(content).alias("binary"))
 
 
+@query(f"""with {_SNAP}, x as (select doc_id, case when a.hash is null then 'added' when b.hash is null then 'removed' when a.hash = b.hash then 'unchanged' else 'changed' end as change from a full join b using (doc_id)),
+c as (select d.doc_id, len(string_split_regex(text, '\\r?\\n')) as n from documents d), k as (select doc_id, (1 + greatest(0, ceil((n - 10) / 8.0)))::bigint as n from c)
+select (select count(*) from x where change in ('added', 'changed')) as indexed, (select count(*) from x where change = 'unchanged') as skipped, (select count(*) from x where change = 'removed') as removed,
+  (select sum(n)::bigint from k join x using (doc_id) where change in ('added', 'changed')) as new_windows, (select sum(n)::bigint from k join x using (doc_id) where change <> 'removed') as windows,
+  (select count(*) from b) as files, '{{"key":"hashes","value":"2"}}' as meta""")
+def incremental_pass(spark, sf_dir):
+    """Changed files' windows are made anew, those of missing ones go; counters and the tables' sizes."""
+    with_checkpoints(spark)
+    stored, scanned = _snapshots(spark, sf_dir)
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\r?\n", -1)).alias("lines"))
+    last = lambda n: F.greatest(F.lit(0), F.ceil((n - 10) / 8)).cast("int")
+    build = lambda files: {"windows": files.select("doc_id").join(texts, "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0), last(F.col("lines")))).alias("k"))}
+    done = incremental.index_pass(stored, build(stored), scanned, build, "doc_id")
+    meta = incremental.set_meta(spark.createDataFrame([("hashes", "1")], "key string, value string"), {"hashes": "2"})
+    now = incremental.status({"windows": done.children["windows"], "files": done.files}, meta).drop("meta")
+    return done.counters.crossJoin(F.broadcast(now)).crossJoin(F.broadcast(incremental.as_json(meta).withColumnRenamed("json", "meta")))
+
+
 @query("select 'documents' as name, count(*) as n from documents union all select 'pages', count(*) from pages union all select 'lineitem', count(*) from lineitem union all select 'events', count(*) from events")
 def status_counts(spark, sf_dir):
     from functools import reduce
