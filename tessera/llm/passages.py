@@ -37,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words
@@ -447,12 +447,30 @@ def _aligned(unit: _Unit, plan: np.ndarray, held: dict[int, _Held]) -> Iterator[
                 yield a[ok], b[ok], there.ids[r], c[ok] - there.begin[r], d[ok] - there.begin[r], share[ok]
 
 
+def _passages(unit: _Unit, a: np.ndarray, b: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Alignments of passages that are long enough, by place, and the number of each one's passage in its text."""
+    order = np.lexsort((*rest[1::-1], b, a))
+    a, b, *rest = (x[order] for x in (a, b, *rest))
+    # Texts are farther apart than JOIN.
+    new = np.r_[True, a[1:] > np.maximum.accumulate(b)[:-1] + JOIN]
+    first, number = np.flatnonzero(new), np.cumsum(new) - 1
+    long = np.maximum.reduceat(b, first) - a[first] >= MIN_WORDS
+    begins = number[np.searchsorted(a, unit.begin[unit.text_of(a)])]  # the number of a text's first group
+    kept = long[number]
+    return tuple(x[kept] for x in (a, b, *rest, number - begins))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word, ref_id, ref_start, ref_end, identity, passage, digest of each alignment.
 
     passage numbers the text's passages; ref_id is an earlier document (in the order of the ids' hashes) that has the passage; a document
     that shares a passage with no earlier one appears as a ref_id alone. digest: MD5 of the text that the words are in.
     """
+    return _found(docs, False)
+
+
+def _found(docs: DataFrame, merged: bool) -> DataFrame:
+    """The rows of find(), or with ``merged`` one of each passage (doc_id, start_word, end_word, digest)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units, bits = int(size // UNIT) + 1, bucket_bits(int(size))
     h = F.xxhash64(F.col("doc_id").cast("long"))
@@ -497,53 +515,57 @@ def find(docs: DataFrame) -> DataFrame:
             held = {int(of): _Held(*_read(raw)) for of, raw in zip(got.of, got.held) if of >= 0}
             out = list(_aligned(unit, made, held))
         if not out:
-            return pd.DataFrame([], columns=["doc_id", "start_word", "end_word", "ref_id", "ref_start", "ref_end", "identity", "digest"])
-        a, b, ref, c, d, share = (np.concatenate(x) for x in zip(*out))
+            return pd.DataFrame([], columns=columns)
+        a, b, ref, c, d, share, passage = _passages(unit, *(np.concatenate(x) for x in zip(*out)))
+        if not len(a):
+            return pd.DataFrame([], columns=columns)
+        if merged:
+            first = np.flatnonzero(np.r_[True, (np.diff(passage) != 0) | (np.diff(unit.text_of(a)) != 0)])
+            a, b = a[first], np.maximum.reduceat(b, first)
         t = unit.text_of(a)
         digest = {i: hashlib.md5(unit.texts[i]).hexdigest() for i in np.unique(t)}
-        return pd.DataFrame({"doc_id": unit.ids[t], "start_word": a - unit.begin[t], "end_word": b - unit.begin[t], "ref_id": ref, "ref_start": c, "ref_end": d, "identity": share, "digest": [digest[i] for i in t]})
+        made = {"doc_id": unit.ids[t], "start_word": a - unit.begin[t], "end_word": b - unit.begin[t], "digest": [digest[i] for i in t]}
+        return pd.DataFrame(made if merged else {**made, "ref_id": ref, "ref_start": c, "ref_end": d, "identity": share, "passage": passage})[columns]
 
+    columns = ["doc_id", "start_word", "end_word", *([] if merged else ["ref_id", "ref_start", "ref_end", "identity", "passage"]), "digest"]
+    kinds = {"doc_id": "long", "ref_id": "long", "identity": "double", "digest": "string"}
     texts = rows.mapInPandas(pack, "unit long, pack binary").groupBy("unit")
     asked = texts.applyInPandas(ask, "bucket long, held binary, unit long")
     answered = asked.groupBy("bucket").applyInPandas(answer, "unit long, held binary, bucket long")
     planned = texts.cogroup(answered.groupBy("unit")).applyInPandas(plan, "unit long, back long, held binary")
     sent = texts.cogroup(planned.groupBy("unit")).applyInPandas(send, "unit long, of long, held binary")
-    parts = texts.cogroup(sent.groupBy("unit")).applyInPandas(finish, "doc_id long, start_word int, end_word int, ref_id long, ref_start int, ref_end int, identity double, digest string")
-    text = ("doc_id", "digest")
-    in_order = Window.partitionBy(*text).orderBy("start_word", "end_word", "ref_id", "ref_start")
-    before = F.max("end_word").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.withColumn("new", F.coalesce((F.col("start_word") > before + JOIN).cast("int"), F.lit(0)))
-    parts = parts.withColumn("passage", F.sum("new").over(in_order).cast("int"))
-    own = Window.partitionBy(*text, "passage")
-    whole = parts.withColumn("n", F.max("end_word").over(own) - F.min("start_word").over(own)).where(F.col("n") >= MIN_WORDS)
-    return whole.select("doc_id", "start_word", "end_word", "ref_id", "ref_start", "ref_end", "identity", "passage", "digest")
+    return texts.cogroup(sent.groupBy("unit")).applyInPandas(finish, ", ".join(f"{c} {kinds.get(c, 'int')}" for c in columns))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose texts have lost their __spans."""
+    """Rows whose texts have lost their __spans; those of which no word is left go."""
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
-            part, out = batch.slice(at, 128), []
-            for text, spans in zip(part.column("text").to_pylist(), part.column("__spans").to_pylist()):
-                raw = words.encoded([text])[0]
+            part = batch.slice(at, 128)
+            out, stays = part.column("text").to_pylist(), [True] * part.num_rows
+            for i, spans in enumerate(part.column("__spans").to_pylist()):
+                if not spans:
+                    continue
+                raw = words.encoded([out[i]])[0]
                 _, starts, ends, _ = words.spans([raw])
                 keep, end = [], 0
                 for s in sorted(spans, key=lambda s: s["start_word"]):
                     lo, hi = int(starts[s["start_word"]]) - 1, int(ends[min(s["end_word"], len(ends)) - 1]) - 1
                     keep.append(raw[end : max(end, lo)])
                     end = max(end, hi)
-                out.append(b"".join([*keep, raw[end:]]).decode("utf-8", "surrogatepass"))
+                left = b"".join([*keep, raw[end:]])
+                out[i], stays[i] = left.decode("utf-8", "surrogatepass"), len(words.spans([left])[1]) > 0
             names = [n for n in part.schema.names if n != "__spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else part.column(n) for n in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else part.column(n) for n in names], names).filter(pa.array(stays))
 
 
 def without(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) without the passages that earlier documents have; texts without words left go."""
-    spans = find(docs).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__of")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans")).checkpoint()
+    """docs (doc_id, text, ...) without the passages that earlier documents have; texts that lose all their words go.
+
+    Texts are shuffled once more, to meet their passages.
+    """
+    spans = _found(docs, True).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__of")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans")).checkpoint()
     known = docs.where("doc_id is not null").withColumn("__digest", F.md5(F.coalesce("text", F.lit(""))))
-    on = (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__of"))
-    hit = known.join(spans, on)
-    left = hit.select(*docs.columns, "__spans").mapInArrow(_cut, docs.schema).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    rest = known.join(spans, on, "left_anti").select(*docs.columns)
-    out = left.unionByName(rest).unionByName(docs.where("doc_id is null"))
+    met = known.join(spans, (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__of")), "left")
+    out = met.select(*docs.columns, "__spans").mapInArrow(_cut, docs.schema).unionByName(docs.where("doc_id is null"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
