@@ -1,6 +1,6 @@
 """Nearest neighbours by cosine in a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on at most SAMPLE vectors, chosen by hash; every vector is
+The tree is fitted on at most SAMPLE vectors, those of the least hashes; every vector is
 indexed. A priority queue holds the tree's nodes by distance to the query; leaves
 are visited nearest first. How many is calibrated: visits widen until TARGET of
 the sample's true neighbours lie in the leaves visited, and for each query until
@@ -19,6 +19,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -128,13 +129,15 @@ def _sound(vector: str) -> Column:
 def search(df: DataFrame, queries: Column, nearest: int = 5, vector_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the nearest vectors found for the rows where ``queries`` holds."""
     rows = df.where(_sound(vector) & F.col(vector_id).isNotNull()).select(F.col(vector_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    dims = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    dims = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()  # a row for each length
     schema = "query_id long, rank int, vec_id long, score double"
     if dims is None:
         return df.sparkSession.createDataFrame([], schema)
     rows = rows.where(F.size("v") == dims.n)
-    # The sample's size is a constant, whatever the table's.
-    tree = fit(unit(np.array([r.v for r in rows.orderBy(F.xxhash64("id", "v")).select("id", "v").limit(SAMPLE).collect()])), nearest)
+    # Tasks send what lies below a threshold of the hash, some SAMPLE vectors in all, whatever the table's size.
+    share = min(1.0, 1.05 * SAMPLE / dims["count"])
+    chosen = rows.select("v", F.xxhash64("id", "v").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))).collect()
+    tree = fit(unit(np.array([r.v for r in sorted(chosen, key=lambda r: (r.h, r.v))[:SAMPLE]])), nearest)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,7 +163,8 @@ def search(df: DataFrame, queries: Column, nearest: int = 5, vector_id: str = "v
                         break
             yield pd.DataFrame(out, columns=["id", "v", "leaf", "part"])
 
-    asked = indexed.where("asks").select("id", "v").repartition("id").mapInPandas(visit, "id long, v array<double>, leaf long, part long")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = indexed.where("asks").select("id", "v").repartition(tasks, "id").mapInPandas(visit, "id long, v array<double>, leaf long, part long")
     splits = F.array(*[F.lit(int(p)) for p in parts])
     held = indexed.select("id", "v", "leaf", F.pmod(F.xxhash64("id"), F.element_at(splits, (F.col("leaf") + 1).cast("int"))).cast("long").alias("part"))
 

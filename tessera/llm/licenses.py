@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 SHINGLE, CONTAINED, MISS, MOST_TEMPLATES = 5, 0.8, 1e-4, 2000
 
-#: Notices as their licenses give them.
+#: Notices and whole texts as their licenses give them.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -40,6 +40,20 @@ TEMPLATES = {
     "MIT grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "ISC grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "BSD grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "MIT text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
+        "or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+        "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+        "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
 }
 
 
@@ -62,13 +76,13 @@ def _shingles(words: Column) -> Column:
     return _let(words, of)
 
 
-def _bands(shingles: Column, n: int) -> Column:
-    """One band for each of n MinHash values."""
+def _bands(shingles: Column, n: int, m: int) -> Column:
+    """One band for each of n MinHash values, of windows for templates of m shingles."""
 
     def least(j: int) -> Column:
         return F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(j))))
 
-    return F.array(*[F.xxhash64(F.lit(j), least(j)) for j in range(n)])
+    return F.array(*[F.xxhash64(F.lit(j), F.lit(m), least(j)) for j in range(n)])
 
 
 def _windows(shingles: str, m: int) -> Column:
@@ -81,6 +95,11 @@ def _windows(shingles: str, m: int) -> Column:
     return _let(F.col(shingles), of)
 
 
+def _placed(windows: Column, m: int) -> Column:
+    """Windows with the size of their templates and the places where they begin."""
+    return F.transform(windows, lambda x, k: F.struct(F.lit(m).alias("m"), (k * m).cast("int").alias("at"), x.alias("x")))
+
+
 def anchors(templates: dict[str, str]) -> list[str]:
     """Words, the longest first, without which a template's shingles are too few to match."""
     out: list[str] = []
@@ -119,25 +138,26 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         hit = hit | F.contains("text", F.lit(w))
     some = some.where(hit).select("doc_id", F.regexp_extract_all("text", F.lit("([\\p{L}\\p{N}]+)"), F.lit(1)).alias("w"))
     some = some.select("doc_id", _shingles(F.col("w")).alias("s")).where("size(s) > 0")
-    found = []
+    if not by_size:
+        return spark.createDataFrame([], schema)
+    cut, banded, wanted = [], None, None
     for m, own in sorted(by_size.items()):
         known = spark.createDataFrame(own, "license string, w array<string>").select("license", F.array_distinct(_shingles(F.col("w"))).alias("t"))
         fewest = min(len({tuple(w[i : i + SHINGLE]) for i in range(m)}) for _, w in own)
         need = math.ceil(CONTAINED * fewest - 1e-9)
         least = need / (2 * m - 1 + fewest - need)
         n = 1 if least >= 1 else math.ceil(math.log(MISS) / math.log(1 - least))
-        windows = some.select("doc_id", F.posexplode(_windows("s", m)).alias("k", "x"))
-        banded = windows.select("doc_id", "k", "x", F.explode(_bands(F.col("x"), n)).alias("band"))
-        wanted = F.broadcast(known.select("license", "t", F.explode(_bands(F.col("t"), n)).alias("band")))
-        pairs = banded.join(wanted, "band")
-        share = F.size(F.array_intersect("x", "t")) / F.size("t")
-        place = F.array_min(F.filter(F.transform("x", lambda x, i: F.when(F.array_contains(F.col("t"), x), i)), lambda i: i.isNotNull()))
-        found.append(pairs.withColumn("share", share).where(F.col("share") >= CONTAINED).select("doc_id", "license", "share", (F.col("k") * m + place).cast("int").alias("word")))
-    if not found:
-        return spark.createDataFrame([], schema)
-    every = found[0]
-    for other in found[1:]:
-        every = every.unionByName(other)
+        cut.append(_placed(_windows("s", m), m))
+        own_bands = _bands(F.col("w.x"), n, m)
+        banded = F.when(F.col("w.m") == m, own_bands) if banded is None else banded.when(F.col("w.m") == m, own_bands)
+        rows = known.select("license", "t", F.explode(_bands(F.col("t"), n, m)).alias("band"))
+        wanted = rows if wanted is None else wanted.unionByName(rows)
+    # One scan: each text is cut into the windows of all template sizes at once, and these meet all templates in one join.
+    windows = some.select("doc_id", F.explode(F.concat(*cut)).alias("w"))
+    pairs = windows.select("doc_id", "w.at", "w.x", F.explode(banded).alias("band")).join(F.broadcast(wanted), "band")
+    share = F.size(F.array_intersect("x", "t")) / F.size("t")
+    place = F.array_min(F.filter(F.transform("x", lambda x, i: F.when(F.array_contains(F.col("t"), x), i)), lambda i: i.isNotNull()))
+    every = pairs.withColumn("share", share).where(F.col("share") >= CONTAINED).select("doc_id", "license", "share", (F.col("at") + place).cast("int").alias("word"))
     # The best place, the first of them.
     best = every.groupBy("doc_id", "license").agg(F.min(F.struct((-F.col("share")).alias("share"), "word")).alias("b"))
     return best.select("doc_id", "license", (-F.col("b.share")).alias("containment"), F.col("b.word").alias("word"))

@@ -53,3 +53,20 @@ def test_copies_of_one_vector(spark):
     df = spark.range(300).selectExpr("id vec_id", "array(0.5f, 0.25f, 1f) embedding")
     got = ann.search(df, F.col("vec_id") % 50 == 0).where("query_id = 0").orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("kind", ["uniform", "clustered"])
+def test_recall_beyond_the_sample(spark, monkeypatch, kind):
+    """The tree is fitted on a twelfth of the vectors; all are indexed and found."""
+    with_checkpoints(spark)
+    monkeypatch.setattr(ann, "SAMPLE", 500)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 24)) if kind == "uniform" else rng.normal(size=(40, 24))[rng.integers(0, 40, 6000)] + 0.2 * rng.normal(size=(6000, 24))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    want = brute(np.arange(6000), x / np.linalg.norm(x, axis=1, keepdims=True), np.arange(6000) % 50 == 0)
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & {v for v, _ in want[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.9

@@ -46,8 +46,10 @@ def test_changed_and_odd(spark):
             text[rng.randrange(len(text))] = rng.choice(["other", "license", ""])
         rows.append((k, " ".join([*("w%d" % rng.randrange(50) for _ in range(rng.randrange(90))), *text, *("licensed under x" if k % 2 else "").split()]).upper()))
     rows.append((100, "under the " * 8000 + licenses.TEMPLATES["MIT grant"]))
+    whole = licenses.TEMPLATES["MIT text"].split()
+    rows += [(101, "before " * 300 + " ".join([*whole[:40], "other", "words", *whole[42:]]) + " after" * 200), (102, " ".join(whole[: len(whole) // 2]))]
     got = check(spark, rows)
-    assert (100, "MIT grant") in got and (-4, "MIT") in got
+    assert (100, "MIT grant") in got and (-4, "MIT") in got and 0.8 < got[101, "MIT text"][0] < 1 and (102, "MIT text") not in got
 
 
 def test_anchors_are_needed():
