@@ -42,10 +42,6 @@ def normalize_symbol(s: Column) -> Column:
     return F.trim(plain)
 
 
-def symbol_kind(s: Column) -> Column:
-    return F.substring_index(s, ":", 1)
-
-
 def without_kind(s: Column) -> Column:
     return F.regexp_replace(s, "^[A-Za-z]+:", "")
 

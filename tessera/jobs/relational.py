@@ -57,11 +57,11 @@ def reference_search(spark, sf_dir):
     return relations.by_any_name(wanted, chunking.token_references(_files(spark, sf_dir)).drop("n_lines"), F.array("name"))
 
 
-@query("""select distinct p_partkey, p_name from part join (select distinct l_returnflag || ':' || p_type as kind, p_name as n from lineitem join part on l_partkey = p_partkey where l_discount = 0.1 and l_linenumber = 1) w
-  on w.n = p_name or w.kind = 'R:' || p_name""")
+@query("""with w as (select distinct l_returnflag || ':' || p_type as kind, p_name as n from lineitem join part on l_partkey = p_partkey)
+select distinct p_partkey, p_name from part where p_name in (select n from w) or 'R:' || p_name in (select kind from w)""")
 def definition_lookup_multikey(spark, sf_dir):
     part, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    used = li.where("l_discount = 0.1 and l_linenumber = 1").select("l_partkey", "l_returnflag").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    used = li.select("l_partkey", "l_returnflag").distinct().join(part, F.col("l_partkey") == F.col("p_partkey"))
     wanted = used.select(F.explode(F.array("p_name", F.concat("l_returnflag", F.lit(":"), "p_type"))).alias("name"))
     return relations.by_any_name(wanted, part.select("p_partkey", "p_name"), F.array("p_name", F.concat(F.lit("R:"), "p_name")))
 
@@ -115,12 +115,13 @@ def graph_edges_by_type(spark, sf_dir):
     return e.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.coalesce("source_file", "target_file")).alias("files"))
 
 
-@query("""with u as (select distinct l_partkey as symbol, l_suppkey as file from lineitem), s as (select p_partkey as seed from part where p_size = 1),
-c as (select seed, o.symbol as other, count(distinct o.file) as files from s join u on seed = u.symbol join u o on o.file = u.file and o.symbol <> seed group by all)
+@query("""with u as (select distinct l_partkey as symbol, l_suppkey as file from lineitem), a as (select symbol as seed, file from u qualify row_number() over (partition by symbol order by file) <= 12),
+b as (select file, symbol as other from u qualify row_number() over (partition by file order by symbol) <= 12), c as (select seed, other, count(*) as files from a join b using (file) where other <> seed group by all)
 select seed, other, files, rank from (select *, row_number() over (partition by seed order by files desc, other) as rank from c) where rank <= 12""")
 def graph_two_hop(spark, sf_dir):
+    """From every part over the suppliers that ship it to their other parts."""
     uses = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("symbol"), F.col("l_suppkey").alias("file")).distinct()
-    return graph.two_hops(table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("seed")), uses)
+    return graph.two_hops(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seed")), uses)
 
 
 _ROLE = "case l_linenumber when 1 then 'seed' when 2 then 'definition' when 3 then 'call-usage' when 4 then 'import-export' else 'test' end"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -12,10 +14,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+#: How often a request is made before its task fails.
+ATTEMPTS = 4
+
+
 def _post(url: str, body: dict, headers: dict[str, str]) -> dict:
     request = urllib.request.Request(url, json.dumps(body).encode(), {"content-type": "application/json", **headers})
-    with urllib.request.urlopen(request, timeout=60) as answer:
-        return json.load(answer)
+    for attempt in range(ATTEMPTS):
+        try:
+            with urllib.request.urlopen(request, timeout=60) as answer:
+                return json.load(answer)
+        except (urllib.error.URLError, TimeoutError) as failed:
+            # What the service refuses stays refused; what it can't do now is asked again, later and later.
+            if attempt == ATTEMPTS - 1 or isinstance(failed, urllib.error.HTTPError) and failed.code not in (408, 429, 500, 502, 503, 504):
+                raise
+            time.sleep(2**attempt)
+    raise AssertionError
 
 
 @dataclass(frozen=True)
