@@ -72,6 +72,11 @@ def status(tables: dict[str, DataFrame], meta: DataFrame) -> DataFrame:
     return out
 
 
+def stamped(files: DataFrame) -> DataFrame:
+    """files with the time at which they are indexed."""
+    return files.withColumn("indexed_at", F.current_timestamp())
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     """Each row as a JSON document."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))

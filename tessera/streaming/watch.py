@@ -20,14 +20,31 @@ def coalesced(events: DataFrame, ts: str, width: str, reason: str, order: str) -
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.max_by(reason, F.struct(ts, order)).alias("reason")).select(F.col("w.start").alias("start"), "n", "reason")
 
 
-def watch(events: DataFrame, ts: str, key: str, gap: str, late: str, index_pass: Callable[[DataFrame, int], None], checkpoint: str):
+def watch(events: DataFrame, ts: str, key: str, gap: str, late: str, index_pass: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
     """Start a query that runs index_pass(bursts, batch id) once a burst is over.
 
-    available-now: what is there is drained in one run, as with a single pass; restart it
-    with the same checkpoint to go on. index_pass must be idempotent for a batch id.
+    every: run until stopped, with a pass at most this often; events that come during a pass wait for the
+    next one. Without it, what is there is drained in one run, as with a single pass; restart it with the
+    same checkpoint to go on. index_pass must be idempotent for a batch id.
     """
     closed = bursts(events.withWatermark(ts, late), key, ts, gap)
-    return closed.writeStream.outputMode("append").foreachBatch(index_pass).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    started = closed.writeStream.outputMode("append").foreachBatch(index_pass).option("checkpointLocation", checkpoint)
+    return (started.trigger(availableNow=True) if every is None else started.trigger(processingTime=every)).start()
+
+
+def drain(query) -> None:
+    """Wait until all events so far are indexed, then stop."""
+    query.processAllAvailable()
+    query.stop()
+
+
+def with_feed(index_pass: Callable[[DataFrame, int], DataFrame], folder: str) -> Callable[[DataFrame, int], None]:
+    """A pass that also leaves its counters, one JSON line for each batch; a batch that is run again replaces its own."""
+
+    def run(rows: DataFrame, batch: int) -> None:
+        index_pass(rows, batch).withColumn("batch", F.lit(batch)).coalesce(1).write.mode("overwrite").json(f"{folder}/batch-{batch}")
+
+    return run
 
 
 def burst_rows(events: DataFrame, key: str, ts: str, seconds: int, order: str) -> DataFrame:

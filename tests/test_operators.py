@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import bundle, incremental, relations
+from tessera.operators import bundle, incremental, relations, search
 from tessera.sources import providers, scan
 from tessera.streaming import watch
 
@@ -97,3 +97,55 @@ def test_providers(spark):
         providers.Provider("embed", "", "m", 2)
     with pytest.raises(ValueError):
         providers.Provider("embed", "u", "m", 2, post=lambda *a: {"embeddings": [[1.0]]}).vector("x")
+
+
+def test_requests_are_bounded():
+    assert search.Request().limit == 8
+    for bad in ({"limit": 0}, {"limit": 26}, {"max_chars": 499}, {"references": 101}):
+        with pytest.raises(ValueError):
+            search.Request(**bad)
+    with pytest.raises(ValueError):
+        scan._overrides(("*.js", "!keep.js"))
+
+
+def test_unknown_modes_are_refused(spark):
+    none = spark.createDataFrame([], "path string, start_line int, end_line int, symbol string, text string")
+    with pytest.raises(ValueError):
+        search.search(none, none, "path", "text", modes=("fuzzy",))
+    asked = spark.createDataFrame([(1, "some text")], "item_id long, text string")
+    assert search.search(none, asked, "item_id", "text").count() == 0 and search.search(none, asked.limit(0), "item_id", "text").count() == 0
+
+
+def test_search_takes_odd_rows(spark):
+    rows = [("a/b.py", 1, 3, "function:load_user", "def load_user(): pass"), (None, 1, 1, None, None), ("c.py", 2, 2, "$", ""), ("a/b.py", 1, 3, "function:load_user", "def load_user(): pass")]
+    chunks = spark.createDataFrame(rows, "path string, start_line int, end_line int, symbol string, text string")
+    asked = spark.createDataFrame([(1, "load_user"), (2, ""), (3, None)], "item_id long, text string")
+    found = search.search(chunks, asked, "item_id", "text", 2, search.MODES).collect()
+    assert {(r.item_id, r["mode"]) for r in found} == {(i, m) for i in (1, 2, 3) for m in search.MODES}
+    first = next(r for r in found if r.item_id == 1 and r["mode"] == "hybrid" and r["rank"] == 1)
+    assert first.path == "a/b.py" and first.symbol_score == 1.0 and first.why == "exact symbol match"
+
+
+def test_watch_with_a_feed(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(1, start + timedelta(seconds=s)) for s in (0, 1, 2, 100, 101)] + [(1, start + timedelta(hours=1)), (1, start + timedelta(hours=2))]
+    spark.createDataFrame(rows, "path long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema("path long, ts timestamp").parquet(str(tmp_path / "events"))
+    feed = watch.with_feed(lambda df, _: df.agg(F.count(F.lit(1)).alias("bursts"), F.sum("n").alias("events")), str(tmp_path / "feed"))
+    query = watch.watch(stream, "ts", "path", "10 seconds", "1 minute", feed, str(tmp_path / "state"), every="1 second")
+    watch.drain(query)
+    told = spark.read.json(str(tmp_path / "feed" / "*"))
+    assert not query.isActive and told.agg(F.sum("bursts"), F.sum("events")).first()[:] == (3, 6)
+
+
+def test_nested_rules_and_last_wins(spark):
+    files = spark.createDataFrame([(p, 1, False) for p in ("a.log", "lib/a.log", "lib/keep.log", "lib/sub/x.txt", "gen/x.txt", "lib/gen/x.txt", "lib/c[1].txt")], "path string, size long, binary boolean")
+    rules = scan.load_rules(spark.createDataFrame([("", "# all\n*.log\n/gen/\n"), ("lib", "!keep.log\nsub/\nc[1].txt\n")], "base string, text string"))
+    got = {r.path: (r.reason, r.rule) for r in scan.decide_nested(files, rules).collect()}
+    assert got == {
+        "a.log": ("gitignore", "*.log"), "lib/a.log": ("gitignore", "*.log"), "lib/keep.log": ("included-by-gitignore-negation", "keep.log"), "lib/sub/x.txt": ("gitignore", "sub"),
+        "gen/x.txt": ("gitignore", "gen"), "lib/gen/x.txt": ("included", None), "lib/c[1].txt": ("gitignore", "c[1].txt"),
+    }
+    old, new = spark.createDataFrame([("a", 1), ("b", 1)], "path string, n long"), spark.createDataFrame([("b", 2), ("b", 3)], "path string, n long")
+    assert sorted(map(tuple, incremental.upsert(old, new, order="n").collect())) == [("a", 1), ("b", 3)]
+    assert incremental.stamped(old).columns[-1] == "indexed_at"
