@@ -212,10 +212,12 @@ def gitignore_last_match(spark, sf_dir):
     return scan.decide(_pages(spark, sf_dir), rules, exclude=("*1",)).select("page_id", "reason")
 
 
-@query(f"""with {_PAGES}, g as (select *, split_part(path, '/', 1) as host from f),
-r as (select *, host like '%2%' and regexp_matches(path, '/fr(/|$)') as pruned, case when regexp_matches(path, '(^|/)[^/]*9$') then false when host like '%2%' and regexp_matches(path, '/[^/]*5$') then true when host not like '%2%' and regexp_matches(path, '(^|/)[^/]*3(/|$)') then true end as ignored from g)
-select included, reason, count(*) as n, sum(size)::bigint as bytes from (select size, starts_with(reason, 'included') as included, reason from (select size, case when pruned or coalesce(ignored, false) then 'gitignore' when size > 1048576 then 'too-large' when bin then 'binary'
-  when ignored = false then 'included-by-gitignore-negation' else 'included' end as reason from r)) group by all""")
+@query(f"""with {_PAGES}, g as (select *, string_split(path, '/') as parts from f), t as (select *, unnest(range(1, len(parts) + 1)) as i from g),
+rules(level, line, negated, re) as (values (0, 0, false, '(^|/)[^/]*3(/|$)'), (0, 1, true, '(^|/)[^/]*9(/|$)'), (1, 1, true, '(^|/)[^/]*3(/|$)'), (1, 2, false, '(^|/)[^/]*5(/|$)'), (1, 3, true, '(^|/)[^/]*9(/|$)'), (1, 4, false, '(^|/)fr(/|$)')),
+m as (select page_id, i, i = len(parts) as own, arg_max(negated, level * 100 + line) as negated from t join rules on regexp_matches(array_to_string(parts[1 + level : i], '/'), re) and level < i and (level = 0 or parts[1] like '%2%') group by all),
+v as (select page_id, bool_or(not own and not negated) as pruned, max(case when own then negated end) as negated from m group by page_id)
+select starts_with(reason, 'included') as included, reason, count(*) as n, sum(size)::bigint as bytes from (select size, case when coalesce(pruned, false) or negated = false then 'gitignore' when size > 1048576 then 'too-large' when bin then 'binary'
+  when negated then 'included-by-gitignore-negation' else 'included' end as reason from f left join v using (page_id)) group by all""")
 def scan_diagnostics(spark, sf_dir):
     """Ignore files at the top and in some hosts' folders; the deeper and later rule speaks."""
     pages = _pages(spark, sf_dir).drop("page_id")
