@@ -11,7 +11,6 @@ are. Columns of the input with the names of outputs are replaced.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import struct
@@ -26,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import words
+
 #: Distinct pieces of text whose encodings a Python worker keeps, in each of two generations.
 CACHE = 160_000
 #: Rows whose results a task holds, and the columns that encode() adds.
@@ -162,7 +163,7 @@ def _codec(text: str, pieces: int) -> Iterator[Codec]:
     finally:
         codec.young, codec.old = {}, {}
         del codec
-        gc.collect()
+        words.give_back()
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", decoded: bool = True, pieces: int = CACHE, digest: bool = False) -> DataFrame:

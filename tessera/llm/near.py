@@ -40,7 +40,7 @@ from tessera.llm.graphs import components, small_components
 BANDS, ROWS, STEP = 24, 5, 24
 SIMILARITY, TOLERANCE = 0.8, 1e-4
 #: Texts of a bunch that is compared whole, of a part of a larger one at least, and pairs that a task holds at a time.
-WHOLE, LEAST, PAIRS = 256, 64, 1_000_000
+WHOLE, LEAST, PAIRS = 256, 64, 200_000
 SHINGLE = 5
 _U = np.uint64
 _FACTORS = np.random.default_rng(77).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
@@ -108,7 +108,7 @@ def pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield a[ok], b[ok]
 
 
-def _runs(batches: Iterator[pd.DataFrame], most: int = 1 << 24) -> Iterator[pd.DataFrame]:
+def _runs(batches: Iterator[pd.DataFrame], most: int = 1 << 23) -> Iterator[pd.DataFrame]:
     """Whole groups, many at a time (some ``most`` bytes), from batches sorted by bunch, i, j."""
     held: list[pd.DataFrame] = []
     size = 0
@@ -160,6 +160,7 @@ def _bunch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         root = small_components(len(rows), np.concatenate(left), np.concatenate(right))
         ids, joined = rows.id.to_numpy(), root != np.arange(len(rows))
         yield pd.DataFrame({"a": ids[joined], "b": ids[root[joined]]})
+    words.give_back()
 
 
 def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -211,6 +212,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             root = small_components(hi - lo, np.concatenate(left), np.concatenate(right))
             some = links > 0
             yield pd.DataFrame({"a": ids[lo:hi][some], "b": ids[lo:hi][root[some]], "links": links[some]})
+    words.give_back()
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -227,6 +229,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     out += [(s.tobytes(), len(x)) for s, x in zip(signatures(sets), sets)]
                     at, size = i + 1, 0
             yield pd.DataFrame(out, columns=["sig", "n"])
+        words.give_back()
 
     made = F.pandas_udf(run, "sig binary, n int")
     return _texts(docs).select("doc_id", _digest().alias("key"), made("text").alias("m")).select("doc_id", "key", "m.sig", "m.n")

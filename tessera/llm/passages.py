@@ -55,9 +55,9 @@ FEWEST = 5
 #: Words between seeds of one segment at most.
 SAME = 10
 #: Bytes of text in a unit, and of text whose seeds are a bucket's: both grow in number with the corpus.
-UNIT, BUCKET = 13 << 19, 13 << 19
+UNIT, BUCKET = 13 << 18, 13 << 18
 #: Words that are compared at a time.
-CELLS = 1 << 21
+CELLS = 1 << 19
 _U = np.uint64
 
 
@@ -529,12 +529,30 @@ def _found(docs: DataFrame, merged: bool) -> DataFrame:
 
     columns = ["doc_id", "start_word", "end_word", *([] if merged else ["ref_id", "ref_start", "ref_end", "identity", "passage"]), "digest"]
     kinds = {"doc_id": "long", "ref_id": "long", "identity": "double", "digest": "string"}
+    def one(f):
+        """f of a group, and its memory given back."""
+
+        def run(own: pd.DataFrame) -> pd.DataFrame:
+            out = f(own)
+            words.give_back()
+            return out
+
+        return run
+
+    def two(f):
+        def run(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+            out = f(own, got)
+            words.give_back()
+            return out
+
+        return run
+
     texts = rows.mapInPandas(pack, "unit long, pack binary").groupBy("unit")
-    asked = texts.applyInPandas(ask, "bucket long, held binary, unit long")
-    answered = asked.groupBy("bucket").applyInPandas(answer, "unit long, held binary, bucket long")
-    planned = texts.cogroup(answered.groupBy("unit")).applyInPandas(plan, "unit long, back long, held binary")
-    sent = texts.cogroup(planned.groupBy("unit")).applyInPandas(send, "unit long, of long, held binary")
-    return texts.cogroup(sent.groupBy("unit")).applyInPandas(finish, ", ".join(f"{c} {kinds.get(c, 'int')}" for c in columns))
+    asked = texts.applyInPandas(one(ask), "bucket long, held binary, unit long")
+    answered = asked.groupBy("bucket").applyInPandas(one(answer), "unit long, held binary, bucket long")
+    planned = texts.cogroup(answered.groupBy("unit")).applyInPandas(two(plan), "unit long, back long, held binary")
+    sent = texts.cogroup(planned.groupBy("unit")).applyInPandas(two(send), "unit long, of long, held binary")
+    return texts.cogroup(sent.groupBy("unit")).applyInPandas(two(finish), ", ".join(f"{c} {kinds.get(c, 'int')}" for c in columns))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

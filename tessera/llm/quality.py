@@ -139,6 +139,7 @@ def statistics_of(text: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(list(statistics(batch)))
+        words.give_back()
 
     return F.pandas_udf(run, "array<double>")(text)
 
@@ -226,6 +227,7 @@ def kept(docs: DataFrame, labels: DataFrame, least: float = 0.3, learn: Column |
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(model.score(statistics(batch)) if len(batch) else np.zeros(0))
+        words.give_back()
 
     score = F.lit(share) if model is None else F.pandas_udf(run, "double")("text")
     return docs.withColumn("__score", score).where(F.col("__score") >= least).select(*docs.columns)

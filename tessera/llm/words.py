@@ -7,8 +7,12 @@ of their bytes: random values of the bytes, weighted by powers of an odd number.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 
+_LIBC = ctypes.CDLL(None)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -21,6 +25,13 @@ _inverses = np.ones(1, np.uint64)
 STRIDE = 1 << 18
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers outlive their tasks, beside those of the next stage."""
+    gc.collect()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc keeps what is freed otherwise
+        _LIBC.malloc_trim(0)
+
+
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
