@@ -79,10 +79,6 @@ def fnv1a(s: Column) -> Column:
     return F.aggregate(every, F.lit(2166136261).cast("long"), step)
 
 
-def token_weight(token: Column) -> Column:
-    return F.when(F.length(token) > 16, 1.3).when(F.contains(token, F.lit("_")), 1.2).otherwise(1.0)
-
-
 def match_label(vector: Column, lexical: Column, symbol: Column, relation: Column) -> Column:
     """Why a hit was found."""
     return (
