@@ -61,13 +61,6 @@ CELLS = 1 << 19
 _U = np.uint64
 
 
-def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, number of the text and place (word) of all seeds."""
-    h, n = words.hashes(texts)
-    run, k = words.shingles(h, n, SEED)
-    return run, np.repeat(np.arange(len(texts)), k), np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
-
-
 def _packed(*columns: np.ndarray) -> bytes:
     """Columns of int64, a row of lowest bytes, of next bytes and so on, without the highest ones that are zero everywhere."""
     planes = [np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T for c in columns]
