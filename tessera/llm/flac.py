@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.words import give_back
 from tessera.session import stored
 
-#: Samples in a frame, frames in a block of PCM, and bytes of payload that are coded at a time.
-BLOCK, FRAMES, BATCH = 2048, 32, 1 << 20
+#: Samples in a frame, frames in a block of PCM, and bytes that are written and read at a time.
+BLOCK, FRAMES, WRITTEN, READ = 2048, 32, 1 << 19, 1 << 20
 #: Coefficients of a linear predictor.
 ORDER = 4
 FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
@@ -366,11 +367,11 @@ def _frames(buf: np.ndarray, start: np.ndarray, span: np.ndarray, number: np.nda
     return x[np.argsort(order)]
 
 
-def _batches(items: Sequence) -> Iterator[slice]:
+def _batches(items: Sequence, most: int) -> Iterator[slice]:
     at = 0
     while at < len(items):
         end, held = at, 0
-        while end < len(items) and (end == at or held + len(items[end]) <= BATCH):
+        while end < len(items) and (end == at or held + len(items[end]) <= most):
             held += len(items[end])
             end += 1
         yield slice(at, end)
@@ -391,7 +392,9 @@ def write_media(df: DataFrame, text: str = "text", to: str = "media") -> DataFra
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = list(batch)
-            yield pd.Series([m for s in _batches([range(len(t or "")) for t in texts]) for m in encode([padded(t) for t in texts[s]])], dtype=object)
+            for part in _batches([range(len(t or "")) for t in texts], WRITTEN):
+                yield pd.Series(encode([padded(t) for t in texts[part]]), dtype=object)
+        give_back()
 
     return df.withColumns({to: F.pandas_udf(run, "binary")(text), "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
 
@@ -409,7 +412,7 @@ def pcm_blocks(df: DataFrame, media: str = "media", first: int = 0, count: int |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column(media)
-            for part in _batches([range(n or 0) for n in pc.binary_length(held).to_pylist()]):
+            for part in _batches([range(n or 0) for n in pc.binary_length(held).to_pylist()], READ):
                 streams = [m or _SILENCE for m in held[part].to_pylist()]
                 rows = [(i, first + at, p[at : at + whole]) for i, p in enumerate(decode(streams, first, count)) for at in range(0, max(1, len(p)), whole)]
                 row, begin, pcm = zip(*rows)
