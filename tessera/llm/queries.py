@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, flac, licenses, mixing, near, ngrams, passages, quality, warc
+from tessera.llm import ann, bpe, centroids, collocations, fingerprints, flac, licenses, mixing, near, ngrams, passages, quality, warc
 from tessera.session import table, with_checkpoints
 
 #: The vocabulary file of the encoding query.
@@ -61,5 +61,23 @@ def op10_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_trie_scores, op2_bpe_round_trip, op3_nearest_vectors, op4_quality_discriminant, op5_flac_media, op6_license_notices, op7_jaccard_classes, op8_revisit_resolution, op9_source_mix, op10_shared_passages)}
-ORACLES: dict[str, str] = {"op8_revisit_resolution": warc.ORACLE}
+def op11_incremental_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_trie_scores, op2_bpe_round_trip, op3_nearest_vectors, op4_quality_discriminant, op5_flac_media, op6_license_notices, op7_jaccard_classes,
+        op8_revisit_resolution, op9_source_mix, op10_shared_passages, op11_incremental_centroids, op12_order_minhash, op13_collocations,
+    )
+}
+ORACLES: dict[str, str] = {"op8_revisit_resolution": warc.ORACLE, "op11_incremental_centroids": centroids.oracle(), "op13_collocations": collocations.ORACLE}
