@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from tessera.llm.words import give_back
 from tessera.session import stored
 
-#: Samples in a frame, frames in a block of PCM, and bytes that are written and read at a time.
-BLOCK, FRAMES, WRITTEN, READ = 2048, 32, 1 << 19, 1 << 20
+#: Samples in a frame, frames in a block of PCM, and bytes that are written, coded and read at a time.
+BLOCK, FRAMES, WRITTEN, STRIDE, READ = 2048, 32, 1 << 19, 1 << 19, 1 << 20
 #: Coefficients of a linear predictor.
 ORDER = 4
 FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
@@ -95,12 +95,43 @@ def _fitted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(payloads: Sequence[bytes]) -> list[bytes]:
-    """A FLAC stream for each payload, whose bytes are samples (less 128)."""
+    """A FLAC stream for each payload, whose bytes are samples (less 128).
+
+    Payloads are coded in strides of at most STRIDE bytes, several short ones in one.
+    """
+    parts = [(i, at) for i, p in enumerate(payloads) for at in range(0, len(p), STRIDE)]
+    coded: list[list[bytes]] = [[] for _ in payloads]
+    lengths: list[list[np.ndarray]] = [[] for _ in payloads]
+    for some in _batches([range(min(STRIDE, len(payloads[i]) - at)) for i, at in parts], STRIDE):
+        own = parts[some]
+        for (i, _), (stream, length) in zip(own, _coded([payloads[i][at : at + STRIDE] for i, at in own], [at // BLOCK for _, at in own])):
+            coded[i].append(stream)
+            lengths[i].append(length)
+    out = []
+    for p, streams, of in zip(payloads, coded, lengths):
+        length = np.concatenate(of) if of else np.zeros(0, np.int64)
+        rate = 8000 << 44 | 0 << 41 | 7 << 36 | len(p)
+        digest = hashlib.md5()
+        for at in range(0, len(p), STRIDE):
+            digest.update((np.frombuffer(p, np.uint8, min(STRIDE, len(p) - at), at) ^ 0x80).tobytes())
+        info = BLOCK.to_bytes(2, "big") * 2 + int(length.min(initial=1 << 23)).to_bytes(3, "big") + int(length.max(initial=0)).to_bytes(3, "big") + rate.to_bytes(8, "big") + digest.digest()
+        points = np.zeros(len(length), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+        points["sample"] = np.arange(len(length)) * BLOCK
+        points["offset"], points["n"] = np.cumsum(length) - length, np.minimum(BLOCK, len(p) - np.arange(len(length)) * BLOCK)
+        seek = points.tobytes()
+        out.append(b"".join((b"fLaC\x00", len(info).to_bytes(3, "big"), info, b"\x83", len(seek).to_bytes(3, "big"), seek, *streams)))
+        streams.clear()
+    return out
+
+
+def _coded(payloads: Sequence[bytes], firsts: Sequence[int]) -> list[tuple[bytes, np.ndarray]]:
+    """The frames of each payload, numbered from its first on, and their lengths."""
     sizes = np.array([len(p) for p in payloads], np.int64)
-    frames = np.maximum(-(-sizes // BLOCK), 0)
+    frames = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(payloads)), frames)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(frames) - frames, frames)
-    n = np.minimum(BLOCK, sizes[owner] - number * BLOCK)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(frames) - frames, frames)
+    number = within + np.array(firsts, np.int64)[owner]
+    n = np.minimum(BLOCK, sizes[owner] - within * BLOCK)
     x = np.zeros((len(owner), BLOCK), np.int32)
     raw = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128
     inside = np.arange(BLOCK) < n[:, None]
@@ -184,19 +215,8 @@ def encode(payloads: Sequence[bytes]) -> list[bytes]:
     put(ends[coded] - wide_k, value[coded], wide_k)
     crc = _crc(buf, begin, head + body, _CRC16, 16)
     buf[begin + head + body], buf[begin + head + body + 1] = crc >> 8, crc & 0xFF
-    out, last = [], np.cumsum(frames)
-    for i, p in enumerate(payloads):
-        a, b = last[i] - frames[i], last[i]
-        of = length[a:b]
-        rate = 8000 << 44 | 0 << 41 | 7 << 36 | len(p)
-        digest = hashlib.md5((np.frombuffer(p, np.uint8) ^ 0x80).tobytes()).digest()
-        info = BLOCK.to_bytes(2, "big") * 2 + int(of.min(initial=1 << 23)).to_bytes(3, "big") + int(of.max(initial=0)).to_bytes(3, "big") + rate.to_bytes(8, "big") + digest
-        points = np.zeros(b - a, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
-        points["sample"], points["offset"], points["n"] = number[a:b] * BLOCK, begin[a:b] - (begin[a] if b > a else 0), n[a:b]
-        seek = points.tobytes()
-        stream = buf[begin[a] : begin[a] + of.sum()].tobytes() if b > a else b""
-        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + stream)
-    return out
+    edge = np.r_[0, np.cumsum(frames)]
+    return [(buf[begin[a] : begin[b - 1] + length[b - 1]].tobytes(), length[a:b]) for a, b in zip(edge[:-1], edge[1:])]
 
 
 def _parse(stream: bytes) -> tuple[int, bytes, np.ndarray, int]:
@@ -225,7 +245,7 @@ def decode(streams: Sequence[bytes], first: int = 0, count: int | None = None) -
 
     Only frames that hold such samples are read; the digest is verified if all are.
     """
-    starts, numbers, sizes, spans, digests, kept, base = [], [], [], [], [], [], 0
+    starts, numbers, sizes, spans, digests, kept, needed, base = [], [], [], [], [], [], [], 0
     for s in streams:
         total, digest, points, at = _parse(s)
         end = total if count is None else min(total, first + count)
@@ -234,15 +254,17 @@ def decode(streams: Sequence[bytes], first: int = 0, count: int | None = None) -
         edge = np.r_[points["offset"].astype(np.int64), len(s) - at]
         if (np.diff(edge) < 8).any() or edge[0] != 0 or (n < 1).any():
             raise ValueError("the seek table doesn't fit the stream")
-        starts.append(base + at + edge[use])
+        lo, hi = (int(edge[use[0]]), int(edge[use[-1] + 1])) if len(use) else (0, 0)
+        needed.append(s[at + lo : at + hi])
+        starts.append(base - lo + edge[use])
         spans.append(edge[use + 1] - edge[use])
         numbers.append(use)
         sizes.append(n[use])
         skip = first - begin[use[0]] if len(use) else 0
         kept.append((len(use), skip, max(0, end - first)))
         digests.append(digest if len(use) == len(points) else None)
-        base += len(s)
-    buf = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
+        base += hi - lo
+    buf = np.frombuffer(b"".join(needed) + bytes(16), np.uint8)
     start, span, number, n = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (starts, spans, numbers, sizes))
     x = _frames(buf, start, span, number, n) if len(start) else np.zeros((0, BLOCK), np.int32)
     pcm = x.astype(np.int8).view(np.uint8)
@@ -409,12 +431,25 @@ def pcm_blocks(df: DataFrame, media: str = "media", first: int = 0, count: int |
     rest = [f for f in df.schema.fields if f.name != media and f.name.lower() not in ("first_sample", "samples", "pcm")]
     whole = BLOCK * FRAMES
 
+    def decoded(streams: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+        """Rows (stream, first sample, samples); a long stream is read by ranges."""
+        if len(streams) > 1 or len(streams[0]) <= READ:
+            yield [(i, first + at, p[at : at + whole]) for i, p in enumerate(decode(streams, first, count)) for at in range(0, max(1, len(p)), whole)]
+            return
+        total, digest, _, _ = _parse(streams[0])
+        end, seen = total if count is None else min(total, first + count), hashlib.md5()
+        for at in range(first, max(end, first + 1), 16 * whole):
+            (p,) = decode(streams, at, min(16 * whole, end - at))
+            seen.update((np.frombuffer(p, np.uint8) ^ 0x80).tobytes())
+            yield [(0, at + i, p[i : i + whole]) for i in range(0, max(1, len(p)), whole)]
+        if first == 0 and end == total and seen.digest() != digest:
+            raise ValueError("the samples differ from the stream's digest")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column(media)
-            for part in _batches([range(n or 0) for n in pc.binary_length(held).to_pylist()], READ):
-                streams = [m or _SILENCE for m in held[part].to_pylist()]
-                rows = [(i, first + at, p[at : at + whole]) for i, p in enumerate(decode(streams, first, count)) for at in range(0, max(1, len(p)), whole)]
+            parts = _batches([range(n or 0) for n in pc.binary_length(held).to_pylist()], READ)
+            for part, rows in ((part, rows) for part in parts for rows in decoded([m or _SILENCE for m in held[part].to_pylist()])):
                 row, begin, pcm = zip(*rows)
                 others = batch.slice(part.start, part.stop - part.start).select([f.name for f in rest]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*others.columns, pa.array(begin, pa.int64()), pa.array([len(p) for p in pcm], pa.int64()), pa.array(pcm, pa.binary())], [*others.schema.names, *(f.name for f in made)])

@@ -12,8 +12,9 @@ A notice contains one of a few words of each template (its anchors: every set of
 shingles that is large enough to match has one), so texts without any anchor are
 dropped before they are cut into words; that loses nothing.
 
-Only DataFrame functions are used. Templates are a parameter; they are few, and
-the broadcast of their bands is bounded by MOST_TEMPLATES.
+Only DataFrame functions are used. Templates are a parameter; each MOST_TEMPLATES of
+them are sought in one scan, so the broadcast of their bands is bounded and no number
+of templates is refused.
 
 Null ids take no part; null and empty texts match nothing; rows that repeat count
 once. Templates of fewer than five words are refused. An empty table gives an empty
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,10 +124,12 @@ def anchors(templates: dict[str, str]) -> list[str]:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, containment, word: the best place of each notice in each document."""
     templates = TEMPLATES if templates is None else templates
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
     spark = docs.sparkSession
     schema = "doc_id long, license string, containment double, word int"
+    if len(templates) > MOST_TEMPLATES:
+        names = sorted(templates)
+        parts = [scan(docs, {n: templates[n] for n in names[at : at + MOST_TEMPLATES]}) for at in range(0, len(names), MOST_TEMPLATES)]
+        return reduce(DataFrame.unionByName, parts)
     by_size: dict[int, list[tuple[str, list[str]]]] = {}
     for name, text in templates.items():
         words = plain_words(text)

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.names import apart
+
 #: The most that a source may be repeated.
 REPEATS = 3
 #: Documents for each block of a source, and the most blocks that a source has (a task sorts them).
@@ -148,21 +150,22 @@ def mix(docs: DataFrame, depth: int = 4, seed: int = 11) -> DataFrame:
 
     taken counts words, repeats included. Sorting a shard's copies by ``place`` shuffles it.
     """
-    plan, n_blocks = decisions(docs, depth, seed)
-    plan = plan.withColumnRenamed("source", "__s").withColumnRenamed("block", "__b").withColumnRenamed("cut", "__cut").withColumnRenamed("shards", "__shards").withColumnRenamed("rounds", "__rounds")
     kept = [c for c in docs.columns if c.lower() not in MADE]
-    keyed = _keyed(docs.select(*kept), seed).withColumn("__block", F.pmod("__h", F.lit(n_blocks)))
+    safe, own = apart(docs.select(*kept), "doc_id", "text", "source")
+    plan, n_blocks = decisions(safe, depth, seed)
+    plan = plan.withColumnRenamed("source", "__s").withColumnRenamed("block", "__b").withColumnRenamed("cut", "__cut").withColumnRenamed("shards", "__shards").withColumnRenamed("rounds", "__rounds")
+    keyed = _keyed(safe, seed).withColumn("__block", F.pmod("__h", F.lit(n_blocks)))
     out = keyed.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
     whole = F.col("__cut").isNull() | (F.col("__h") <= F.col("__cut"))
     copies = F.when(whole, F.col("__shards")).otherwise(F.slice("__shards", F.lit(1), F.col("__rounds").cast("int")))
     out = out.withColumn("copies", copies)
-    return out.select(*kept, "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), "copies", F.xxhash64(F.lit(seed + 3), "__h").alias("place"))
+    return out.select(*own, "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), "copies", F.xxhash64(F.lit(seed + 3), "__h").alias("place"))
 
 
 def mixed_rows(docs: DataFrame, depth: int = 4, seed: int = 11) -> DataFrame:
     """The mix itself: a row of docs for each time that it is taken, shuffled within shards."""
-    own = {c: f"__own_{c}" if c.lower() in MADE else c for c in docs.columns}  # the input's columns stay, whatever their names
-    out = mix(docs.withColumnsRenamed(own), depth, seed).withColumn("__shard", F.explode("copies"))
+    safe, own = apart(docs, "doc_id", "text", "source")  # the input's columns stay, whatever their names
+    out = mix(safe, depth, seed).withColumn("__shard", F.explode("copies"))
     place = F.xxhash64("place", "__shard")
     out = out.repartition("__shard", F.pmod(place, F.lit(64))).sortWithinPartitions("__shard", place)
-    return out.select(*[F.col(new).alias(c) for c, new in own.items()])
+    return out.select(*own)

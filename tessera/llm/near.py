@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words
 from tessera.llm.graphs import components, small_components
+from tessera.llm.names import apart
 
 #: Bands, values in a band, values compared at a time.
 BANDS, ROWS, STEP = 24, 5, 24
@@ -284,6 +285,7 @@ def join(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each class: the one of the least id (of its texts, that of the least digest). Rows without an id stay."""
     kept = classes(docs).where("doc_id = class_id").select("doc_id", F.col("key").alias("__key"))
-    known = docs.where("doc_id is not null").withColumn("__key", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    safe, own = apart(docs, "doc_id", "text")  # columns may have any names
+    known = safe.where("doc_id is not null").withColumn("__key", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     one = known.join(kept, ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return one.select(*own).unionByName(docs.where("doc_id is null"))

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words
+from tessera.llm.names import apart
 
 SEED = 4
 #: Words between chained matches at most, and what each of them costs.
@@ -186,33 +187,50 @@ def _answer(rows: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
 _NONE = (-1e18, -1)
 
 
-class Highest:
-    """Greatest (value, item) over ranges of places, whose items come and go."""
+class Fenwick:
+    """Greatest (value, item) over prefixes of places."""
 
     def __init__(self, n: int):
-        self.n, self.best = n, [_NONE] * (2 * n)
+        self.best = [_NONE] * (n + 1)
 
     def put(self, i: int, entry: tuple[float, int]) -> None:
-        i += self.n
-        self.best[i] = entry
-        while i > 1:
-            i >>= 1
-            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
-
-    def top(self, lo: int, hi: int) -> tuple[float, int]:
-        """Among places lo to hi - 1."""
-        lo, hi, out = lo + self.n, hi + self.n, _NONE
-        while lo < hi:
-            if lo & 1:
-                out = max(out, self.best[lo])
-                lo += 1
-            if hi & 1:
-                hi -= 1
-                out = max(out, self.best[hi])
-            lo, hi = lo >> 1, hi >> 1
+        best, i = self.best, i + 1
+        while i < len(best):
+            if best[i] < entry:
+                best[i] = entry
+            i += i & -i
+
+    def top(self, i: int) -> tuple[float, int]:
+        """Among the first i places."""
+        best, out = self.best, _NONE
+        while i > 0:
+            if best[i] > out:
+                out = best[i]
+            i -= i & -i
         return out
 
 
+class Reach:
+    """Greatest entries over any ``width`` places in a row: Fenwick trees from both ends of each block of that many."""
+
+    def __init__(self, width: int):
+        self.width, self.up, self.down = width, {}, {}
+
+    def put(self, place: int, entry: tuple[float, int]) -> None:
+        block, at = divmod(place, self.width)
+        if block not in self.up:
+            self.up[block], self.down[block] = Fenwick(self.width), Fenwick(self.width)
+        self.up[block].put(at, entry)
+        self.down[block].put(self.width - 1 - at, entry)
+
+    def top(self, lo: int) -> tuple[float, int]:
+        """Among places lo to lo + width - 1: the end of one block and the begin of the next."""
+        block, at = divmod(lo, self.width)
+        one = self.down[block].top(self.width - at) if block in self.down else _NONE
+        two = self.up[block + 1].top(at) if block + 1 in self.up else _NONE
+        return max(one, two)
+
+
 def _segments(pos: np.ndarray, ref: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """First seed, last seed, its place in the other text (and group) of runs of seeds on one diagonal."""
     group = np.zeros(len(pos), np.int64) if group is None else group
@@ -235,28 +253,36 @@ def _chained(start: np.ndarray, end: np.ndarray, r_start: np.ndarray) -> list[li
     if len(start) == 1:
         return [[(int(start[0]), int(end[0]), int(r_start[0]))]]
     r_end = r_start + end - start
-    by_start = np.lexsort((r_start, start))
-    by_end = list(np.lexsort((r_end, end)))
     value, back = np.zeros(len(start)), np.full(len(start), -1)
     own = (end - start + SEED).astype(float)
-    # A predecessor ended at most GAP words ago on both sides: what is older is taken out of the tree.
-    far, places = GAP + SEED, np.sort(r_end)
-    slot = np.argsort(np.argsort(r_end, kind="stable"))
-    least, limit = np.searchsorted(places, r_start - far), np.searchsorted(places, r_start)
-    tree, done, gone = Highest(len(start)), 0, 0
-    for i in by_start:
-        while done < len(by_end) and end[by_end[done]] < start[i]:
-            j = by_end[done]
-            tree.put(int(slot[j]), (value[j] + COST * float(end[j] + r_end[j]), int(j)))
-            done += 1
-        while gone < done and end[by_end[gone]] < start[i] - far:
-            tree.put(int(slot[by_end[gone]]), _NONE)
-            gone += 1
-        value[i] = own[i]
-        best, j = tree.top(int(least[i]), int(limit[i]))
-        gain = best - COST * float(start[i] + r_start[i])
-        if j >= 0 and gain > 0:
-            value[i], back[i] = own[i] + gain, j
+    # A predecessor ended at most ``far`` words ago on both sides: in the block of words where a
+    # segment starts or the one before. A block's segments first meet those of the block before,
+    # from the last on (which is complete), then each other as they end; so entries only come.
+    far = GAP + SEED
+    by_start, by_end = np.lexsort((r_start, start)), np.lexsort((r_end, end))
+    starts_in, ends_in = start[by_start] // far, end[by_end] // far
+    entry = lambda j: (value[j] + COST * float(end[j] + r_end[j]), int(j))
+    for block in np.unique(starts_in):
+        mine = by_start[np.searchsorted(starts_in, block) : np.searchsorted(starts_in, block, "right")]
+        before = by_end[np.searchsorted(ends_in, block - 1) : np.searchsorted(ends_in, block - 1, "right")]
+        within = by_end[np.searchsorted(ends_in, block) : np.searchsorted(ends_in, block, "right")]
+        best: dict[int, tuple[float, int]] = {}
+        reach, left = Reach(far), len(before)
+        for i in mine[::-1] if left else ():
+            while left and end[before[left - 1]] >= start[i] - far:
+                left -= 1
+                reach.put(int(r_end[before[left]]), entry(before[left]))
+            best[i] = reach.top(int(r_start[i]) - far)
+        reach, done = Reach(far), 0
+        for i in mine:
+            while done < len(within) and end[within[done]] < start[i]:
+                reach.put(int(r_end[within[done]]), entry(within[done]))
+                done += 1
+            top, j = max(best.get(i, _NONE), reach.top(int(r_start[i]) - far))
+            gain = top - COST * float(start[i] + r_start[i])
+            value[i] = own[i]
+            if j >= 0 and gain > 0:
+                value[i], back[i] = own[i] + gain, j
     used, out = np.zeros(len(start), bool), []
     for i in np.argsort(-value, kind="stable"):
         chain = []
@@ -576,7 +602,8 @@ def without(docs: DataFrame) -> DataFrame:
     Texts are shuffled once more, to meet their passages.
     """
     spans = _found(docs, True).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__of")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans")).checkpoint()
-    known = docs.where("doc_id is not null").withColumn("__digest", F.md5(F.coalesce("text", F.lit(""))))
+    safe, own = apart(docs, "doc_id", "text")  # columns may have any names
+    known = safe.where("doc_id is not null").withColumn("__digest", F.md5(F.coalesce("text", F.lit(""))))
     met = known.join(spans, (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__of")), "left")
-    out = met.select(*docs.columns, "__spans").mapInArrow(_cut, docs.schema).unionByName(docs.where("doc_id is null"))
+    out = met.select(*safe.columns, "__spans").mapInArrow(_cut, safe.schema).select(*own).unionByName(docs.where("doc_id is null"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words
+from tessera.llm.names import apart
 
 NAMES = (
     "log_words", "distinct_share", "repeat_next", "top_share", "word_length", "symbol_share", "table_share", "digit_share",
@@ -213,10 +214,11 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column | None = None, labe
 def kept(docs: DataFrame, labels: DataFrame, least: float = 0.3, learn: Column | None = None, label: str = "quality", most: int = MOST_LABELS) -> DataFrame:
     """The rows of docs that score ``least`` or more, with all their columns.
 
-    The model is fitted first, on about ``most`` labels at most, chosen by hash and
+    Columns may have any names. The model is fitted first, on about ``most`` labels at most, chosen by hash and
     broadcast: so only labelled texts are measured for it. Each text is then scored
     where it lies, and no text is shuffled.
     """
+    safe, own = apart(docs, "doc_id", "text")
     known = known_labels(labels, learn, label)
     n = known.count()
     if n > most:
@@ -230,7 +232,7 @@ def kept(docs: DataFrame, labels: DataFrame, least: float = 0.3, learn: Column |
         words.give_back()
 
     score = F.lit(share) if model is None else F.pandas_udf(run, "double")("text")
-    return docs.withColumn("__score", score).where(F.col("__score") >= least).select(*docs.columns)
+    return safe.withColumn("__score", score).where(F.col("__score") >= least).select(*own)
 
 
 def remainder(column: str, by: int) -> Column:
