@@ -115,8 +115,8 @@ def graph_edges_by_type(spark, sf_dir):
     return e.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.coalesce("source_file", "target_file")).alias("files"))
 
 
-@query("""with u as (select distinct l_partkey as symbol, l_suppkey as file from lineitem), a as (select symbol as seed, file from u qualify row_number() over (partition by symbol order by file) <= 12),
-b as (select file, symbol as other from u qualify row_number() over (partition by file order by symbol) <= 12), c as (select seed, other, count(*) as files from a join b using (file) where other <> seed group by all)
+@query("""with u as (select distinct l_partkey as symbol, l_suppkey as file from lineitem),
+c as (select a.symbol as seed, b.symbol as other, count(*) as files from u a join u b using (file) where a.symbol <> b.symbol group by all)
 select seed, other, files, rank from (select *, row_number() over (partition by seed order by files desc, other) as rank from c) where rank <= 12""")
 def graph_two_hop(spark, sf_dir):
     """From every part over the suppliers that ship it to their other parts."""

@@ -40,4 +40,5 @@ print(len(entry.queries()), len(entry.oracle_sql()))
     without = run("'tessera.llm', 'corpus_pipeline'")
     n = [int(x) for x in without.stdout.split()]
     assert n and n[0] == n[1] > 50, without.stderr
-    assert run("'zstandard',").returncode != 0
+    if (ROOT / "tessera" / "llm").exists():
+        assert run("'zstandard',").returncode != 0
