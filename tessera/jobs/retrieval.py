@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.jobs import symbols
-from tessera.operators import chunking, embedding, lexical, search
-from tessera.session import table
+from tessera.operators import chunking, embedding, lexical, postings, search
+from tessera.session import table, with_checkpoints
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +132,39 @@ def bm25_prefix(spark, sf_dir):
     return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 10)
 
 
+def _index(spark: SparkSession, docs: DataFrame) -> postings.Index:
+    """An index of documents in the shared folder, in a few buckets even if they are few."""
+    with_checkpoints(spark)
+    return postings.build(docs, "doc_id", "text", f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}", max(4, -(-docs.count() // 20_000)))
+
+
+@query("with " + _bm25_sql(10, False) + " select item_id, doc_id, score, rank from b")
+def bm25_stored_topk(spark, sf_dir):
+    """The same from a stored index: blocks of postings by falling bounds."""
+    rows, _ = postings.bm25(_index(spark, table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), "item_id", "text", 10, prefix=False)
+    return rows.withColumnRenamed("key", "doc_id")
+
+
+@query("with " + _bm25_sql(10, True) + " select item_id, doc_id, score, rank from b")
+def bm25_stored_prefix(spark, sf_dir):
+    rows, _ = postings.bm25(_index(spark, table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), "item_id", "text", 10)
+    return rows.withColumnRenamed("key", "doc_id")
+
+
+_KEPT = "select doc_id, case when doc_id % 11 = 0 then text || ' changed words' else text end as text from documents where doc_id % 7 <> 0"
+
+
+@query(f"with kept as ({_KEPT}) select term, count(distinct doc_id) as df from (select doc_id, unnest({_TERMS.format('text')}) as term from kept) group by term")
+def postings_upkeep(spark, sf_dir):
+    """How many documents hold each term after two passes over a stored index: some removed and others changed, then more removed and the last ones added."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    now = docs.withColumn("text", F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" changed words"))).otherwise(F.col("text")))
+    index = _index(spark, docs.where("doc_id % 5 <> 0"))
+    index = postings.update(index, now.where("doc_id % 11 = 0 and doc_id % 7 <> 0"), "doc_id", "text", docs.where("doc_id % 14 = 0").select("doc_id"))
+    index = postings.update(index, now.where("doc_id % 5 = 0 and doc_id % 7 <> 0"), "doc_id", "text", docs.where("doc_id % 7 = 0").select("doc_id"))
+    return postings.frequencies(index)
+
+
 @query(f"select term, count(distinct doc_id) as df, count(*) as cf from (select doc_id, unnest({_TERMS.format('text')}) as term from documents) group by term")
 def doc_frequency_stats(spark, sf_dir):
     return lexical.document_frequency(table(spark, sf_dir, "documents"), "doc_id", "text")
