@@ -121,6 +121,8 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
                         ends.append(e + held)
                         held += len(part)
                     h, whole = np.concatenate(kept), b"".join(piece)
+                    if not len(h):
+                        continue
                     own, first, n = np.unique(h, return_index=True, return_counts=True)
                     s, e = np.concatenate(starts)[first].tolist(), np.concatenate(ends)[first].tolist()
                     yield pd.DataFrame({"h": own.view(np.int64), "lang": lang, "word": [whole[a:b].decode("utf-8", "surrogatepass") for a, b in zip(s, e)], "n": n})
