@@ -160,7 +160,7 @@ def eval_recall_mrr(spark, sf_dir):
 
     b = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage")
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    expected = pairs.with_every(d, b, 2000).where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
+    expected = pairs.holding(d, "doc_id", "text", b, "item_id", "passage").select("item_id", "doc_id").distinct()
     hashed = d.select("doc_id", (F.col("doc_id") * 7919 % 1009).alias("h"))
     order = hashed.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("doc_id")))
     counts = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))  # 1009 rows at most

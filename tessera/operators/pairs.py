@@ -1,7 +1,11 @@
-"""Every row with every query, whatever the number of queries."""
+"""Rows and stated queries: every row with every query, and texts with the passages that they hold."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +28,39 @@ def with_every(rows: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     left = rows.withColumn("__chunk", dealt(rows, CHUNKS)).withColumn("__block", every(blocks))
     right = queries.withColumn("__block", dealt(queries, blocks)).withColumn("__chunk", every(CHUNKS))
     return left.join(right, ["__chunk", "__block"]).drop("__chunk", "__block")
+
+
+def holding(rows: DataFrame, key: str, text: str, passages: DataFrame, passage_key: str, passage: str, most: int = 1 << 24) -> DataFrame:
+    """(key, passage_key): which texts hold which passages, each walked through once with all passages of a block.
+
+    A block has passages of some ``most`` characters, so its automaton is bounded; each further block is one more scan.
+    No pair is made that isn't a result. Null and empty passages are held by no text, nor is anything by a null text.
+    """
+    kinds = f"{key} {rows.schema[key].dataType.simpleString()}, {passage_key} {passages.schema[passage_key].dataType.simpleString()}"
+    known = passages.select(F.col(passage_key).alias("id"), F.col(passage).alias("p")).where("length(p) > 0")
+    size = known.agg(F.sum(F.length("p"))).first()[0] or 0
+    if not size:
+        return rows.select(key).join(passages.select(passage_key), F.lit(False))
+    blocks, found = -(-size // most), None
+
+    def walk(wanted: list[tuple]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            of: dict[str, list] = {}
+            for i, p in wanted:
+                of.setdefault(p, []).append(i)
+            held = ahocorasick.Automaton()
+            for p, ids in of.items():
+                held.add_word(p, ids)
+            held.make_automaton()
+            for batch in batches:
+                out = [(k, i) for k, t in zip(batch.k, batch.t) if t for i in {i for _, ids in held.iter(t) for i in ids}]
+                yield pd.DataFrame(out, columns=[key, passage_key]) if out else pd.DataFrame({key: batch.k[:0], passage_key: batch.k[:0]})
+
+        return rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, kinds)
+
+    for b in range(blocks):
+        wanted = [(r.id, r.p) for r in known.where(F.pmod(F.xxhash64("p"), F.lit(blocks)) == b).collect()]  # some ``most`` characters
+        if wanted:
+            part = walk(wanted)
+            found = part if found is None else found.unionByName(part)
+    return found
