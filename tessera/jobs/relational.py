@@ -93,6 +93,18 @@ def import_candidate_resolution(spark, sf_dir):
     return relations.resolve_imports(imports, files)
 
 
+@query("""with c as (select distinct l_suppkey as path, (l_partkey % 500)::int as start_line, (l_partkey % 500 + l_quantity * 3)::int as end_line from lineitem),
+r as (select distinct l_suppkey as path, (l_orderkey % 700)::int as line from lineitem)
+select r.path, r.line, m.c.s as start_line, m.c.e as end_line from r left join (select r.path, r.line, min({'n': end_line - start_line, 's': start_line, 'e': end_line}) as c from r join c on c.path = r.path and r.line between start_line and end_line group by all) m on m.path = r.path and m.line = r.line""")
+def innermost_intervals(spark, sf_dir):
+    """Each line of a supplier with the smallest of its intervals around it, over all line items."""
+    li = table(spark, sf_dir, "lineitem")
+    start = (F.col("l_partkey") % 500).cast("int")
+    chunks = li.select(F.col("l_suppkey").alias("path"), start.alias("start_line"), (start + F.col("l_quantity") * 3).cast("int").alias("end_line"))
+    lines = li.select(F.col("l_suppkey").alias("path"), (F.col("l_orderkey") % 700).cast("int").alias("line")).distinct()
+    return relations.innermost(lines, chunks)
+
+
 _EDGES = """d as (select s_nationkey::varchar as file, s_suppkey::varchar as name, 'function:' || s_suppkey as symbol, s_suppkey::int as line, (s_suppkey + 3)::int as end_line, s_acctbal > 5000 as exported from supplier),
 r as (select distinct s_nationkey::varchar as file, (l_partkey % 120)::varchar as name, (l_partkey % 100)::int as line from lineitem join supplier on l_suppkey = s_suppkey),
 i as (select s_nationkey::varchar as file, (s_suppkey + 1)::varchar as local_name, case when s_suppkey % 3 = 0 then 'default' else 'imported' || s_suppkey end as imported_name, (s_suppkey % 100)::int as line from supplier),
