@@ -11,10 +11,12 @@ holds more than one.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
-#: Declarations that a line may begin, for files whose brackets don't pair: kind and pattern, the first that fits.
+#: Declarations that a line may begin, for files whose brackets don't pair: kind and pattern, the first that fits.
 LINES = (
     ("class", r"\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
     ("function", r"\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"),
@@ -26,6 +28,7 @@ LINES = (
 _LEX = re.compile(r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<str>'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*")|(?P<id>[A-Za-z_$\#][\w$]*)|(?P<num>\d[\w.]*)|(?P<op>=>|\.\.\.|\?\.|[^\w\s])""", re.DOTALL)
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 _WORDS = frozenset("break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof let new null return super switch this throw true try typeof var void while with yield async await static get set of type interface as from implements".split())
+_OPEN, _CLOSED = frozenset("([{"), frozenset(")]}")
 _MODIFIERS = frozenset("public private protected static readonly async get set abstract override declare accessor".split())
 
 
@@ -52,20 +55,22 @@ class Entry(NamedTuple):
 
 
 def _template(text: str, at: int) -> int:
-    """Where a template that begins at a backquote ends."""
-    depth, at = 0, at + 1
+    """Where a template that begins at a backquote ends; templates within its braces may nest to any depth."""
+    depths, at = [0], at + 1  # of braces in each open template
     while at < len(text):
         c = text[at]
         if c == "\\":
             at += 1
-        elif not depth and c == "`":
-            return at + 1
+        elif not depths[-1] and c == "`":
+            depths.pop()
+            if not depths:
+                return at + 1
         elif text.startswith("${", at):
-            depth, at = depth + 1, at + 1
-        elif depth and c in "{}":
-            depth += 1 if c == "{" else -1
-        elif depth and c == "`":
-            at = _template(text, at) - 1
+            depths[-1], at = depths[-1] + 1, at + 1
+        elif depths[-1] and c in "{}":
+            depths[-1] += 1 if c == "{" else -1
+        elif depths[-1] and c == "`":
+            depths.append(0)
         at += 1
     return at
 
@@ -359,22 +364,43 @@ def javascript(text: str) -> list[Entry]:
     if close is None:
         return list(by_lines(text.split("\n")))
     reader = Reader(tokens, close)
-    reader.statements(0, len(tokens))
+    with _nested(tokens):
+        reader.statements(0, len(tokens))
     return [*reader.out, *reader.references()]
 
 
+@contextmanager
+def _nested(tokens: list[Token]) -> Iterator[None]:
+    """Room for a few calls for each open bracket; such calls lie on the heap, so depth costs memory alone."""
+    depth = most = 0
+    for t in tokens:
+        depth += (t.text in _OPEN) - (t.text in _CLOSED)
+        most = max(most, depth)
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, before + 16 * most))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
+_QUIET = re.compile(r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|`(?:\\.|[^`\\])*`|//.*|/\*.*?\*/")
+
+
 def by_lines(lines: list[str]) -> Iterator[Entry]:
+    plain = [_QUIET.sub("", line) for line in lines]  # each line once, however many declarations look at it
+    rise = [code.count("{") - code.count("}") for code in plain]
+    opens, ends, blank = ["{" in code for code in plain], [code.rstrip().endswith(";") for code in plain], [not code.strip() for code in plain]
     for i, line in enumerate(lines):
         for kind, pattern in LINES:
             if m := re.match(pattern, line):
                 depth, seen, end = 0, False, i
                 for end in range(i, len(lines)):
-                    code = re.sub(r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|`(?:\\.|[^`\\])*`|//.*|/\*.*?\*/", "", lines[end])
-                    seen = seen or "{" in code
-                    depth += code.count("{") - code.count("}")
-                    if seen and depth <= 0 or not seen and code.rstrip().endswith(";"):
+                    seen = seen or opens[end]
+                    depth += rise[end]
+                    if seen and depth <= 0 or not seen and ends[end]:
                         break
-                    if end > i and not seen and not code.strip():
+                    if end > i and not seen and blank[end]:
                         end -= 1
                         break
                 yield Entry("block", kind, m[1], i + 1, end + 1)

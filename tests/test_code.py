@@ -103,3 +103,17 @@ def test_any_text_is_read(language, text):
     lines = text.split("\n")
     covered = {n for a, b, *_ in code.chunked(text, language) for n in range(a, b + 1)}
     assert all(n in covered or not line.strip() for n, line in enumerate(lines, 1))
+
+
+def test_any_depth_and_many_declarations():
+    """Nested functions and templates by the thousand, and a file of unpaired brackets, in time that grows with the file."""
+    import time
+
+    depth, began = 3000, time.perf_counter()
+    found = code.javascript("".join(f"function f{i}() {{\n" for i in range(depth)) + "}\n" * depth)
+    assert {e.name.rpartition(".")[2] for e in found if e.what == "definition"} >= {"f0", f"f{depth - 1}"}
+    text = "`${" * depth + "x" + "}`" * depth + " tail"
+    assert code._template(text, 0) == len(text) - len(" tail")
+    lines = ["function g(", *(f"const a{i} = () => {{ run('{{'); // }}" for i in range(3000))]
+    assert len([e for e in code.by_lines(lines) if e.what == "block"]) == 3001
+    assert time.perf_counter() - began < 20
