@@ -7,7 +7,7 @@ the sample's true neighbours lie in the leaves visited, and for each query until
 these hold as many vectors as are asked for.
 
 A query goes to the leaves that it visits, not to all vectors. Leaves of more than
-GROUP vectors are split among tasks. Nearness is the cosine of the original
+GROUP vectors are split among tasks, and so are more than GROUP queries of a leaf. Nearness is the cosine of the original
 vectors in double precision; ties go to the smaller id.
 
 Vectors that are null, zero, of another length than most, or hold null or
@@ -167,6 +167,10 @@ def search(df: DataFrame, queries: Column, nearest: int = 5, vector_id: str = "v
     asked = indexed.where("asks").select("id", "v").repartition(tasks, "id").mapInPandas(visit, "id long, v array<double>, leaf long, part long")
     splits = F.array(*[F.lit(int(p)) for p in parts])
     held = indexed.select("id", "v", "leaf", F.pmod(F.xxhash64("id"), F.element_at(splits, (F.col("leaf") + 1).cast("int"))).cast("long").alias("part"))
+    # However many queries visit a leaf, a group has a share of about GROUP of all of them at most.
+    turns = max(1, -(-indexed.where("asks").count() // GROUP))
+    asked = asked.withColumn("turn", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(turns)))
+    held = held.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long")))) if turns > 1 else held.withColumn("turn", F.lit(0).cast("long"))
 
     def compare(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(asks) or not len(own):
@@ -185,6 +189,6 @@ def search(df: DataFrame, queries: Column, nearest: int = 5, vector_id: str = "v
                 found.append(pd.DataFrame({"query_id": i, "vec_id": ids[near], "score": s[near]}))
         return pd.concat(found)
 
-    near = asked.groupBy("leaf", "part").cogroup(held.groupBy("leaf", "part")).applyInPandas(compare, "query_id long, vec_id long, score double")
+    near = asked.groupBy("leaf", "part", "turn").cogroup(held.groupBy("leaf", "part", "turn")).applyInPandas(compare, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

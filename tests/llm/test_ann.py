@@ -70,3 +70,14 @@ def test_recall_beyond_the_sample(spark, monkeypatch, kind):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = sum(len(got[q] & {v for v, _ in want[q]}) for q in want)
     assert hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_queries_and_vectors_of_a_leaf_are_split(spark, monkeypatch):
+    """Leaves that many vectors and queries share, in groups of 40: the same neighbours as in one group."""
+    with_checkpoints(spark)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(300)]
+    df = spark.createDataFrame([*rows, rows[0], (500, rows[0][1])], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, ann.search(df, F.col("vec_id") >= 0).collect()))
+    monkeypatch.setattr(ann, "GROUP", 40)
+    assert sorted(map(tuple, ann.search(df, F.col("vec_id") >= 0).collect())) == want and len(want) > 1400
