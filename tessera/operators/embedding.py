@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.pairs import in_blocks
 from tessera.operators.search import Best, Hashing, rounded, tokens
 
 
@@ -42,16 +43,13 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
 def nearest_dense(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, most: int = 2000) -> DataFrame:
     """(query_id, key, score, rank): the k rows of greatest dot product with each of a stated set of queries, but not a query itself.
 
-    Queries are broadcast in blocks of ``most``; a task multiplies matrices and keeps k rows of
+    Queries are broadcast in blocks of about ``most``; a task multiplies matrices and keeps k rows of
     each query, so what is exchanged doesn't grow with the rows of a task. Null vectors take no part.
     """
-    found, n = None, queries.count()
-    asked = queries.where(F.col(vector).isNotNull()).select(key, vector)
-    asked = asked.withColumn("__n", F.row_number().over(Window.orderBy(key)) - 1) if n > most else asked.withColumn("__n", F.lit(0))
+    found, asked = None, queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector)
     kind = rows.schema[key].dataType.simpleString()
     schema = f"query_id {kind}, {key} {kind}, score double"
-    for i in range(-(-n // most)):
-        own = asked.where((F.col("__n") >= i * most) & (F.col("__n") < (i + 1) * most)).select(key, vector).collect()
+    for own in in_blocks(asked, key, most):
         width = max((len(r[1]) for r in own), default=1)
         sent = rows.sparkSession.sparkContext.broadcast(([r[0] for r in own], _matrix([r[1] for r in own], width)))
 

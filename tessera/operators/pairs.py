@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 #: Shares of the rows that meet a block of queries each.
@@ -30,6 +30,19 @@ def with_every(rows: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     return left.join(right, ["__chunk", "__block"]).drop("__chunk", "__block")
 
 
+def in_blocks(queries: DataFrame, key: str, most: int) -> Iterator[list[Row]]:
+    """Rows of stated queries, sorted by key, in blocks of about ``most``, one at a time on the driver.
+
+    Blocks follow from the key's hash, so nothing numbers all queries in one task.
+    """
+    n = queries.count()
+    blocks = 1 if n <= most else -(-5 * n // (4 * most))
+    for i in range(blocks if n else 0):
+        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).collect()
+        if rows:
+            yield sorted(rows, key=lambda r: r[key])
+
+
 def holding(rows: DataFrame, key: str, text: str, passages: DataFrame, passage_key: str, passage: str, most: int = 1 << 24) -> DataFrame:
     """(key, passage_key): which texts hold which passages, each walked through once with all passages of a block.
 
