@@ -32,10 +32,8 @@ MADE = ("size", "source_size", "target", "taken", "copies", "place")
 
 
 def n_words(text: str = "text") -> Column:
-    """Runs of characters other than 0x20 and 0x09-0x0D: one more than the blanks between them."""
-    squeezed = F.trim(F.regexp_replace(F.col(text), "[\\x20\\x09-\\x0D]+", " "))
-    blanks = F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit("")))
-    return F.coalesce(F.when(squeezed == "", 0).otherwise(blanks + 1), F.lit(0)).cast("long")
+    """Runs of characters other than 0x20 and 0x09-0x0D."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
 
 
 def targets(sources: DataFrame) -> DataFrame:
