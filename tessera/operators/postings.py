@@ -112,8 +112,8 @@ def _blocks(bucket: int, names: np.ndarray, p: Postings, keys: list, lengths: np
 def _assembled(bucket: int, rows: pd.DataFrame, keys: list, lengths: np.ndarray) -> pd.DataFrame:
     """A bucket's blocks of rows (key, term, places)."""
     number = {k: i for i, k in enumerate(keys)}
-    names, term = np.unique(rows.term.to_numpy(str), return_inverse=True) if len(rows) else (np.zeros(0, str), np.zeros(0, int))
-    names, doc = names.astype(object), rows.key.map(number).to_numpy(np.int64)
+    term, names = pd.factorize(rows.term.to_numpy(object), sort=True)  # words of any length: as they are, not of one width
+    doc = rows.key.map(number).to_numpy(np.int64)
     order = np.lexsort((doc, term))
     held = rows.places.to_numpy()
     places = [np.asarray(held[i], np.int64) for i in order]
@@ -238,15 +238,23 @@ def _totals(index: Index) -> DataFrame:
     return index.spark.createDataFrame([(-1, str(index.buckets), index.n, index.length)], "bucket int, path string, n long, length long")
 
 
-def _decoded(rows: pd.DataFrame) -> pd.DataFrame:
-    """(key, term, places) of all postings of a bucket's rows."""
-    keys = rows["keys"][rows.term == ""].iloc[0]
-    out = []
-    for r in rows[rows.term != ""].itertuples():
-        docs, counts, places = np.cumsum(numbers(r.docs)), numbers(r.counts), numbers(r.places)
-        edge = np.cumsum(counts)[:-1]
-        out += [(keys[d], r.term, np.cumsum(x)) for d, x in zip(docs, np.split(places, edge))]
-    return pd.DataFrame(out, columns=["key", "term", "places"])
+def _sums(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew with each run of so many steps."""
+    total, begin = np.cumsum(steps), np.cumsum(sizes) - sizes
+    return total - np.repeat(total[begin] - steps[begin], sizes) if len(sizes) else total
+
+
+def _decoded(rows: pd.DataFrame, only: set | None = None) -> pd.DataFrame:
+    """(key, term, places) of all postings of a bucket's rows, or of those of some keys; all blocks are read in one go."""
+    keys, own = rows["keys"][rows.term == ""].iloc[0], rows[rows.term != ""]
+    doc = _sums(numbers(b"".join(own.docs)), own.n.to_numpy(np.int64))
+    count = numbers(b"".join(own.counts))
+    places, begin = _sums(numbers(b"".join(own.places)), count), np.cumsum(count) - count
+    term = np.repeat(own.term.to_numpy(object), own.n.to_numpy(np.int64))
+    some = np.arange(len(doc)) if only is None else np.flatnonzero(np.array([k in only for k in keys], bool)[doc])
+    held = pd.Series([places[b : b + n] for b, n in zip(begin[some].tolist(), count[some].tolist())], dtype=object)
+    known = pd.Series(list(keys), dtype=object).to_numpy()
+    return pd.DataFrame({"key": known[doc[some]], "term": term[some], "places": held.to_numpy()}, dtype=object)
 
 
 def signed(index: Index, changed: DataFrame, key: str, text: str, gone: DataFrame | None = None) -> DataFrame:
@@ -268,8 +276,7 @@ def signed(index: Index, changed: DataFrame, key: str, text: str, gone: DataFram
         keys = {k for k in wanted.key if k in lengths}
         if not keys:
             return pd.DataFrame([], columns=old_schema.names)
-        found = _decoded(rows)
-        found = found[found.key.isin(keys)]
+        found = _decoded(rows, keys)
         out = pd.concat([found, pd.DataFrame({"key": sorted(keys), "term": "", "places": [[] for _ in keys]})], ignore_index=True)
         return out.assign(length=out.key.map(lengths), sign=-1)
 
@@ -331,8 +338,9 @@ class _Bucket:
         self.rows = rows[rows.term != ""].sort_values(["term", "first"], kind="stable").reset_index(drop=True)
         self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.used: set[int] = set()  # by the query at hand
-        names, at = np.unique(self.rows.term.to_numpy(str), return_index=True) if len(self.rows) else (np.zeros(0, str), np.zeros(0, int))
-        edge = np.r_[at, len(self.rows)]
+        own = self.rows.term.to_numpy(object)
+        at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
+        names, edge = own[at], np.r_[at, len(own)]
         self.of = {n: range(edge[i], edge[i + 1]) for i, n in enumerate(names)}
         self.names, self.q = names, q
         self.first, self.last, self.n = (self.rows[c].to_numpy(np.int64) for c in ("first", "last", "n"))
