@@ -90,7 +90,7 @@ def _blocks(bucket: int, names: np.ndarray, p: Postings, keys: list, lengths: np
     run = np.flatnonzero(np.diff(p.term, prepend=-1))
     at = np.arange(len(p.term)) - np.repeat(run, np.diff(np.r_[run, len(p.term)]))
     first = np.flatnonzero(at % BLOCK == 0)
-    last = np.r_[first[1:], len(p.term)] - 1
+    last = np.r_[first[1:], len(p.term)][: len(first)] - 1
     new = np.zeros(len(p.term), bool)
     new[first] = True
     docs, docs_at = varints(_steps(p.doc, new))
