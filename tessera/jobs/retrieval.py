@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.jobs import symbols
-from tessera.operators import chunking, embedding, lexical, postings, search
+from tessera.operators import chunking, embedding, grams, lexical, postings, search
 from tessera.session import table, with_checkpoints
 
 QUERIES: dict = {}
@@ -238,13 +238,24 @@ def search_modes(spark, sf_dir):
     return search.search(_chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "text", 5, ("lexical", "vector", "hybrid"))
 
 
-@query(f"""with {_CHUNK_SQL}, q as (select item_id, {_DOC_TOKENS}[1:8] as t from benchmark)
+_LIKE_SQL = f"""with {_CHUNK_SQL}, q as (select item_id, {_DOC_TOKENS}[1:8] as t from benchmark)
 select item_id, path, start_line, end_line, rank from (select item_id, path, start_line, end_line, row_number() over (partition by item_id order by path, start_line, end_line) as rank from q, ch
-  where len(list_filter(t, lambda x: ch.text ilike '%' || x || '%' or path ilike '%' || x || '%' or coalesce(symbol, '') ilike '%' || x || '%')) > 0) where rank <= 20""")
+  where len(list_filter(t, lambda x: ch.text ilike '%' || x || '%' or path ilike '%' || x || '%' or coalesce(symbol, '') ilike '%' || x || '%')) > 0) where rank <= 20"""
+
+
+@query(_LIKE_SQL)
 def lexical_like_fallback(spark, sf_dir):
     return search.contain_any(_chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "text", 20)
 
 
+@query(_LIKE_SQL)
+def lexical_like_stored(spark, sf_dir):
+    """The same from a stored index of trigrams: the first candidates by place are read and tested."""
+    with_checkpoints(spark)
+    index = grams.build(_chunks(spark, sf_dir), f"{spark.sparkContext.getCheckpointDir()}/grams-{uuid.uuid4().hex}")
+    return grams.contain_any(index, table(spark, sf_dir, "benchmark"), "item_id", "text", 20)[0]
+
+
 _INTENT = " + ".join(
     f"case when regexp_matches(' ' || lower(text) || ' ', '[^A-Za-z0-9_](?:{names})[^A-Za-z0-9_]') then {score} else 0 end"
     for names, score in (("import|export|resolveimport|target", 0.3), ("reference|references|target_symbol|symbol_references", 0.3), ("test|spec|__tests__", 0.2), ("neighbor|same-file|file_path", 0.2))
