@@ -1,4 +1,4 @@
-"""Chunks and symbols of source files: one pass over each file where it lies, then joins and aggregates by file."""
+"""Chunks and symbols of source files: one pass over each file with brackets where it lies, windows over the lines of others, then joins and aggregates by file."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import language_of, simple_name
 from tessera.operators.chunking import token_references, with_ids
-from tessera.sources import code
+from tessera.sources import code, indents
 
 #: What a line of a language may declare, for readers without blocks; the first that fits.
 LINE_PATTERNS = {
@@ -36,6 +36,12 @@ def _by_file(files: DataFrame, schema: str, made) -> DataFrame:
     return files.select("path", "text", language_of(F.col("path")).alias("language")).mapInPandas(run, f"path string, {schema}")
 
 
+def _by_language(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files that are read by indentation, and all others."""
+    indented = language_of(F.col("path")) == "python"
+    return files.where(indented), files.where(~F.coalesce(indented, F.lit(False)))
+
+
 def symbol_chunks(files: DataFrame, most: int = 80, overlap: int = 8) -> DataFrame:
     """path, language, start_line, end_line, symbol, is_gap, text and id of each chunk.
 
@@ -44,7 +50,8 @@ def symbol_chunks(files: DataFrame, most: int = 80, overlap: int = 8) -> DataFra
     Chunks with the same id (blocks with the same lines) are kept once.
     """
     schema = "start_line int, end_line int, symbol string, is_gap boolean, text string"
-    out = _by_file(files, schema, lambda text, language: code.chunked(text, language, most, overlap))
+    indented, others = _by_language(files)
+    out = _by_file(others, schema, lambda text, language: code.chunked(text, language, most, overlap)).unionByName(indents.chunks(indented, most, overlap))
     return with_ids(out.withColumn("language", language_of(F.col("path")))).dropDuplicates(["path", "id"])
 
 
@@ -58,7 +65,9 @@ def entries(files: DataFrame) -> DataFrame:
 
 def blocks(files: DataFrame) -> DataFrame:
     """path, kind, name, start_line, end_line of the blocks that chunks are cut at."""
-    return _by_file(files, "kind string, name string, start_line int, end_line int", lambda text, language: ((e.kind, e.name, e.start, e.end) for e in code.blocks_of(text, language)))
+    indented, others = _by_language(files)
+    made = _by_file(others, "kind string, name string, start_line int, end_line int", lambda text, language: ((e.kind, e.name, e.start, e.end) for e in code.blocks_of(text, language)))
+    return made.unionByName(indents.blocks(indented))
 
 
 def imports(rows: DataFrame) -> DataFrame:
