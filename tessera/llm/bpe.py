@@ -1,8 +1,10 @@
 """Byte-pair encoding and decoding with a given vocabulary file.
 
-Each word's symbols form a doubly linked list; a priority queue holds the ranks
-of the pairs that may merge. An entry whose symbols have meanwhile been merged
-is stale and is skipped. Decoding concatenates vocabulary strings.
+A short word's pairs stand in a list of ranks, and the least is sought again and
+again. A longer word's symbols form a doubly linked list; a priority queue holds the
+ranks of the pairs that may merge. An entry whose symbols have meanwhile been merged
+is stale and is skipped. Pieces between white space are encoded when they are first
+met. Decoding joins the vocabulary strings of a text's ids.
 
 Nulls: a null text counts as an empty one and gives no ids. Empty texts give no
 ids and an empty decoded text. Long texts are encoded whole; rows repeat as they
@@ -15,10 +17,11 @@ import hashlib
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,8 +30,12 @@ from pyspark.sql import types as T
 
 from tessera.llm import words
 
-#: Distinct pieces of text whose encodings a Python worker keeps, in each of two generations.
-CACHE = 160_000
+#: Distinct pieces of text (and as many words) whose encodings a Python worker keeps, in each of two generations.
+CACHE = 240_000
+#: Symbols of a word from which on a queue is faster than a list.
+LONG = 64
+#: The rank of a pair that doesn't merge.
+NEVER = 1 << 60
 #: Rows whose results a task holds, and the columns that encode() adds.
 SLICE, NEW = 128, ("ids", "n_tokens", "decoded")
 
@@ -40,10 +47,27 @@ def byte_characters() -> list[str]:
     return [chr(c) for _, c in sorted([(b, b) for b in plain] + [(b, 256 + i) for i, b in enumerate(other)])]
 
 
+class Kept(dict):
+    """Encodings, made when first asked for; two generations, so that frequent keys outlive rare ones."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        x = self.old.get(key)
+        if x is None:
+            x = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = x
+        return x
+
+
 class Codec:
     """A vocabulary: merges, ids, special tokens, and the encodings of the pieces seen last."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, most: int = CACHE):
         spec = json.loads(text)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("unk_token"):
@@ -55,25 +79,45 @@ class Codec:
         self.ranks = {ids[a] << 32 | ids[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.made = [ids[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: s for s, i in ids.items()} | {i: s for s, i in self.special.items()}
+        named = {i: s for s, i in ids.items()} | {i: s for s, i in self.special.items()}
+        self.names = [named.get(i, "") for i in range(max(named) + 1)]
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         characters = byte_characters()
         self.first = [ids[c] for c in characters]
         self.last = {ids[c]: ids[c + self.suffix] for c in characters}
+        # The rank of each pair of bytes within a word.
+        self.pairs = [[self.ranks.get(a << 32 | b, NEVER) for b in self.first] for a in self.first]
+        self.shortest = min(map(len, self.special), default=1 << 60)
         self.alone = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.white = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-        self.odd = regex.compile(r"[\x1c-\x1f]")  # white space to str.split() alone
-        self.most = CACHE
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.odd = "\x1c\x1d\x1e\x1f"  # white space to str.split() alone
+        self.words, self.pieces = Kept(self.packed, most), Kept(self.piece, most)
 
     def word(self, word: str) -> list[int]:
         """Ids of one word, by the merge of least rank again and again, the leftmost first."""
-        ids = [self.first[b] for b in word.encode()]
+        raw = word.encode()
+        ids = [*map(self.first.__getitem__, raw)]
         ids[-1] = self.last[ids[-1]]
-        n, rank_of, made = len(ids), self.ranks.get, self.made
-        if n == 1:
+        if len(ids) > LONG:
+            return self.long(ids)
+        if len(ids) == 1:
             return ids
+        rank_of, made = self.ranks.get, self.made
+        now = [of[b] for of, b in zip(map(self.pairs.__getitem__, raw), raw[1:])]
+        now[-1] = rank_of(ids[-2] << 32 | ids[-1], NEVER)
+        while now and (least := min(now)) < NEVER:
+            i = now.index(least)
+            new = ids[i] = made[least]
+            del ids[i + 1], now[i]
+            if i < len(now):
+                now[i] = rank_of(new << 32 | ids[i + 1], NEVER)
+            if i:
+                now[i - 1] = rank_of(ids[i - 1] << 32 | new, NEVER)
+        return ids
+
+    def long(self, ids: list[int]) -> list[int]:
+        """The same of a word's first symbols, in n log n steps."""
+        n, rank_of, made = len(ids), self.ranks.get, self.made
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         # The rank of the pair that begins at each symbol now: an entry of another rank is stale.
         now = [rank_of(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]
@@ -103,66 +147,50 @@ class Codec:
                     heappush(queue, r << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def kept(self, key: str) -> tuple[bytes, str] | None:
-        """What is known of a piece; two generations, so that frequent pieces outlive rare ones."""
-        x = self.young.get(key)
-        if x is None and (x := self.old.get(key)) is not None:
-            self.young[key] = x
-        return x
+    def packed(self, word: str) -> bytes:
+        ids = self.word(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def keep(self, key: str, x: tuple[bytes, str]) -> tuple[bytes, str]:
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        self.young[key] = x
-        return x
-
-    def plain(self, piece: str) -> list[tuple[bytes, str]]:
-        """The words of a piece without white space or special tokens, encoded and decoded."""
+    def plain(self, piece: str) -> bytes:
+        """The ids of a piece without white space or special tokens."""
         # Lower case is by character: a capital sigma never becomes a final one.
         if not piece.isascii():
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-        out = []
-        for w in self.split.findall(piece.lower()):
-            if (x := self.kept(w)) is None:
-                ids = self.word(w)
-                x = self.keep(w, (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)))
-            out.append(x)
-        return out
-
-    def piece(self, piece: str) -> tuple[bytes, str]:
+        return b"".join(map(self.words.__getitem__, self.split.findall(piece.lower())))
+
+    def piece(self, piece: str) -> bytes:
+        if len(piece) < self.shortest or not any(s in piece for s in self.special):
+            return self.plain(piece)
         found, at = [], 0
-        for m in self.alone.finditer(piece) if self.special else ():
-            found += [*self.plain(piece[at : m.start()]), (struct.pack("<I", self.special[m[0]]), m[0])]
+        for m in self.alone.finditer(piece):
+            found += [self.plain(piece[at : m.start()]), self.special[m[0]].to_bytes(4, "little")]
             at = m.end()
-        found += self.plain(piece[at:])
-        return found[0] if len(found) == 1 else (b"".join(x[0] for x in found), " ".join(x[1] for x in found))
+        return b"".join([*found, self.plain(piece[at:])])
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and the ids decoded again."""
         if not text:
             return b"", ""
-        found = []
-        for p in self.white.split(text) if self.odd.search(text) else text.split():
-            x = self.young.get(p) or self.kept(p) or self.keep(p, self.piece(p))
-            if x[0]:
-                found.append(x)
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        pieces = self.white.split(text) if any(c in text for c in self.odd) else text.split()
+        ids = b"".join(map(self.pieces.__getitem__, pieces))
+        return ids, self.decode(np.frombuffer(ids, "<u4").tolist())
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings of the ids; without a decoder in the file a blank stands between them."""
-        return " ".join(self.names[i] for i in ids)
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 @contextmanager
 def _codec(text: str, pieces: int) -> Iterator[Codec]:
     """A task's codec. Workers live on after their tasks, so what it keeps is given back at the end."""
-    codec = Codec(text)
-    codec.most = pieces
+    codec = Codec(text, pieces)
     try:
         yield codec
     finally:
-        codec.young, codec.old = {}, {}
-        del codec
+        for kept in (codec.words, codec.pieces):
+            kept.clear()
+            kept.old = {}
+        del kept, codec
         words.give_back()
 
 

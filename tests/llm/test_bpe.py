@@ -1,7 +1,9 @@
 """The encoder against the tokenizers library, on given texts and odd ones."""
 
 import hashlib
+import random
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -38,3 +40,44 @@ def test_matches_the_library(spark, library, sf_dir):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digests(docs, PATH).count() == 0
+
+
+@pytest.fixture(scope="module")
+def content():
+    with open(PATH, encoding="utf-8") as f:
+        return f.read()
+
+
+def test_lists_and_queues_agree(content, library):
+    codec, rng = bpe.Codec(content), random.Random(5)
+    words = ["".join(rng.choices("aehinorst", k=rng.randint(1, 2 * bpe.LONG))) for _ in range(300)] + ["a" * n for n in range(1, 2 * bpe.LONG)]
+    for w in words:
+        first = [codec.first[b] for b in w.encode()]
+        first[-1] = codec.last[first[-1]]
+        assert codec.word(w) == codec.long(first) == library.encode(w, add_special_tokens=False).ids
+
+
+def test_short_words_are_faster_than_by_the_queue(content):
+    codec, rng = bpe.Codec(content), random.Random(6)
+    words = ["".join(rng.choices("aehinorst", k=rng.randint(5, 14))) for _ in range(3000)]
+    firsts = [[*[codec.first[b] for b in w[:-1].encode()], codec.last[codec.first[ord(w[-1])]]] for w in words]
+
+    def seconds(of, given):
+        best = 1e9
+        for _ in range(5):
+            copies, began = [x[:] for x in given], time.process_time()
+            for x in copies:
+                of(x)
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(codec.word, words) < 0.8 * seconds(codec.long, firsts)
+
+
+@pytest.mark.parametrize("most", [1, 2, 50])
+def test_few_kept_pieces_change_nothing(content, library, most):
+    codec, rng = bpe.Codec(content, most), random.Random(7)
+    for text in (" ".join(rng.choices(["The", "the", "cat,", "cat", "hat.", "a<|endoftext|>b", "É", "é"], k=200)) for _ in range(5)):
+        found = library.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text) == (struct.pack(f"<{len(found)}I", *found), library.decode(found, skip_special_tokens=False))
+        assert max(len(codec.words), len(codec.pieces), len(codec.pieces.old)) <= most
