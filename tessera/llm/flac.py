@@ -3,9 +3,9 @@
 The writer picks, frame by frame, the predictor that takes the fewest bits: one of
 the five fixed ones or a linear one, fitted to the frame by its autocorrelations and
 quantised to 8 bits; and a Rice parameter. It adds a seek table with the sample and
-byte offset of every frame. The reader decodes Rice residuals and predictors of many
-frames side by side (a step of numpy decodes one sample of each), and verifies both
-checksums of every frame and the digest of all samples. It writes blocks of PCM with
+byte offset of every frame. The reader decodes many frames side by side: a step of numpy
+finds where one code of each ends, residuals are made in blocks, and a step predicts one
+sample of each. It verifies both checksums of every frame and the digest of all samples. It writes blocks of PCM with
 the offset of their first sample; with a range of samples it reads the frames of the
 range alone.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -34,11 +35,15 @@ from tessera.llm.words import give_back
 from tessera.session import stored
 
 #: Samples in a frame, frames in a block of PCM, and bytes that are written, coded and read at a time.
-BLOCK, FRAMES, WRITTEN, STRIDE, READ = 2048, 32, 1 << 19, 1 << 19, 1 << 20
-#: Coefficients of a linear predictor.
-ORDER = 4
+BLOCK, FRAMES, WRITTEN, STRIDE, READ = 2048, 32, 1 << 18, 1 << 18, 1 << 20
+#: Coefficients of a linear predictor; bytes that a checksum takes in at a time.
+ORDER, SPAN = 4, 4096
+#: Samples of a frame whose residuals are made at once.
+ROWS = 128
 FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
 _U = np.uint64
+#: Bytes of the other sign bit.
+_SIGNED = bytes(b ^ 0x80 for b in range(256))
 
 
 def _table(poly: int, bits: int) -> np.ndarray:
@@ -56,35 +61,45 @@ _ZEROS = np.array([16 - int(x).bit_length() for x in range(1 << 16)], np.uint8)
 
 
 def _crc(buf: np.ndarray, start: np.ndarray, size: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
-    """Checksums of buf[start : start + size], all at once."""
-    order = np.argsort(-size, kind="stable")
-    start, left = start[order], size[order]
+    """Checksums of buf[start : start + size]: of 8 bits, for short headers, all at once; of 16 bits frame by frame."""
+    if bits == 16:
+        return np.array([_crc16(buf[a : a + n]) for a, n in zip(start.tolist(), size.tolist())], np.uint16)
     crc = np.zeros(len(start), np.uint16)
-    alive = np.searchsorted(-left, -np.arange(left[0] if len(left) else 0), side="left")
-    for i, n in enumerate(alive):
-        c = crc[:n]
-        if bits == 8:
-            crc[:n] = table[c ^ buf[start[:n] + i]]
-        else:
-            crc[:n] = (c << 8) ^ table[(c >> 8) ^ buf[start[:n] + i]]
-    out = np.empty_like(crc)
-    out[order] = crc
-    return out
+    for i in range(int(size.max(initial=0))):
+        own = np.flatnonzero(size > i)
+        crc[own] = table[crc[own] ^ buf[start[own] + i]]
+    return crc
+
+
+@cache
+def _far() -> np.ndarray:
+    """What a byte with SPAN - 1, ..., 1, 0 bytes behind it adds to a checksum of 16 bits: 256 values for each distance."""
+    out = np.empty((SPAN, 256), np.uint16)
+    out[-1] = _CRC16
+    for i in range(SPAN - 1, 0, -1):
+        out[i - 1] = (out[i] << 8) ^ _CRC16[out[i] >> 8]
+    return out.ravel()
+
 
+_PLACE = np.arange(SPAN) << 8
 
-def _residuals(x: np.ndarray, coefs: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """What predictors of each row (coefficients, right shift) leave of x."""
-    guess = np.zeros_like(x)
-    for j in range(coefs.shape[1]):
-        guess[:, j + 1 :] += coefs[:, j, None] * x[:, : -j - 1]
-    return x - (guess >> shift[:, None])
 
+def _crc16(frame: np.ndarray) -> int:
+    """The sum of what each byte adds."""
+    far, crc = _far(), 0
+    for at in range(0, len(frame), SPAN):
+        part = frame[at : at + SPAN]
+        first = SPAN - len(part)
+        sum_ = int(np.bitwise_xor.reduce(far.take(_PLACE[first:] + part)))
+        if crc:  # what came before goes into the next two bytes
+            sum_ ^= int(far[(first << 8) + (crc >> 8)]) ^ (int(far[(first + 1 << 8) + (crc & 0xFF)]) if len(part) > 1 else (crc & 0xFF) << 8)
+        crc = sum_
+    return crc
 
-def _fitted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Linear predictors of the rows of x, by Levinson's recursion: coefficients of 8 bits and their shifts."""
-    y = x.astype(np.float32)
-    r = np.stack([(y[:, : y.shape[1] - j] * y[:, j:]).sum(1, dtype=np.float64) for j in range(ORDER + 1)], 1)
-    error, a = r[:, 0] * (1 + 1e-6) + 1e-3, np.zeros((len(x), ORDER))
+
+def _fitted(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linear predictors from the autocorrelations of frames, by Levinson's recursion: coefficients of 8 bits and their shifts."""
+    error, a = r[:, 0] * (1 + 1e-6) + 1e-3, np.zeros((len(r), ORDER))
     for i in range(ORDER):
         k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(1)) / error
         a[:, :i], a[:, i] = a[:, :i] - k[:, None] * a[:, :i][:, ::-1], k
@@ -132,38 +147,52 @@ def _coded(payloads: Sequence[bytes], firsts: Sequence[int]) -> list[tuple[bytes
     within = np.arange(len(owner)) - np.repeat(np.cumsum(frames) - frames, frames)
     number = within + np.array(firsts, np.int64)[owner]
     n = np.minimum(BLOCK, sizes[owner] - within * BLOCK)
-    x = np.zeros((len(owner), BLOCK), np.int32)
-    raw = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128
-    inside = np.arange(BLOCK) < n[:, None]
-    x[inside] = raw
+    if not len(owner):
+        return [(b"", np.zeros(0, np.int64)) for _ in payloads]
+    # Frames in a row, with ORDER zeros before each and ORDER + 1 at the end.
+    gap = b"\x80" * ORDER
+    raw = b"".join(part for p in payloads for at in range(0, len(p), BLOCK) for part in (gap, p[at : at + BLOCK])) + gap + b"\x80"
+    x = (np.frombuffer(raw, np.uint8) ^ 0x80).view(np.int8).astype(np.int16)
+    last = np.cumsum(n + ORDER)
+    first = last - n
+    edges = np.stack([first, last], 1).ravel()
+    sums = lambda v: np.add.reduceat(v, edges, dtype=np.int64)[::2]
+    wider = x.astype(np.int32)
+    coefs, shift = _fitted(np.stack([sums(wider[: len(x) - j] * wider[j:]) for j in range(ORDER + 1)], 1).astype(float))
     # The predictor with the fewest bits, among those shorter than the frame.
-    coefs, shift = _fitted(x)
     best, least, cost = np.zeros(len(owner), int), np.full(len(owner), np.inf), np.zeros(len(owner))
-    folded, fixed = np.zeros(x.shape, np.uint16), x
+    folded, r = [], x
     for t in range(len(FIXED) + 1):
         own = t if t < len(FIXED) else ORDER
-        r = fixed if t < len(FIXED) else _residuals(x, coefs, shift)
-        if t < len(FIXED) - 1:
-            fixed = np.diff(fixed, axis=1, prepend=0)
-        u = np.where(r < 0, -2 * r - 1, 2 * r)
-        u[~inside] = 0
-        u[:, :own] = 0
-        sum_, left = u.sum(1), np.maximum(n - own, 1)
+        if t == len(FIXED):
+            guess, real, scaled = np.zeros(len(x), np.float32), x.astype(np.float32), (coefs / np.exp2(shift)[:, None]).astype(np.float32)
+            for a, b, c in zip(first.tolist(), last.tolist(), scaled):
+                guess[a:b] = np.convolve(real[a - ORDER : b - 1], c, "valid")  # exact: 17 bits
+            r = (x - np.floor(guess).astype(np.int32)).astype(np.int16)
+        elif t:
+            r = np.diff(r, prepend=np.int16(0))
+        folded.append(((r << 1) ^ (r >> 15)).view(np.uint16))
+        sum_, left = sums(folded[t]), np.maximum(n - own, 1)
+        for j in range(own):
+            sum_ -= folded[t][first + j]
+        sum_ = np.maximum(sum_, 0)  # frames of at most ``own`` samples take no part
         k = np.clip(np.floor(np.log2(np.maximum(sum_ / left * 0.7, 1))), 1, 12)
         bits = np.where(n > own, sum_ / np.exp2(k) + (k + 1) * left + 8 * own + (9 + 8 * ORDER if t == len(FIXED) else 0), np.inf)
+        if t == len(FIXED):  # residuals of more than 16 bits aren't written
+            bits[np.abs(coefs).sum(1) << 7 >> shift > 32_000] = np.inf
         better = bits < least
         least[better], best[better], cost[better] = bits[better], t, sum_[better]
-        folded[better] = u[better]
     linear = best == len(FIXED)
     order = np.where(linear, ORDER, best)
-    coded = inside & (np.arange(BLOCK) >= order[:, None])
-    count = np.maximum(n - order, 1)
+    count = n - order
+    edges_of = np.cumsum(count) - count
+    u = np.concatenate([folded[t][a:b] for t, a, b in zip(best.tolist(), (first + order).tolist(), last.tolist())])
     k = np.clip(np.floor(np.log2(np.maximum(cost / count * 0.7, 1))).astype(int), 1, 12)
-    bits = lambda k: ((folded >> k[:, None].astype(np.uint16)) * coded).sum(1) + (k + 1) * (n - order)
-    k = np.where(bits(k + 1) < bits(k), k + 1, k)
-    quotient = np.where(coded, folded >> k[:, None].astype(np.uint16), 0).astype(np.int64)
+    bits = lambda k: np.add.reduceat(u >> np.repeat(k.astype(np.uint16), count), edges_of, dtype=np.int64) + (k + 1) * count
+    now, next_ = bits(k), bits(k + 1)
+    k, code_bits = np.where(next_ < now, k + 1, k), np.minimum(now, next_)
     linear_bits = np.where(linear, 9 + 8 * ORDER, 0)  # 4 + 5 + coefficients of 8 bits
-    body_bits = 8 + 8 * order + linear_bits + 10 + (quotient.sum(1) + (k + 1) * (n - order))
+    body_bits = 8 + 8 * order + linear_bits + 10 + code_bits
     short = n != BLOCK
     wide = 1 + (number >= 128) + (number >= 2048) + (number >= 65536)
     head = 4 + wide + 2 * short + 1
@@ -190,29 +219,31 @@ def _coded(payloads: Sequence[bytes], firsts: Sequence[int]) -> list[tuple[bytes
     buf[at] = np.where(linear, 32 + ORDER - 1, 8 + best) << 1
     for j in range(int(order.max(initial=0))):
         m = order > j
-        buf[at[m] + 1 + j] = x[m, j].astype(np.uint8)
-    bit = (at + 1 + order) * 8
-
-    def put(at_bit: np.ndarray, value: np.ndarray, size: np.ndarray) -> None:
-        """Values of at most 16 bits, at places that nothing else uses."""
-        v = value.astype(np.int64) << (24 - size - (at_bit & 7))
-        byte = at_bit >> 3
-        lo = int(byte[0]) if len(byte) else 0
-        for j in range(3):
-            part = np.bincount(byte - lo + j, (v >> (16 - 8 * j) & 0xFF), minlength=1)
-            buf[lo : lo + len(part)] += part.astype(np.uint8)
-
-    m = np.flatnonzero(linear)
-    for field, size in ((np.full(len(m), 7), 4), (shift[m], 5), *((coefs[m, j] & 0xFF, 8) for j in range(ORDER))):
-        put(bit[m], field, np.full(len(m), size))
-        bit[m] += size
-    put(bit, k, np.full(len(k), 10))  # method 0, one partition, its parameter
-    bit += 10
-    step = np.where(coded, quotient + (k + 1)[:, None], 0)
-    ends = bit[:, None] + np.cumsum(step, 1)
-    wide_k = np.broadcast_to((k + 1)[:, None], coded.shape)[coded]
-    value = (folded & ((1 << k) - 1)[:, None].astype(np.uint16)) | (1 << k)[:, None].astype(np.uint16)
-    put(ends[coded] - wide_k, value[coded], wide_k)
+        buf[at[m] + 1 + j] = x[first[m] + j].astype(np.uint8)
+    at = at + 1 + order
+    # A fitted predictor's fields of 4, 5 and 8 bits; then method 0, one partition, its parameter.
+    field = 7 << 5 | shift.astype(np.int64)
+    for j in range(ORDER):
+        field = field << 8 | (coefs[:, j] & 0xFF)
+    field = np.where(linear, field << 10 | k, k).astype(_U) << np.where(linear, 64 - 19 - 8 * ORDER, 54).astype(_U)
+    wide_k = np.repeat(k + 1, count)
+    step = (u >> (wide_k - 1).astype(np.uint16)) + wide_k
+    ends = np.cumsum(step)
+    ends += np.repeat(at * 8 + linear_bits + 10 - ends[edges_of] + step[edges_of], count)
+    stop = _U(1) << (wide_k - 1).astype(_U)
+    value = u & (stop - _U(1)) | stop
+
+    # Each code goes into the word of 64 bits in which it begins, and what is left of it into the next one.
+    word, over = ends - wide_k >> 6, (ends - wide_k & 63) + wide_k - 64
+    held = value << np.maximum(-over, 0).astype(_U) >> np.maximum(over, 0).astype(_U)
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    packed = np.zeros(len(buf) // 8 + 2, _U)
+    packed[word[starts]] = np.bitwise_or.reduceat(held, starts)
+    split = np.flatnonzero(over > 0)
+    packed[word[split] + 1] |= value[split] << (64 - over[split]).astype(_U)
+    buf |= packed.astype(">u8").view(np.uint8)[: len(buf)]
+    for j in range(8):
+        buf[at + j] |= (field >> _U(56 - 8 * j) & _U(0xFF)).astype(np.uint8)
     crc = _crc(buf, begin, head + body, _CRC16, 16)
     buf[begin + head + body], buf[begin + head + body + 1] = crc >> 8, crc & 0xFF
     edge = np.r_[0, np.cumsum(frames)]
@@ -266,15 +297,14 @@ def decode(streams: Sequence[bytes], first: int = 0, count: int | None = None) -
         base += hi - lo
     buf = np.frombuffer(b"".join(needed) + bytes(16), np.uint8)
     start, span, number, n = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (starts, spans, numbers, sizes))
-    x = _frames(buf, start, span, number, n) if len(start) else np.zeros((0, BLOCK), np.int32)
-    pcm = x.astype(np.int8).view(np.uint8)
+    x = _frames(buf, start, span, number, n) if len(start) else np.zeros((0, BLOCK), np.int8)
+    pcm = x.view(np.uint8)
     out, at = [], 0
     for (m, skip, take), digest in zip(kept, digests):
-        own = pcm[at : at + m]
-        flat = own[np.arange(own.shape[1]) < n[at : at + m, None]]
-        if digest is not None and hashlib.md5(flat.tobytes()).digest() != digest:
+        flat = b"".join([row[:size].tobytes() for row, size in zip(pcm[at : at + m], n[at : at + m].tolist())])
+        if digest is not None and hashlib.md5(flat).digest() != digest:
             raise ValueError("the samples differ from the stream's digest")
-        out.append((flat[skip : skip + take] ^ 0x80).tobytes())
+        out.append(flat[skip : skip + take].translate(_SIGNED))
         at += m
     return out
 
@@ -292,15 +322,14 @@ def _frames(buf: np.ndarray, start: np.ndarray, span: np.ndarray, number: np.nda
     end = start + span - 2
     if (_crc(buf, start, span - 2, _CRC16, 16) != (buf[end].astype(np.uint16) << 8 | buf[end + 1])).any():
         raise ValueError("a frame's checksum is wrong")
-    window = np.zeros(len(buf), _U)  # the 64 bits from each byte on
-    padded = np.r_[buf, np.zeros(8, np.uint8)]
-    for j in range(8):
-        window |= padded[j : j + len(buf)].astype(_U) << _U(56 - 8 * j)
+    window = np.r_[buf, np.zeros(8, np.uint8)].astype(_U)  # the 64 bits from each byte on
+    for j in (1, 2, 4):
+        window = window[:-j] << _U(8 * j) | window[j:]
 
     def read(at: np.ndarray, bits) -> np.ndarray:
         return (window[at >> 3] << (at & 7).astype(_U) >> _U(1)) >> (_U(63) - np.asarray(bits).astype(_U))
 
-    x = np.zeros((len(n), int(n.max())), np.int32)
+    x = np.zeros((len(n), int(n.max())), np.int8)
     kind = buf[start + head] >> 1
     bit = (start + head + 1) * 8
     if (buf[start + head] & 1).any():
@@ -314,77 +343,79 @@ def _frames(buf: np.ndarray, start: np.ndarray, span: np.ndarray, number: np.nda
     live = np.flatnonzero(kind >= 2)
     if not len(live):
         return x[np.argsort(order)]
-    y, m, bit, kind = np.zeros((len(live), x.shape[1]), np.int32), n[live], bit[live], kind[live]
+    y, m, bit, kind = np.zeros((len(live), 32), np.int32), n[live], bit[live], kind[live]
     warm = np.where(kind >= 32, kind - 31, kind - 8).astype(np.int64)
     for i in range(int(warm.max())):
         w = warm > i
         y[w, i] = read(bit[w] + 8 * i, 8).astype(np.uint8).astype(np.int8)
     bit = bit + 8 * warm
     coef, shift = np.zeros((len(live), max(1, int(warm.max()))), np.int32), np.zeros(len(live), np.int32)
-    for f in np.flatnonzero((kind < 32) & (warm > 0)):
-        coef[f, : warm[f]] = FIXED[warm[f]]
-    for f in np.flatnonzero(kind >= 32):
-        size, at = int(read(bit[f : f + 1], 4)[0]) + 1, bit[f : f + 1] + 9
-        shift[f] = int(read(bit[f : f + 1] + 4, 5)[0])
-        for j in range(warm[f]):
-            v = int(read(at + j * size, size)[0])
-            coef[f, j] = v - (1 << size if v >> (size - 1) else 0)
-        bit[f] += 9 + size * warm[f]
+    for t in range(1, min(len(FIXED), coef.shape[1] + 1)):
+        coef[kind == 8 + t, :t] = FIXED[t]
+    f = np.flatnonzero(kind >= 32)
+    size, start = read(bit[f], 4).astype(np.int64) + 1, bit[f] + 9
+    shift[f] = read(bit[f] + 4, 5)
+    for j in range(int(warm[f].max(initial=0))):
+        own = np.flatnonzero(warm[f] > j)
+        v = read(start[own] + j * size[own], size[own]).astype(np.int64)
+        coef[f[own], j] = v - (v >> (size[own] - 1) << size[own])
+    bit[f] += 9 + size * warm[f]
     long = read(bit, 2).astype(np.int64)  # parameters of 4 or 5 bits
     part = m >> read(bit + 2, 4).astype(np.int64)
     bit = bit + 6
     # When each frame reads a parameter: at its first residual, then where partitions begin.
     turns: dict[int, list[int]] = {}
-    for f in range(len(live)):
-        for i in {int(warm[f]), *range(int(part[f]), int(m[f]), int(part[f]))}:
+    for f, (w, p, e) in enumerate(zip(warm.tolist(), part.tolist(), m.tolist())):
+        for i in {w, *range(p, e, p)}:
             turns.setdefault(i, []).append(f)
-    k, raw = np.zeros(len(live), np.int64), np.zeros(len(live), bool)
-    alive = np.searchsorted(-m, -np.arange(int(m.max())), side="left")
-    one, depth = _U(1), coef.shape[1]
-    coefs, columns = [np.ascontiguousarray(coef[:, j]) for j in range(depth)], []
-    least = int(warm.max())
+    steps, depth, least = x.shape[1], max(1, int(warm.max())), int(warm.max())
+    alive = np.searchsorted(-m, -np.arange(steps), side="left").tolist()
+    # Where each residual begins and its unary part ends: the next bit that is set, or nothing if it is raw.
+    ones = np.flatnonzero(np.unpackbits(buf).view(bool)).astype(np.int32)
+    set_ = np.repeat(ones, np.diff(ones, prepend=np.int32(-1)))
+    at, end = np.zeros((steps + 1, len(live)), np.int64), np.zeros((steps, len(live)), np.int32)
+    at[0] = bit
+    k, raw, more, cuts = np.zeros(len(live), np.int64), np.zeros(len(live), bool), np.zeros(len(live), np.int32), []
+    any_raw = False
     for i, c in enumerate(alive):
+        here = at[i]
         if i in turns:
             t = np.array(turns[i])
             size = 4 + long[t]
-            k[t] = read(bit[t], size).astype(np.int64)
-            bit[t] += size
+            k[t] = read(here[t], size).astype(np.int64)
+            here[t] += size
             raw[t] = k[t] == (1 << size) - 1
             t = t[raw[t]]
-            k[t] = read(bit[t], 5).astype(np.int64)
-            bit[t] += 5
-        at, kk = bit[:c], k[:c]
-        w = window[at >> 3] << (at & 7).astype(_U)
-        q = _ZEROS[w >> _U(48)].astype(np.int64)
-        if (far := (q == 16) & ~raw[:c]).any():
-            for f in np.flatnonzero(far):
-                a = int(at[f])
-                while not (v := int(read(np.array([a]), 32)[0])):
-                    a += 32
-                q[f] = a + 32 - v.bit_length() - at[f]
-                w[f] = window[(at[f] + q[f]) >> 3] << _U((at[f] + q[f]) & 7) >> _U(min(q[f], 0))
-            near = np.where(far, 0, q)
-        else:
-            near = q
-        low = ((w << (near + 1).astype(_U)) >> one) >> (63 - kk).astype(_U)
-        u = q << kk | low.astype(np.int64)
+            k[t] = read(here[t], 5).astype(np.int64)
+            here[t] += 5
+            more, any_raw = (k + 1).astype(np.int32), raw.any()
+        if i in turns or i % ROWS == 0:
+            cuts.append((i, k.copy(), raw.copy()))
+        np.take(set_, here[:c], out=end[i, :c], mode="clip")
+        np.add(end[i, :c], more[:c], out=at[i + 1, :c])
+        if i < least or any_raw:
+            at[i + 1, :c] = np.where(warm[:c] > i, here[:c], np.where(raw[:c], here[:c] + k[:c], at[i + 1, :c]))
+    # Residuals, in blocks of frames and samples; rows above the samples' hold zeros.
+    z = np.zeros((depth + steps, len(live)), np.int32)
+    for (i, k, raw), (j, *_) in zip(cuts, [*cuts[1:], (steps,)]):
+        c = alive[i]
+        begin, stop, kk = at[i:j, :c], end[i:j, :c].astype(np.int64), k[:c]
+        low = (window[stop + 1 >> 3] << (stop + 1 & 7).astype(_U)) >> _U(1) >> (63 - kk).astype(_U)
+        u = (stop - begin) << kk | low.astype(np.int64)
         r = (u >> 1) ^ -(u & 1)
-        used = q + 1 + kk
         if raw[:c].any():
-            v = read(at, kk).astype(np.int64)
+            v = read(np.minimum(begin, 8 * len(buf) - 1), kk).astype(np.int64)
             v = np.where(kk == 0, 0, v - ((v >> np.maximum(kk - 1, 0) & 1) << kk))
-            r, used = np.where(raw[:c], v, r), np.where(raw[:c], kk, used)
-        guess = np.zeros(c, np.int32)
-        for j in range(min(i, depth)):
-            guess += coefs[j][:c] * columns[i - 1 - j][:c]
-        sample = (guess >> shift[:c]) + r.astype(np.int32)
-        if i < least:
-            going = warm[:c] <= i
-            sample, used = np.where(going, sample, y[:c, i]), np.where(going, used, 0)
-        columns.append(sample)
-        bit[:c] += used
-    for i, column in enumerate(columns):
-        y[: len(column), i] = column
+            r = np.where(raw[:c], v, r)
+        z[depth + i : depth + j, :c] = r
+    # Samples: the coefficients stand in the order of the samples before.
+    coef, shift = np.ascontiguousarray(coef.T[::-1]), shift.astype(np.int32)
+    for i, c in enumerate(alive):
+        sample = np.add.reduce(coef[:, :c] * z[i : i + depth, :c], 0, np.int32)
+        sample >>= shift[:c]
+        sample += z[depth + i, :c]
+        z[depth + i, :c] = sample if i >= least else np.where(warm[:c] <= i, sample, y[:c, i])
+    y = z[depth:].astype(np.int8).T
     x[live] = y
     return x[np.argsort(order)]
 
