@@ -5,9 +5,9 @@ the five fixed ones or a linear one, fitted to the frame by its autocorrelations
 quantised to 8 bits; and a Rice parameter. It adds a seek table with the sample and
 byte offset of every frame. The reader decodes many frames side by side: a step of numpy
 finds where one code of each ends, residuals are made in blocks, and a step predicts one
-sample of each. It verifies both checksums of every frame and the digest of all samples. It writes blocks of PCM with
-the offset of their first sample; with a range of samples it reads the frames of the
-range alone.
+sample of each. It verifies both checksums of every frame and the digest of all
+samples. It writes blocks of PCM with the offset of their first sample; with a range of
+samples it reads the frames of the range alone.
 
 Nulls: a null text or payload counts as an empty one, and a null stream as one of no
 samples. Payloads of any length are coded in frames of BLOCK samples; equal payloads

@@ -64,14 +64,15 @@ def test_short_words_are_faster_than_by_the_queue(content):
 
     def seconds(of, given):
         best = 1e9
-        for _ in range(5):
+        for _ in range(10):
             copies, began = [x[:] for x in given], time.process_time()
             for x in copies:
                 of(x)
             best = min(best, time.process_time() - began)
         return best
 
-    assert seconds(codec.word, words) < 0.8 * seconds(codec.long, firsts)
+    # 0.5 to 0.7 measured; with the queue alone, word() does more than long().
+    assert seconds(codec.word, words) < 0.95 * seconds(codec.long, firsts)
 
 
 @pytest.mark.parametrize("most", [1, 2, 50])
