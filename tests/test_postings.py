@@ -89,3 +89,15 @@ def test_empty_tables(spark, tmp_path):
     assert (index.n, index.length) == (2, 1)
     index = postings.update(index, none, "doc_id", "text", spark.createDataFrame([(1,), (2,)], "doc_id long"))
     assert (index.n, index.length) == (0, 0) and postings.frequencies(index).count() == 0
+
+
+def test_texts_are_dealt_once(spark, tmp_path, monkeypatch):
+    """A build exchanges texts and nothing else, and its plan has no postings of single rows."""
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('word', id % 7, ' other words') as text")
+    seen = []
+    write = postings._write
+    monkeypatch.setattr(postings, "_write", lambda index, made: seen.append(made._jdf.queryExecution().executedPlan().toString()) or write(index, made))
+    index = postings.build(docs, "doc_id", "text", f"{tmp_path}/index", 3)
+    postings.update(index, docs.where("doc_id = 3").withColumn("text", F.lit("new")), "doc_id", "text")
+    assert len(seen) == 2 and seen[0].count("Exchange hashpartitioning") == 1
+    assert not any("MapInPandas" in plan or "HashAggregate(keys=[key" in plan for plan in seen)
