@@ -1,5 +1,8 @@
 """The stored index: its codec, searches against the scan, upkeep against a rebuild, versions, odd rows."""
 
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -101,3 +104,23 @@ def test_texts_are_dealt_once(spark, tmp_path, monkeypatch):
     postings.update(index, docs.where("doc_id = 3").withColumn("text", F.lit("new")), "doc_id", "text")
     assert len(seen) == 2 and seen[0].count("Exchange hashpartitioning") == 1
     assert not any("MapInPandas" in plan or "HashAggregate(keys=[key" in plan for plan in seen)
+
+
+def test_memory_of_a_bucket():
+    """Some 7 MB of text are put in a bucket and changed there in less than 250 MB more, so without an object for each posting."""
+    code = """
+import random, resource
+from tessera.operators import postings
+rng = random.Random(1)
+words = ["w%05d" % i for i in range(20000)]
+texts = {i: " ".join(rng.choices(words, k=300)) for i in range(4000)}
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = postings._changed(0, None, texts)
+rows = postings._changed(0, rows, {i: texts[i] + " more" for i in range(0, 4000, 3)} | {1: None})
+assert not len(postings._changed(0, rows, {2: texts[2], 9999: None}))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, rows.n[rows.term == ""].sum())
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=postings.__file__.rpartition("/tessera/")[0])
+    assert run.returncode == 0, run.stderr
+    grown, n = map(int, run.stdout.split())
+    assert grown < 250 and n == 3999
