@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -124,3 +125,15 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, row
     assert run.returncode == 0, run.stderr
     grown, n = map(int, run.stdout.split())
     assert grown < 250 and n == 3999
+
+
+def test_many_terms_of_a_prefix():
+    """A query whose prefix has 60,000 terms reads their blocks in one go, not one by one."""
+    texts = {i: " ".join(f"w{i}x{j}" for j in range(60)) + " common" for i in range(1000)}
+    rows = postings._changed(0, None, texts)
+    q = search.Asked.of([1], ["w common"], True)
+    q.words, q.sets = ["common", "w"], [{"common", "w"}]
+    bucket = postings._Bucket(rows, q)
+    began = time.process_time()
+    docs, scores = postings._best(bucket, ["common", "w"], {"common": 1e-6, "w": 1e-6}, 61.0, 5)
+    assert docs.tolist() == [0, 1, 2, 3, 4] and bucket.df("w") == 1000 and time.process_time() - began < 1
