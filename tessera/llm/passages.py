@@ -9,6 +9,13 @@ place, whatever the batches and units are, a passage is found as often as a docu
 holds it, and rows grow with the text: a seed that a third of all documents hold is one
 entry of each unit. Places with fewer than FEWEST tied ones near them are left out.
 
+The first places of a passage's seeds may lie scattered over documents that don't have
+the passage. So units also ask for runs of LONG words, the least of any WINDOW in a row
+by hash. Where no seed of such a run, or within LONG words of it, is one of ENOUGH on one
+diagonal, its words are tied to the first place of the whole run; any LONG + WINDOW - 1
+unchanged words have such a run. What is shared without so many, or beside seeds that are
+tied to another text, is found by the seeds' first places alone.
+
 A text's seeds near each other in an earlier document are chained by a tree of best
 scores: ordered matches on both sides at most GAP words apart, a cost for each word
 between them. The unit then asks the others for blocks of words, once for each block,
@@ -44,6 +51,8 @@ from tessera.llm import words
 from tessera.llm.names import apart
 
 SEED = 4
+#: Words of long runs, how many in a row have one that is asked for, and seeds on one diagonal that make it needless.
+LONG, WINDOW, ENOUGH = 3 * SEED, 12, 9
 #: Words between chained matches at most, and what each of them costs.
 GAP, COST = 42, 0.15
 MIN_WORDS, IDENTITY = 45, 0.8
@@ -127,12 +136,17 @@ class _Unit:
         return np.searchsorted(self.begin, place, side="right") - 1
 
     def sort(self, bits: int) -> None:
-        """Seeds by hash and place; the distinct ones and their first places."""
+        """Seeds and chosen long runs by hash and place; the distinct ones and their first places."""
         run, k = words.shingles(self.hashes, self.n, SEED)
         place = np.arange(len(run)) + np.repeat(self.begin - (np.cumsum(k) - k), k)
+        own = np.flatnonzero(place[LONG - SEED :] - place[: max(0, len(place) - LONG + SEED)] == LONG - SEED)  # in one text
+        whole = words.mixed(words.mixed(run[own] * _U(31) + run[own + SEED]) * _U(31) + run[own + 2 * SEED])
+        chosen = _least(whole, self.text_of(place[own]))
+        long = np.r_[np.zeros(len(run), bool), np.ones(len(chosen), bool)]
+        run, place = np.r_[run, whole[chosen]], np.r_[place, place[own[chosen]]]
         order = np.argsort(run, kind="stable")
         key = run[order] >> _U(32 - bits)
-        self.place = place[order]
+        self.place, self.long = place[order], long[order]
         new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
         self.of, self.key = np.cumsum(new) - 1, key[new]
         self.first = self.place[new]
@@ -160,12 +174,43 @@ class _Unit:
         same = there[self.ids[self.text_of(place[there])] == self.ids[self.text_of(ref[there] & 0xFFFFFFFF)]]
         tied = np.ones(len(place), bool)
         tied[same] = False
-        place, ref = place[tied], ref[tied]
-        order = np.argsort(place, kind="stable")
+        short, long = tied & ~self.long, tied & self.long
+        lost, lost_ref = self.lost(place[short], ref[short], place[long], ref[long])
+        place, ref = np.r_[place[short], lost], np.r_[ref[short], lost_ref]
+        order = np.lexsort((ref, place))
         place, ref = place[order], ref[order]
-        kept = _dense(place)
+        new = np.r_[True, (np.diff(place) != 0) | (np.diff(ref) != 0)] if len(place) else np.zeros(0, bool)
+        place, ref = place[new], ref[new]
+        once = np.unique(place)
+        kept = _dense(once)[np.searchsorted(once, place)]
         return place[kept], ref[kept]
 
+    def lost(self, place: np.ndarray, ref: np.ndarray, long: np.ndarray, long_ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ties of the words of those long runs whose seeds are tied here and there."""
+        order = np.lexsort((place, ref - place))
+        place, diagonal = place[order], (ref - place)[order]
+        new = np.r_[True, (np.diff(diagonal) != 0) | (np.diff(place) > SAME)] if len(place) else np.zeros(0, bool)
+        size = np.diff(np.r_[np.flatnonzero(new), len(place)])
+        along = np.zeros(len(self.words) + 3 * LONG, np.int64)
+        along[place + LONG] = np.repeat(size, size)
+        some = along[long[:, None] + np.arange(3 * LONG - SEED + 1)].max(1) < ENOUGH  # also beside the run, LONG words on either side
+        step = np.arange(LONG - SEED + 1)
+        return (long[some, None] + step).ravel(), (long_ref[some, None] + step).ravel()
+
+
+def _least(run: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which runs are the least of some WINDOW in a row of a text."""
+    n = len(run) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least, own = run[:n].copy(), text[:n] == text[WINDOW - 1 :]
+    for i in range(1, WINDOW):
+        np.minimum(least, run[i : i + n], out=least)
+    out = np.zeros(len(run), bool)
+    for i in range(WINDOW):
+        out[i : i + n] |= own & (run[i : i + n] == least)
+    return np.flatnonzero(out)
+
 
 def _answer(rows: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
     """For each unit's seeds of a bucket: which are tied, and the first units and places of those."""

@@ -211,3 +211,31 @@ def test_edited_down_to_identity(spark):
     found = {i | 1: places for i, places in found.items()}  # either of the two may be the later one
     assert found.keys() == want.keys()
     assert all(len(found[i] & set(range(30, 30 + n))) >= 0.85 * n for i, n in want.items())
+
+
+@pytest.mark.parametrize("unit", [passages.UNIT, 3_000])
+def test_passage_whose_seeds_come_first_elsewhere(spark, monkeypatch, unit):
+    """Each run of four words of a passage is in another, earlier document; the two last ones share the passage whole."""
+    with_checkpoints(spark)
+    rng = random.Random(8)
+    run = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    passage = run(60)
+    ids = [r.id for r in spark.range(80).selectExpr("id", "xxhash64(id) as h").orderBy("h").collect()]
+    docs = [(i, " ".join([*run(30), *passage[k : k + 4], *run(30)])) for k, i in enumerate(ids[:57])]
+    docs += [(i, " ".join([*run(25), *passage, *run(20)])) for i in ids[-2:]]
+    monkeypatch.setattr(passages, "UNIT", unit)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = passages.find(df).collect()
+    assert {r.doc_id for r in found} == {ids[-1]} and {r.ref_id for r in found} == {ids[-2]}
+    assert (min(r.start_word for r in found), max(r.end_word for r in found)) == (25, 85)
+    left = {r.doc_id: len(r.text.split()) for r in passages.without(df).collect()}
+    assert left[ids[-1]] == 45 and left[ids[-2]] == 105 and all(left[i] == 64 for i in ids[:57])
+
+
+@given(st.lists(st.integers(0, 30), max_size=60), st.integers(1, 3))
+def test_least_of_any_window(values, texts):
+    run, text = np.array(values, np.uint64), np.sort(np.arange(len(values)) % texts)
+    chosen = set(passages._least(run, text).tolist())
+    w = passages.WINDOW
+    windows = [range(i, i + w) for i in range(len(values) - w + 1) if text[i] == text[i + w - 1]]
+    assert chosen == {i for x in windows for i in x if values[i] == min(values[j] for j in x)}
